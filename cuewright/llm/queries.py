@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing
+from . import chat, exact_dedup, mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,22 @@ g AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)
 """
 
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS word
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents)),
+g AS (
+  SELECT doc_id, i, word, CASE WHEN count(*) OVER r = 35 THEN md5(string_agg(word, ' ') OVER r) END AS h
+  FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+m AS (SELECT doc_id, i, word, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS again FROM g),
+k AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+s AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN s USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -78,7 +100,8 @@ SELECT conv_id, n_turns, sha256(a) AS turns_sha256, len(b)::BIGINT AS loss_chars
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL}
