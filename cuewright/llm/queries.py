@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, lm_scoring, mixing, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, lm_scoring, mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -105,6 +113,8 @@ SELECT conv_id, n_turns, sha256(a) AS turns_sha256, len(b)::BIGINT AS loss_chars
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_decontaminate": op5_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
