@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, lm_scoring, mixing, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, lm_scoring, mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = line_dedup.dedup(docs.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("kept_chars"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,29 @@ g AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)
 """
 
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT *, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS w FROM l),
+d AS (SELECT w, len(w) AS n, min((doc_id, i)) AS first FROM s WHERE len(w) > 0 GROUP BY w),
+f AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM d) GROUP BY word),
+o AS (
+  SELECT w, n, first, word, row_number() OVER (PARTITION BY w ORDER BY c, word) AS k
+  FROM (SELECT w, n, first, unnest(w) AS word FROM d) JOIN f USING (word)),
+p AS (SELECT * FROM o WHERE k <= n - ceil(n * 0.8 - 1e-9) + 1),
+c AS (
+  SELECT DISTINCT a.w AS w, b.w AS v FROM p a JOIN p b
+    ON a.word = b.word AND b.first < a.first AND a.n * 0.8 - 1e-9 <= b.n AND b.n * 0.8 - 1e-9 <= a.n),
+g AS (SELECT DISTINCT w FROM c WHERE len(list_intersect(w, v)) >= 0.8 * (len(w) + len(v) - len(list_intersect(w, v))) - 1e-9),
+k AS (
+  SELECT s.doc_id, s.i, s.line, len(s.w) = 0 OR ((s.doc_id, s.i) = d.first AND g.w IS NULL) AS stays
+  FROM s LEFT JOIN d ON s.w = d.w LEFT JOIN g ON s.w = g.w),
+r AS (SELECT doc_id, count(*)::INT AS n_lines, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(len(kept), 0)::INT AS kept_chars
+FROM documents LEFT JOIN r USING (doc_id)
+"""
+
 OP7_SQL = r"""
 WITH w AS (
   SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS word
@@ -112,6 +141,7 @@ SELECT conv_id, n_turns, sha256(a) AS turns_sha256, len(b)::BIGINT AS loss_chars
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
@@ -119,4 +149,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL}
