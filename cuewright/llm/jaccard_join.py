@@ -307,7 +307,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sim
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in shingle_sets(part.column(0), hasher, shingle)], pa.binary())], ["comp", "blocks", "uid", "m", "s"])
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    chosen = texts.join(members, F.col("id").eqNullSafe(F.col("of"))).where(F.xxhash64("text") == F.col("of_th")).select("text", "comp", "blocks", "uid", "m")
+    chosen = texts.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).where(F.xxhash64("text") == F.col("of_th")).select("text", "comp", "blocks", "uid", "m")
     placed = chosen.mapInArrow(sets, "comp long, blocks int, uid long, m long, s binary").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
     # a block meets each block of its component once
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
