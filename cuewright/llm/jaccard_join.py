@@ -25,7 +25,7 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES = 64
-RECALL = 0.995
+RECALL = 0.999
 #: Depth whose meeting probability sets the number of runs.
 PLANNED_DEPTH = 3
 #: Sets in a node that are compared with each other; larger nodes split.
@@ -210,7 +210,8 @@ def _verify(similarity: float):
     """Exact links inside groups of rows (comp, i, j, block, uid, m, s) that come sorted by (comp, i, j).
 
     Gives (uid, links, root) for each member of a group: the number of documents in
-    other classes it links to, and the smallest set it is linked with.
+    other classes it links to, and the smallest set that it is linked with in the
+    group, directly or through others.
     """
     import pyarrow as pa
 
@@ -242,8 +243,12 @@ def _verify(similarity: float):
         np.fill_diagonal(linked, False)
         if i != j:  # pairs inside a block are counted in the group (i, i)
             linked &= (block[:, None] != block[None])
-        root = np.where(linked, uid[None], uid[:, None]).min(1)
-        return uid, linked @ m, np.minimum(root, uid)
+        root = uid
+        while True:  # the smallest of all that are linked with it, through others too
+            low = np.minimum(np.where(linked, root[None], root[:, None]).min(1), root)
+            if (low == root).all():
+                return uid, linked @ m, root
+            root = low
 
     def run(batches):
         held = None
