@@ -30,11 +30,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Whether Spark removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/cuewright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back, which cuts its lineage.
+
+    The shuffle files behind it are of no more use then and are removed at once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cuewright/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(col: str | Column) -> Column:

@@ -29,7 +29,7 @@ RECALL = 0.999
 #: Depth whose meeting probability sets the number of runs.
 PLANNED_DEPTH = 3
 #: Sets in a node that are compared with each other; larger nodes split.
-SMALL = 48
+SMALL = 192
 #: A child with this share of its parent's sets holds near copies: they are joined up without further splits.
 DENSE = 0.8
 MOST_DEPTH = 16
@@ -319,8 +319,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sim
     placed = placed.select("comp", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), "block", "uid", "m", "s")
     found = placed.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify(similarity), "uid long, links long, root long")
     found = durable(found.groupBy("uid").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots")))
-    linked = components(found.select(F.col("uid").alias("a"), F.explode("roots").alias("b")))
-    found = found.join(linked.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "links", "root")
+    # sets verified in one block have one root; others may be linked through several
+    split = found.where("size(roots) > 1")
+    if not split.isEmpty():
+        linked = components(found.select(F.col("uid").alias("a"), F.explode("roots").alias("b")))
+        found = found.join(linked.withColumnRenamed("node", "uid"), "uid", "left")
+    else:
+        found = found.withColumn("root", F.get("roots", F.lit(0)))
+    found = found.select("uid", "links", "root")
     classes = reps.join(found, "uid", "left").select(*key, "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "uid").alias("root"))
     rows = all_rows.where("n > 0").select(*key, "id", "th").join(classes, key)
     least = rows.groupBy("root").agg(F.min("id").alias("class_id"))

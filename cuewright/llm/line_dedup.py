@@ -33,29 +33,29 @@ def _long(v: int) -> Column:
     return F.lit(v).cast("long")
 
 
-def _words(line: str) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, f"{SPACE}+"), ""))
+def _hashes(line: str) -> Column:
+    """Sorted hashes of a line's words; equal words count once."""
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(line, f"{SPACE}+"), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
 
 
-def _rarity(docs: DataFrame, text_col: str) -> bytearray:
-    """For each counter the bit length of its count of words, over all documents."""
+def _rarity(docs: DataFrame, text_col: str) -> Column:
+    """For each counter the bit length of its count of words, over all documents, as a constant array."""
     words = docs.select(F.explode(F.split(text_or_empty(text_col), f"{SPACE}+")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), _long(COUNTERS)).alias("k")).count().collect()
-    out = bytearray(COUNTERS)
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(_long(COUNTERS - 1)).alias("k")).count().collect()
+    out = [0] * COUNTERS
     for k, n in counts:
         out[k] = int(n).bit_length()
-    return out
+    return F.from_json(F.lit(str(out)), "array<long>")
 
 
-def _ids(words: Column, rarity: bytearray) -> Column:
+def _ids(hashes: Column, rarity: Column) -> Column:
     """Sorted numbers of the words: the rarity's class above 57 bits of hash."""
-    table = F.lit(rarity)
 
     def number(h: Column) -> Column:
-        level = F.ascii(F.substring(table, F.pmod(h, _long(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.call_function("shiftleft", level.cast("long"), F.lit(57)).bitwiseOR(h.bitwiseAND(_long(_HASH)))
+        level = F.get(rarity, h.bitwiseAND(_long(COUNTERS - 1)).cast("int"))
+        return F.call_function("shiftleft", level, F.lit(57)).bitwiseOR(h.bitwiseAND(_long(_HASH)))
 
-    return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), number))
+    return F.sort_array(F.transform(hashes, number))
 
 
 def _sent(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -74,18 +74,20 @@ def _overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * (t / (1 + t)) - 1e-9)
 
 
-def _verified(texts: DataFrame, rarity: bytearray, pairs: DataFrame, t: float) -> DataFrame:
-    """Of pairs (a_id, a_line, a_sid, b_id, b_line, b_sid), a_sid of those where b comes first and is similar."""
+def _verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """Of pairs of lines (a_id, a_line, a_sid, b_id, b_line), the sets (a_sid) of those a to which an earlier b is similar.
+
+    Lines meet as the sorted 64-bit hashes of their words.
+    """
     pairs = durable(pairs.distinct())
-    sides = [pairs.select(*(F.col(f"{s}_{c}").alias(f"n_{c}") for c in ("id", "line", "sid"))) for s in "ab"]
+    sides = [pairs.select(*(F.col(f"{s}_{c}").alias(f"n_{c}") for c in ("id", "line"))) for s in "ab"]
     needed = durable(sides[0].unionByName(sides[1]).distinct().groupBy("n_id").agg(F.collect_set("n_line").alias("n_lines")))
     lines = texts.join(_sent(needed, 64), F.col("id").eqNullSafe(F.col("n_id")))
     lines = lines.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"), "n_lines").where(F.array_contains("n_lines", F.col("line")))
-    lines = lines.withColumn("words", _words("s"))
-    lines = durable(lines.select("id", "th", "line", "words", F.xxhash64(_ids(F.col("words"), rarity)).alias("sid")))
+    lines = durable(lines.select("id", "th", "line", _hashes("s").alias("words")).withColumn("sid", F.xxhash64("words")))
     side = lambda s: lines.select(*(F.col(c).alias(f"v{s}_{c}") for c in lines.columns))
-    on = lambda s: F.col(f"{s}_id").eqNullSafe(F.col(f"v{s}_id")) & (F.col(f"{s}_line") == F.col(f"v{s}_line")) & (F.col(f"{s}_sid") == F.col(f"v{s}_sid"))
-    both = pairs.join(side("a"), on("a")).join(side("b"), on("b"))
+    on = lambda s: F.col(f"{s}_id").eqNullSafe(F.col(f"v{s}_id")) & (F.col(f"{s}_line") == F.col(f"v{s}_line"))
+    both = pairs.join(side("a"), on("a") & (F.col("a_sid") == F.col("va_sid"))).join(side("b"), on("b"))
     common = F.size(F.array_intersect("va_words", "vb_words"))
     similar = common >= t * (F.size("va_words") + F.size("vb_words") - common) - 1e-9
     place = lambda s: F.struct(f"v{s}_id", f"v{s}_line", f"v{s}_th")
@@ -98,15 +100,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     rarity = _rarity(docs, text_col)
     lines = texts.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    lines = lines.select("id", "th", "line", _ids(_words("s"), rarity).alias("ids")).where(F.size("ids") > 0)
+    lines = lines.select("id", "th", "line", _hashes("s").alias("hashes")).where(F.size("hashes") > 0)
+    lines = lines.select("id", "th", "line", "hashes", _ids(F.col("hashes"), rarity).alias("ids"))
     n = F.size("ids")
     parity = F.aggregate("ids", _long(0), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))))
-    hashes = F.transform("ids", lambda x: x.bitwiseAND(_long(_HASH)))
     prefix = F.transform(F.slice("ids", 1, n - F.ceil(n * t - 1e-9).cast("int") + 1), lambda x: x.bitwiseAND(_long(0x7FFFFFFF)).cast("int"))
     smallest = math.floor(1 / (1 - t) + 1e-9) - 1  # of fewer words, similar sets are equal
     open_set = n >= smallest
-    lines = lines.select("id", "th", "line", n.alias("n"), F.xxhash64("ids").alias("sid"), F.xxhash64("ids", F.lit(1)).alias("sid2"), *(F.when(open_set, c).alias(k) for k, c in (("parity", parity), ("hashes", hashes), ("prefix", prefix))))
-    lines = lines.select("id", "th", "line", "n", "sid", "sid2", "parity", F.array_min("hashes").alias("least"), F.array_max("hashes").alias("most"), "prefix")
+    lines = lines.select("id", "th", "line", n.alias("n"), F.xxhash64("hashes").alias("sid"), F.xxhash64("ids").alias("sid2"), *(F.when(open_set, c).alias(k) for k, c in (("parity", parity), ("least", F.get("hashes", F.lit(0))), ("most", F.element_at("hashes", -1)), ("prefix", prefix))))
     lines = durable(lines)
 
     key = ["sid", "sid2", "n"]
@@ -117,8 +118,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = marks.groupBy("mark").agg(F.min(F.struct("at", "sid", "n", "parity")).alias("f"), F.count("*").alias("c")).where("c > 1")
     named = lambda d, s: d.select(*(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "parity")), F.col("at.id").alias(f"{s}_id"), F.col("at.line").alias(f"{s}_line"), "mark")
     met = named(marks, "a").join(named(firsts.select("mark", "f.*"), "b"), "mark").where("a_sid != b_sid").where(_similar("a", "b", t))
-    ends = [f"{s}_{c}" for s in "ab" for c in ("id", "line", "sid")]
-    settled = durable(_verified(texts, rarity, met.select(*ends), t))
+    ends = ["a_id", "a_line", "a_sid", "b_id", "b_line"]
+    settled = durable(_verified(texts, met.select(*ends), t))
 
     looking = wide.join(_sent(settled, 16), wide["sid"] == settled["a_sid"], "left").select("sid", "n", "parity", F.col("at.id").alias("id"), F.col("at.line").alias("line"), F.col("a_sid").isNull().alias("open"), F.posexplode("prefix").alias("i", "word"))
     looking = looking.select("word", "sid", "parity", "id", "line", (F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + F.col("open").cast("int")).alias("meta"))
@@ -134,8 +135,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier = F.col("b_id").isNull() | (F.col("b_id") <= F.col("a_id"))
     fits = (part["a_n"] * t - 1e-9 <= part["b_n"]) & (part["b_n"] * t - 1e-9 <= part["a_n"]) & (left >= need) & (apart <= part["a_n"] + part["b_n"] - 2 * need)
     a, b = entry("a"), entry("b")
-    found = a.join(b, (a["word"] == b["word"]) & (F.col("a_sid") != F.col("b_sid")) & part["a_open"] & earlier & fits)
-    more = _verified(texts, rarity, found.select(*ends), t)
+    found = a.join(b, (a["word"] == b["word"]) & (F.col("a_sid") != F.col("b_sid")) & F.when(F.col("b_meta").isNotNull(), part["a_open"]) & earlier & fits)
+    more = _verified(texts, found.select(*ends), t)
 
     gone = durable(settled.unionByName(more).distinct())
     info = sets.join(_sent(gone, 16), sets["sid"] == gone["a_sid"], "left").where((F.col("m") > 1) | F.col("a_sid").isNotNull())
