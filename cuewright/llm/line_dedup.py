@@ -5,7 +5,8 @@ sets of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1
 words of each (prefix filter); their sizes differ by the factor t at most (length
 filter), and the words that are left behind a shared one must suffice (positional
 filter). A 64-bit parity of each set bounds the symmetric difference from below and
-drops most of the remaining pairs. The rest is verified on the words themselves.
+drops most of the remaining pairs. Words cut to 16 bits bound the overlap from above
+and drop nearly all of the rest; what is left is verified on the words themselves.
 
 Equal sets are joined up first. A set that is similar to the earliest one with the
 same smallest or largest word hash is settled by that pair alone and looks no
@@ -19,42 +20,45 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, text_or_empty
+from .common import discard, durable, text_or_empty
 
 SIMILARITY = 0.8
 #: Counters of word occurrences. Words that share one count as equally rare, which is a matter of speed alone.
 COUNTERS = 1 << 16
 #: Bytes up to which a side of a join is sent to all tasks.
 SENT_BYTES = 32 << 20
-_HASH = (1 << 57) - 1
 
 
 def _long(v: int) -> Column:
     return F.lit(v).cast("long")
 
 
+def _words(text: str | Column) -> Column:
+    """Pieces of a text between single ASCII spaces of any kind; some may be empty."""
+    col = F.col(text) if isinstance(text, str) else text
+    for c in "\n\t\v\f\r":
+        col = F.replace(col, F.lit(c), F.lit(" "))
+    return F.split(col, " ")
+
+
 def _hashes(line: str) -> Column:
     """Sorted hashes of a line's words; equal words count once."""
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(line, f"{SPACE}+"), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
-    """For each counter the bit length of its count of words, over all documents, as a constant array."""
-    words = docs.select(F.explode(F.split(text_or_empty(text_col), f"{SPACE}+")).alias("w"))
+    """For each counter its count of words over all documents, as thirds of an octave in the top 7 bits of a long, in a constant array."""
+    words = docs.select(F.explode(_words(text_or_empty(text_col))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(_long(COUNTERS - 1)).alias("k")).count().collect()
-    out = [0] * COUNTERS
+    out = [-64 << 57] * COUNTERS
     for k, n in counts:
-        out[k] = int(n).bit_length()
+        out[k] = (min(int(3 * math.log2(n)), 127) - 64) << 57
     return F.from_json(F.lit(str(out)), "array<long>")
 
 
 def _ids(hashes: Column, rarity: Column) -> Column:
-    """Sorted numbers of the words: the rarity's class above 57 bits of hash."""
-
-    def number(h: Column) -> Column:
-        level = F.get(rarity, h.bitwiseAND(_long(COUNTERS - 1)).cast("int"))
-        return F.call_function("shiftleft", level, F.lit(57)).bitwiseOR(h.bitwiseAND(_long(_HASH)))
-
+    """Sorted numbers of the words: the rarity above 57 bits of hash."""
+    number = lambda h: F.get(rarity, h.bitwiseAND(_long(COUNTERS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
     return F.sort_array(F.transform(hashes, number))
 
 
@@ -74,24 +78,46 @@ def _overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * (t / (1 + t)) - 1e-9)
 
 
+def _paired(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """pairs with lines' other columns of both sides, as va_ and vb_, where the line of b comes earlier."""
+    side = lambda s: lines.select(*(F.col(c).alias(f"v{s}_{c}") for c in lines.columns))
+    on = lambda s: F.col(f"{s}_id").eqNullSafe(F.col(f"v{s}_id")) & (F.col(f"{s}_line") == F.col(f"v{s}_line"))
+    both = pairs.join(side("a"), on("a") & (F.col("a_sid") == F.col("va_sid"))).join(side("b"), on("b"))
+    place = lambda s: F.struct(f"v{s}_id", f"v{s}_line", f"v{s}_th")
+    return both.where(place("b") < place("a"))
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """Of pairs of lines (a_id, a_line, a_sid, b_id, b_line), the sets (a_sid) of those a to which an earlier b is similar.
 
-    Lines meet as the sorted 64-bit hashes of their words.
+    Lines meet as the sorted 64-bit hashes of their words, if the sets of the words'
+    low 16 bits leave it open: these have as many words in common, less the words
+    that share their bits with another. The likeliest b of each a comes first, the
+    others follow for those a alone that it leaves unsettled.
     """
+    names = ["a_id", "a_line", "a_sid", "b_id", "b_line"]
     pairs = durable(pairs.distinct())
     sides = [pairs.select(*(F.col(f"{s}_{c}").alias(f"n_{c}") for c in ("id", "line"))) for s in "ab"]
     needed = durable(sides[0].unionByName(sides[1]).distinct().groupBy("n_id").agg(F.collect_set("n_line").alias("n_lines")))
     lines = texts.join(_sent(needed, 64), F.col("id").eqNullSafe(F.col("n_id")))
     lines = lines.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"), "n_lines").where(F.array_contains("n_lines", F.col("line")))
-    lines = durable(lines.select("id", "th", "line", _hashes("s").alias("words")).withColumn("sid", F.xxhash64("words")))
-    side = lambda s: lines.select(*(F.col(c).alias(f"v{s}_{c}") for c in lines.columns))
-    on = lambda s: F.col(f"{s}_id").eqNullSafe(F.col(f"v{s}_id")) & (F.col(f"{s}_line") == F.col(f"v{s}_line"))
-    both = pairs.join(side("a"), on("a") & (F.col("a_sid") == F.col("va_sid"))).join(side("b"), on("b"))
-    common = F.size(F.array_intersect("va_words", "vb_words"))
-    similar = common >= t * (F.size("va_words") + F.size("vb_words") - common) - 1e-9
-    place = lambda s: F.struct(f"v{s}_id", f"v{s}_line", f"v{s}_th")
-    return both.where(similar & (place("b") < place("a"))).select("a_sid").distinct()
+    lines = lines.select("id", "th", "line", _hashes("s").alias("words")).withColumn("sid", F.xxhash64("words")).withColumn("n", F.size("words"))
+    lines = durable(lines.withColumn("bits", F.array_distinct(F.transform("words", lambda w: (w.bitwiseAND(_long(0xFFFF)) - 0x8000).cast("short")))))
+
+    both = _paired(pairs, lines.drop("words"))
+    most = F.size(F.array_intersect("va_bits", "vb_bits")) + F.least(*(F.col(f"v{s}_n") - F.size(f"v{s}_bits") for s in "ab"))
+    likely = durable(both.withColumn("over", most - _overlap(F.col("va_n"), F.col("vb_n"), t)).where("over >= 0").select(*names, "over").distinct())
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = _paired(pairs, lines.select("id", "th", "line", "sid", "words"))
+        common = F.size(F.array_intersect("va_words", "vb_words"))
+        return both.where(common >= t * (F.size("va_words") + F.size("vb_words") - common) - 1e-9).select("a_sid").distinct()
+
+    best = likely.groupBy("a_sid").agg(F.max(F.struct("over", "a_id", "a_line", "b_id", "b_line")).alias("p")).select("a_sid", "p.*")
+    sure = durable(similar(best.select(*names)))
+    rest = durable(similar(likely.join(_sent(sure, 16), "a_sid", "left_anti").select(*names)))
+    discard(pairs, needed, lines, likely)
+    return sure.unionByName(rest)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
