@@ -4,8 +4,8 @@ A line is the set of its words. Words are ordered by rarity, the rarest first. T
 sets of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1
 words of each (prefix filter); their sizes differ by the factor t at most (length
 filter), and the words that are left behind a shared one must suffice (positional
-filter). A 64-bit parity of each set bounds the symmetric difference from below and
-drops most of the remaining pairs. Words cut to 16 bits bound the overlap from above
+filter). A 64-bit parity of each set, or 256 bits of long sets, bounds the symmetric
+difference from below and drops most of the remaining pairs. Words cut to 16 bits bound the overlap from above
 and drop nearly all of the rest; what is left is verified on the words themselves.
 
 Equal sets are joined up first. A set that is similar to the earliest one with the
@@ -29,6 +29,11 @@ COUNTERS = 1 << 16
 SENT_BYTES = 32 << 20
 
 
+#: Words from which a set has parities of 256 bits, and the parities' columns.
+LONG = 64
+PARITIES = ("parity", "parity_six", "parity_seven", "parity_both")
+
+
 def _long(v: int) -> Column:
     return F.lit(v).cast("long")
 
@@ -67,11 +72,30 @@ def _sent(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SENT_BYTES else df
 
 
+def _parities(ids: str) -> list[Column]:
+    """For a set its parity over 64 places, and those of the words with bit 6, bit 7 and both; the last three are 0 for sets of fewer than LONG words."""
+
+    def parity(seed) -> Column:
+        place = lambda x: F.call_function("shiftleft", seed(x), x.bitwiseAND(_long(63)).cast("int"))
+        return F.aggregate(ids, _long(0), lambda a, x: a.bitwiseXOR(place(x)))
+
+    six, seven = (lambda x, k=k: F.shiftright(x, k).bitwiseAND(_long(1)) for k in (6, 7))
+    more = (six, seven, lambda x: six(x).bitwiseAND(seven(x)))
+    return [parity(lambda x: _long(1)), *(F.when(F.size(ids) >= LONG, parity(seed)).otherwise(_long(0)) for seed in more)]
+
+
+def _apart(a: str, b: str, n: Column, m: Column) -> Column:
+    """The least number of words that lie in one set only, by the parities."""
+    every, six, seven, both = (F.col(f"{a}_{p}").bitwiseXOR(F.col(f"{b}_{p}")) for p in PARITIES)
+    parts = (both, six.bitwiseXOR(both), seven.bitwiseXOR(both), every.bitwiseXOR(six).bitwiseXOR(seven).bitwiseXOR(both))
+    wide = F.bit_count(parts[0]) + F.bit_count(parts[1]) + F.bit_count(parts[2]) + F.bit_count(parts[3])
+    return F.when(F.least(n, m) >= LONG, wide).otherwise(F.bit_count(every))
+
+
 def _similar(a: str, b: str, t: float) -> Column:
     """Length and parity filters for columns {a}_n, {a}_parity and those of b."""
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
-    apart = F.bit_count(F.col(f"{a}_parity").bitwiseXOR(F.col(f"{b}_parity")))
-    return (n * t - 1e-9 <= m) & (m * t - 1e-9 <= n) & (apart <= n + m - 2 * _overlap(n, m, t))
+    return (n * t - 1e-9 <= m) & (m * t - 1e-9 <= n) & (_apart(a, b, n, m) <= n + m - 2 * _overlap(n, m, t))
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
@@ -129,34 +153,34 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = lines.select("id", "th", "line", _hashes("s").alias("hashes")).where(F.size("hashes") > 0)
     lines = lines.select("id", "th", "line", "hashes", _ids(F.col("hashes"), rarity).alias("ids"))
     n = F.size("ids")
-    parity = F.aggregate("ids", _long(0), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))))
+    parities = _parities("ids")
     prefix = F.transform(F.slice("ids", 1, n - F.ceil(n * t - 1e-9).cast("int") + 1), lambda x: x.bitwiseAND(_long(0x7FFFFFFF)).cast("int"))
     smallest = math.floor(1 / (1 - t) + 1e-9) - 1  # of fewer words, similar sets are equal
     open_set = n >= smallest
-    lines = lines.select("id", "th", "line", n.alias("n"), F.xxhash64("hashes").alias("sid"), F.xxhash64("ids").alias("sid2"), *(F.when(open_set, c).alias(k) for k, c in (("parity", parity), ("least", F.get("hashes", F.lit(0))), ("most", F.element_at("hashes", -1)), ("prefix", prefix))))
+    lines = lines.select("id", "th", "line", n.alias("n"), F.xxhash64("hashes").alias("sid"), F.xxhash64("ids").alias("sid2"), *(F.when(open_set, c).alias(k) for k, c in (*zip(PARITIES, parities, strict=True), ("least", F.get("hashes", F.lit(0))), ("most", F.element_at("hashes", -1)), ("prefix", prefix))))
     lines = durable(lines)
 
     key = ["sid", "sid2", "n"]
-    sets = durable(lines.groupBy(*key).agg(F.count("*").alias("m"), F.min(F.struct("id", "line", "th")).alias("at"), F.first("parity").alias("parity"), F.first("least").alias("least"), F.first("most").alias("most"), F.first("prefix").alias("prefix")))
+    sets = durable(lines.groupBy(*key).agg(F.count("*").alias("m"), F.min(F.struct("id", "line", "th")).alias("at"), *(F.first(p).alias(p) for p in PARITIES), F.first("least").alias("least"), F.first("most").alias("most"), F.first("prefix").alias("prefix")))
     wide = sets.where(F.col("n") >= smallest)
 
-    marks = wide.select(F.explode(F.array("least", F.bitwise_not("most"))).alias("mark"), "sid", "n", "parity", "at")
-    firsts = marks.groupBy("mark").agg(F.min(F.struct("at", "sid", "n", "parity")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    named = lambda d, s: d.select(*(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "parity")), F.col("at.id").alias(f"{s}_id"), F.col("at.line").alias(f"{s}_line"), "mark")
+    marks = wide.select(F.explode(F.array("least", F.bitwise_not("most"))).alias("mark"), "sid", "n", *PARITIES, "at")
+    firsts = marks.groupBy("mark").agg(F.min(F.struct("at", "sid", "n", *PARITIES)).alias("f"), F.count("*").alias("c")).where("c > 1")
+    named = lambda d, s: d.select(*(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", *PARITIES)), F.col("at.id").alias(f"{s}_id"), F.col("at.line").alias(f"{s}_line"), "mark")
     met = named(marks, "a").join(named(firsts.select("mark", "f.*"), "b"), "mark").where("a_sid != b_sid").where(_similar("a", "b", t))
     ends = ["a_id", "a_line", "a_sid", "b_id", "b_line"]
     settled = durable(_verified(texts, met.select(*ends), t))
 
-    looking = wide.join(_sent(settled, 16), wide["sid"] == settled["a_sid"], "left").select("sid", "n", "parity", F.col("at.id").alias("id"), F.col("at.line").alias("line"), F.col("a_sid").isNull().alias("open"), F.posexplode("prefix").alias("i", "word"))
-    looking = looking.select("word", "sid", "parity", "id", "line", (F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + F.col("open").cast("int")).alias("meta"))
+    looking = wide.join(_sent(settled, 16), wide["sid"] == settled["a_sid"], "left").select("sid", "n", *PARITIES, F.col("at.id").alias("id"), F.col("at.line").alias("line"), F.col("a_sid").isNull().alias("open"), F.posexplode("prefix").alias("i", "word"))
+    looking = looking.select("word", "sid", *PARITIES, "id", "line", (F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + F.col("open").cast("int")).alias("meta"))
 
     def entry(s: str) -> DataFrame:
-        d = looking.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "parity", "id", "line", "meta")))
+        d = looking.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", *PARITIES, "id", "line", "meta")))
         return d
 
     part = {f"{s}_{k}": e for s in "ab" for k, e in (("n", F.shiftright(f"{s}_meta", 32).cast("int")), ("i", F.shiftright(F.col(f"{s}_meta").bitwiseAND(_long(0xFFFFFFFF)), 1).cast("int")), ("open", F.col(f"{s}_meta").bitwiseAND(_long(1)) == 1))}
     left = F.least(part["a_n"] - part["a_i"], part["b_n"] - part["b_i"])
-    apart = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
+    apart = _apart("a", "b", part["a_n"], part["b_n"])
     need = _overlap(part["a_n"], part["b_n"], t)
     earlier = F.col("b_id").isNull() | (F.col("b_id") <= F.col("a_id"))
     fits = (part["a_n"] * t - 1e-9 <= part["b_n"]) & (part["b_n"] * t - 1e-9 <= part["a_n"]) & (left >= need) & (apart <= part["a_n"] + part["b_n"] - 2 * need)
