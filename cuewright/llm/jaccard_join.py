@@ -2,11 +2,13 @@
 
 A text is the set of its 5-word shingles. Sets are embedded by MinHash: element
 (i, value of the i-th MinHash), so that two sets share a coordinate with their
-Jaccard similarity as probability. A run starts with all sets in one node. A node
-samples coordinates, each with probability 1 / (similarity * coordinates), and
-splits its sets on their values; small nodes are compared by brute force, large
-ones split again. A pair survives a split with an expected one shared child, so
-runs are repeated until pairs at the threshold meet with the target recall.
+Jaccard similarity as probability. A start splits all sets on one coordinate. A
+node samples coordinates that its path hasn't used, each with probability
+1 / (similarity * coordinates left), and splits its sets on their values; small
+nodes are compared by brute force, large ones split again. A pair survives a split
+with an expected one shared child, so starts are added until pairs at the threshold
+meet with the target recall at the depth that is reached: sets whose nodes still
+split there get more starts.
 
 Equal sets are one class from the start. Sketches only join candidates up into
 components; within those, similarities of whole shingle sets decide.
@@ -26,7 +28,7 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES = 64
 RECALL = 0.999
-#: Depth whose meeting probability sets the number of runs.
+#: Depth whose meeting probability sets the number of starts that all sets get.
 PLANNED_DEPTH = 3
 #: Sets in a node that are compared with each other; larger nodes split.
 SMALL = 192
@@ -39,16 +41,41 @@ SKETCH = 0.6
 BLOCK = 256
 
 
-def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = PLANNED_DEPTH) -> int:
-    """Runs after which a pair at the threshold has met with probability `recall`.
+def _agreements(similarity: float) -> np.ndarray:
+    """Probability that a pair of this similarity agrees in 0, 1, .. COORDINATES coordinates."""
+    return np.array([math.comb(COORDINATES, m) * similarity**m * (1 - similarity) ** (COORDINATES - m) for m in range(COORDINATES + 1)])
 
-    The number of children a pair shares is about Poisson with mean 1, so the
-    probability of meeting at depth d is 1 - exp(-that of depth d - 1).
+
+def least_agreement(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """Coordinates in which candidates agree at least: those of SKETCH, or fewer where that alone loses half of 1 - recall."""
+    below = np.cumsum(_agreements(similarity))
+    return min(math.ceil(SKETCH * COORDINATES), int(np.searchsorted(below, (1 - recall) / 2, "right")))
+
+
+def meeting(starts: int, depth: int, similarity: float = SIMILARITY, least: int = 0) -> float:
+    """Probability that a pair at the threshold agrees in `least` coordinates and shares a node at `depth`.
+
+    A node at depth k has used k coordinates and draws each other one with
+    probability 1 / (similarity * (COORDINATES - k)).
     """
-    meet = 1.0
-    for _ in range(depth):
-        meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    m = np.arange(COORDINATES + 1)
+    meet = np.ones(len(m))
+    for k in range(depth - 1, 0, -1):
+        meet = 1 - (1 - meet * min(1.0, 1 / (similarity * (COORDINATES - k)))) ** np.maximum(m - k, 0)
+    met = 1 - (1 - m / COORDINATES * meet) ** starts
+    return float((_agreements(similarity) * met)[least:].sum())
+
+
+def starts_needed(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = PLANNED_DEPTH) -> int:
+    """Starts after which a pair at the threshold has met at `depth` with probability `recall`."""
+    least, high = least_agreement(similarity, recall), 1
+    while meeting(high, depth, similarity, least) < recall:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if meeting(mid, depth, similarity, least) >= recall else (mid, high)
+    return high
 
 
 def shingle_sets(column, hasher: Hasher, size: int):
@@ -105,11 +132,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -
     return rows.mapInArrow(run, f"uid long, id {kind}, th long, n int, f1 long, f2 long, sig binary")
 
 
-def _children(similarity: float):
-    """(path, parent, uid) of the nodes into which each row (path, uid, sig) falls."""
+def _children(similarity: float, depth: int):
+    """(path, parent, uid, used) of the nodes into which each row (path, uid, sig, used) at this depth falls."""
     import pyarrow as pa
 
-    limit = np.uint64(int(2**64 / (similarity * COORDINATES)))
+    limit = np.uint64(min(2**64 - 1, int(2**64 / (similarity * (COORDINATES - depth)))))
     index = mix(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(77))
 
     def run(batches):
@@ -118,22 +145,22 @@ def _children(similarity: float):
                 continue
             path = b.column(0).to_numpy().view(np.uint64)
             sig = np.frombuffer(b"".join(v.as_buffer() for v in b.column(2)), np.uint32).reshape(-1, COORDINATES)
+            used = b.column(3).to_numpy().view(np.uint64)
             for i in range(COORDINATES):
+                bit = np.uint64(1 << i)
                 draw = mix(path ^ index[i])
-                take = np.flatnonzero(draw < limit)
+                take = np.flatnonzero((draw < limit) & (used & bit == 0))
                 if len(take):
                     child = mix(draw[take] + sig[take, i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take))], ["path", "parent", "uid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array((used[take] | bit).view(np.int64))], ["path", "parent", "uid", "used"])
 
     return run
 
 
-def _leaf_links(threshold: float):
+def _leaf_links(least: int):
     """Stars (a, b) that join up the sets of a node whose sketches agree; rows come sorted by path."""
     import pyarrow as pa
 
-    least = math.ceil(threshold * COORDINATES)
-
     def stars(uid, sig):
         root = np.arange(len(uid))
         agree = np.stack([(sig == s).sum(1) for s in sig]) >= least
@@ -175,31 +202,49 @@ def _leaf_links(threshold: float):
     return run
 
 
+def _starts(sets: DataFrame, first: int, end: int) -> DataFrame:
+    """(path, parent, uid, used) of the nodes into which the starts first .. end - 1 split sets (uid, sig)."""
+    rows = sets.withColumn("start", F.explode(F.sequence(F.lit(first), F.lit(end - 1)))).withColumn("i", F.col("start") % COORDINATES)
+    return rows.select(F.expr("xxhash64(start, substring(sig, 4 * i + 1, 4))").alias("path"), F.lit(0).cast("long").alias("parent"), "uid", F.expr("shiftleft(1L, i)").alias("used"))
+
+
 def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """Edges (a, b) between sets, so that sets of a pair at the threshold end up in one component."""
-    spark = reps.sparkSession
-    n_runs = runs_needed(similarity, recall)
+    """Edges (a, b) between sets, so that sets of a pair at the threshold end up in one component.
+
+    All sets get the starts that PLANNED_DEPTH needs. A pair that is missed for
+    depth lies in nodes that split beyond it, so the sets of these get the starts
+    that the deepest level needs, until no set goes deeper than its starts allow for.
+    """
+    least = least_agreement(similarity, recall)
     sigs = reps.select("uid", "sig")
-    roots = [int(x) for x in mix(np.arange(1, n_runs + 1, dtype=np.uint64) * np.uint64(1000003)).view(np.int64)]
-    nodes = sigs.select(F.explode(F.array(*(F.lit(r) for r in roots))).alias("path"), "uid", "sig")
-    parents, edges = None, []
-    for depth in range(1, MOST_DEPTH + 1):
-        rows = durable(nodes.mapInArrow(_children(similarity), "path long, parent long, uid long"))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("uid").alias("first"), F.first("parent").alias("parent")).where("size > 1")
-        if parents is not None:
-            sizes = sizes.join(parents, "parent").withColumn("dense", (F.col("size") >= DENSE * F.col("parent_size")) | F.lit(depth == MOST_DEPTH))
-        else:
-            sizes = sizes.withColumn("dense", F.lit(False))
-        kept = durable(rows.drop("parent").join(sizes.select("path", "size", "first", "dense"), "path"))
-        small = kept.where(F.col("size") <= SMALL).select("path", "uid").join(sigs, "uid").select("path", "uid", "sig")
-        edges.append(durable(small.repartition("path").sortWithinPartitions("path").mapInArrow(_leaf_links(SKETCH), "a long, b long").where("a is not null").distinct()))
-        large = kept.where(F.col("size") > SMALL)
-        edges.append(large.where("dense and uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b")))
-        large = large.where("not dense")
-        if large.isEmpty():
+    sets, done, planned, edges = sigs, 0, PLANNED_DEPTH, []
+    while True:
+        end = starts_needed(similarity, recall, planned)
+        rows = durable(_starts(sets, done, end))
+        parents, reached, splitting = None, 1, None
+        for depth in range(1, MOST_DEPTH + 1):
+            sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("uid").alias("first"), F.first("parent").alias("parent")).where("size > 1")
+            if parents is not None:
+                sizes = sizes.join(parents, "parent").withColumn("dense", (F.col("size") >= DENSE * F.col("parent_size")) | F.lit(depth == MOST_DEPTH))
+            else:
+                sizes = sizes.withColumn("dense", F.lit(False))
+            kept = durable(rows.drop("parent").join(sizes.select("path", "size", "first", "dense"), "path"))
+            small = kept.where(F.col("size") <= SMALL).select("path", "uid").join(sigs, "uid").select("path", "uid", "sig")
+            edges.append(durable(small.repartition("path").sortWithinPartitions("path").mapInArrow(_leaf_links(least), "a long, b long").where("a is not null").distinct()))
+            large = kept.where(F.col("size") > SMALL)
+            edges.append(large.where("dense and uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b")))
+            large = large.where("not dense")
+            if large.isEmpty():
+                break
+            reached = depth + 1
+            if depth == planned:
+                splitting = large.select("uid").distinct()
+            parents = large.select(F.col("path").alias("parent"), F.col("size").alias("parent_size")).distinct()
+            nodes = large.select("path", "uid", "used").join(sigs, "uid").select("path", "uid", "sig", "used")
+            rows = durable(nodes.mapInArrow(_children(similarity, depth), "path long, parent long, uid long, used long"))
+        if splitting is None:
             break
-        parents = large.select(F.col("path").alias("parent"), F.col("size").alias("parent_size")).distinct()
-        nodes = large.select("path", "uid").join(sigs, "uid").select("path", "uid", "sig")
+        sets, done, planned = durable(splitting.join(sigs, "uid").select("uid", "sig")), end, reached
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cuewright.llm import exact_dedup, jaccard_join, line_dedup, substring_dedup
@@ -156,6 +157,32 @@ def test_jaccard_join_matches_brute_force(spark, monkeypatch, small, block):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == linked(rows)
 
 
+def frequent_passages(pairs=200, pool=400, size=208, seed=5):
+    """Sets of frequent passages in pairs of similarity 0.8, other pairs at about 0.35, as their MinHashes (uid, sig)."""
+    r = np.random.default_rng(seed)
+    hashes, shared, sets = r.integers(0, 1 << 32, (jaccard_join.COORDINATES, pool), np.uint32), size * 8 // 9, []
+    for _ in range(pairs):
+        drawn = r.permutation(pool)[: 2 * size - shared]
+        sets += [drawn[:size], np.concatenate([drawn[:shared], drawn[size:]])]
+    return [(uid, hashes[:, s].min(1).tobytes()) for uid, s in enumerate(sets)]
+
+
+def test_jaccard_recall_holds_in_deep_nodes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "DENSE", 2)  # in nodes this small a child has most of the sets by chance
+    sets = spark.createDataFrame(frequent_passages(), "uid long, sig binary")
+    found = jaccard_join.components(jaccard_join.candidates(sets, jaccard_join.SIMILARITY, jaccard_join.RECALL))
+    root = {r.node: r.root for r in found.collect()}
+    assert sum(root.get(k, k) != root.get(k + 1, k + 1) for k in range(0, 400, 2)) <= 2
+    assert max(Counter(root.values()).values()) < 40  # pairs aren't found by joining up everything
+
+
+def test_jaccard_starts_meet_the_recall_at_each_depth():
+    for depth in range(1, jaccard_join.MOST_DEPTH + 1):
+        n, least = jaccard_join.starts_needed(depth=depth), jaccard_join.least_agreement()
+        assert jaccard_join.meeting(n - 1, depth, least=least) < jaccard_join.RECALL <= jaccard_join.meeting(n, depth, least=least)
+
+
 def test_representatives_keep_one_of_each_group(spark):
     rows = [(5, "a b c d e f"), (2, "a b c d e f"), (3, "other words that are all alone"), (4, ""), (6, None)]
     out = jaccard_join.representatives(frame(spark, rows))
