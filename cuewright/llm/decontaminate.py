@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, then weighted shingles.
 
 Words are compared in lower case (A-Z) without the punctuation around them. An
-item's windows in a document have as many words as the item. A window that shares
+item's windows in a document have as many words as the item; a document of fewer
+words than the item is one window as a whole. A window that shares
 no shingle with the item has similarity 0, so windows are laid only around words
 where a shingle of some item starts. Their SimHash fingerprints are looked up in
 Hamming blocks: fingerprints within RADIUS of each other differ by at most
@@ -127,6 +128,15 @@ class Index:
                 starts, n = pairs[1][pairs[0] == i], self.n[i] - k + 1
                 for lo in range(0, len(starts), 4096):
                     self._window(best, i, starts[lo : lo + 4096], n, s, row)
+            # a document with fewer words than the item is its one window; it has enough shingles to be as similar
+            first, last = np.searchsorted(row, row[at]), np.searchsorted(row, row[at], "right")
+            n = last - first - k + 1
+            short = (last - first < self.n[item]) & (n >= SIMILARITY * (self.n[item] - k + 1) - 1e-9)
+            pairs = np.unique(np.stack([item[short], n[short], first[short]]), axis=1)
+            for i, n in np.unique(pairs[:2], axis=1).T.tolist():
+                starts = pairs[2][(pairs[0] == i) & (pairs[1] == n)]
+                for lo in range(0, len(starts), 4096):
+                    self._window(best, i, starts[lo : lo + 4096], n, s, row)
         return best
 
     def _window(self, best, i, starts, n, s, row):
@@ -163,6 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     One row per pair, with the best window: the highest similarity, then the
     earliest; first_word counts the document's words between white space from 0.
+    A document of fewer words than the item is compared as a whole.
     An item of fewer words than SHINGLE is one shingle; items without words match
     nothing. Null texts have no words. Null ids are passed on. Rows that repeat an
     id give rows of their own. Empty tables give no rows. Other columns are not

@@ -70,6 +70,32 @@ def test_decontamination_matches_brute_force(spark, per_pass):
     assert sorted(str(x.doc_id) for x in left.collect()) == sorted(str(i) for i, *_ in rows if i not in bad) and "q" in left.columns
 
 
+def test_documents_shorter_than_an_item_are_compared_as_a_whole(spark):
+    r = random.Random(8)
+    vocab = [f"b{k}" for k in range(300)]
+    items = [(k, " ".join(r.choice(vocab) for _ in range(n))) for k, n in enumerate((6, 12, 25, 38, 38))]
+    rows = [(100 * k + 10 * cut + side, " ".join(t.split()[cut * side : len(t.split()) - cut * (1 - side)]), "s") for k, t in items for cut in range(1, 10) for side in (0, 1)]
+    rows += [(900, " ".join([*items[3][1].split()[:20], "changed", *items[3][1].split()[21:37]]), "s"), (901, "b1 b2", "s"), (902, items[4][1].replace(" ", " - "), "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cut5 = lambda x: Counter(tuple(x[a : a + 5]) for a in range(len(x) - 4))
+    want = Counter()
+    for i, t, _ in rows:
+        w = words(t)
+        for item, text in items:
+            if len(w) < len(text.split()):
+                got, goal = cut5([x for _, x in w]), cut5(text.split())
+                both = sum((got & goal).values())
+                similarity = both / (sum(got.values()) + sum(goal.values()) - both)
+                if similarity >= 0.8:
+                    want[i, item, w[0][0], round(similarity, 9)] += 1
+    assert len(want) >= 20
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert Counter((x.doc_id, x.item_id, x.first_word, round(x.similarity, 9)) for x in got) == want + brute(rows, items)
+    left = decontaminate.clean(frame(spark, rows), bench)
+    bad = {k[0] for k in want + brute(rows, items)}
+    assert sorted(x.doc_id for x in left.collect()) == sorted(i for i, *_ in rows if i not in bad)
+
+
 def test_hamming_blocks_find_all_fingerprints_within_the_radius():
     index = decontaminate.Index([(1, "one two three four five six seven")])
     r = random.Random(1)
