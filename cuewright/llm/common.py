@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -13,25 +15,59 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a numpy pass holds at once; a longer document goes alone.
-SLICE_BYTES = 4 << 20
-#: Bytes that one step of the hash arithmetic holds at once.
-PIECE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes, or numbers, that one step of the hash arithmetic holds at once.
+PIECE_BYTES = 1 << 17
+#: A longer word is hashed in blocks of so many bytes: polynomials modulo 2**64 have known collisions between texts of 1024 bytes and more.
+WORD_BLOCK = 64
+#: Rows and bytes of one Arrow batch between Spark and a Python worker.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set."""
+    """The folder that driver and executors share; a temporary one where none is set and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cuewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-#: Whether Spark removes a query's shuffle files when the query ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while an intermediate table is written: Spark removes the shuffle files of a query that has ended, and Arrow batches are small.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES),
+}
+_lock, _writers, _before = threading.Lock(), {}, {}
+_scratch = threading.local()
+
+
+class _settings:
+    """WRITING for a session while any of its threads writes; what held before comes back with the last one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.key = spark, spark._jsparkSession.hashCode()
+
+    def __enter__(self):
+        with _lock:
+            if not _writers.get(self.key):
+                _before[self.key] = {k: self.spark.conf.get(k, None) for k in WRITING}
+                for k, v in WRITING.items():
+                    self.spark.conf.set(k, v)
+            _writers[self.key] = _writers.get(self.key, 0) + 1
+
+    def __exit__(self, *_):
+        with _lock:
+            _writers[self.key] -= 1
+            if not _writers[self.key]:
+                for k, v in _before.pop(self.key).items():
+                    self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -41,22 +77,53 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuewright/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _settings(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    for tables in getattr(_scratch, "open", ())[-1:]:
+        tables[path] = spark
+    out._cuewright_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def discard(*tables: DataFrame) -> None:
     """Remove tables that durable() gave and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, df._cuewright_path)
+        for own in getattr(_scratch, "open", ()):
+            own.pop(df._cuewright_path, None)
+
+
+def tidy(operator):
+    """An operator whose result is written, and whose other tables are removed then.
+
+    Tables that durable() wrote for it go when its result is durable; the result
+    itself goes with the tables of the operator that called it, if any.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **options):
+        if not hasattr(_scratch, "open"):
+            _scratch.open = []
+        _scratch.open.append({})
+        try:
+            out = operator(*args, **options)
+            done = out if hasattr(out, "_cuewright_path") else durable(out)
+        finally:
+            own = _scratch.open.pop()
+        own.pop(done._cuewright_path, None)
+        for path, spark in own.items():
+            _delete(spark, path)
+        for tables in _scratch.open[-1:]:
+            tables[done._cuewright_path] = done.sparkSession
+        return done
+
+    return run
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -86,25 +153,32 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes of byte ranges and of runs of numbers, modulo 2**64."""
+    """Polynomial hashes of byte ranges and of runs of numbers, modulo 2**64. Tables of powers are shared by a process."""
 
-    def __init__(self, base: int = _BASE):
-        self.base, self.inverse, self.n = base | 1, pow(base | 1, -1, 1 << 64), 0
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _grow(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
-            self.up, self.down = powers(self.base, self.n), powers(self.inverse, self.n)
+    def __init__(self, base: int = _BASE):
+        self.base = base | 1
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """base**i and base**-i for i below n; tables beyond 2 * PIECE_BYTES aren't kept."""
+        got = Hasher.tables.get(self.base)
+        if got is None or len(got[0]) < n:
+            m = max(n, 2 * PIECE_BYTES)
+            got = powers(self.base, m), powers(pow(self.base, -1, 1 << 64), m)
+            if m == 2 * PIECE_BYTES:
+                Hasher.tables[self.base] = got
+        return got
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Running sums from which ranges() takes the hash of any range."""
-        self._grow(len(values) + 1)
         out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * self.up[: len(values)], out=out[1:])
-        return out
+        np.multiply(values, self._powers(len(values))[0][: len(values)], out=out[1:])
+        return np.cumsum(out, out=out)
 
     def ranges(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        down = self._powers(len(prefix))[1]
+        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 _SPACES = np.zeros(256, bool)
@@ -156,7 +230,20 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher) -> np.ndarray:
-    """A 64-bit hash of each word, worked out over pieces of PIECE_BYTES."""
+    """A 64-bit hash of each word, worked out over pieces of PIECE_BYTES.
+
+    A word of more than WORD_BLOCK bytes is hashed in blocks, and the mixed hashes
+    of its blocks are added up by their place.
+    """
+    blocks = -(-(ends - starts) // WORD_BLOCK)
+    if len(starts) and blocks.max() > 1:
+        first = np.cumsum(blocks) - blocks
+        nth = np.arange(blocks.sum()) - np.repeat(first, blocks)
+        lo = np.repeat(starts, blocks) + nth * WORD_BLOCK
+        h = word_hashes(buf, lo, np.minimum(lo + WORD_BLOCK, np.repeat(ends, blocks)), hasher)
+        long = blocks > 1
+        h = np.where(np.repeat(long, blocks), mix(h ^ mix(nth.astype(np.uint64))), h)
+        return np.add.reduceat(h, first)
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -183,7 +270,7 @@ def window_hashes(h: np.ndarray, size: int, hasher: Hasher) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
-    step = 1 << 18
+    step = PIECE_BYTES
     for at in range(0, n, step):
         to = min(n, at + step)
         sums = hasher.prefix(h[at : to + size - 1])

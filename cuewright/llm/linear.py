@@ -10,8 +10,8 @@ from .common import durable, fold_of, slices, text_or_empty
 
 #: Labelled documents of each class that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 4000
-#: Labels that are sent to all tasks, at most; more are joined by id.
-SENT_LABELS = 1 << 20
+#: Bytes of labels up to which they are sent to all tasks; more are joined by id.
+SENT_BYTES = 16 << 20
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, folds: int, held_out: int) -> DataFrame:
@@ -21,7 +21,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, te
     """
     marks = labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("y")).where("of is not null and y is not null").groupBy("of").agg((F.max("y") > 0).cast("int").alias("y"))
     marks = durable(marks.where(fold_of("of", folds) != held_out))
-    if marks.count() <= SENT_LABELS:
+    size = marks.agg(F.sum(F.octet_length(F.col("of").cast("string")) + 40)).first()[0] or 0
+    if size <= SENT_BYTES:
         marks = F.broadcast(marks)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return rows.join(marks, F.col("id") == F.col("of")).select("id", "y", "text")
@@ -66,7 +67,7 @@ def sample(rows: DataFrame, size: int = SAMPLE) -> DataFrame:
     order = (F.xxhash64("id", "text"), "id")
     ids = rows.select("id", "y", F.xxhash64("id", "text").alias("k"))
     picked = ids.where("y = 0").orderBy("k", "id").limit(size).unionByName(ids.where("y = 1").orderBy("k", "id").limit(size))
-    picked = F.broadcast(durable(picked.select(F.col("id").alias("in"), F.col("k").alias("in_k")).distinct()))
+    picked = F.broadcast(durable(picked.select(F.col("id").alias("in"), F.col("k").alias("in_k")).distinct()))  # 2 * size rows at most
     return rows.join(picked, (F.col("id") == F.col("in")) & (order[0] == F.col("in_k"))).select("id", "y", "text")
 
 

@@ -1,17 +1,22 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic model over indicators of words and their first bytes. For each
-labelled text that mentions identity terms, texts with the terms swapped for
-others of their group are made, and differences between the scores of a text and
-its counterfactuals are penalised, so that a mention as such says nothing.
+labelled text that mentions terms of an identity group, texts with the terms
+swapped for others of their group are made, and differences between the scores of
+a text and its counterfactuals are penalised, so that a mention as such says
+nothing. Groups are listed, and found in the labelled texts: frequent words that
+stand in the same places as each other and in both classes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Hasher, column_bytes, lower_ascii, mix, rows_of, slices, word_bounds, word_hashes
+from .common import WORD, Hasher, column_bytes, durable, lower_ascii, mix, rows_of, slices, tidy, word_bounds, word_hashes
 from .linear import SAMPLE, count_indicators, distinct, labelled, sample, scored, sigmoid
 
 SIZE = 1 << 18
@@ -34,9 +39,24 @@ IDENTITY = (
     ("immigrant", "refugee", "citizen"),
     ("immigrants", "refugees", "citizens"),
     ("disabled", "deaf", "blind"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("frauen", "männer"),
+    ("ausländer", "flüchtlinge", "deutsche"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("femmes", "hommes"),
+    ("immigrés", "réfugiés", "citoyens"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("mujeres", "hombres"),
+    ("inmigrantes", "refugiados", "ciudadanos"),
 )
 #: Counterfactuals made of a text, at most.
 SWAPS = 2
+#: Words that are looked at for groups beside the listed ones, the most frequent first; the share of the sampled texts that hold one at least.
+LOOKED_AT, FREQUENT = 96, 0.02
+#: A found term's share in one class is at most so many times its share in the other: more, and the word itself may be abuse.
+EVEN = 3.0
+#: Hash buckets of the words before and after; the least cosine of two words' places in one group; terms of a group, at most.
+PLACES, ALIKE, TERMS = 64, 0.6, 6
 
 
 def _trimmed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +94,82 @@ def word_features(part, column: int):
 
 
 def counterfactuals(text: str, identity=IDENTITY, swaps: int = SWAPS) -> list[str]:
-    """Up to `swaps` versions of a text with each identity term moved on within its group; none without terms."""
+    """Up to `swaps` versions of a text with each identity term moved on within its group; none without terms.
+
+    Version k moves a term on by k places of its group; what comes back to itself stays as it is written.
+    """
+    return _swapper(identity, swaps)(text)
+
+
+def _swapper(identity, swaps: int):
     import re
 
-    groups = {t: g for g in identity for t in g}
-    pattern = re.compile(r"\b(" + "|".join(map(re.escape, groups)) + r")\b", re.I)
-    out = []
-    for step in range(1, swaps + 1):
-        moved = pattern.sub(lambda m, step=step: (g := groups[m[0].lower()])[(g.index(m[0].lower()) + step) % len(g)], text)
-        if moved.lower() != text.lower() and moved not in out:
-            out.append(moved)
+    groups = {t: g for g in identity if len(g) > 1 for t in g}
+    if not groups:
+        return lambda text: []
+    pattern = re.compile(r"\b(" + "|".join(sorted(map(re.escape, groups), key=len, reverse=True)) + r")\b", re.I)
+
+    def moved(text: str, step: int) -> str:
+        def other(m):
+            g = groups.get(m[0].lower())
+            return m[0] if g is None or step % len(g) == 0 else g[(g.index(m[0].lower()) + step) % len(g)]
+
+        return pattern.sub(other, text)
+
+    def make(text: str) -> list[str]:
+        if not pattern.search(text):
+            return []
+        return [v for v in dict.fromkeys(moved(text, k) for k in range(1, swaps + 1)) if v.lower() != text.lower()]
+
+    return make
+
+
+def found_groups(rows: DataFrame) -> list[tuple[str, ...]]:
+    """Groups of interchangeable words in labelled rows (id, y, text): a bounded sample of texts, read twice.
+
+    Of the LOOKED_AT most frequent words that are in FREQUENT of the texts, with
+    shares in the classes that differ by the factor EVEN at most, those are grouped
+    whose neighbours, over PLACES buckets at either side, have a cosine of ALIKE.
+    """
+    import pyarrow as pa
+
+    plain = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), 0), lambda w: F.lower(F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""))))
+    total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
+        return []
+    share = [(F.count_if(F.col("y") == y) + 1) / F.lit(float(total[y] + 1)) for y in (0, 1)]
+    seen = rows.select("y", F.explode(plain).alias("w")).groupBy("w").agg(F.count("*").alias("n"), (share[1] / share[0]).alias("r"))
+    few = max(2, FREQUENT * sum(total.values()))
+    terms = [r["w"] for r in seen.where((F.length("w") > 1) & (F.col("n") >= few) & F.col("r").between(1 / EVEN, EVEN)).orderBy(F.desc("n"), "w").limit(LOOKED_AT).collect()]
+    if len(terms) < 2:
+        return []
+
+    def run(batches):
+        at, n = {t: i for i, t in enumerate(terms)}, np.zeros((len(terms), 2, PLACES))
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower() for w in text.split()]
+                place = [at.get(w, -1) for w in words]
+                bucket = [sum(w.encode()[-3:]) % PLACES for w in words]
+                for k, i in enumerate(place):
+                    if i >= 0:
+                        if k:
+                            n[i, 0, bucket[k - 1]] += 1
+                        if k + 1 < len(words):
+                            n[i, 1, bucket[k + 1]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
+
+    got = rows.select("text").mapInArrow(run, "n binary").collect()  # a row of fixed size from each task
+    n = sum((np.frombuffer(r["n"], np.float64) for r in got), np.zeros(len(terms) * 2 * PLACES)).reshape(len(terms), -1)
+    n = np.log1p(n) - np.log1p(n).mean(1, keepdims=True)
+    n /= np.sqrt((n**2).sum(1, keepdims=True)) + 1e-9
+    alike, left, out = n @ n.T, list(range(len(terms))), []
+    while left:  # the most frequent word takes those most like it
+        i = left.pop(0)
+        near = sorted((j for j in left if alike[i, j] >= ALIKE), key=lambda j: -alike[i, j])[: TERMS - 1]
+        left = [j for j in left if j not in near]
+        if near:
+            out.append(tuple(terms[j] for j in (i, *near)))
     return out
 
 
@@ -96,106 +182,187 @@ def select(n: np.ndarray, total: np.ndarray, kept: int = KEPT, least: float = LE
     return np.sort(best[z[best] >= least])
 
 
+class Rows:
+    """Sparse rows: entries (row, column, value)."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, width: int):
+        self.row, self.column, self.value, self.n, self.width = row, column, value.astype(np.float32), n, width
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Rows:
+        row, column = np.nonzero(x)
+        return cls(row, column, x[row, column], *x.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
+
+    def across(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * r[self.row], self.width)
+
+    def squares(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value**2 * r[self.row], self.width)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: np.ndarray, other: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient steps on log loss, ridge, and the counterfactual penalty.
+    """Weights and bias by fitted(), where row pairs[k] of x has the counterfactual other[k]."""
+    return fitted(Rows.of(x), y, weight, Rows.of(x[pairs] - other), penalty, steps)
 
-    Row pairs[k] of x has the counterfactual other[k]; the penalty is the mean
-    squared difference of their margins.
-    """
-    w, bias = np.zeros(x.shape[1]), 0.0
-    weight = weight / weight.sum()
-    apart = x[pairs] - other if len(pairs) else np.zeros((0, x.shape[1]), x.dtype)
-    mass = np.einsum("i,ij->j", weight, x, optimize=True) + 2 * penalty * (apart**2).mean(0) * 4 if len(pairs) else np.einsum("i,ij->j", weight, x, optimize=True)
-    second = np.sqrt(mass / mass.max(initial=1e-9)) + 1e-2 if len(w) else mass  # common indicators take smaller steps
-    velocity, v_bias = np.zeros_like(w), 0.0
-    rate = 2.0 / max(1.0, float((x.sum(1)).mean()) ** 0.5)
-    for _ in range(steps):
-        p = sigmoid(x @ w + bias)
-        r = weight * (p - y)
-        g = x.T @ r + RIDGE * w
-        if len(pairs):
-            d = apart @ w
-            g += 2 * penalty * (apart.T @ d) / len(d)
-        velocity = 0.9 * velocity - rate * g / second
-        v_bias = 0.9 * v_bias - rate * r.sum()
-        w, bias = w + velocity, bias + v_bias
-    return w, bias
 
+def fitted(x: Rows, y: np.ndarray, weight: np.ndarray, apart: Rows, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias of least log loss, ridge and counterfactual penalty, by accelerated gradient steps.
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, folds: int, held_out: int, size: int = SAMPLE, identity=IDENTITY, penalty: float = PENALTY):
-    """Kept indicators, weights and bias, and the share of label 1; no model if a class is missing.
+    apart has texts less their counterfactuals; the penalty is the mean squared
+    difference of the margins. Columns are scaled by their curvature, and the step
+    follows from the largest curvature that is left, so it can't diverge.
+    """
+    weight = weight / max(weight.sum(), 1e-12)
+    share = np.full(apart.n, 2 * penalty / max(1, apart.n))
+    scale = 1 / np.sqrt(np.append(x.squares(weight) / 4 + apart.squares(share) + RIDGE, 0.25))  # the last one is the bias
+
+    def bent(v):  # a bound of the curvature along v
+        w = scale * v
+        r = weight * (x.times(w[:-1]) + w[-1]) / 4
+        return scale * np.append(x.across(r) + apart.across(share * apart.times(w[:-1])) + RIDGE * w[:-1], r.sum())
+
+    def slope(v):
+        w = scale * v
+        r = weight * (sigmoid(x.times(w[:-1]) + w[-1]) - y)
+        return scale * np.append(x.across(r) + apart.across(share * apart.times(w[:-1])) + RIDGE * w[:-1], r.sum())
+
+    v = np.ones(x.width + 1) / np.sqrt(x.width + 1)
+    for _ in range(30):
+        u = bent(v)
+        most = np.sqrt((u**2).sum())
+        v = u / max(most, 1e-12)
+    rate = 1 / (1.1 * most)
+    at = before = np.zeros(x.width + 1)
+    t = 1.0
+    for _ in range(steps):
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead = at + (last - 1) / t * (at - before)
+        g = slope(ahead)
+        before, at = at, ahead - rate * g
+        if g @ (at - before) > 0:  # it overshot: start anew from here
+            t = 1.0
+        if np.abs(g).max() < 1e-7:
+            break
+    w = scale * at
+    return w[:-1], float(w[-1])
+
+
+@dataclass
+class Model:
+    """Kept indicators, their weights and the bias, None if a class is missing; the share of label 1; the groups,
+    how many sampled texts mention a term of them, and how many counterfactuals differ in a kept indicator."""
+
+    kept: np.ndarray | None
+    weights: np.ndarray | None
+    bias: float
+    share: float
+    groups: tuple = ()
+    mentioning: int = 0
+    differing: int = 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, size: int = SAMPLE, identity=None, penalty: float = PENALTY, swaps: int = SWAPS) -> Model:
+    """The model of classify().
 
     Indicators are chosen from the counts of all labelled documents outside the
-    held-out fold; weights come from at most `size` of each class, in one task.
+    held-out fold. Groups and weights come from at most `size` of each class: each
+    text's kept indicators, and those in which its counterfactuals differ, are
+    worked out where the text lies, and only these go to the task that fits the
+    weights. identity=None takes IDENTITY and found_groups(); other groups are taken
+    alone. A term that several groups have counts in the last of them.
     """
     import pyarrow as pa
 
     rows = labelled(docs, labels, label_col, id_col, text_col, folds, held_out)
     n, total = count_indicators(rows, word_features, SIZE)
     if not total.all():
-        return None, float(total[1] / total.sum()) if total.sum() else 0.5
+        return Model(None, None, 0.0, float(total[1] / total.sum()) if total.sum() else 0.5)
     kept = select(n, total)
+    some = durable(sample(rows, size))
+    groups = (*found_groups(some), *IDENTITY) if identity is None else tuple(identity)
 
-    def vectors(batch):
-        place, stamp = np.full(SIZE, -1), np.zeros(SIZE, np.int64)
+    def indicators(batches):
+        place, stamp, swapped = np.full(SIZE, -1), np.zeros(SIZE, np.int64), _swapper(groups, swaps)
         place[kept] = np.arange(len(kept))
-        x = np.zeros((batch.num_rows, len(kept)), np.float32)
-        for i, f in enumerate(word_features(batch, 0)):
-            at = place[distinct(f, stamp)]
-            x[i, at[at >= 0]] = 1
-        return x
+
+        def own(texts):
+            part = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+            at = (place[distinct(f, stamp)] for piece in slices(part, 0) for f in word_features(piece, 0))
+            return [np.sort(a[a >= 0]).astype(np.int16) for a in at]
+
+        for b in batches:
+            for part in slices(b, 2):
+                texts = part.column(2).to_pylist()
+                other = [swapped(t) for t in texts]
+                mine, theirs = own(texts), iter(own([t for ts in other for t in ts]))
+                # of each counterfactual: what it lacks, and as ~number what it has besides
+                diffs = [[np.concatenate([np.setdiff1d(m, t), ~np.setdiff1d(t, m)]).tobytes() for t in (next(theirs) for _ in ts)] for m, ts in zip(mine, other, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in mine], pa.binary()), pa.array(diffs, pa.list_(pa.binary()))], ["id", "y", "own", "apart"])
+
+    def joined(parts, value):
+        sizes = np.array([len(p) for p in parts], np.int64)
+        got = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        return Rows(np.repeat(np.arange(len(parts)), sizes), np.where(got < 0, ~got, got), value(got), len(parts), len(kept))
 
     def learn(table):
         table = table.sort_by([("id", "ascending"), ("y", "ascending")])
         y = table["y"].to_numpy().astype(np.float64)
-        texts = table["text"].to_pylist()
-        x = np.concatenate([vectors(b) for b in table.select(["text"]).to_batches(max_chunksize=256)])
-        swapped = [(i, s) for i, t in enumerate(texts) for s in counterfactuals(t, identity)]
-        other = vectors(pa.record_batch([pa.array([s for _, s in swapped], pa.string())], ["text"]))
+        load = lambda v: np.frombuffer(v, np.int16)
+        x = joined([load(v) for v in table["own"].to_pylist()], lambda f: np.ones(len(f)))
+        pairs = [load(v) for vs in table["apart"].to_pylist() for v in vs]
+        apart = joined(pairs, lambda f: np.where(f < 0, -1.0, 1.0))
         weight = (total / total.sum() / np.maximum(np.bincount(y.astype(int), minlength=2), 1))[y.astype(int)]
-        w, bias = logistic(x, y, weight, np.array([i for i, _ in swapped], np.int64), other, penalty)
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "bias": [float(bias)]})
+        w, bias = fitted(x, y, weight, apart, penalty)
+        mentioning = sum(bool(vs) for vs in table["apart"].to_pylist())
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "bias": [bias], "mentioning": [mentioning], "differing": [sum(bool(len(p)) for p in pairs)]})
 
-    got = sample(rows, size).groupBy().applyInArrow(learn, "w binary, bias double").first()
-    return (kept, np.frombuffer(got["w"], np.float64), got["bias"]), float(total[1] / total.sum())
+    kind = rows.schema["id"].dataType.simpleString()
+    vectors = some.mapInArrow(indicators, f"id {kind}, y int, own binary, apart array<binary>")
+    got = vectors.groupBy().applyInArrow(learn, "w binary, bias double, mentioning long, differing long").first()
+    return Model(kept, np.frombuffer(got["w"], np.float64), got["bias"], float(total[1] / total.sum()), groups, got["mentioning"], got["differing"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, size: int = SAMPLE, threshold: float = THRESHOLD, identity=IDENTITY, penalty: float = PENALTY) -> DataFrame:
+@tidy
+def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, **options) -> DataFrame:
     """Score every text for toxicity: doc_id, held_out, score, predicted.
 
     Learns from labelled documents whose crc32 of the id, modulo folds, is not
-    held_out. The score is the probability of label 1, from the text alone; an
-    empty or null text gets the score of no indicators. If a class has no labelled
-    document, every score is the share of label 1, or 0.5 without labels. Null ids
-    are scored, and not learned from; rows that repeat an id are scored each by its
-    own text. An empty table gives no rows. Other columns are not read.
+    held_out; see fit() for the options. The score is the probability of label 1,
+    from the text alone; an empty or null text gets the score of no indicators. If
+    a class has no labelled document, every score is the share of label 1, or 0.5
+    without labels. Null ids are scored, and not learned from; rows that repeat an
+    id are scored each by its own text. An empty table gives no rows. Other columns
+    are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, folds, held_out, size, identity, penalty))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, folds=folds, held_out=held_out, **options))
     return scored(docs, id_col, text_col, folds, held_out, threshold, _scorer(sent))
 
 
 def _scorer(sent):
     def scorer():
-        model, share = sent.value
+        model = sent.value
         stamp, table = np.zeros(SIZE, np.int64), np.zeros(SIZE)
-        if model is not None:
-            table[model[0]] = model[1]
+        if model.kept is not None:
+            table[model.kept] = model.weights
 
         def score(part, column):
-            if model is None:
-                return np.full(part.num_rows, share)
-            return sigmoid(model[2] + np.array([table[distinct(f, stamp)].sum() for f in word_features(part, column)]))
+            if model.kept is None:
+                return np.full(part.num_rows, model.share)
+            return sigmoid(model.bias + np.array([table[distinct(f, stamp)].sum() for f in word_features(part, column)]))
 
         return score
 
     return scorer
 
 
-def clean(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, size: int = SAMPLE, threshold: float = THRESHOLD, identity=IDENTITY, penalty: float = PENALTY) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs without the rows that score `threshold` or more, with all columns; see classify()."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, folds, held_out, size, identity, penalty))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, **options))
     make, at = _scorer(sent), docs.columns.index(text_col)
 
     def run(batches):
