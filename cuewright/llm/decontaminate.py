@@ -2,13 +2,16 @@
 
 Words are compared in lower case (A-Z) without the punctuation around them. An
 item's windows in a document have as many words as the item; a document of fewer
-words than the item is one window as a whole. A window that shares
-no shingle with the item has similarity 0, so windows are laid only around words
-where a shingle of some item starts. Their SimHash fingerprints are looked up in
-Hamming blocks: fingerprints within RADIUS of each other differ by at most
-RADIUS // BLOCKS bits in at least one of BLOCKS blocks, and each block's table
-lists an item under all values that near. What is found and within RADIUS is
-verified by the weighted Jaccard similarity of shingles.
+words than the item is one window as a whole. Fingerprints of windows come from
+running sums over the bits of their shingles' hashes; weights are counts. An item
+is a candidate for a window if one of BLOCKS blocks of the fingerprints differs in
+RADIUS // BLOCKS bits at most, which holds for all fingerprints within RADIUS:
+each block's table lists an item under all values that near. Candidates within
+RADIUS are verified by the weighted Jaccard similarity of shingles.
+
+A window that holds no shingle of any item has similarity 0 with all of them and
+gets no fingerprint. Of windows at the threshold, the radius misses about one in
+300; the tests measure that.
 """
 
 from __future__ import annotations
@@ -19,14 +22,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, column_bytes, lower_ascii, rows_of, slices, text_or_empty, window_hashes, word_bounds, word_hashes
+from .common import Hasher, column_bytes, lower_ascii, mix, rows_of, slices, text_or_empty, window_hashes, word_bounds, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprint bits, their blocks, and the Hamming radius. Sets of similarity 0.8 have a cosine of about
-#: 0.89 and differ in 9.7 bits of 64 on average with a deviation of 2.9; 23 bits are over 4 deviations away.
-BITS, BLOCKS, RADIUS = 64, 8, 23
-#: Items in the tables of one pass; a larger benchmark takes more passes over the documents.
-ITEMS = 20_000
+#: Fingerprint bits, their blocks, and the Hamming radius. Sets of similarity 0.8 have a cosine of about 0.89 and
+#: differ in 19.4 bits of 128 on average, with a deviation of 4.1: 31 bits are 2.8 deviations away.
+BITS, BLOCKS, RADIUS = 128, 8, 31
+#: Items in the tables of one pass, which take 22 kB an item; a larger benchmark takes more passes over the documents.
+ITEMS = 4000
+#: Windows that get their fingerprints at once.
+WINDOWS = 4096
 
 
 def _stripped(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,101 +66,109 @@ def _shingles(h: np.ndarray, row: np.ndarray, size: int, hasher: Hasher) -> tupl
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each hash."""
-    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    """+1 or -1 for each of BITS bits of each hash."""
+    wide = np.stack([h, mix(h ^ np.uint64(0x9E3779B97F4A7C15))], 1)
+    return np.unpackbits(wide.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
+
+
+def _prints(sums: np.ndarray) -> np.ndarray:
+    """Fingerprints as BLOCKS numbers of 16 bits each."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
 class Index:
     """Items' words, weighted shingles, fingerprints and Hamming block tables. Weights are counts in an item."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], radius: int = RADIUS):
         import pyarrow as pa
 
-        hasher = Hasher()
+        hasher, self.radius = Hasher(), radius
         row, h, _ = _words(pa.array([t or "" for _, t in items], pa.string()), hasher)
         cut = np.searchsorted(row, np.arange(len(items) + 1))
-        self.ids, self.n, self.k, self.sets, prints = [], [], [], [], []
+        self.ids, n, self.sets, prints = [], [], [], []
         for i, (key, _) in enumerate(items):
             words = h[cut[i] : cut[i + 1]]
             if len(words):
-                k = min(SHINGLE, len(words))
-                s = window_hashes(words, k, hasher)
+                s = window_hashes(words, min(SHINGLE, len(words)), hasher)
                 self.ids.append(key)
-                self.n.append(len(words))
-                self.k.append(k)
+                n.append(len(words))
                 self.sets.append(np.unique(s, return_counts=True))
-                prints.append(_bits(s).sum(0) > 0)
-        self.n, self.k = np.array(self.n, np.int64), np.array(self.k, np.int64)
-        bits = np.packbits(np.array(prints, bool).reshape(-1, BITS), axis=1)
-        self.prints = bits.reshape(-1, BLOCKS)
-        # shingle -> items that hold it
-        keys = [(s, np.full(len(s), i)) for i, (s, _) in enumerate(self.sets)]
-        keys, owner = (np.concatenate(x) for x in zip(*keys, strict=True)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                prints.append(_bits(s).sum(0, dtype=np.int32))
+        self.n = np.array(n, np.int64)
+        self.prints = _prints(np.array(prints, np.int32).reshape(-1, BITS))
+        self.sizes, group = np.unique(self.n, return_inverse=True)
+        #: Shingles of any item, by their length.
+        self.known = {k: np.unique(np.concatenate([s for (s, _), m in zip(self.sets, n, strict=True) if min(SHINGLE, m) == k])) for k in {min(SHINGLE, m) for m in n}}
+        # items under group of equal size, block and each near value
+        near = [0] + [sum(1 << b for b in c) for r in range(1, radius // BLOCKS + 1) for c in combinations(range(BITS // BLOCKS), r)]
+        near = np.array(near, np.uint64)
+        place = (group.astype(np.uint64)[:, None] << np.uint64(20)) | (np.arange(BLOCKS, dtype=np.uint64) << np.uint64(16))[None]
+        keys = (place[:, :, None] | (self.prints.astype(np.uint64)[:, :, None] ^ near)).ravel()
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], owner[order]
-        near = [0]
-        for r in range(1, RADIUS // BLOCKS + 1):
-            near += [sum(1 << b for b in c) for c in combinations(range(BITS // BLOCKS), r)]
-        # by block, value and item: whether the value is near the item's
-        self.near = np.zeros((BLOCKS, 1 << BITS // BLOCKS, len(self.ids)), bool)
-        for b in range(BLOCKS):
-            for m in near:
-                self.near[b, self.prints[:, b] ^ m, np.arange(len(self.ids))] = True
+        self.table, self.owner = keys[order], np.repeat(np.arange(len(n)), BLOCKS * len(near))[order].astype(np.int32)
+
+    def near(self, group: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item): items of this group of equal size within the radius of each window's fingerprint."""
+        keys = np.uint64(group << 20) | (np.arange(BLOCKS, dtype=np.uint64) << np.uint64(16))[None] | prints.astype(np.uint64)
+        lo = np.searchsorted(self.table, keys.ravel())
+        size = np.searchsorted(self.table, keys.ravel(), "right") - lo
+        window = np.repeat(np.repeat(np.arange(len(prints)), BLOCKS), size)
+        item = self.owner[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        pairs = np.unique(window * np.int64(len(self.n) + 1) + item)
+        window, item = pairs // (len(self.n) + 1), pairs % (len(self.n) + 1)
+        apart = np.bitwise_count((prints[window] ^ self.prints[item]).view(np.uint64)).sum(1)
+        return window[apart <= self.radius], item[apart <= self.radius]
 
     def search(self, row: np.ndarray, h: np.ndarray, hasher: Hasher):
-        """(row, item, first word, similarity) of each pair's best window with similarity >= SIMILARITY."""
+        """{(row, item): (similarity, -first word)} of each pair's best window with similarity >= SIMILARITY."""
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for k in np.unique(self.k).tolist():
+        for k, known in self.known.items():
             s, whole = _shingles(h, row, k, hasher)
-            if not len(s) or not len(self.keys):
+            if not len(s):
                 continue
-            lo = np.searchsorted(self.keys, s)
-            hit = np.flatnonzero(whole & (self.keys[np.minimum(lo, len(self.keys) - 1)] == s))
+            hit = np.flatnonzero(whole & (known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s))
             if not len(hit):
                 continue
-            lo, hi = lo[hit], np.searchsorted(self.keys, s[hit], "right")
-            at, item = np.repeat(hit, hi - lo), self.owner[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])]
-            mine = self.k[item] == k
-            at, item = at[mine], item[mine]
-            # starts of windows that contain a hit: up to n - k words before it
-            span = (self.n[item] - k + 1).astype(np.int64)
-            item2, start = np.repeat(item, span), np.repeat(at, span) - (np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
-            end = start + self.n[item2]
-            ok = (start >= 0) & (end <= len(h))
-            ok[ok] = row[start[ok]] == row[end[ok] - 1]
-            pairs = np.unique(np.stack([item2[ok], start[ok]]), axis=1)
-            for i in np.unique(pairs[0]).tolist():
-                starts, n = pairs[1][pairs[0] == i], self.n[i] - k + 1
-                for lo in range(0, len(starts), 4096):
-                    self._window(best, i, starts[lo : lo + 4096], n, s, row)
-            # a document with fewer words than the item is its one window; it has enough shingles to be as similar
-            first, last = np.searchsorted(row, row[at]), np.searchsorted(row, row[at], "right")
-            n = last - first - k + 1
-            short = (last - first < self.n[item]) & (n >= SIMILARITY * (self.n[item] - k + 1) - 1e-9)
-            pairs = np.unique(np.stack([item[short], n[short], first[short]]), axis=1)
-            for i, n in np.unique(pairs[:2], axis=1).T.tolist():
-                starts = pairs[2][(pairs[0] == i) & (pairs[1] == n)]
-                for lo in range(0, len(starts), 4096):
-                    self._window(best, i, starts[lo : lo + 4096], n, s, row)
+            first, last = np.searchsorted(row, row[hit]), np.searchsorted(row, row[hit], "right")
+            for g, size in enumerate(self.sizes.tolist()):
+                m = size - k + 1
+                if min(SHINGLE, size) != k:
+                    continue
+                # starts of windows that contain a hit and lie in its document
+                lo, hi = np.maximum(hit - m + 1, first), np.minimum(hit, last - size)
+                edge = np.zeros(len(s) + 2, np.int32)
+                np.add.at(edge, lo[lo <= hi], 1)
+                np.add.at(edge, hi[lo <= hi] + 1, -1)
+                self._windows(best, g, np.flatnonzero(np.cumsum(edge)), m, s, row)
+                # a document with fewer words than the item is its one window; it has to have enough shingles
+                n = last - first - k + 1
+                short = (last - first < size) & (n >= SIMILARITY * m - 1e-9)
+                for a, m_own in np.unique(np.stack([first[short], n[short]], 1), axis=0).tolist():
+                    self._windows(best, g, np.array([a]), m_own, s, row)
         return best
 
-    def _window(self, best, i, starts, n, s, row):
-        shingles = s[starts[:, None] + np.arange(n)]
-        sums = np.zeros((len(starts), BITS), np.int32)
-        for j in range(n):
-            sums += _bits(np.ascontiguousarray(shingles[:, j]))
-        prints = np.packbits(sums > 0, axis=1)
-        found = self.near[np.arange(BLOCKS), prints, i].any(1)
-        found &= np.unpackbits(prints ^ self.prints[i], axis=1).sum(1) <= RADIUS
+    def _windows(self, best, g, starts, m, s, row):
+        for at in range(0, len(starts), WINDOWS):
+            some = starts[at : at + WINDOWS]
+            # running sums over the shingles that these windows cover
+            use = np.zeros(some[-1] + m - some[0] + 1, np.int32)
+            np.add.at(use, some - some[0], 1)
+            np.add.at(use, some - some[0] + m, -1)
+            covered = np.flatnonzero(np.cumsum(use))
+            place = np.searchsorted(covered, some - some[0])
+            sums = np.zeros((len(covered) + 1, BITS), np.int32)
+            np.cumsum(_bits(s[covered + some[0]]), axis=0, out=sums[1:])
+            for w, i in zip(*(x.tolist() for x in self.near(g, _prints(sums[place + m] - sums[place]))), strict=True):
+                self._verify(best, i, int(some[w]), m, s, row)
+
+    def _verify(self, best, i, start, m, s, row):
         keys, counts = self.sets[i]
-        for w in np.flatnonzero(found).tolist():
-            got, c = np.unique(shingles[w], return_counts=True)
-            at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-            both = np.where(keys[at] == got, np.minimum(counts[at], c), 0).sum()
-            similarity = float(both / (counts.sum() + c.sum() - both))
-            key, first = (int(row[starts[w]]), i), int(starts[w])
-            if similarity >= SIMILARITY and (similarity, -first) > best.get(key, (0.0, 0)):
-                best[key] = (similarity, -first)
+        got, c = np.unique(s[start : start + m], return_counts=True)
+        at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
+        both = np.where(keys[at] == got, np.minimum(counts[at], c), 0).sum()
+        similarity, key = float(both / (counts.sum() + c.sum() - both)), (int(row[start]), i)
+        if similarity >= SIMILARITY and (similarity, -start) > best.get(key, (0.0, 0)):
+            best[key] = (similarity, -start)
 
 
 def _parts(benchmark: DataFrame, item_col: str, item_text_col: str, items: int):
@@ -176,9 +189,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document of fewer words than the item is compared as a whole.
     An item of fewer words than SHINGLE is one shingle; items without words match
     nothing. Null texts have no words. Null ids are passed on. Rows that repeat an
-    id give rows of their own. Empty tables give no rows. Other columns are not
-    read. The benchmark is a stated query set: it goes to every task in parts of
-    about `items` items, each part a pass over the documents.
+    id give rows of their own, and so do items that repeat. Empty tables give no
+    rows. Other columns are not read. The benchmark is a stated query set: it goes
+    to every task in parts of about `items` items, each part a pass over the
+    documents.
     """
     import pyarrow as pa
 

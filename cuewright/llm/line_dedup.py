@@ -1,12 +1,14 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its words. Words are ordered by rarity, the rarest first. Two
-sets of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1
-words of each (prefix filter); their sizes differ by the factor t at most (length
+sets of Jaccard similarity t or more, of n and m <= n words, share one of the first
+n - ceil(t * n) + 1 words of the larger and the first m - ceil(2t / (1 + t) * m) + 1
+of the smaller (prefix filter); their sizes differ by the factor t at most (length
 filter), and the words that are left behind a shared one must suffice (positional
-filter). A 64-bit parity of each set, or 256 bits of long sets, bounds the symmetric
-difference from below and drops most of the remaining pairs. Words cut to 16 bits bound the overlap from above
-and drop nearly all of the rest; what is left is verified on the words themselves.
+filter). A 64-bit parity of each set, or 128 bits of long sets, bounds the symmetric
+difference from below and drops most of the remaining pairs. Words cut to 16 bits
+bound the overlap from above and drop nearly all of the rest; what is left is
+verified on the words themselves.
 
 Equal sets are joined up first. A set that is similar to the earliest one with the
 same smallest or largest word hash is settled by that pair alone and looks no
@@ -20,76 +22,75 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, text_or_empty
+from .common import discard, durable, text_or_empty, tidy
 
 SIMILARITY = 0.8
 #: Counters of word occurrences. Words that share one count as equally rare, which is a matter of speed alone.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 18
 #: Bytes up to which a side of a join is sent to all tasks.
 SENT_BYTES = 32 << 20
 
-
-#: Words from which a set has parities of 256 bits, and the parities' columns.
+#: Words from which a set has parities of 128 bits, and the parities' columns.
 LONG = 64
-PARITIES = ("parity", "parity_six", "parity_seven", "parity_both")
+PARITIES = ("parity", "parity_odd")
 
 
 def _long(v: int) -> Column:
     return F.lit(v).cast("long")
 
 
-def _words(text: str | Column) -> Column:
-    """Pieces of a text between single ASCII spaces of any kind; some may be empty."""
-    col = F.col(text) if isinstance(text, str) else text
-    for c in "\n\t\v\f\r":
-        col = F.replace(col, F.lit(c), F.lit(" "))
-    return F.split(col, " ")
+def _odd(text: str | Column) -> Column:
+    """Whether a text has white space other than spaces and line ends; it takes a slower split."""
+    return F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(r"[\x09\x0B\x0C\x0D]"))
+
+
+def _words(line: Column, odd: Column) -> Column:
+    """Pieces of a line between single white space; some may be empty."""
+    return F.when(odd, F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))
 
 
-def _hashes(line: str) -> Column:
-    """Sorted hashes of a line's words; equal words count once."""
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
+def _hashes(words: Column) -> Column:
+    """Hashes of the words, each once."""
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
-    """For each counter its count of words over all documents, as thirds of an octave in the top 7 bits of a long, in a constant array."""
-    words = docs.select(F.explode(_words(text_or_empty(text_col))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(_long(COUNTERS - 1)).alias("k")).count().collect()
-    out = [-64 << 57] * COUNTERS
-    for k, n in counts:
-        out[k] = (min(int(3 * math.log2(n)), 127) - 64) << 57
-    return F.from_json(F.lit(str(out)), "array<long>")
+    """For each counter its count of words over all documents, in thirds of an octave less 64, in a constant array."""
+    text = docs.select(text_or_empty(text_col).alias("text"))
+    words = text.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")), _odd("text"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(_long(COUNTERS - 1)).cast("int").alias("k")).count().toArrow()  # COUNTERS rows at most
+    out = [-64] * COUNTERS
+    for k, n in zip(counts["k"].to_pylist(), counts["count"].to_pylist(), strict=True):
+        out[k] = min(int(3 * math.log2(n)), 127) - 64
+    return F.from_json(F.lit(str(out).replace(" ", "")), "array<long>")
 
 
 def _ids(hashes: Column, rarity: Column) -> Column:
     """Sorted numbers of the words: the rarity above 57 bits of hash."""
-    number = lambda h: F.get(rarity, h.bitwiseAND(_long(COUNTERS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
+    number = lambda h: F.call_function("shiftleft", F.get(rarity, h.bitwiseAND(_long(COUNTERS - 1)).cast("int")), F.lit(57)).bitwiseOR(F.shiftrightunsigned(h, 7))
     return F.sort_array(F.transform(hashes, number))
 
 
-def _sent(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, marked for sending to all tasks if its rows take SENT_BYTES or less."""
-    return F.broadcast(df) if df.count() * row_bytes <= SENT_BYTES else df
+def _sent(df: DataFrame, row_bytes: int, *arrays: str) -> DataFrame:
+    """df, marked for sending to all tasks if its rows, with the items of array columns, take SENT_BYTES or less."""
+    size = F.count("*") * row_bytes + sum((F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0)) * 8 for c in arrays), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= SENT_BYTES else df
 
 
 def _parities(ids: str) -> list[Column]:
-    """For a set its parity over 64 places, and those of the words with bit 6, bit 7 and both; the last three are 0 for sets of fewer than LONG words."""
+    """For a set its parity over 64 places, and that of the words with bit 6; the latter is 0 for sets of fewer than LONG words."""
 
     def parity(seed) -> Column:
         place = lambda x: F.call_function("shiftleft", seed(x), x.bitwiseAND(_long(63)).cast("int"))
         return F.aggregate(ids, _long(0), lambda a, x: a.bitwiseXOR(place(x)))
 
-    six, seven = (lambda x, k=k: F.shiftright(x, k).bitwiseAND(_long(1)) for k in (6, 7))
-    more = (six, seven, lambda x: six(x).bitwiseAND(seven(x)))
-    return [parity(lambda x: _long(1)), *(F.when(F.size(ids) >= LONG, parity(seed)).otherwise(_long(0)) for seed in more)]
+    return [parity(lambda x: _long(1)), F.when(F.size(ids) >= LONG, parity(lambda x: F.shiftright(x, 6).bitwiseAND(_long(1)))).otherwise(_long(0))]
 
 
 def _apart(a: str, b: str, n: Column, m: Column) -> Column:
     """The least number of words that lie in one set only, by the parities."""
-    every, six, seven, both = (F.col(f"{a}_{p}").bitwiseXOR(F.col(f"{b}_{p}")) for p in PARITIES)
-    parts = (both, six.bitwiseXOR(both), seven.bitwiseXOR(both), every.bitwiseXOR(six).bitwiseXOR(seven).bitwiseXOR(both))
-    wide = F.bit_count(parts[0]) + F.bit_count(parts[1]) + F.bit_count(parts[2]) + F.bit_count(parts[3])
-    return F.when(F.least(n, m) >= LONG, wide).otherwise(F.bit_count(every))
+    every, odd = (F.col(f"{a}_{p}").bitwiseXOR(F.col(f"{b}_{p}")) for p in PARITIES)
+    return F.when(F.least(n, m) >= LONG, F.bit_count(odd) + F.bit_count(every.bitwiseXOR(odd))).otherwise(F.bit_count(every))
 
 
 def _similar(a: str, b: str, t: float) -> Column:
@@ -111,21 +112,21 @@ def _paired(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where(place("b") < place("a"))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, rarity: Column, t: float) -> DataFrame:
     """Of pairs of lines (a_id, a_line, a_sid, b_id, b_line), the sets (a_sid) of those a to which an earlier b is similar.
 
-    Lines meet as the sorted 64-bit hashes of their words, if the sets of the words'
-    low 16 bits leave it open: these have as many words in common, less the words
-    that share their bits with another. The likeliest b of each a comes first, the
-    others follow for those a alone that it leaves unsettled.
+    Lines meet as the sorted numbers of their words, if the sets of the words' low
+    16 bits leave it open: these have as many words in common, less the words that
+    share their bits with another. The likeliest b of each a comes first, the others
+    follow for those a alone that it leaves unsettled.
     """
     names = ["a_id", "a_line", "a_sid", "b_id", "b_line"]
     pairs = durable(pairs.distinct())
     sides = [pairs.select(*(F.col(f"{s}_{c}").alias(f"n_{c}") for c in ("id", "line"))) for s in "ab"]
     needed = durable(sides[0].unionByName(sides[1]).distinct().groupBy("n_id").agg(F.collect_set("n_line").alias("n_lines")))
-    lines = texts.join(_sent(needed, 64), F.col("id").eqNullSafe(F.col("n_id")))
-    lines = lines.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"), "n_lines").where(F.array_contains("n_lines", F.col("line")))
-    lines = lines.select("id", "th", "line", _hashes("s").alias("words")).withColumn("sid", F.xxhash64("words")).withColumn("n", F.size("words"))
+    lines = texts.join(_sent(needed, 64, "n_lines"), F.col("id").eqNullSafe(F.col("n_id")))
+    lines = lines.select("id", "th", _odd("text").alias("odd"), F.posexplode(F.split("text", "\n")).alias("line", "s"), "n_lines").where(F.array_contains("n_lines", F.col("line")))
+    lines = lines.select("id", "th", "line", _ids(_hashes(_words(F.col("s"), F.col("odd"))), rarity).alias("words")).withColumn("sid", F.xxhash64("words")).withColumn("n", F.size("words"))
     lines = durable(lines.withColumn("bits", F.array_distinct(F.transform("words", lambda w: (w.bitwiseAND(_long(0xFFFF)) - 0x8000).cast("short")))))
 
     both = _paired(pairs, lines.drop("words"))
@@ -144,49 +145,60 @@ def _verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     return sure.unionByName(rest)
 
 
+@tidy
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
     """Line numbers that go, from 0, of each document that loses any: id, th, gone."""
     t = similarity
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     rarity = _rarity(docs, text_col)
-    lines = texts.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    lines = lines.select("id", "th", "line", _hashes("s").alias("hashes")).where(F.size("hashes") > 0)
+    lines = texts.select("id", "th", _odd("text").alias("odd"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    lines = lines.select("id", "th", "line", _hashes(_words(F.col("s"), F.col("odd"))).alias("hashes"))
     lines = lines.select("id", "th", "line", "hashes", _ids(F.col("hashes"), rarity).alias("ids"))
     n = F.size("ids")
-    parities = _parities("ids")
-    prefix = F.transform(F.slice("ids", 1, n - F.ceil(n * t - 1e-9).cast("int") + 1), lambda x: x.bitwiseAND(_long(0x7FFFFFFF)).cast("int"))
+    long_prefix = n - F.ceil(n * t - 1e-9).cast("int") + 1
+    prefix = F.transform(F.slice("ids", 1, long_prefix), lambda x: x.bitwiseAND(_long(0x7FFFFFFF)).cast("int"))
     smallest = math.floor(1 / (1 - t) + 1e-9) - 1  # of fewer words, similar sets are equal
     open_set = n >= smallest
-    lines = lines.select("id", "th", "line", n.alias("n"), F.xxhash64("hashes").alias("sid"), F.xxhash64("ids").alias("sid2"), *(F.when(open_set, c).alias(k) for k, c in (*zip(PARITIES, parities, strict=True), ("least", F.get("hashes", F.lit(0))), ("most", F.element_at("hashes", -1)), ("prefix", prefix))))
-    lines = durable(lines)
+    lines = lines.select("id", "th", "line", n.alias("n"), F.xxhash64("ids").alias("sid"), F.hash("ids").alias("sid2"), *(F.when(open_set, c).alias(k) for k, c in (*zip(PARITIES, _parities("ids"), strict=True), ("least", F.array_min("hashes")), ("most", F.array_max("hashes")), ("prefix", prefix))))
+    lines = durable(lines).where("n > 0")
 
     key = ["sid", "sid2", "n"]
     sets = durable(lines.groupBy(*key).agg(F.count("*").alias("m"), F.min(F.struct("id", "line", "th")).alias("at"), *(F.first(p).alias(p) for p in PARITIES), F.first("least").alias("least"), F.first("most").alias("most"), F.first("prefix").alias("prefix")))
     wide = sets.where(F.col("n") >= smallest)
 
+    # the first set of each mark is a table of its own, so that a join with a frequent mark can be split
     marks = wide.select(F.explode(F.array("least", F.bitwise_not("most"))).alias("mark"), "sid", "n", *PARITIES, "at")
-    firsts = marks.groupBy("mark").agg(F.min(F.struct("at", "sid", "n", *PARITIES)).alias("f"), F.count("*").alias("c")).where("c > 1")
+    firsts = durable(marks.groupBy("mark").agg(F.min(F.struct("at", "sid", "n", *PARITIES)).alias("f"), F.count("*").alias("c")).where("c > 1").select("mark", "f.*"))
     named = lambda d, s: d.select(*(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", *PARITIES)), F.col("at.id").alias(f"{s}_id"), F.col("at.line").alias(f"{s}_line"), "mark")
-    met = named(marks, "a").join(named(firsts.select("mark", "f.*"), "b"), "mark").where("a_sid != b_sid").where(_similar("a", "b", t))
+    met = named(marks, "a").join(named(firsts, "b"), "mark").where("a_sid != b_sid").where(_similar("a", "b", t))
     ends = ["a_id", "a_line", "a_sid", "b_id", "b_line"]
-    settled = durable(_verified(texts, met.select(*ends), t))
-
-    looking = wide.join(_sent(settled, 16), wide["sid"] == settled["a_sid"], "left").select("sid", "n", *PARITIES, F.col("at.id").alias("id"), F.col("at.line").alias("line"), F.col("a_sid").isNull().alias("open"), F.posexplode("prefix").alias("i", "word"))
-    looking = looking.select("word", "sid", *PARITIES, "id", "line", (F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + F.col("open").cast("int")).alias("meta"))
-
-    def entry(s: str) -> DataFrame:
-        d = looking.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", *PARITIES, "id", "line", "meta")))
-        return d
-
-    part = {f"{s}_{k}": e for s in "ab" for k, e in (("n", F.shiftright(f"{s}_meta", 32).cast("int")), ("i", F.shiftright(F.col(f"{s}_meta").bitwiseAND(_long(0xFFFFFFFF)), 1).cast("int")), ("open", F.col(f"{s}_meta").bitwiseAND(_long(1)) == 1))}
-    left = F.least(part["a_n"] - part["a_i"], part["b_n"] - part["b_i"])
-    apart = _apart("a", "b", part["a_n"], part["b_n"])
-    need = _overlap(part["a_n"], part["b_n"], t)
-    earlier = F.col("b_id").isNull() | (F.col("b_id") <= F.col("a_id"))
-    fits = (part["a_n"] * t - 1e-9 <= part["b_n"]) & (part["b_n"] * t - 1e-9 <= part["a_n"]) & (left >= need) & (apart <= part["a_n"] + part["b_n"] - 2 * need)
-    a, b = entry("a"), entry("b")
-    found = a.join(b, (a["word"] == b["word"]) & (F.col("a_sid") != F.col("b_sid")) & F.when(F.col("b_meta").isNotNull(), part["a_open"]) & earlier & fits)
-    more = _verified(texts, found.select(*ends), t)
+    settled = durable(_verified(texts, met.select(*ends), rarity, t))
+
+    looking = wide.join(_sent(settled, 16), wide["sid"] == settled["a_sid"], "left").select("sid", "n", *PARITIES, F.col("at.id").alias("id"), F.col("at.line").alias("line"), F.col("a_sid").isNull().alias("open"), "prefix")
+    short_prefix = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9).cast("int") + 1
+
+    def entries(s: str, prefix: Column) -> DataFrame:
+        """A row for each of a set's first words; meta has n, the word's place and whether the set looks for an earlier one."""
+        d = looking.select("sid", "n", *PARITIES, "id", "line", "open", F.posexplode(prefix).alias("i", "word"))
+        meta = F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + F.col("open").cast("int")
+        return d.select(F.col("word").alias(f"{s}_word"), *(F.col(c).alias(f"{s}_{c}") for c in ("sid", *PARITIES, "id", "line")), meta.alias(f"{s}_meta"))
+
+    part = {f"{s}_{k}": e for s in "xy" for k, e in (("n", F.shiftright(f"{s}_meta", 32).cast("int")), ("i", F.shiftright(F.col(f"{s}_meta").bitwiseAND(_long(0xFFFFFFFF)), 1).cast("int")), ("open", F.col(f"{s}_meta").bitwiseAND(_long(1)) == 1))}
+    n, m = part["x_n"], part["y_n"]
+    need = _overlap(n, m, t)
+    sizes = (n >= m) & (n * t - 1e-9 <= m) & ((n > m) | (F.col("x_sid") > F.col("y_sid"))) & (F.col("x_sid") != F.col("y_sid"))
+    # x is the larger one; the later one has to be open
+    later = F.struct("x_id", "x_line") >= F.struct("y_id", "y_line")
+    same_place = F.col("x_id").eqNullSafe(F.col("y_id")) & (F.col("x_line") == F.col("y_line"))
+    fits = sizes & (F.least(n - part["x_i"], m - part["y_i"]) >= need) & (_apart("x", "y", n, m) <= n + m - 2 * need)
+    x, y = entries("x", F.col("prefix")), entries("y", F.slice("prefix", F.lit(1), short_prefix))
+    found = x.join(y, (F.col("x_word") == F.col("y_word")) & fits & (part["x_open"] | part["y_open"]))
+    found = found.select(*(F.col(f"{s}_{c}") for s in "xy" for c in ("sid", "id", "line")), part["x_open"].alias("x_open"), part["y_open"].alias("y_open"), later.alias("x_later"), same_place.alias("tie"))
+    as_pair = lambda a, b: F.struct(*(F.col(f"{s}_{c}").alias(f"{k}_{c}") for k, s, cs in (("a", a, ("id", "line", "sid")), ("b", b, ("id", "line"))) for c in cs))
+    pair = lambda when, a, b: F.when(when, F.array(as_pair(a, b))).otherwise(F.array())
+    # lines of one place, which rows that repeat an id may have, are put in order by the verification
+    pairs = F.concat(pair(F.col("x_open") & (F.col("x_later") | F.col("tie")), "x", "y"), pair(F.col("y_open") & (~F.col("x_later") | F.col("tie")), "y", "x"))
+    more = _verified(texts, found.select(F.explode(pairs).alias("p")).select(*(f"p.{c}" for c in ends)), rarity, t)
 
     gone = durable(settled.unionByName(more).distinct())
     info = sets.join(_sent(gone, 16), sets["sid"] == gone["a_sid"], "left").where((F.col("m") > 1) | F.col("a_sid").isNotNull())
@@ -207,7 +219,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, si
     id and text are one document and lose the same lines. An empty table gives no
     rows.
     """
-    gone = durable(repeated_lines(docs, id_col, text_col, similarity=similarity)).withColumnsRenamed({"id": "__id", "th": "__th", "gone": "__gone"})
+    gone = repeated_lines(docs, id_col, text_col, similarity=similarity).withColumnsRenamed({"id": "__id", "th": "__th", "gone": "__gone"})
     size = gone.agg(F.sum(F.size("__gone") * 8 + 64)).first()[0] or 0
     if size <= SENT_BYTES:
         gone = F.broadcast(gone)

@@ -4,6 +4,8 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,15 +99,57 @@ def test_documents_shorter_than_an_item_are_compared_as_a_whole(spark):
 
 
 def test_hamming_blocks_find_all_fingerprints_within_the_radius():
-    index = decontaminate.Index([(1, "one two three four five six seven")])
+    index = decontaminate.Index([(1, "one two three four five six seven"), (2, "some other words of the same number here")])
     r = random.Random(1)
-    bits = int.from_bytes(index.prints[0].tobytes(), "big")
-    for _ in range(200):
+    bits = int.from_bytes(index.prints[0].tobytes(), "little")
+    group = index.sizes.tolist().index(7)
+    for n in [*range(decontaminate.RADIUS + 1)] * 5 + [decontaminate.RADIUS + 1, 60] * 5:
         other = bits
-        for b in r.sample(range(64), decontaminate.RADIUS):
+        for b in r.sample(range(decontaminate.BITS), n):
             other ^= 1 << b
-        value = other.to_bytes(8, "big")
-        assert any(index.near[b, value[b], 0] for b in range(decontaminate.BLOCKS))
+        window, item = index.near(group, np.frombuffer(other.to_bytes(decontaminate.BITS // 8, "little"), np.uint16)[None])
+        assert (0 in item.tolist()) == (n <= decontaminate.RADIUS)
+
+
+def at_the_threshold(n=600, seed=3):
+    """Items of 49 words, and documents that hold a window of similarity 0.8: 5 of 45 shingles differ."""
+    r = random.Random(seed)
+    items, rows = [], []
+    for i in range(n):
+        body = [f"w{r.randrange(10**6)}" for _ in range(49)]
+        items.append((i, " ".join(body)))
+        body[r.randrange(5, 44)] = "changed"
+        rows.append((i, " ".join(["before"] * r.randint(0, 9) + body + ["after"] * r.randint(0, 9)), "s"))
+    return items, rows
+
+
+def test_decontamination_recall_at_the_threshold(spark):
+    items, rows = at_the_threshold()
+    found = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} <= {(i, i) for i, _ in items}
+    assert all(round(x.similarity, 9) == 0.8 for x in found) and len(found) >= 0.99 * len(items)
+
+
+def test_candidates_come_from_the_hamming_tables(spark):
+    items, rows = at_the_threshold(60)
+    words = pa.array([t for _, t, _ in rows], pa.string())
+    hasher = decontaminate.Hasher()
+    row, h, _ = decontaminate._words(words, hasher)
+    index = decontaminate.Index(items)
+    assert len(index.search(row, h, hasher)) >= 59
+    index.table, index.owner = index.table[:0], index.owner[:0]
+    assert index.search(row, h, hasher) == {}
+    assert decontaminate.Index(items, radius=0).search(row, h, hasher) == {}
+
+
+def test_decontamination_of_long_texts_and_repeated_items(spark):
+    items = [(1, " ".join(f"b{k}" for k in range(20))), (1, " ".join(f"b{k}" for k in range(20))), (2, " ".join(f"b{k}" for k in range(20)))]
+    long = " ".join(f"x{k % 977}" for k in range(400_000))  # beyond a slice of text
+    rows = [(1, f"{long} {items[0][1]} {long}", "s"), (2, long, "s"), (3, items[0][1], "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((x.doc_id, x.item_id, x.first_word, x.similarity) for x in decontaminate.contaminated(frame(spark, rows), bench).collect())
+    assert got == Counter({(1, 1, 400_000, 1.0): 2, (1, 2, 400_000, 1.0): 1, (3, 1, 0, 1.0): 2, (3, 2, 0, 1.0): 1})
+    assert [x.doc_id for x in decontaminate.clean(frame(spark, rows), bench).collect()] == [2]
 
 
 def test_decontamination_of_nothing(spark):

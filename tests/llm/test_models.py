@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cuewright.llm import lm_scoring, quality, toxicity
@@ -129,6 +130,106 @@ def test_penalty_takes_the_weight_off_identity_terms():
     assert abs(fair[1] - fair[2]) < 0.3 * abs(plain[1] - plain[2]) and fair[0] > 1
 
 
+def mentions(n=600, seed=4):
+    """Texts of which toxic ones mention one group far more often than the other; abuse itself is never the mention."""
+    r = random.Random(seed)
+    fill = [f"{a}{b}lo" for a in "bcdfgprst" for b in "aeiou"]
+    rows, marks = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        words = [r.choice(fill) for _ in range(14)]
+        if bad and r.random() < 0.75:  # the rest is toxic in ways that no word shows
+            words.insert(r.randrange(14), r.choice(["scum", "vermin"]))
+        group = r.choices(["zarians", "quorians", None], (8, 1, 3) if bad else (2, 4, 6))[0]
+        if group:
+            words.insert(r.randrange(14), group)
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, int(bad)))
+    return rows, marks
+
+
+def gap(model):
+    """How far apart the model scores neutral texts that differ in the group they mention alone."""
+    weight = {f: w for f, w in zip(model.kept.tolist(), model.weights.tolist(), strict=True)}
+    a, b = (sum(weight.get(f, 0.0) for f in set(next(iter(toxicity.word_features(pa.record_batch([pa.array([f"some {t} came"])], ["t"]), 0))).tolist())) for t in ("zarians", "quorians"))
+    return abs(a - b)
+
+
+def test_the_penalty_evens_out_neutral_mentions(spark):
+    rows, marks = mentions()
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, LABELS)
+    groups = (("zarians", "quorians"),)
+    plain, fair = (toxicity.fit(docs, labels, identity=groups, penalty=p) for p in (0.0, 20.0))
+    assert plain.mentioning == fair.mentioning > 100 and fair.differing > 100
+    assert gap(plain) > 0.5 and gap(fair) < 0.3 * gap(plain)
+    got = toxicity.classify(docs, labels, identity=groups, penalty=20.0).collect()
+    neutral = [x for x in got if x.doc_id % 4]
+    text = dict(rows)
+    share = lambda t: np.mean([x.predicted for x in neutral if t in text[x.doc_id].split()])
+    before = [x for x in toxicity.classify(docs, labels, identity=groups, penalty=0.0).collect() if x.doc_id % 4]
+    wrong = np.mean([x.predicted for x in before if "zarians" in text[x.doc_id].split()])
+    assert share("zarians") <= 0.5 * wrong and all(x.predicted for x in got if {"scum", "vermin"} & set(text[x.doc_id].split()))
+
+
+def test_groups_are_found_where_none_is_listed(spark):
+    r = random.Random(1)
+    names = ["anari", "belori", "cadori"]
+    rows = [(i, i % 2, " ".join(f"the {r.choice(names)} said {r.choice('pqrst') * 4} word{r.randrange(500)} of" for _ in range(6))) for i in range(200)]
+    groups = toxicity.found_groups(spark.createDataFrame(rows, "id long, y int, text string"))
+    assert any(set(names) <= set(g) for g in groups)
+    assert toxicity.found_groups(spark.createDataFrame([], "id long, y int, text string")) == []
+
+
+def test_gradient_steps_reach_the_minimum():
+    """Against Newton's method on the same loss."""
+    r = np.random.default_rng(5)
+    x = (r.random((120, 12)) < 0.3).astype(np.float32)
+    y = (r.random(120) < 0.4).astype(float)
+    weight, pairs = r.random(120), r.integers(0, 120, 30)
+    other = (r.random((30, 12)) < 0.3).astype(np.float32)
+    w, bias = toxicity.logistic(x, y, weight, pairs, other, penalty=2.0, steps=4000)
+    one, d, p = np.hstack([x, np.ones((120, 1))]), np.hstack([x[pairs] - other, np.zeros((30, 1))]), weight / weight.sum()
+    ridge = np.diag([toxicity.RIDGE] * 12 + [0.0])
+    v = np.zeros(13)
+    for _ in range(50):
+        s = 1 / (1 + np.exp(-one @ v))
+        g = one.T @ (p * (s - y)) + 4 * d.T @ (d @ v) / 30 + ridge @ v
+        v -= np.linalg.solve(one.T @ (one * (p * s * (1 - s))[:, None]) + 4 * d.T @ d / 30 + ridge, g)
+    assert np.allclose(np.append(w, bias), v, atol=1e-3)
+
+
+def test_descent_reaches_the_minimum_of_its_loss():
+    """Against many projected gradient steps on the dual."""
+    r = np.random.default_rng(6)
+    x = [np.unique(r.integers(0, 30, 8)) for _ in range(60)]
+    y = np.where(r.random(60) < 0.3, 1, -1)
+    ratio = r.normal(size=30)
+    w, bias = quality.descend(x, y, ratio, passes=400)
+    full = np.zeros((60, 31))
+    for i, f in enumerate(x):
+        full[i, f] = ratio[f] / np.sqrt((ratio[f] ** 2).sum() + 1e-12)
+    full[:, 30] = 1
+    most = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum())) * quality.COST
+    q, a = (full * y[:, None]) @ (full * y[:, None]).T, np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        a = np.clip(a - step * (q @ a - 1), 0, most)
+    assert np.allclose(np.append(w, bias), full.T @ (a * y), atol=5e-3)
+
+
+@pytest.mark.parametrize("run", [quality.classify, toxicity.classify])
+def test_classifiers_take_ties_long_texts_and_clashing_names(spark, run):
+    long = "word " * 300_000  # beyond a slice of text
+    rows = [(i, "good plain text" if i % 2 else "scum $$$") for i in range(40)] + [(100, long), (101, long), (7, "good plain text"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "a", 1.0, 2) for i, t in rows], "doc_id long, text string, own string, score double, predicted int")
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(40)], LABELS)
+    got = run(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    by = [(x.doc_id, x.score) for x in got.collect()]
+    assert len(by) == len(rows) and all(0 <= s <= 1 for _, s in by)
+    assert len({s for i, s in by if i is not None and i < 40 and i % 2}) == 1 and len({s for i, s in by if i in (100, 101)}) == 1
+
+
 @pytest.mark.parametrize("run", [quality.classify, toxicity.classify])
 def test_classifiers_without_labels_or_rows(spark, run):
     none = spark.createDataFrame([], LABELS)
