@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import tempfile
 import threading
@@ -46,6 +47,8 @@ WRITING = {
 }
 _lock, _writers, _before = threading.Lock(), {}, {}
 _scratch = threading.local()
+#: Tables that durable() wrote and that are still there.
+_written: dict[str, SparkSession] = {}
 
 
 class _settings:
@@ -73,13 +76,16 @@ class _settings:
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
-    The shuffle files behind it are of no more use then and are removed at once.
+    The shuffle files behind it are of no more use then and are removed at once. The
+    table goes with discard() or tidy(), or else when the process ends: a result that
+    is not worked out yet may still read it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuewright/{uuid.uuid4().hex}"
     with _settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
     for tables in getattr(_scratch, "open", ())[-1:]:
         tables[path] = spark
     out._cuewright_path = path
@@ -87,10 +93,18 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    _written.pop(path, None)
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_written.items()):
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that durable() gave and that nothing reads any more."""
     for df in tables:

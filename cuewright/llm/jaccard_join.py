@@ -31,7 +31,7 @@ RECALL = 0.999
 #: Depth whose meeting probability sets the number of starts that all sets get.
 PLANNED_DEPTH = 3
 #: Sets in a node that are compared with each other; larger nodes split.
-SMALL = 192
+SMALL = 1024
 #: A child with this share of its parent's sets holds near copies: they are joined up without further splits.
 DENSE = 0.8
 MOST_DEPTH = 16

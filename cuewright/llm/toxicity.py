@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Hasher, column_bytes, durable, lower_ascii, mix, rows_of, slices, tidy, word_bounds, word_hashes
+from .common import WORD, Hasher, column_bytes, durable, lower_ascii, mix, rows_of, slices, word_bounds, word_hashes
 from .linear import SAMPLE, count_indicators, distinct, labelled, sample, scored, sigmoid
 
 SIZE = 1 << 18
@@ -325,7 +325,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return Model(kept, np.frombuffer(got["w"], np.float64), got["bias"], float(total[1] / total.sum()), groups, got["mentioning"], got["differing"])
 
 
-@tidy
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, **options) -> DataFrame:
     """Score every text for toxicity: doc_id, held_out, score, predicted.
 
