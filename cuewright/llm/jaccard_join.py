@@ -17,6 +17,7 @@ components; within those, similarities of whole shingle sets decide.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -217,7 +218,7 @@ def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
     """
     least = least_agreement(similarity, recall)
     sigs = reps.select("uid", "sig")
-    sets, done, planned, edges = sigs, 0, PLANNED_DEPTH, []
+    sets, done, planned, edges, leaves = sigs, 0, PLANNED_DEPTH, [], []
     while True:
         end = starts_needed(similarity, recall, planned)
         rows = durable(_starts(sets, done, end))
@@ -229,8 +230,7 @@ def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
             else:
                 sizes = sizes.withColumn("dense", F.lit(False))
             kept = durable(rows.drop("parent").join(sizes.select("path", "size", "first", "dense"), "path"))
-            small = kept.where(F.col("size") <= SMALL).select("path", "uid").join(sigs, "uid").select("path", "uid", "sig")
-            edges.append(durable(small.repartition("path").sortWithinPartitions("path").mapInArrow(_leaf_links(least), "a long, b long").where("a is not null").distinct()))
+            leaves.append(kept.where(F.col("size") <= SMALL).select("path", "uid"))
             large = kept.where(F.col("size") > SMALL)
             edges.append(large.where("dense and uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b")))
             large = large.where("not dense")
@@ -245,10 +245,10 @@ def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
         if splitting is None:
             break
         sets, done, planned = durable(splitting.join(sigs, "uid").select("uid", "sig")), end, reached
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+    # small nodes of all levels are compared in one pass
+    small = reduce(DataFrame.unionByName, leaves).join(sigs, "uid").select("path", "uid", "sig")
+    edges.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_leaf_links(least), "a long, b long").where("a is not null"))
+    return reduce(DataFrame.unionByName, edges)
 
 
 def _verify(similarity: float):

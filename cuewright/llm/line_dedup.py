@@ -26,7 +26,7 @@ from .common import discard, durable, text_or_empty, tidy
 
 SIMILARITY = 0.8
 #: Counters of word occurrences. Words that share one count as equally rare, which is a matter of speed alone.
-COUNTERS = 1 << 18
+COUNTERS, KEYS = 1 << 18, 1 << 16
 #: Bytes up to which a side of a join is sent to all tasks.
 SENT_BYTES = 32 << 20
 
@@ -39,14 +39,9 @@ def _long(v: int) -> Column:
     return F.lit(v).cast("long")
 
 
-def _odd(text: str | Column) -> Column:
-    """Whether a text has white space other than spaces and line ends; it takes a slower split."""
-    return F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(r"[\x09\x0B\x0C\x0D]"))
-
-
-def _words(line: Column, odd: Column) -> Column:
+def _words(line: str) -> Column:
     """Pieces of a line between single white space; some may be empty."""
-    return F.when(odd, F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))
+    return F.when(F.rlike(F.col(line), F.lit(r"[\x09\x0B\x0C\x0D]")), F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))  # spaces alone have the faster split
 
 
 def _hashes(words: Column) -> Column:
@@ -55,19 +50,25 @@ def _hashes(words: Column) -> Column:
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
-    """For each counter its count of words over all documents, in thirds of an octave less 64, in a constant array."""
-    text = docs.select(text_or_empty(text_col).alias("text"))
-    words = text.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")), _odd("text"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(_long(COUNTERS - 1)).cast("int").alias("k")).count().toArrow()  # COUNTERS rows at most
-    out = [-64] * COUNTERS
-    for k, n in zip(counts["k"].to_pylist(), counts["count"].to_pylist(), strict=True):
-        out[k] = min(int(3 * math.log2(n)), 127) - 64
+    """For each counter its count of words over all documents, as thirds of an octave in the top 7 bits of a long, in a constant array."""
+    text = docs.select(F.replace(text_or_empty(text_col), F.lit("\n"), F.lit(" ")).alias("text"))
+    words = text.select(F.explode(_words("text")).alias("w"))
+    h = F.xxhash64("w")
+    # a row for several counters keeps the keys few enough for the fast map of Spark's aggregation
+    groups = COUNTERS // KEYS
+    which = F.shiftright(h, KEYS.bit_length() - 1).bitwiseAND(_long(groups - 1))
+    counts = words.groupBy(h.bitwiseAND(_long(KEYS - 1)).cast("int").alias("k")).agg(*(F.sum(F.when(which == g, 1).otherwise(0)).alias(f"n{g}") for g in range(groups))).toArrow()  # KEYS rows at most
+    out = [-64 << 57] * COUNTERS
+    for g in range(groups):
+        for k, n in zip(counts["k"].to_pylist(), counts[f"n{g}"].to_pylist(), strict=True):
+            if n:
+                out[g * KEYS + k] = (min(int(3 * math.log2(n)), 127) - 64) << 57
     return F.from_json(F.lit(str(out).replace(" ", "")), "array<long>")
 
 
 def _ids(hashes: Column, rarity: Column) -> Column:
     """Sorted numbers of the words: the rarity above 57 bits of hash."""
-    number = lambda h: F.call_function("shiftleft", F.get(rarity, h.bitwiseAND(_long(COUNTERS - 1)).cast("int")), F.lit(57)).bitwiseOR(F.shiftrightunsigned(h, 7))
+    number = lambda h: rarity[h.bitwiseAND(_long(COUNTERS - 1))].bitwiseOR(F.shiftrightunsigned(h, 7))
     return F.sort_array(F.transform(hashes, number))
 
 
@@ -125,8 +126,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, rarity: Column, t: float) -> D
     sides = [pairs.select(*(F.col(f"{s}_{c}").alias(f"n_{c}") for c in ("id", "line"))) for s in "ab"]
     needed = durable(sides[0].unionByName(sides[1]).distinct().groupBy("n_id").agg(F.collect_set("n_line").alias("n_lines")))
     lines = texts.join(_sent(needed, 64, "n_lines"), F.col("id").eqNullSafe(F.col("n_id")))
-    lines = lines.select("id", "th", _odd("text").alias("odd"), F.posexplode(F.split("text", "\n")).alias("line", "s"), "n_lines").where(F.array_contains("n_lines", F.col("line")))
-    lines = lines.select("id", "th", "line", _ids(_hashes(_words(F.col("s"), F.col("odd"))), rarity).alias("words")).withColumn("sid", F.xxhash64("words")).withColumn("n", F.size("words"))
+    lines = lines.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"), "n_lines").where(F.array_contains("n_lines", F.col("line")))
+    lines = lines.select("id", "th", "line", _ids(_hashes(_words("s")), rarity).alias("words")).withColumn("sid", F.xxhash64("words")).withColumn("n", F.size("words"))
     lines = durable(lines.withColumn("bits", F.array_distinct(F.transform("words", lambda w: (w.bitwiseAND(_long(0xFFFF)) - 0x8000).cast("short")))))
 
     both = _paired(pairs, lines.drop("words"))
@@ -151,8 +152,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     t = similarity
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     rarity = _rarity(docs, text_col)
-    lines = texts.select("id", "th", _odd("text").alias("odd"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    lines = lines.select("id", "th", "line", _hashes(_words(F.col("s"), F.col("odd"))).alias("hashes"))
+    lines = texts.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    lines = lines.select("id", "th", "line", _hashes(_words("s")).alias("hashes"))
     lines = lines.select("id", "th", "line", "hashes", _ids(F.col("hashes"), rarity).alias("ids"))
     n = F.size("ids")
     long_prefix = n - F.ceil(n * t - 1e-9).cast("int") + 1
