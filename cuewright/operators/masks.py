@@ -1,18 +1,24 @@
 """Mask algebra: which part of the canvas each element may draw on.
 
-An element owns its padded region, less later elements' regions without padding
-(policy subtract-later) and its protected regions (unless the policy is none).
-Instead of comparing elements pairwise, the canvas is cut along the edges of all
-rectangles of a scene, and each piece gets the latest element that covers it: an
-element keeps a piece of its own if none later does.
+An element owns its padded region, or its filled contour grown by the padding,
+less later elements' regions or contours without padding (policy subtract-later)
+and its protected regions (unless the policy is none). Instead of comparing
+elements pairwise, a scene's elements are painted in their order on one grid, so
+that each cell has the latest element that covers it: an element keeps a cell of
+its own if none later does. A scene is one row with its elements in an array, and
+costs its grid and the cells of its regions.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import fitted
+
 KEYS = ("subtract-later", "explicit", "none")
+RECT = ("x0", "y0", "x1", "y1")
 
 
 def scaled(region: Column, sx: Column, sy: Column, width: Column, height: Column, padding: Column | int = 0) -> Column:
@@ -27,86 +33,187 @@ def scaled(region: Column, sx: Column, sy: Column, width: Column, height: Column
     )
 
 
-def _in_bounds(region: Column, width: Column, height: Column) -> Column:
+def in_bounds(region: Column, width: Column, height: Column) -> Column:
+    """Whether a region has a positive size and lies on the canvas; false for nulls."""
     x, y, w, h = (region[k] for k in ("x", "y", "width", "height"))
     return F.coalesce((x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x + w <= width) & (y + h <= height), F.lit(False))
 
 
-def _pieces(rects: DataFrame) -> DataFrame:
-    """Cut rectangles (scene_id, kind, rank, r) along the edges of their scene: scene_id, kind, rank, x0, y0, cells."""
-    # edges by scene; a scene has a few elements
-    cuts = rects.select("scene_id", F.inline(F.array(F.struct(F.col("r.x0").alias("x"), F.col("r.y0").alias("y")), F.struct(F.col("r.x1").alias("x"), F.col("r.y1").alias("y")))))
-    cuts = cuts.groupBy("scene_id").agg(F.array_sort(F.collect_set("x")).alias("xs"), F.array_sort(F.collect_set("y")).alias("ys"))
-    j = rects.where("r.x0 < r.x1 and r.y0 < r.y1").join(cuts, "scene_id")
-    steps = lambda cut, lo, hi: F.filter(F.transform(cut, lambda v, i: F.struct(v.alias("a"), F.get(cut, i + 1).alias("b"))), lambda s: (s.a >= lo) & (s.a < hi))
-    j = j.select("scene_id", "kind", "rank", F.explode(steps(F.col("xs"), F.col("r.x0"), F.col("r.x1"))).alias("sx"), F.col("ys"), "r")
-    j = j.select("scene_id", "kind", "rank", "sx", F.explode(steps(F.col("ys"), F.col("r.y0"), F.col("r.y1"))).alias("sy"))
-    return j.select("scene_id", "kind", "rank", F.col("sx.a").alias("x0"), F.col("sy.a").alias("y0"), F.col("sx.b").alias("x1"), F.col("sy.b").alias("y1"))
-
-
-def pieces(elements: DataFrame) -> DataFrame:
-    """Pieces of each element's own region and whether it keeps them: scene_id, rank, x0, y0, x1, y1, kept.
-
-    elements: scene_id, rank, policy, own, cover, shields, where own is the
-    element's rectangle, cover the one by which it takes pieces from earlier
-    elements (null for none), and shields its protected rectangles.
-    """
-    own = elements.select("scene_id", F.lit("own").alias("kind"), "rank", F.col("own").alias("r"))
-    cover = elements.where("cover is not null").select("scene_id", F.lit("cover").alias("kind"), "rank", F.col("cover").alias("r"))
-    shield = elements.where("policy != 'none'").select("scene_id", F.lit("shield").alias("kind"), "rank", F.explode("shields").alias("r"))
-    cut = _pieces(own.unionByName(cover).unionByName(shield))
-    place = ["scene_id", "x0", "y0"]
-    top = cut.where("kind = 'cover'").groupBy(*place).agg(F.max("rank").alias("top"))
-    hid = cut.where("kind = 'shield'").select(*place, "rank", F.lit(True).alias("hidden")).distinct()
-    mine = cut.where("kind = 'own'").join(elements.select("scene_id", "rank", "policy"), ["scene_id", "rank"]).join(top, place, "left").join(hid, [*place, "rank"], "left")
-    taken = (F.col("policy") == "subtract-later") & F.coalesce(F.col("top") > F.col("rank"), F.lit(False))
-    return mine.select("scene_id", "rank", "x0", "y0", "x1", "y1", (~taken & F.col("hidden").isNull()).alias("kept"))
-
-
-def drawing_elements(elements: DataFrame, *, scale: float = 1.0, policy: str | None = None) -> DataFrame:
-    """Rectangles as the renderer takes them: order (sequence, start_ms), own regions padded; `policy` overrides.
-
-    scene_id, rank, name, direction, policy, own, cover, shields.
+def filled(points: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Cells whose middle a polygon of (x, y) rows covers, edges included; none for fewer than three points."""
+    out = np.zeros((height, width), bool)
+    if len(points) < 3:
+        return out
+    (x0, y0), (x1, y1) = np.maximum(np.floor(points.min(0)), 0).astype(int), np.ceil(points.max(0)).astype(int) + 1
+    y, x = np.mgrid[y0 : min(y1, height), x0 : min(x1, width)]
+    inside, edge = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0), strict=True):
+        turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)  # on which side of the edge a cell lies
+        inside ^= ((ay > y) != (by > y)) & ((turn > 0) == (by > ay))
+        edge |= (np.abs(turn) < 1e-9) & (x >= min(ax, bx)) & (x <= max(ax, bx)) & (y >= min(ay, by)) & (y <= max(ay, by))
+    out[y0 : min(y1, height), x0 : min(x1, width)] = inside | edge
+    return out
+
+
+def grown(mask: np.ndarray, by: int) -> np.ndarray:
+    """A mask and all cells within `by` columns and rows of it."""
+    for axis in (0, 1):
+        near = np.cumsum(np.pad(mask.astype(np.int32), [(by + 1, by) if a == axis else (0, 0) for a in (0, 1)]), axis=axis)
+        far = np.take(near, range(2 * by + 1, near.shape[axis]), axis)
+        mask = far - np.take(near, range(near.shape[axis] - 2 * by - 1), axis) > 0
+    return mask
+
+
+def drawing_elements(elements: DataFrame, *, scale: float = 1.0, cap: int | None = None, policy: str | None = None) -> DataFrame:
+    """Elements as the renderer takes them: order (sequence, start_ms), own regions padded; `policy` overrides.
+
+    scene_id, grid_width, grid_height, rank, name, direction, policy, own, cover,
+    shields, outline, grow. The canvas is scaled to a long side of `cap` and even
+    sides, or else by `scale`. A column `contour` of three points or more takes the
+    place of the region.
     """
     order = Window.partitionBy("scene_id").orderBy("sequence", "start_ms", "position")
-    w, h = (F.rint(F.col(f"canvas_{k}") * scale).cast("int") for k in ("width", "height"))
-    s = F.lit(float(scale))
-    rect = lambda r, pad=0: scaled(r, s, s, w, h, pad)
+    if cap is None:
+        w, h = (F.rint(F.col(f"canvas_{k}") * scale).cast("int") for k in ("width", "height"))
+        sx = sy = F.lit(float(scale))
+    else:
+        fit = fitted(F.col("canvas_width"), F.col("canvas_height"), cap)
+        w, h, sx, sy = (fit[k] for k in ("width", "height", "sx", "sy"))
+    rect = lambda r, pad=0: scaled(r, sx, sy, w, h, pad)
+    pad = F.rint(F.col("padding") * (sx + sy) / 2).cast("int")
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    points = F.transform("contour", lambda p: F.struct(F.rint(p["x"] * sx).cast("int").alias("x"), F.rint(p["y"] * sy).cast("int").alias("y"))) if "contour" in elements.columns else none
     return elements.select(
         "scene_id",
+        w.alias("grid_width"),
+        h.alias("grid_height"),
         (F.row_number().over(order) - 1).cast("long").alias("rank"),
         F.col("element_id").alias("name"),
         "direction",
         (F.lit(policy) if policy else F.coalesce("policy", F.lit(KEYS[0]))).alias("policy"),
-        rect(F.col("region"), F.col("padding")).alias("own"),
+        rect(F.col("region"), pad).alias("own"),
         rect(F.col("region")).alias("cover"),
         F.transform("protected", lambda r: rect(r)).alias("shields"),
+        F.when(F.size(points) >= 3, points).otherwise(none).alias("outline"),
+        pad.alias("grow"),
     )
 
 
-def owned_areas(elements: DataFrame, keep: list[str], named, *, edge: int) -> DataFrame:
-    """Cells of each in-bounds element's region, and those left, as the validator counts them: area, left.
+#: What painting needs of an element.
+PARTS = ("rank", "policy", "own", "cover", "shields", "outline", "grow")
+
+
+def gathered(elements: DataFrame) -> DataFrame:
+    """One row for each scene of drawing_elements(): scene_id, grid_width, grid_height, parts (structs of PARTS by rank)."""
+    return elements.groupBy("scene_id").agg(F.first("grid_width").alias("grid_width"), F.first("grid_height").alias("grid_height"), F.array_sort(F.collect_list(F.struct(*PARTS))).alias("parts"))
+
+
+class _Scenes:
+    """The scenes of a batch of gathered() rows, with the parts' fields as flat arrays."""
+
+    def __init__(self, width, height, parts):
+        self.width, self.height = width.to_numpy(), height.to_numpy()
+        self.cut = parts.offsets.to_numpy()
+        flat = parts.flatten()
+        self.rank = flat.field("rank").to_numpy()
+        self.policy = flat.field("policy").to_pylist()
+        self.own, self.cover = (self._rects(flat.field(k)) for k in ("own", "cover"))
+        self.covers = flat.field("cover").is_valid().to_numpy(False)
+        self.shields, self.shield_cut = self._rects(flat.field("shields").flatten()), flat.field("shields").offsets.to_numpy() - flat.field("shields").offsets[0].as_py()
+        line = flat.field("outline")
+        points = line.flatten()
+        self.points = np.stack([points.field(k).to_numpy(False) for k in ("x", "y")], 1).astype(float)
+        self.point_cut = line.offsets.to_numpy() - line.offsets[0].as_py()
+        self.grow = flat.field("grow").fill_null(0).to_numpy(False)
+
+    @staticmethod
+    def _rects(column):
+        return [tuple(r) for r in np.stack([column.field(k).fill_null(0).to_numpy(False) for k in RECT], 1).tolist()]
+
+    def owned(self, i: int):
+        """For each element of scene i: (number in the batch, left edge, upper edge, own cells, cells kept), as masks of a part of the grid."""
+        a, b = self.cut[i] - self.cut[0], self.cut[i + 1] - self.cut[0]
+        width, height = int(self.width[i]), int(self.height[i])
+        top = np.full((height, width), -1, np.int32)
+        shape = {}
+        for k in range(a, b):
+            points = self.points[self.point_cut[k] : self.point_cut[k + 1]]
+            if len(points):
+                shape[k] = filled(points, width, height)
+                top[shape[k]] = k
+            elif self.covers[k]:
+                x0, y0, x1, y1 = self.cover[k]
+                top[y0:y1, x0:x1] = k
+        for k in range(a, b):
+            if k in shape:
+                x0, y0, x1, y1 = 0, 0, width, height
+                own = grown(shape[k], int(self.grow[k]))
+            else:
+                x0, y0, x1, y1 = self.own[k]
+                own = np.ones((max(0, y1 - y0), max(0, x1 - x0)), bool)
+            kept = own.copy()
+            if self.policy[k] == "subtract-later":
+                kept &= top[y0:y1, x0:x1] <= k
+            if self.policy[k] != "none":
+                for sx0, sy0, sx1, sy1 in self.shields[self.shield_cut[k] : self.shield_cut[k + 1]]:
+                    kept[max(0, sy0 - y0) : max(0, sy1 - y0), max(0, sx0 - x0) : max(0, sx1 - x0)] = False
+            yield k, x0, y0, own, kept
+
+
+def counted(scenes: DataFrame) -> DataFrame:
+    """gathered() rows with `areas`, the own and the kept cells (area, left) of each element by rank, in place of the grid and the parts."""
+    import pyarrow as pa
+
+    rest = [c for c in scenes.columns if c not in ("grid_width", "grid_height", "parts")]
+    kinds = ", ".join(f"`{c}` {scenes.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches):
+        for b in batches:
+            s = _Scenes(*(b.column(k) for k in range(3)))
+            got = [(int(own.sum()), int(kept.sum())) for i in range(b.num_rows) for _, _, _, own, kept in s.owned(i)]
+            areas = pa.StructArray.from_arrays([pa.array([v[k] for v in got], pa.int64()) for k in (0, 1)], ["area", "left"])
+            cut = pa.array((s.cut - s.cut[0]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.ListArray.from_arrays(cut, areas)], [*rest, "areas"])
+
+    return scenes.select("grid_width", "grid_height", "parts", *rest).mapInArrow(run, f"{kinds}, areas array<struct<area:bigint,left:bigint>>")
+
+
+def areas(elements: DataFrame) -> DataFrame:
+    """scene_id, rank, area, left: the cells of each of drawing_elements(), and those that it keeps."""
+    rows = counted(gathered(elements).withColumn("ranks", F.col("parts.rank")))
+    return rows.select("scene_id", F.inline(F.arrays_zip(F.col("ranks").alias("rank"), F.col("areas").alias("a")))).select("scene_id", "rank", F.col("a.area").alias("area"), F.col("a.left").alias("left"))
 
-    The canvas is scaled down to `edge` cells on its long side. Contours and
-    padding don't count; protected regions that are out of bounds don't either.
-    """
-    e = named(elements).where("canvas_ok")
-    w, h = F.col("canvas_width"), F.col("canvas_height")
-    s = F.least(F.lit(1.0), F.lit(float(edge)) / F.greatest(w, h))
-    gw, gh = F.greatest(F.lit(1), F.rint(w * s).cast("int")), F.greatest(F.lit(1), F.rint(h * s).cast("int"))
-    rect = lambda r: scaled(r, gw / w, gh / h, gw, gh)
-    fit = _in_bounds(F.col("region"), w, h)
-    rows = e.where(fit).select(
-        "scene_id", *keep, F.coalesce("policy", F.lit(KEYS[0])).alias("policy"), rect(F.col("region")).alias("own"), rect(F.col("region")).alias("cover"), F.transform(F.filter("protected", lambda r: _in_bounds(r, w, h)), lambda r: rect(r)).alias("shields")
-    )
-    cells = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    areas = pieces(rows).groupBy("scene_id", "rank").agg(F.sum(cells).alias("area"), F.coalesce(F.sum(F.when(F.col("kept"), cells)), F.lit(0).cast("long")).alias("left"))
-    zero = F.lit(0).cast("long")
-    return rows.select("scene_id", *keep).join(areas, ["scene_id", "rank"], "left").withColumns({"area": F.coalesce("area", zero), "left": F.coalesce("left", zero)})
+
+def pieces(elements: DataFrame) -> DataFrame:
+    """Each element's own cells in runs along a row, and whether it keeps them: scene_id, rank, x0, y0, x1, y1, kept."""
+    import pyarrow as pa
+
+    rows = gathered(elements)
+
+    def run(batches):
+        for b in batches:
+            s = _Scenes(*(b.column(k) for k in range(1, 4)))
+            scene, rank, out = [], [], []
+            for i in range(b.num_rows):
+                for k, x0, y0, own, kept in s.owned(i):
+                    # 0 outside, 1 own, 2 kept; a run begins where the state changes
+                    state = np.pad(own.astype(np.int8) + kept, ((0, 0), (1, 1)))
+                    y, x = np.nonzero(state[:, 1:] != state[:, :-1])
+                    if not len(y):
+                        continue
+                    value = state[y, x + 1]
+                    end = np.append(x[1:], 0)
+                    use = value > 0
+                    out.append(np.stack([x[use] + x0, y[use] + y0, end[use] + x0, y[use] + y0 + 1, value[use] == 2], 1))
+                    scene += [i] * int(use.sum())
+                    rank += [s.rank[k]] * int(use.sum())
+            x = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(scene, pa.int64())), pa.array(rank, pa.int64()), *(pa.array(x[:, k], pa.int32()) for k in range(4)), pa.array(x[:, 4].astype(bool))], ["scene_id", "rank", *RECT, "kept"])
+
+    kind = rows.schema["scene_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"scene_id {kind}, rank long, x0 int, y0 int, x1 int, y1 int, kept boolean")
 
 
 def cells(piece_rows: DataFrame) -> DataFrame:
     """Single cells (scene_id, rank, x, y) of the pieces kept; for small canvases and for reveals."""
-    x = F.explode(F.sequence("x0", F.col("x1") - 1))
-    rows = piece_rows.where("kept").select("scene_id", "rank", x.alias("x"), "y0", "y1")
-    return rows.select("scene_id", "rank", "x", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
+    return piece_rows.where("kept").select("scene_id", "rank", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), F.col("y0").alias("y"))

@@ -3,94 +3,172 @@
 Annotations are element rows: scene_id, position, element_id, sequence, region,
 start_ms, duration_ms, policy, subtitle, narrative_role, protected, canvas_width,
 canvas_height, scene_duration_ms, final_hold_ms. Issues are rows (scene_id, level,
-code, element_id); a check of a whole scene has a null element_id.
+code, element_id, detail); a check of a whole scene has a null element_id, and
+detail says what an issue's numbers or names are, where it has any.
+
+A scene's elements meet once, as an array in their order; all checks read that row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .masks import owned_areas
+from .masks import KEYS, counted, in_bounds, scaled
 
 LAST = 10**9
 #: Long edge in cells of the grid on which masks are judged.
 GRID_EDGE = 1200
 OVER_MASKED = 0.8
-# What the annotation format requires and allows.
+# What the annotation and project formats require and allow.
 REQUIRED = ("sceneId", "canvas", "sceneDurationMs", "elements")
 ELEMENT_REQUIRED = ("id", "label", "sequence", "region", "reveal")
 POLICIES = ("subtract-later", "explicit", "none")
 DIRECTIONS = ("left_to_right", "right_to_left", "top_to_bottom", "bottom_to_top", "radial", "auto")
+PROJECT_REQUIRED = ("version", "project", "workflow", "paths", "canvas", "subject_profile", "render")
+WORKFLOW_MODES = ("auto", "checkpoint", "plan-only", "validate-only")
+SUBJECT_MODES = ("none", "single", "ensemble", "object", "concept", "adaptive")
+
+ISSUE = "array<struct<level:string,code:string,element_id:string,detail:string>>"
+
+
+def _scenes(elements: DataFrame) -> DataFrame:
+    """One row for each scene, with its elements `e` in the order of sequence, named as issues name them."""
+    fields = ("element_id", "sequence", "region", "start_ms", "duration_ms", "policy", "subtitle", "narrative_role", "protected")
+    own = [F.first(c).alias(c) for c in ("canvas_width", "canvas_height", "scene_duration_ms")]
+    order = F.struct(F.coalesce(F.col("sequence").cast("long"), F.lit(LAST).cast("long")).alias("at"), "position", *fields)
+    s = elements.groupBy("scene_id").agg(*own, F.first(F.coalesce("final_hold_ms", F.lit(700))).alias("hold"), F.array_sort(F.collect_list(order)).alias("e"))
+    given = lambda c: F.coalesce(c, F.lit(False))
+
+    def named(v: Column, i: Column) -> Column:
+        known = F.coalesce(v["element_id"], F.lit("")) != ""
+        start = given(v["start_ms"] >= 0)
+        return F.struct(
+            F.when(known, v["element_id"]).otherwise(F.concat(F.lit("index-"), i.cast("string"))).alias("name"),
+            i.cast("long").alias("rank"),
+            start.alias("start_ok"),
+            (start & given(v["duration_ms"] > 0)).alias("sound"),
+            (v["start_ms"] + v["duration_ms"]).cast("long").alias("end_ms"),
+            *(v[c].alias(c) for c in fields),
+        )
+
+    canvas = given((F.col("canvas_width") > 0) & (F.col("canvas_height") > 0))
+    return s.withColumns({"e": F.transform("e", named), "canvas_ok": canvas})
+
+
+def _judged(s: DataFrame) -> DataFrame:
+    """_scenes() with `areas`, the cells of each in-bounds element's region and those left, as the validator counts them.
+
+    The canvas is scaled down to GRID_EDGE cells on its long side. Contours and
+    padding don't count; regions and protected regions that are out of bounds don't
+    either.
+    """
+    w, h = (F.when(F.col("canvas_ok"), F.col(f"canvas_{k}")).otherwise(0) for k in ("width", "height"))
+    shrink = F.least(F.lit(1.0), F.lit(float(GRID_EDGE)) / F.greatest(w, h, F.lit(1)))
+    gw, gh = (F.greatest(F.lit(1), F.rint(v * shrink).cast("int")) for v in (w, h))
+    s = s.withColumns({"grid_width": gw, "grid_height": gh, "sx": gw / F.greatest(w, F.lit(1)), "sy": gh / F.greatest(h, F.lit(1))})
+    rect = lambda r: scaled(r, F.col("sx"), F.col("sy"), F.col("grid_width"), F.col("grid_height"))
+    none = F.struct(*(F.lit(0).alias(k) for k in ("x0", "y0", "x1", "y1")))
+    part = lambda v: F.struct(
+        v["rank"].alias("rank"),
+        F.coalesce(v["policy"], F.lit(KEYS[0])).alias("policy"),
+        F.when(in_bounds(v["region"], w, h), rect(v["region"])).otherwise(none).alias("own"),
+        F.when(in_bounds(v["region"], w, h), rect(v["region"])).alias("cover"),
+        F.transform(F.filter(v["protected"], lambda r: in_bounds(r, w, h)), rect).alias("shields"),
+        F.array().cast("array<struct<x:int,y:int>>").alias("outline"),
+        F.lit(0).alias("grow"),
+    )
+    return counted(s.withColumn("parts", F.transform("e", part)).drop("sx", "sy"))
 
 
-def in_bounds(region: Column, width: Column, height: Column) -> Column:
-    """Whether a region has a positive size and lies on the canvas; false for nulls."""
-    x, y, w, h = (region[k] for k in ("x", "y", "width", "height"))
-    return F.coalesce((x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x + w <= width) & (y + h <= height), F.lit(False))
+def _element_issues(v: Column, area: Column) -> list[Column]:
+    """Issues of one element; one whose times are unsound gets no later check."""
+    size = F.col("canvas_width"), F.col("canvas_height")
+    bad = F.size(F.filter(v["protected"], lambda r: ~in_bounds(r, *size)))
+    fits = F.col("canvas_ok") & in_bounds(v["region"], *size)
+    taken = 1 - area["left"] / F.greatest(F.lit(1), area["area"])
+
+    def issue(when, level, code, detail=None, n=1):
+        one = F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), v["name"].alias("element_id"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+        return F.when(F.coalesce(when, F.lit(False)), F.array_repeat(one, n)).otherwise(F.array().cast(ISSUE))
+
+    return [
+        issue(F.col("canvas_ok") & ~in_bounds(v["region"], *size), "error", "region-out-of-bounds"),
+        issue(~v["start_ok"], "error", "invalid-start"),
+        issue(v["start_ok"] & ~v["sound"], "error", "invalid-duration"),
+        issue(v["sound"] & (v["end_ms"] > F.col("scene_duration_ms")), "error", "element-exceeds-scene", v["end_ms"]),
+        issue(v["sound"] & (F.coalesce(v["subtitle"], F.lit("")) == ""), "warning", "missing-subtitle"),
+        issue(v["sound"] & (F.coalesce(v["narrative_role"], F.lit("")) == ""), "warning", "missing-narrative-role"),
+        issue(v["sound"] & F.col("canvas_ok") & (bad > 0), "error", "protected-region-out-of-bounds", n=bad),
+        issue(v["sound"] & fits & (taken >= OVER_MASKED), "warning", "over-masked", F.concat(F.rint(taken * 100).cast("int").cast("string"), F.lit("%"))),
+        issue(v["sound"] & fits & (area["left"] == 0), "error", "empty-mask"),
+    ]
+
+
+def _scene_issues() -> list[Column]:
+    """Issues of a whole scene: canvas, ids, sequences, final hold, neighbours in time."""
+    ids = F.filter("e.element_id", lambda i: F.coalesce(i, F.lit("")) != "")
+    # of sorted ids, those that stand beside an equal one
+    ids = F.array_sort(ids)
+    twice = F.array_distinct(F.filter(ids, lambda v, i: v == F.get(ids, i + 1)))
+    seq = F.array_sort(F.filter("e.sequence", lambda v: v.isNotNull()))
+    last = F.coalesce(F.array_max(F.transform(F.filter("e", lambda v: v["sound"]), lambda v: v["end_ms"])), F.lit(0).cast("long"))
+
+    def row(when, level, code, detail=None):
+        one = F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("element_id"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+        return F.when(F.coalesce(when, F.lit(False)), F.array(one)).otherwise(F.array().cast(ISSUE))
+
+    near = F.transform(_overlaps(), lambda o: F.struct(F.lit("warning").alias("level"), F.lit("timeline-overlap").alias("code"), F.lit(None).cast("string").alias("element_id"), F.concat(o["first_id"], F.lit("/"), o["second_id"], F.lit(" "), o["overlap_ms"].cast("string")).alias("detail")))
+    return [
+        row(F.size(twice) > 0, "error", "duplicate-id", F.array_join(twice, ", ")),
+        row(~F.col("canvas_ok"), "error", "invalid-canvas"),
+        row((F.size("e") > 0) & (seq != F.sequence(F.lit(1).cast("long"), F.size("e").cast("long"))), "error", "sequence-gap"),
+        row(F.col("scene_duration_ms") - last < F.col("hold"), "error", "insufficient-final-hold", F.col("scene_duration_ms") - last),
+        near,
+    ]
+
+
+def _overlaps() -> Column:
+    """(first_id, second_id, overlap_ms): neighbours by (start, end, name) of which the second begins too early."""
+    timed = F.array_sort(F.transform(F.filter("e", lambda v: v["sound"]), lambda v: F.struct(v["start_ms"].alias("start_ms"), v["end_ms"].alias("end_ms"), v["name"].alias("name"), v["rank"].alias("rank"))))
+    pairs = F.arrays_zip(timed.alias("a"), F.slice(timed, F.lit(2), F.greatest(F.size(timed) - 1, F.lit(0))).alias("b"))
+    early = F.filter(pairs, lambda p: F.coalesce(p["b"]["start_ms"] < p["a"]["end_ms"], F.lit(False)))
+    return F.transform(early, lambda p: F.struct(p["a"]["name"].alias("first_id"), p["b"]["name"].alias("second_id"), (p["a"]["end_ms"] - p["b"]["start_ms"]).alias("overlap_ms")))
+
+
+def _checked(elements: DataFrame) -> DataFrame:
+    """_scenes() with `issues`."""
+    s = _judged(_scenes(elements))
+    each = F.transform(F.arrays_zip(F.col("e").alias("v"), F.col("areas").alias("a")), lambda x: reduce(F.concat, _element_issues(x["v"], x["a"])))
+    return s.withColumn("issues", F.concat(F.flatten(each), *_scene_issues()))
 
 
-def _named(e: DataFrame) -> DataFrame:
-    """Elements in the order of sequence, with the name that issues use and whether the times are sound."""
-    order = Window.partitionBy("scene_id").orderBy(F.coalesce("sequence", F.lit(LAST)), "position")
-    rank = (F.row_number().over(order) - 1).cast("long")
-    canvas = F.coalesce((F.col("canvas_width") > 0) & (F.col("canvas_height") > 0), F.lit(False))
-    start, dur = F.coalesce(F.col("start_ms") >= 0, F.lit(False)), F.coalesce(F.col("duration_ms") > 0, F.lit(False))
-    e = e.withColumns({"rank": rank, "canvas_ok": canvas, "start_ok": start, "sound": start & dur, "end_ms": (F.col("start_ms") + F.col("duration_ms")).cast("long")})
-    return e.withColumn("name", F.when(F.coalesce(F.col("element_id"), F.lit("")) == "", F.concat(F.lit("index-"), F.col("rank").cast("string"))).otherwise(F.col("element_id")))
+def overlaps(elements: DataFrame) -> DataFrame:
+    """scene_id, first_id, second_id, overlap_ms: neighbours by (start, end, name) of which the second begins too early."""
+    return _scenes(elements).select("scene_id", F.inline(_overlaps()))
 
 
-def element_issues(elements: DataFrame) -> DataFrame:
-    """Issues of single elements but for masks; an element whose times are unsound gets no later check."""
-    e = _named(elements)
-    size = F.col("canvas_width"), F.col("canvas_height")
-    bad = F.filter("protected", lambda r: ~in_bounds(r, *size))
-    issue = lambda when, level, code, n=1: F.when(F.coalesce(when, F.lit(False)), F.array_repeat(F.struct(F.lit(level).alias("level"), F.lit(code).alias("code")), n)).otherwise(F.array())
-    found = F.concat(
-        issue(F.col("canvas_ok") & ~in_bounds(F.col("region"), *size), "error", "region-out-of-bounds"),
-        issue(~F.col("start_ok"), "error", "invalid-start"),
-        issue(F.col("start_ok") & ~F.col("sound"), "error", "invalid-duration"),
-        issue(F.col("sound") & (F.col("end_ms") > F.col("scene_duration_ms")), "error", "element-exceeds-scene"),
-        issue(F.col("sound") & (F.coalesce(F.col("subtitle"), F.lit("")) == ""), "warning", "missing-subtitle"),
-        issue(F.col("sound") & (F.coalesce(F.col("narrative_role"), F.lit("")) == ""), "warning", "missing-narrative-role"),
-        issue(F.col("sound") & F.col("canvas_ok") & (F.size("protected") > 0), "error", "protected-region-out-of-bounds", F.size(bad)),
-    )
-    return e.select("scene_id", F.explode(found).alias("i"), F.col("name").alias("element_id")).select("scene_id", "i.level", "i.code", "element_id")
-
-
-def mask_issues(elements: DataFrame) -> DataFrame:
-    """over-masked and empty-mask, from the share of an element's region that others and protected regions take."""
-    sound = _named(elements).where(F.col("sound") & F.col("canvas_ok"))
-    areas = owned_areas(elements, ["rank", "name"], _named, edge=GRID_EDGE)
-    judged = areas.join(sound.select("scene_id", "rank"), ["scene_id", "rank"])
-    over = judged.where(1 - F.col("left") / F.greatest(F.lit(1), F.col("area")) >= OVER_MASKED).select("scene_id", F.lit("warning").alias("level"), F.lit("over-masked").alias("code"), F.col("name").alias("element_id"))
-    empty = judged.where(F.col("left") == 0).select("scene_id", F.lit("error").alias("level"), F.lit("empty-mask").alias("code"), F.col("name").alias("element_id"))
-    return over.unionByName(empty)
-
-
-def scene_issues(elements: DataFrame) -> DataFrame:
-    """Issues of whole scenes: canvas, ids, sequences, final hold."""
-    e = _named(elements)
-    ids = e.where(F.coalesce(F.col("element_id"), F.lit("")) != "").groupBy("scene_id", "element_id").count().where("count > 1").select("scene_id").distinct()
-    s = e.groupBy("scene_id").agg(
-        F.first("canvas_ok").alias("canvas_ok"),
-        F.count("*").alias("n"),
-        F.array_sort(F.collect_list("sequence")).alias("seq"),
-        F.first("scene_duration_ms").alias("duration"),
-        F.first(F.coalesce("final_hold_ms", F.lit(700))).alias("hold"),
-        F.coalesce(F.max(F.when(F.col("sound"), F.col("end_ms"))), F.lit(0)).alias("last_end"),
-    )
-    row = lambda d, code: d.select("scene_id", F.lit("error").alias("level"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("element_id"))
-    gap = F.col("seq") != F.sequence(F.lit(1), F.col("n").cast("int"))
-    out = row(ids, "duplicate-id").unionByName(row(s.where(~F.col("canvas_ok")), "invalid-canvas")).unionByName(row(s.where(gap), "sequence-gap"))
-    return out.unionByName(row(s.where(F.col("duration") - F.col("last_end") < F.col("hold")), "insufficient-final-hold"))
+def issues(elements: DataFrame) -> DataFrame:
+    """scene_id, level, code, element_id, detail: every issue of every scene."""
+    return _checked(elements).select("scene_id", F.inline("issues"))
 
 
-def overlaps(elements: DataFrame) -> DataFrame:
-    """scene_id, first_id, second_id, overlap_ms: neighbours by (start, end, name) of which the second begins too early."""
-    order = Window.partitionBy("scene_id").orderBy("start_ms", "end_ms", "name", "rank")
-    e = _named(elements).where("sound").withColumns({"next_start": F.lead("start_ms").over(order), "next_name": F.lead("name").over(order)})
-    return e.where("next_start < end_ms").select("scene_id", F.col("name").alias("first_id"), F.col("next_name").alias("second_id"), (F.col("end_ms") - F.col("next_start")).alias("overlap_ms"))
+def report(elements: DataFrame, found: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """scene_id, valid, errors, warnings, elements, scene_duration_ms, last_end_ms; strict counts warnings too.
+
+    Issues that are at hand already can be given, and with them any others.
+    """
+    last = F.coalesce(F.array_max(F.transform(F.filter("e", lambda v: v["sound"]), lambda v: v["end_ms"])), F.lit(0).cast("long"))
+    figures = [F.size("e").cast("long").alias("elements"), "scene_duration_ms", last.alias("last_end_ms")]
+    if found is None:
+        of = lambda level: F.size(F.filter("issues", lambda i: i["level"] == level)).cast("long").alias(f"{level}s")
+        out = _checked(elements).select("scene_id", *figures, of("error"), of("warning"))
+    else:
+        n = found.groupBy("scene_id").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+        out = _scenes(elements).select("scene_id", *figures).join(n, "scene_id", "left").fillna(0, ["errors", "warnings"])
+    return out.withColumn("valid", (F.col("errors") == 0) & ((F.col("warnings") == 0) | F.lit(not strict)))
 
 
 def image_issues(scenes: DataFrame, images: DataFrame) -> DataFrame:
@@ -101,20 +179,6 @@ def image_issues(scenes: DataFrame, images: DataFrame) -> DataFrame:
     return j.select("scene_id", F.lit("error").alias("level"), code.alias("code"), F.lit(None).cast("string").alias("element_id")).where("code is not null")
 
 
-def issues(elements: DataFrame) -> DataFrame:
-    overlap = overlaps(elements).select("scene_id", F.lit("warning").alias("level"), F.lit("timeline-overlap").alias("code"), F.lit(None).cast("string").alias("element_id"))
-    out = scene_issues(elements).unionByName(element_issues(elements))
-    return out.unionByName(mask_issues(elements)).unionByName(overlap)
-
-
-def report(elements: DataFrame, found: DataFrame, strict: bool = False) -> DataFrame:
-    """scene_id, valid, errors, warnings, elements, scene_duration_ms, last_end_ms; strict counts warnings too."""
-    n = found.groupBy("scene_id").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
-    e = _named(elements).groupBy("scene_id").agg(F.count("*").alias("elements"), F.first("scene_duration_ms").alias("scene_duration_ms"), F.coalesce(F.max(F.when(F.col("sound"), F.col("end_ms"))), F.lit(0).cast("long")).alias("last_end_ms"))
-    out = e.join(n, "scene_id", "left").fillna(0, ["errors", "warnings"])
-    return out.withColumn("valid", (F.col("errors") == 0) & ((F.col("warnings") == 0) | F.lit(not strict)))
-
-
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 

@@ -97,10 +97,10 @@ el AS (
     list_extract(['left_to_right', 'right_to_left', 'top_to_bottom', 'bottom_to_top', 'radial', 'auto'], p % 6 + 1) AS direction,
     list_extract(['subtract-later', 'explicit', 'none'], s % 3 + 1) AS policy, CASE WHEN l_discount > 0.005 THEN l_returnflag END AS subtitle,
     CASE WHEN l_tax > 0.005 THEN l_linestatus END AS role, p % 3 AS pad,
-    CASE WHEN p % 5 = 0 THEN [{'x': p % 30 + 1, 'y': s % 16, 'w': 2, 'h': 2}, {'x': p % 28, 'y': s % 14 + 1, 'w': q % 4 + 1, 'h': 3}] ELSE [] END AS protected FROM li),
+    CASE WHEN p % 5 = 0 THEN [{'x': p % 30 + 1, 'y': s % 16, 'w': 2, 'h': 2}, {'x': p % 28, 'y': s % 14 + 1, 'w': q % 4 + 1, 'h': 3}] ELSE [] END AS protected, 32 AS cw FROM li),
 e AS (
   SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY seq, position) - 1 AS vr, row_number() OVER (PARTITION BY scene_id ORDER BY seq, start_ms, position) - 1 AS rank,
-    start_ms >= 0 AND dur > 0 AS sound, start_ms + dur AS end_ms, x + w <= 32 AND y + h <= 18 AS fits FROM el)"""
+    start_ms >= 0 AND dur > 0 AS sound, start_ms + dur AS end_ms, cw > 0 AND x + w <= 32 AND y + h <= 18 AS fits, cw > 0 AS canvas_ok FROM el)"""
 
 #: The validator's masks cell by cell: own cells, less later ones of elements that fit, less protected ones that fit.
 JUDGED = """
@@ -115,22 +115,24 @@ judged AS (
 ISSUES = f"""
 {ELEMENTS}, {JUDGED},
 sc AS (
-  SELECT scene_id, count(*) AS n, list_sort(list(seq)) AS seqs, coalesce(max(end_ms) FILTER (sound), 0) AS last_end, count(*) > count(DISTINCT id) AS dup FROM e GROUP BY scene_id),
+  SELECT scene_id, count(*) AS n, list_sort(list(seq)) AS seqs, coalesce(max(end_ms) FILTER (sound), 0) AS last_end, max(cw) AS cw FROM e GROUP BY scene_id),
 nx AS (SELECT *, lead(start_ms) OVER (PARTITION BY scene_id ORDER BY start_ms, end_ms, id, vr) AS ns, lead(id) OVER (PARTITION BY scene_id ORDER BY start_ms, end_ms, id, vr) AS nid FROM e WHERE sound),
+dup AS (SELECT scene_id, string_agg(id, ', ' ORDER BY id) AS ids FROM (SELECT scene_id, id FROM e GROUP BY ALL HAVING count(*) > 1) GROUP BY scene_id),
 issues AS (
-  SELECT scene_id, 'error' AS level, 'duplicate-id' AS code, NULL AS element_id FROM sc WHERE dup
-  UNION ALL SELECT scene_id, 'error', 'sequence-gap', NULL FROM sc WHERE seqs <> range(1, n + 1)
-  UNION ALL SELECT scene_id, 'error', 'insufficient-final-hold', NULL FROM sc WHERE 3000 - last_end < 700
-  UNION ALL SELECT scene_id, 'error', 'region-out-of-bounds', id FROM e WHERE NOT fits
-  UNION ALL SELECT scene_id, 'error', 'invalid-start', id FROM e WHERE start_ms < 0
-  UNION ALL SELECT scene_id, 'error', 'invalid-duration', id FROM e WHERE start_ms >= 0 AND dur <= 0
-  UNION ALL SELECT scene_id, 'error', 'element-exceeds-scene', id FROM e WHERE sound AND end_ms > 3000
-  UNION ALL SELECT scene_id, 'warning', 'missing-subtitle', id FROM e WHERE sound AND subtitle IS NULL
-  UNION ALL SELECT scene_id, 'warning', 'missing-narrative-role', id FROM e WHERE sound AND role IS NULL
-  UNION ALL SELECT scene_id, 'error', 'protected-region-out-of-bounds', id FROM (SELECT scene_id, id, unnest(protected) AS r FROM e WHERE sound) WHERE r.x + r.w > 32 OR r.y + r.h > 18
-  UNION ALL SELECT scene_id, 'warning', 'over-masked', id FROM judged WHERE 1 - rest / greatest(1, area) >= 0.8
-  UNION ALL SELECT scene_id, 'error', 'empty-mask', id FROM judged WHERE rest = 0
-  UNION ALL SELECT scene_id, 'warning', 'timeline-overlap', NULL FROM nx WHERE ns < end_ms)"""
+  SELECT scene_id, 'error' AS level, 'duplicate-id' AS code, NULL AS element_id, ids AS detail FROM dup
+  UNION ALL SELECT scene_id, 'error', 'sequence-gap', NULL, NULL FROM sc WHERE seqs <> range(1, n + 1)
+  UNION ALL SELECT scene_id, 'error', 'insufficient-final-hold', NULL, (3000 - last_end)::VARCHAR FROM sc WHERE 3000 - last_end < 700
+  UNION ALL SELECT scene_id, 'error', 'invalid-canvas', NULL, NULL FROM sc WHERE cw <= 0
+  UNION ALL SELECT scene_id, 'error', 'region-out-of-bounds', id, NULL FROM e WHERE canvas_ok AND NOT fits
+  UNION ALL SELECT scene_id, 'error', 'invalid-start', id, NULL FROM e WHERE start_ms < 0
+  UNION ALL SELECT scene_id, 'error', 'invalid-duration', id, NULL FROM e WHERE start_ms >= 0 AND dur <= 0
+  UNION ALL SELECT scene_id, 'error', 'element-exceeds-scene', id, end_ms::VARCHAR FROM e WHERE sound AND end_ms > 3000
+  UNION ALL SELECT scene_id, 'warning', 'missing-subtitle', id, NULL FROM e WHERE sound AND subtitle IS NULL
+  UNION ALL SELECT scene_id, 'warning', 'missing-narrative-role', id, NULL FROM e WHERE sound AND role IS NULL
+  UNION ALL SELECT scene_id, 'error', 'protected-region-out-of-bounds', id, NULL FROM (SELECT scene_id, id, canvas_ok, unnest(protected) AS r FROM e WHERE sound) WHERE canvas_ok AND (r.x + r.w > 32 OR r.y + r.h > 18)
+  UNION ALL SELECT scene_id, 'warning', 'over-masked', id, round_even((1 - rest / greatest(1, area)) * 100, 0)::INT || '%' FROM judged WHERE 1 - rest / greatest(1, area) >= 0.8
+  UNION ALL SELECT scene_id, 'error', 'empty-mask', id, NULL FROM judged WHERE rest = 0
+  UNION ALL SELECT scene_id, 'warning', 'timeline-overlap', NULL, id || '/' || nid || ' ' || (end_ms - ns) FROM nx WHERE ns < end_ms)"""
 
 #: Frames one element after another.
 FRAMES = f"""
@@ -157,6 +159,20 @@ cel AS (
     AND NOT (policy <> 'none' AND len(list_filter(protected, lambda r: cx >= r.x AND cx < r.x + r.w AND cy >= r.y AND cy < r.y + r.h)) > 0) AS kept
   FROM own LEFT JOIN cov USING (scene_id, cx, cy))"""
 
+#: Masks on a canvas of 20 x 10 cells: 20 / 32 of the width, 10 / 18 of the height, paddings by the mean of both.
+SCALED = f"""
+{ELEMENTS},
+z AS (SELECT *, round_even(pad * (20 / 32.0::DOUBLE + 10 / 18.0::DOUBLE) / 2, 0)::INT AS pd FROM e),
+o AS (
+  SELECT scene_id, rank, policy, protected, round_even(x * 20 / 32.0::DOUBLE, 0)::INT AS a0, round_even((x + w) * 20 / 32.0::DOUBLE, 0)::INT AS a1,
+    round_even(y * 10 / 18.0::DOUBLE, 0)::INT AS b0, round_even((y + h) * 10 / 18.0::DOUBLE, 0)::INT AS b1, pd FROM z),
+ow AS (SELECT *, cx, cy FROM o, range(20) a(cx), range(10) b(cy) WHERE cx >= a0 - pd AND cx < a1 + pd AND cy >= b0 - pd AND cy < b1 + pd),
+cv AS (SELECT scene_id, cx, cy, max(rank) AS m FROM ow WHERE cx >= a0 AND cx < a1 AND cy >= b0 AND cy < b1 GROUP BY ALL),
+ce AS (
+  SELECT ow.*, NOT (policy = 'subtract-later' AND coalesce(m > rank, false))
+    AND NOT (policy <> 'none' AND len(list_filter(protected, lambda r: cx >= round_even(r.x * 20 / 32.0::DOUBLE, 0) AND cx < round_even((r.x + r.w) * 20 / 32.0::DOUBLE, 0)
+      AND cy >= round_even(r.y * 10 / 18.0::DOUBLE, 0) AND cy < round_even((r.y + r.h) * 10 / 18.0::DOUBLE, 0))) > 0) AS kept FROM ow LEFT JOIN cv USING (scene_id, cx, cy))"""
+
 #: Edges of the wiped rectangles, and how far each of six steps has come.
 WIPE = """
 steps AS (SELECT k, round(0.5 - 0.5 * cos(pi() * k / 5.0), 12) AS p FROM range(6) r(k)),
@@ -207,7 +223,8 @@ SELECT scene_id, n AS elements, 3000 AS scene_duration_ms, last_end AS last_end_
     "frame_table": f"""WITH RECURSIVE {FRAMES}, st AS (SELECT *, unnest([{{'stage': 'ink', 'n': ink, 'f': first}}, {{'stage': 'color', 'n': color, 'f': first + ink}}]) AS g FROM fr), sp AS (SELECT *, unnest(range(g.n)) AS step FROM st)
 SELECT scene_id, g.f + step AS frame, rank, id AS element_id, g.stage AS stage, step, CASE WHEN g.n = 1 THEN 1.0 ELSE step / (g.n - 1) END::DOUBLE AS progress FROM sp""",
     "progress_steps": f"WITH {ELEMENTS} SELECT scene_id, position, CASE WHEN n <= 0 THEN '' WHEN n = 1 THEN (m - 1)::VARCHAR ELSE array_to_string(list_transform(range(n), lambda i: round_even(i * (m - 1)::DOUBLE / (n - 1), 0)::INT), ',') END AS steps FROM (SELECT *, w * 5 AS m, trunc(dur / 67)::INT AS n FROM e)",
-    "allowed_areas": f"WITH {CELLS} SELECT scene_id, rank, count(*) AS area, count(*) FILTER (kept) AS allowed FROM cel GROUP BY ALL",
+    "allowed_areas": f"WITH {CELLS} SELECT e.scene_id, e.rank, count(cx) AS area, count(*) FILTER (kept) AS allowed FROM e LEFT JOIN cel ON e.scene_id = cel.scene_id AND e.rank = cel.rank GROUP BY ALL",
+    "scaled_areas": f"WITH {SCALED} SELECT z.scene_id, z.rank, count(cx) AS area, count(*) FILTER (kept) AS allowed FROM z LEFT JOIN ce ON z.scene_id = ce.scene_id AND z.rank = ce.rank GROUP BY ALL",
     "allowed_cells": f"WITH {CELLS} SELECT scene_id, rank, cx::INT AS x, cy::INT AS y FROM cel WHERE kept",
     "wipe_cells": f"""WITH {CELLS}, {WIPE}
 SELECT c.scene_id, c.rank, cx::INT AS x, cy::INT AS y, coalesce(min(k) FILTER (CASE d WHEN 'right_to_left' THEN cx >= x1 - round_even(rw * p, 0) WHEN 'top_to_bottom' THEN cy <= y0 + round_even(rh * p, 0) WHEN 'bottom_to_top' THEN cy >= y1 - round_even(rh * p, 0)

@@ -97,8 +97,7 @@ def issues_of(code: str, spark, d):
 
 
 def annotation_report(spark, d):
-    e = adapters.elements(spark, d)
-    return validate.report(e, validate.issues(e))
+    return validate.report(adapters.elements(spark, d))
 
 
 def timeline_overlaps(spark, d):
@@ -132,8 +131,12 @@ def _pieces(spark, d):
 
 
 def allowed_areas(spark, d):
-    cells = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return _pieces(spark, d).groupBy("scene_id", "rank").agg(F.sum(cells).cast("long").alias("area"), F.coalesce(F.sum(F.when(F.col("kept"), cells)), F.lit(0)).cast("long").alias("allowed"))
+    return masks.areas(masks.drawing_elements(adapters.elements(spark, d))).withColumnRenamed("left", "allowed")
+
+
+def scaled_areas(spark, d):
+    """Masks on a canvas scaled to 20 cells, whose axes have scales of their own, with scaled paddings."""
+    return masks.areas(masks.drawing_elements(adapters.elements(spark, d), cap=20)).withColumnRenamed("left", "allowed")
 
 
 def allowed_cells(spark, d):
@@ -219,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         plain_cues, scene_labels, scene_rollup, event_scenes, conversation_scenes, break_reasons, source_summary, project_scenes, srt_cues, vtt_cues, parse_warnings, text_scalars, clean_pages, colours,
-        annotation_issues, annotation_report, timeline_overlaps, element_frames, scene_frames, merged_offsets, frame_table, progress_steps, allowed_areas, allowed_cells, wipe_cells, pointers, ease_curve,
+        annotation_issues, annotation_report, timeline_overlaps, element_frames, scene_frames, merged_offsets, frame_table, progress_steps, allowed_areas, scaled_areas, allowed_cells, wipe_cells, pointers, ease_curve,
         replaced_subjects, removed_subjects, contour_areas, stroke_order, bezier_points, resampled_paths, arrows, fitted_sizes, components, stroke_paths, skeletons,
     )
 } | {f"issues_{c.replace('-', '_')}": partial(issues_of, c) for c in CODES}
