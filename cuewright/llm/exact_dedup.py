@@ -161,7 +161,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pr
             break
         todo, level = todo.join(odd, same, "left_semi"), level + 1
     key = [*KEY, "level"]
-    rows = settled.join(_classes(settled, key), key)
+    # written first, so that a join with a class of many members can be split
+    rows = settled.join(durable(_classes(settled, key)), key)
     first = F.col("id").eqNullSafe(F.col("keep"))
     kept = rows.where(first).withColumn("kept", F.row_number().over(Window.partitionBy(*key).orderBy("sha")) == 1)
     rows = kept.unionByName(rows.where(~first).withColumn("kept", F.lit(False)))

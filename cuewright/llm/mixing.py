@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, parts: int = PARTS) -> DataFrame:
-    """Choose the copies of each document that the mix takes.
+    """Choose the copies of each document that the mix takes; see _mixed().
 
     Returns doc_id, size, source_size, target, taken, copies, text_hash, one row
     per row of docs. Null text has size 0, a null source is a source of its own, and a null
@@ -67,6 +67,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the target, so the words taken differ from it by half a document at most. An
     empty table gives no rows. Reruns give the same rows.
     """
+    return _mixed(docs, id_col, text_col, source_col, weights, share, most, seed, parts).drop("source")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, parts: int = PARTS) -> DataFrame:
+    """mix() with the source."""
     rows = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("text_hash")))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     plan = plan.withColumn("due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -90,15 +95,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ended = ranked.where(open_part).withColumn("extra", (done + F.col("size") / 2 <= F.col("rest")).cast("long"))
     sure = ranked.where(~F.coalesce(open_part, F.lit(False))).withColumn("extra", F.when(F.col("q").isNotNull() & inside, 1).otherwise(0).cast("long"))
     out = sure.unionByName(ended).withColumn("copies", F.when(F.col("size") > 0, F.col("sure") + F.col("extra")).otherwise(F.lit(0).cast("long")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "text_hash")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "text_hash", "source")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs as the mix takes them: each row as often as it has copies, with all columns and `copy` from 1.
 
-    Rows that repeat id and text get the copies of the luckiest of them each.
+    If docs has a column of that name, underscores are put behind the new one's. Of
+    rows that repeat id, text and source it doesn't matter which gets a copy more.
     """
-    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("copies").alias("__copies"))
-    out = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"]) & (F.xxhash64(text_or_empty(docs[text_col])) == taken["__hash"]))
-    return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+    taken = _mixed(docs, id_col, text_col, source_col, **options)
+    # such rows share their random number, so their copies differ by 1 at most
+    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source")).agg(F.count("*").alias("__rows"), F.min("copies").alias("__least"), F.sum("copies").alias("__all"))
+    taken = durable(taken.where("__all > 0"))
+    out = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"]) & (F.xxhash64(text_or_empty(docs[text_col])) == taken["__hash"]) & docs[source_col].eqNullSafe(taken["__source"]))
+    more = F.col("__all") - F.col("__rows") * F.col("__least")
+    if taken.where("__rows > 1").isEmpty():
+        out = out.withColumn("__copies", F.col("__all"))
+    else:
+        nth = F.row_number().over(Window.partitionBy("__id", "__hash", "__source").orderBy("__rows"))
+        repeated = out.where("__rows > 1").withColumn("__copies", F.col("__least") + (nth <= more).cast("long"))
+        out = out.where("__rows = 1").withColumn("__copies", F.col("__all")).unionByName(repeated).where("__copies > 0")
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias(name))

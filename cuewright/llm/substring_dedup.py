@@ -194,7 +194,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
     named = lambda d: d.withColumnsRenamed({"id": "row_id", "th": "row_th"}).groupBy("row_id", "row_th").agg(F.max("at").alias("at"))
 
     found = named(repeated(rows, _anchors(window, period), shards))
-    near = rows.join(found, same(rows, found)).select("id", "th", "text", "at")
+    # a merge join gives a partition's rows in the order of id and th, so a task that runs again numbers them alike
+    near = rows.join(found.hint("merge"), same(rows, found)).select("id", "th", "text", "at")
     cut = named(repeated(near, _around(window, period), shards))
 
     def keep(batches):

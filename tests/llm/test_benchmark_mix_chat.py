@@ -199,6 +199,17 @@ def test_mixture_repeats_rows(spark):
     assert all(n[i] == c for i, c in copies.items()) and out.columns == [*docs.columns, "copy"]
 
 
+def test_mixture_takes_repeated_rows_as_the_mix_does(spark):
+    rows = corpus() + [(7, "w " * 9, "b")] * 30 + [(7, "w " * 9, None)] * 5 + [(None, None, None)] * 4
+    docs = spark.createDataFrame([(*r, "mine", 1) for r in rows], "doc_id long, text string, source string, copy string, copies int")
+    out = mixing.mixture(docs)
+    assert out.columns == [*docs.columns, "copy_"]
+    want = Counter()
+    for r in mixing._mixed(docs, "doc_id", "text", "source").collect():
+        want[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in out.collect()) == +want
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
