@@ -26,7 +26,7 @@ from .common import discard, durable, text_or_empty, tidy
 
 SIMILARITY = 0.8
 #: Counters of word occurrences. Words that share one count as equally rare, which is a matter of speed alone.
-COUNTERS, KEYS = 1 << 18, 1 << 16
+COUNTERS, KEYS = 1 << 17, 1 << 16
 #: Bytes up to which a side of a join is sent to all tasks.
 SENT_BYTES = 32 << 20
 
@@ -50,7 +50,7 @@ def _hashes(words: Column) -> Column:
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
-    """For each counter its count of words over all documents, as thirds of an octave in the top 7 bits of a long, in a constant array."""
+    """For each counter its count of words over all documents, in thirds of an octave less 64, in a constant array."""
     text = docs.select(F.replace(text_or_empty(text_col), F.lit("\n"), F.lit(" ")).alias("text"))
     words = text.select(F.explode(_words("text")).alias("w"))
     h = F.xxhash64("w")
@@ -58,17 +58,17 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
     groups = COUNTERS // KEYS
     which = F.shiftright(h, KEYS.bit_length() - 1).bitwiseAND(_long(groups - 1))
     counts = words.groupBy(h.bitwiseAND(_long(KEYS - 1)).cast("int").alias("k")).agg(*(F.sum(F.when(which == g, 1).otherwise(0)).alias(f"n{g}") for g in range(groups))).toArrow()  # KEYS rows at most
-    out = [-64 << 57] * COUNTERS
+    out = [-64] * COUNTERS
     for g in range(groups):
         for k, n in zip(counts["k"].to_pylist(), counts[f"n{g}"].to_pylist(), strict=True):
             if n:
-                out[g * KEYS + k] = (min(int(3 * math.log2(n)), 127) - 64) << 57
+                out[g * KEYS + k] = min(int(3 * math.log2(n)), 127) - 64
     return F.from_json(F.lit(str(out).replace(" ", "")), "array<long>")
 
 
 def _ids(hashes: Column, rarity: Column) -> Column:
     """Sorted numbers of the words: the rarity above 57 bits of hash."""
-    number = lambda h: rarity[h.bitwiseAND(_long(COUNTERS - 1))].bitwiseOR(F.shiftrightunsigned(h, 7))
+    number = lambda h: F.shiftleft(rarity[h.bitwiseAND(_long(COUNTERS - 1))], 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     return F.sort_array(F.transform(hashes, number))
 
 
@@ -176,11 +176,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = durable(_verified(texts, met.select(*ends), rarity, t))
 
     looking = wide.join(_sent(settled, 16), wide["sid"] == settled["a_sid"], "left").select("sid", "n", *PARITIES, F.col("at.id").alias("id"), F.col("at.line").alias("line"), F.col("a_sid").isNull().alias("open"), "prefix")
-    short_prefix = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9).cast("int") + 1
 
-    def entries(s: str, prefix: Column) -> DataFrame:
+    def entries(s: str) -> DataFrame:
         """A row for each of a set's first words; meta has n, the word's place and whether the set looks for an earlier one."""
-        d = looking.select("sid", "n", *PARITIES, "id", "line", "open", F.posexplode(prefix).alias("i", "word"))
+        d = looking.select("sid", "n", *PARITIES, "id", "line", "open", F.posexplode("prefix").alias("i", "word"))
         meta = F.col("n").cast("long") * (1 << 32) + F.col("i") * 2 + F.col("open").cast("int")
         return d.select(F.col("word").alias(f"{s}_word"), *(F.col(c).alias(f"{s}_{c}") for c in ("sid", *PARITIES, "id", "line")), meta.alias(f"{s}_meta"))
 
@@ -191,8 +190,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # x is the larger one; the later one has to be open
     later = F.struct("x_id", "x_line") >= F.struct("y_id", "y_line")
     same_place = F.col("x_id").eqNullSafe(F.col("y_id")) & (F.col("x_line") == F.col("y_line"))
-    fits = sizes & (F.least(n - part["x_i"], m - part["y_i"]) >= need) & (_apart("x", "y", n, m) <= n + m - 2 * need)
-    x, y = entries("x", F.col("prefix")), entries("y", F.slice("prefix", F.lit(1), short_prefix))
+    # both sides read one exchange, so that the shorter prefix of one of them must not be filtered before
+    first = F.when(F.col("x_meta").isNotNull(), part["y_i"] <= m - F.ceil(m * (2 * t / (1 + t)) - 1e-9).cast("int"))
+    fits = first & sizes & (F.least(n - part["x_i"], m - part["y_i"]) >= need) & (_apart("x", "y", n, m) <= n + m - 2 * need)
+    x, y = entries("x"), entries("y")
     found = x.join(y, (F.col("x_word") == F.col("y_word")) & fits & (part["x_open"] | part["y_open"]))
     found = found.select(*(F.col(f"{s}_{c}") for s in "xy" for c in ("sid", "id", "line")), part["x_open"].alias("x_open"), part["y_open"].alias("y_open"), later.alias("x_later"), same_place.alias("tie"))
     as_pair = lambda a, b: F.struct(*(F.col(f"{s}_{c}").alias(f"{k}_{c}") for k, s, cs in (("a", a, ("id", "line", "sid")), ("b", b, ("id", "line"))) for c in cs))
