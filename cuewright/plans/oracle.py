@@ -202,7 +202,7 @@ ORACLE = {
     "conversation_scenes": f"WITH RECURSIVE {TURNS},{_rolled(*PLAIN)} {ROLLED.format(most=PLAIN[2])}",
     "break_reasons": f"WITH RECURSIVE {EVENTS},{_rolled(*SHORT)} SELECT break_reason, count(*) AS scenes FROM scenes GROUP BY 1",
     "source_summary": f"WITH RECURSIVE {DOCS},{_rolled(*PLAIN)} SELECT source_id, (SELECT count(*) FROM cues c WHERE c.source_id = s.source_id) AS cue_count, (SELECT max(end_ms) - min(start_ms) FROM cues c WHERE c.source_id = s.source_id) AS total_ms, count(*) AS scene_count FROM scenes s GROUP BY source_id",
-    "project_scenes": f"WITH RECURSIVE {EVENTS},{_rolled(*SHORT)} SELECT source_id, scene_id, start_ms, end_ms, scene_duration_ms AS duration_ms, first_cue || '-' || last_cue AS cue_range, 'scenes/' || scene_id || '.png' AS image, 'scenes/' || scene_id || '.annotation.json' AS annotation, 'scenes/' || scene_id || '.mp4' AS output FROM scenes",
+    "project_scenes": f"WITH RECURSIVE {EVENTS},{_rolled(*SHORT)} SELECT source_id, scene_id, start_ms, end_ms, scene_duration_ms AS duration_ms, first_cue || '-' || last_cue AS cue_range, '待代理依字幕提煉' AS core_message, 'adaptive' AS narrative_pattern, NULL AS image, NULL AS annotation, 'output/' || scene_id || '.mp4' AS output FROM scenes",
     "srt_cues": _cues_of(0),
     "vtt_cues": _cues_of(1),
     "parse_warnings": f"WITH {CAPTIONS} SELECT source_id, source_block, list_extract(['no-timeline', 'bad-timestamp', 'empty-body', 'end-not-after-start'], kind) AS problem FROM cap WHERE kind IN (1, 2, 3, 4)",

@@ -56,7 +56,7 @@ def source_summary(spark, d):
 def project_scenes(spark, d):
     from ..sources.project import project_scenes as rows
 
-    return rows(segment.scenes(adapters.event_cues(spark, d), SHORT)).select("source_id", "scene_id", "start_ms", "end_ms", "duration_ms", F.array_join(F.col("cue_range").cast("array<string>"), "-").alias("cue_range"), "image", "annotation", "output")
+    return rows(segment.scenes(adapters.event_cues(spark, d), SHORT)).select("source_id", "scene_id", "start_ms", "end_ms", "duration_ms", F.array_join(F.col("cue_range").cast("array<string>"), "-").alias("cue_range"), "core_message", "narrative_pattern", "image", "annotation", "output")
 
 
 def srt_cues(spark, d):

@@ -64,8 +64,10 @@ def warnings(sources: DataFrame) -> DataFrame:
 
 def plain_cues(sources: DataFrame, chars_per_second: float = 6.0) -> DataFrame:
     """Cues of plain text: a sentence each, its length from its characters, PAUSE_MS between two."""
-    part = F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("text"), estimated_ms(s, chars_per_second).alias("dur_ms")))
-    rows = sources.select("source_id", F.posexplode(part).alias("n", "p")).select("source_id", (F.col("n") + 1).alias("index"), "p.*")
+    # the texts are dealt out before they are cut, so that a file of many isn't cut by one task; the sums below need the same key
+    texts = sources.select("source_id", "text").repartition("source_id")
+    rows = texts.select("source_id", F.posexplode(sentences(F.col("text"))).alias("n", "text"))
+    rows = rows.select("source_id", (F.col("n") + 1).alias("index"), "text", estimated_ms(F.col("text"), chars_per_second).alias("dur_ms"))
     before = Window.partitionBy("source_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("dur_ms") + PAUSE_MS).over(before), F.lit(0).cast("long"))
     rows = rows.withColumns({"source_block": F.col("index"), "start_ms": start, "estimated": F.lit(True)})

@@ -160,9 +160,74 @@ def test_pixels():
     assert raster.background(img).tolist() == [250, 250, 250] and content.sum() == ink.sum() == 25 * 3 + 3 * 14
     thin = raster.skeleton(ink)
     assert 0 < thin.sum() < ink.sum() and not (thin & ~ink).any()
-    assert raster.nearest_order([[(50, 5), (60, 5)], [(0, 0), (9, 0)], [(30, 1), (10, 1)]]) == [(1, False), (2, True), (0, False)]
-    line = raster.centreline([(0, 0), (80, 0), (80, 10), (0, 10)], True)
-    assert line[0] == (0, 5.0) and line[-1] == (80, 5.0)
+    assert raster.tour(np.array([(50, 5, 60, 5), (0, 0, 9, 0), (30, 1, 10, 1)])) == [(1, False), (2, True), (0, False)]
+
+
+def test_centrelines_and_hand_paths(spark):
+    box = [(0.0, 0.0), (80.0, 0.0), (80.0, 10.0), (0.0, 10.0)]
+    rows = [(1, 0, 0, box, True), (1, 0, 1, [(y, x) for x, y in box], False), (1, 1, 0, [(1.234, 2.0), (3.0, 4.0)], True), (1, 1, 1, [(2.0, 5.0), (2.0, 6.0), (2.0, 7.0)], True), (1, 1, 2, [(x * 5, y) for x, y in box], True)]
+    out = raster.hand_paths(spark.createDataFrame(rows, "scene_id long, char_pos int, contour_pos int, pts array<struct<x:double,y:double>>, horizontal boolean"))
+    got = {(r.char_pos, r.contour_pos): r.hand_path for r in out.collect()}
+    line = [tuple(p) for p in got[0, 0].points]
+    assert len(line) == 81 and line[0] == (0, 5.0) and line[-1] == (80, 5.0) and tuple(got[0, 0].end) == (80, 5.0)
+    assert [tuple(p)[::-1] for p in got[0, 1].points] == line
+    assert [tuple(p) for p in got[1, 0].points] == [(1.23, 2.0), (3.0, 4.0)] == [tuple(p) for p in got[1, 0].contour]
+    assert [tuple(p) for p in got[1, 1].points] == [(2.0, 5.0), (2.0, 6.0)]
+    assert [p.x for p in got[1, 2].points] == [*range(0, 401, 5)]
+
+
+def test_paths_follow_the_skeleton_or_the_grid(spark):
+    bar = [(1, 0, x, y) for x in range(4, 30) for y in range(4, 9)]
+    dot = [(1, 1, x, y) for x in (40, 41) for y in (4, 5)]
+    cells = spark.createDataFrame(bar + dot, "scene_id long, rank int, x int, y int")
+    none = spark.createDataFrame([], "scene_id long, x int, y int")
+    got = {r.rank: r for r in raster.element_paths(cells, none, 60, 20, edge=10).collect()}
+    assert set(got) == {0, 1} and len(got[0].points) >= 3 and all((0, p.x, p.y) in {b[1:] for b in bar} for p in got[0].points)
+    assert [tuple(p) for p in got[1].points] == [(45, 5)]  # too small for a skeleton: the middle of its square
+    ink = spark.createDataFrame([(1, x, 4) for x in range(4, 30)], "scene_id long, x int, y int")
+    drawn = {r.rank: r for r in raster.element_paths(cells, ink, 60, 20, edge=10).collect()}
+    assert {p.y for p in drawn[0].points} == {4}
+    brush = {r.rank: r for r in raster.brush_paths(spark.createDataFrame([], "scene_id long, rank int, points array<struct<x:int,y:int>>, pen_lifts array<int>"), cells, 60, 20, edge=10).collect()}
+    assert [tuple(p) for p in brush[1].points] == [(50, 10)]
+
+
+def test_outlines_walk_around_and_come_back():
+    assert raster.outline({(3, 3)}) == [(3, 3)]
+    line = raster.outline({(x, 0) for x in range(6)})
+    assert line[0] == (0, 0) and len(line) == 10 and set(line) == {(x, 0) for x in range(6)}
+    ring = {(x, y) for x in range(5) for y in range(5)}
+    walk = raster.outline(ring)
+    assert len(walk) == 16 and all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(walk, walk[1:]))
+
+
+def test_contours_mask_by_their_filling(spark):
+    square = [(2.0, 2.0), (10.0, 2.0), (10.0, 10.0), (2.0, 10.0)]
+    kind = f"{ELEMENT}, contour array<struct<x:double,y:double>>"
+    first = (*element(1, 0, "a", 1, (0, 0, 30, 30), pad=2, canvas=(32, 32)), square)
+    later = (*element(1, 1, "b", 2, (0, 0, 32, 32), canvas=(32, 32)), [(8.0, 0.0), (31.0, 0.0), (31.0, 31.0), (8.0, 31.0)])
+    alone = (*element(2, 0, "c", 1, (1, 1, 6, 6), canvas=(32, 32)), None)
+    for scale in (1.0, 0.5):
+        got = {}
+        for c in masks.cells(masks.pieces(masks.drawing_elements(spark.createDataFrame([first, later, alone], kind), scale=scale))).collect():
+            got.setdefault((c.scene_id, c.rank), set()).add((c.x, c.y))
+        at = lambda v: round(v * scale)
+        pad = round(2 * scale)
+        own = {(x, y) for x in range(at(2) - pad, at(10) + pad + 1) for y in range(at(2) - pad, at(10) + pad + 1)}
+        assert got[1, 0] == {c for c in own if c[0] >= 0 and c[1] >= 0 and c[0] < at(8)}
+        assert got[2, 0] == {(x, y) for x in range(at(1), at(7)) for y in range(at(1), at(7))}
+
+
+def test_a_scene_of_500_elements(spark):
+    r = random.Random(9)
+    rows = [element(1, k, f"e{k}", k + 1, (r.randrange(500), r.randrange(300), r.randint(1, 90), r.randint(1, 60)), 10 * k, 5, canvas=(640, 360), total=9000) for k in range(500)]
+    top = np.full((360, 640), -1)
+    for k, x in enumerate(rows):
+        a, b, w, h = x[4]
+        top[b : b + h, a : a + w] = k
+    got = {a.rank: (a.area, a.left) for a in masks.areas(masks.drawing_elements(elements(spark, rows))).collect()}
+    assert got == {k: (x[4][2] * x[4][3], int((top == k).sum())) for k, x in enumerate(rows)}
+    found = validate.issues(elements(spark, rows)).collect()
+    assert {i.element_id for i in found if i.code == "empty-mask"} == {f"e{k}" for k, (_, left) in got.items() if not left}
 
 
 def test_components_and_their_order(spark):
