@@ -183,44 +183,139 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def schema_issues(documents: DataFrame) -> DataFrame:
-    """source_id, path, problem: where JSON documents (source_id, json) break the annotation format.
+def _at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, f"$.{path}", "variant")
+
+
+class _Schema:
+    """Problems of a VARIANT, found by explicit rules: (path, problem) structs.
 
-    Types are taken from the JSON itself, so 1.0 or true is no integer. A text that
-    is no JSON object has the problem `no-object` at `root`.
+    Types are taken from the JSON itself, so 1.0 or true is no integer. What isn't
+    there has no problem but `required`.
     """
+
+    def __init__(self, v: Column, where: Column | str = ""):
+        self.v, self.where, self.found = v, F.lit(where) if isinstance(where, str) else where, []
+
+    def _add(self, path: str, ok: Column, what: str) -> None:
+        one = F.struct(F.concat(self.where, F.lit(path)).alias("path"), F.lit(what).alias("problem"))
+        self.found.append(F.when(~F.coalesce(ok, F.lit(False)), F.array(one)).otherwise(F.array()))
+
+    def _rule(self, path: str, test, what: str) -> None:
+        v = _at(self.v, path)
+        self._add(path, v.isNull() | test(v), what)
+
+    def required(self, *paths: str) -> _Schema:
+        for p in paths:
+            self._add(p, _at(self.v, p).isNotNull(), "required")
+        return self
+
+    def integer(self, path: str, least: int | None = None, most: int | None = None) -> _Schema:
+        n = lambda v: F.try_variant_get(v, "$", "bigint")
+        within = lambda v: (n(v) >= least if least is not None else F.lit(True)) & (n(v) <= most if most is not None else F.lit(True))
+        self._rule(path, lambda v: (_kind(v) == "BIGINT") & within(v), "integer")
+        return self
+
+    def text(self, *paths: str, least: int = 0) -> _Schema:
+        for p in paths:
+            self._rule(p, lambda v: (_kind(v) == "STRING") & (F.length(F.try_variant_get(v, "$", "string")) >= least), "string")
+        return self
+
+    def truth(self, *paths: str) -> _Schema:
+        for p in paths:
+            self._rule(p, lambda v: _kind(v) == "BOOLEAN", "boolean")
+        return self
+
+    def objects(self, *paths: str) -> _Schema:
+        for p in paths:
+            self._rule(p, lambda v: _kind(v).startswith("OBJECT"), "object")
+        return self
+
+    def lists(self, path: str, least: int = 0, texts: bool = False) -> _Schema:
+        items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+        good = lambda v: F.forall(items(v), lambda x: F.coalesce(_kind(x) == "STRING", F.lit(False))) if texts else F.lit(True)
+        self._rule(path, lambda v: _kind(v).startswith("ARRAY") & (F.size(items(v)) >= least) & good(v), "array")
+        return self
+
+    def one_of(self, path: str, values: tuple[str, ...]) -> _Schema:
+        self._rule(path, lambda v: F.try_variant_get(v, "$", "string").isin(*values), "enum")
+        return self
+
+    def colour(self, path: str) -> _Schema:
+        self._rule(path, lambda v: (_kind(v) == "STRING") & F.try_variant_get(v, "$", "string").rlike("^#[0-9A-Fa-f]{6}$"), "pattern")
+        return self
+
+    def closed(self, path: str, keys: tuple[str, ...]) -> _Schema:
+        """Nothing but `keys` in an object."""
+        names = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        self._rule(path, lambda v: ~_kind(v).startswith("OBJECT") | (F.size(F.array_except(names(v), F.array(*map(F.lit, keys)))) == 0), "additional")
+        return self
+
+    def region(self, path: str) -> _Schema:
+        self.objects(path).closed(path, ("x", "y", "width", "height"))
+        self.required(*(f"{path}.{k}" for k in ("x", "y", "width", "height")))
+        for k, least in (("x", 0), ("y", 0), ("width", 1), ("height", 1)):
+            self.integer(f"{path}.{k}", least)
+        return self
+
+    def points(self, path: str, least: int) -> _Schema:
+        point = lambda x: F.coalesce(_kind(x).startswith("ARRAY") & (F.size(F.try_variant_get(x, "$", "array<variant>")) == 2) & F.forall(F.try_variant_get(x, "$", "array<variant>"), lambda n: F.coalesce(_kind(n).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.lit(False))), F.lit(False))
+        items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+        self._rule(path, lambda v: _kind(v).startswith("ARRAY") & (F.size(items(v)) >= least) & F.forall(items(v), point), "points")
+        return self
+
+    def all(self) -> Column:
+        return F.concat(*self.found)
+
+
+def _parsed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents whose JSON is an object, as (source_id, v), and the problem of the others."""
     d = documents.select("source_id", F.try_parse_json("json").alias("v"))
     whole = F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))
-    integer = lambda v, least=None: F.coalesce(_kind(v) == "BIGINT", F.lit(False)) & (F.lit(True) if least is None else F.coalesce(F.try_variant_get(v, "$", "bigint") >= least, F.lit(False)))
-    text = lambda v: F.coalesce(_kind(v) == "STRING", F.lit(False))
-    at = lambda v, path: F.try_variant_get(v, path, "variant")
-
-    def problem(path: Column, ok: Column, what: str) -> Column:
-        return F.when(~ok, F.array(F.struct(path.alias("path"), F.lit(what).alias("problem")))).otherwise(F.array())
-
-    def numbers(v: Column, where: Column, keys: dict[str, int]) -> list[Column]:
-        return [problem(F.concat(where, F.lit(f"{k}")), integer(at(v, f"$.{k}"), least), "integer") for k, least in keys.items()]
-
-    v = F.col("v")
-    top = [problem(F.lit(k), at(v, f"$.{k}").isNotNull(), "required") for k in REQUIRED]
-    top += [problem(F.lit("sceneDurationMs"), at(v, "$.sceneDurationMs").isNull() | integer(at(v, "$.sceneDurationMs"), 1), "integer")]
-    top += [problem(F.lit("finalHoldMs"), at(v, "$.finalHoldMs").isNull() | integer(at(v, "$.finalHoldMs"), 0), "integer")]
-    top += [problem(F.lit("background"), at(v, "$.background").isNull() | F.coalesce(F.try_variant_get(v, "$.background", "string").rlike("^#[0-9A-Fa-f]{6}$"), F.lit(False)), "pattern")]
-    top += [c for c in numbers(at(v, "$.canvas"), F.lit("canvas."), {"width": 1, "height": 1})]
-    rows = d.select("source_id", "v", whole.alias("whole"))
-    first = rows.where(~F.col("whole")).select("source_id", F.lit("root").alias("path"), F.lit("no-object").alias("problem"))
-    scene = rows.where("whole").select("source_id", F.explode(F.concat(*top)).alias("i")).select("source_id", "i.*")
-    items = rows.where("whole").select("source_id", F.posexplode(F.try_variant_get("v", "$.elements", "array<variant>")).alias("n", "v"))
-    where = F.concat(F.lit("elements."), F.col("n").cast("string"), F.lit("."))
-    each = [problem(F.concat(where, F.lit(k)), at(v, f"$.{k}").isNotNull(), "required") for k in ELEMENT_REQUIRED]
-    each += [problem(F.concat(where, F.lit("sequence")), at(v, "$.sequence").isNull() | integer(at(v, "$.sequence"), 1), "integer")]
-    each += [problem(F.concat(where, F.lit("id")), at(v, "$.id").isNull() | text(at(v, "$.id")), "string")]
-    each += [problem(F.concat(where, F.lit("maskPolicy")), at(v, "$.maskPolicy").isNull() | F.coalesce(F.try_variant_get(v, "$.maskPolicy", "string").isin(*POLICIES), F.lit(False)), "enum")]
-    each += [problem(F.concat(where, F.lit("reveal.direction")), at(v, "$.reveal.direction").isNull() | F.coalesce(F.try_variant_get(v, "$.reveal.direction", "string").isin(*DIRECTIONS), F.lit(False)), "enum")]
-    each += numbers(at(v, "$.region"), F.concat(where, F.lit("region.")), {"x": 0, "y": 0, "width": 1, "height": 1})
-    each += numbers(at(v, "$.reveal"), F.concat(where, F.lit("reveal.")), {"startMs": 0, "durationMs": 1})
-    parts = items.select("source_id", F.explode(F.concat(*each)).alias("i")).select("source_id", "i.*")
-    return first.unionByName(scene).unionByName(parts)
+    return d.where(whole), d.where(~whole).select("source_id", F.lit("root").alias("path"), F.lit("no-object").alias("problem"))
+
+
+def _items(d: DataFrame, path: str) -> tuple[DataFrame, Column]:
+    """Each item of an array as (source_id, n, v), and the path that its problems begin with."""
+    rows = d.select("source_id", F.posexplode(F.try_variant_get("v", f"$.{path}", "array<variant>")).alias("n", "v"))
+    return rows, F.concat(F.lit(f"{path}."), F.col("n").cast("string"), F.lit("."))
+
+
+def _problems(rows: DataFrame, schema: _Schema) -> DataFrame:
+    return rows.select("source_id", F.inline(schema.all()))
+
+
+def schema_issues(documents: DataFrame) -> DataFrame:
+    """source_id, path, problem: where JSON documents (source_id, json) break the annotation format.
+
+    A text that is no JSON object has the problem `no-object` at `root`.
+    """
+    d, broken = _parsed(documents)
+    top = _Schema(F.col("v")).required(*REQUIRED).integer("version", 1).text("sceneId", least=1).text("storyBasis", "coreMessage").colour("background").integer("finalHoldMs", 0)
+    top.objects("canvas").closed("canvas", ("width", "height")).required("canvas.width", "canvas.height").integer("canvas.width", 2).integer("canvas.height", 2)
+    top.integer("sceneDurationMs", 1).lists("elements", 1)
+    rows, where = _items(d, "elements")
+    each = _Schema(F.col("v"), where).required(*ELEMENT_REQUIRED).text("id", "label", least=1).integer("sequence", 1).text("type", "narrativeRole", "subtitle").lists("subjectIds", texts=True).integer("zIndex")
+    each.one_of("maskPolicy", POLICIES).region("region").objects("reveal").required("reveal.startMs", "reveal.durationMs").one_of("reveal.direction", DIRECTIONS)
+    each.integer("reveal.startMs", 0).integer("reveal.durationMs", 1).integer("reveal.maskPaddingPx", 0).lists("reveal.protectedRegions")
+    each.objects("handPath").text("handPath.kind", "handPath.easing").points("handPath.points", 2).points("handPath.contour", 3)
+    shields = rows.select("source_id", "n", F.posexplode(F.try_variant_get("v", "$.reveal.protectedRegions", "array<variant>")).alias("k", "r"))
+    shields = shields.select("source_id", F.concat(F.lit("elements."), F.col("n").cast("string"), F.lit(".reveal.protectedRegions."), F.col("k").cast("string"), F.lit(":")).alias("at"), F.parse_json(F.concat(F.lit('{"r":'), F.to_json("r"), F.lit("}"))).alias("v"))
+    return broken.unionByName(_problems(d, top)).unionByName(_problems(rows, each)).unionByName(_problems(shields, _Schema(F.col("v"), F.col("at")).region("r")))
+
+
+def project_schema_issues(documents: DataFrame) -> DataFrame:
+    """source_id, path, problem: where JSON documents (source_id, json) break the project format."""
+    d, broken = _parsed(documents)
+    top = _Schema(F.col("v")).required(*PROJECT_REQUIRED).integer("version", 1)
+    top.objects("project", "workflow", "subject_profile", "canvas", "paths", "render").lists("scenes").lists("assumptions", texts=True)
+    top.required("project.name", "project.language", "workflow.mode", "subject_profile.mode", "subject_profile.subjects", "canvas.width", "canvas.height", "canvas.fps", "canvas.background")
+    top.text("project.name", least=1).text("project.language", "project.root").one_of("workflow.mode", WORKFLOW_MODES).truth("workflow.overwrite").one_of("subject_profile.mode", SUBJECT_MODES)
+    top.integer("canvas.width", 2).integer("canvas.height", 2).integer("canvas.fps", 1, 120).colour("canvas.background").objects("subject_profile.subjects")
+    rows = d.select("source_id", F.explode(F.try_variant_get("v", "$.subject_profile.subjects", "map<string,variant>")).alias("key", "v"))
+    where = F.concat(F.lit("subject_profile.subjects."), F.col("key"), F.lit("."))
+    each = _Schema(F.col("v"), where).required("kind", "replaceable").text("kind", "name").truth("replaceable").objects("appearance").lists("identity_lock", texts=True).lists("negative_constraints", texts=True)
+    return broken.unionByName(_problems(d, top)).unionByName(_problems(rows, each))
 
 
 def missing_paths(references: DataFrame, files: DataFrame) -> DataFrame:

@@ -79,12 +79,29 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(("subtract-later", "explicit", "none"), s).alias("policy"),
         F.when(F.col("l_discount") > 0.005, F.col("l_returnflag")).alias("subtitle"),
         F.when(F.col("l_tax") > 0.005, F.col("l_linestatus")).alias("narrative_role"),
-        F.when(p % 5 == 0, F.array(region(p % 30 + 1, s % 16, F.lit(2), F.lit(2)), region(p % 28, s % 14 + 1, q % 4 + 1, F.lit(3)))).otherwise(F.array()).alias("protected"),
+        F.when(p % 5 == 0, F.array(region(p % 30 + 1, s % 16, F.lit(2), F.lit(2)), region(p % 30 + 4, s % 14 + 1, q % 4 + 1, F.lit(3)))).otherwise(F.array()).alias("protected"),
         (p % 3).cast("int").alias("padding"),
     )
     return rows.withColumns({"canvas_width": F.lit(CANVAS[0]), "canvas_height": F.lit(CANVAS[1]), "scene_duration_ms": F.lit(3000), "final_hold_ms": F.lit(700)})
 
 
+def checked_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """elements() with a canvas of no width for every 97th scene."""
+    return elements(spark, sf_dir).withColumn("canvas_width", F.when(F.col("scene_id") % 97 == 0, 0).otherwise(F.col("canvas_width")))
+
+
+def annotation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, json: an annotation for each line item, broken in one way or none by l_partkey modulo 11."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    way = F.col("l_partkey") % 11
+    number = lambda k, bad, good: F.when(way == k, F.lit(bad)).otherwise(good.cast("string"))
+    json = F.concat(
+        F.lit('{"sceneId":"s","canvas":{"width":'), number(1, "1", F.lit(32)), F.lit(',"height":'), number(2, "18.5", F.lit(18)), F.lit('},"sceneDurationMs":'), number(3, "true", F.lit(3000)),
+        F.when(way == 4, F.lit('}')).otherwise(F.concat(F.lit(',"elements":[{"id":"e","label":'), number(5, '""', F.lit('"x"')), F.lit(',"sequence":'), F.col("l_linenumber").cast("string"), F.lit(',"maskPolicy":'), number(6, '"other"', F.lit('"none"')), F.lit(',"region":{"x":'), (F.col("l_suppkey") % 9).cast("string"), F.lit(',"y":0,"width":'), number(7, "0", F.lit(3)), F.lit(',"height":2},"reveal":{"startMs":0'), F.when(way == 8, F.lit("")).otherwise(F.lit(',"durationMs":5')), F.lit("}}]}"))),
+    )
+    return li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("source_id"), F.when(way == 9, F.lit("[]")).otherwise(json).alias("json"))
+
+
 def subject_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_id, subject_ids: a user's event types in the order of event_id, repeats included."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))

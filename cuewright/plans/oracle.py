@@ -97,7 +97,7 @@ el AS (
     list_extract(['left_to_right', 'right_to_left', 'top_to_bottom', 'bottom_to_top', 'radial', 'auto'], p % 6 + 1) AS direction,
     list_extract(['subtract-later', 'explicit', 'none'], s % 3 + 1) AS policy, CASE WHEN l_discount > 0.005 THEN l_returnflag END AS subtitle,
     CASE WHEN l_tax > 0.005 THEN l_linestatus END AS role, p % 3 AS pad,
-    CASE WHEN p % 5 = 0 THEN [{'x': p % 30 + 1, 'y': s % 16, 'w': 2, 'h': 2}, {'x': p % 28, 'y': s % 14 + 1, 'w': q % 4 + 1, 'h': 3}] ELSE [] END AS protected, 32 AS cw FROM li),
+    CASE WHEN p % 5 = 0 THEN [{'x': p % 30 + 1, 'y': s % 16, 'w': 2, 'h': 2}, {'x': p % 30 + 4, 'y': s % 14 + 1, 'w': q % 4 + 1, 'h': 3}] ELSE [] END AS protected, CASE WHEN l_orderkey % 97 = 0 THEN 0 ELSE 32 END AS cw FROM li),
 e AS (
   SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY seq, position) - 1 AS vr, row_number() OVER (PARTITION BY scene_id ORDER BY seq, start_ms, position) - 1 AS rank,
     start_ms >= 0 AND dur > 0 AS sound, start_ms + dur AS end_ms, cw > 0 AND x + w <= 32 AND y + h <= 18 AS fits, cw > 0 AS canvas_ok FROM el)"""
@@ -194,6 +194,21 @@ ik AS (
 
 LISTS = "s AS (SELECT user_id AS scene_id, event_id, event_type FROM events)"
 
+#: Skeletons by repeated erosion with a cross: what an opening of each eroded set takes away.
+LEVELS = 16
+
+
+def _eroded() -> str:
+    near = "(cx = 0 OR EXISTS (SELECT 1 FROM {b} n WHERE {k} AND n.cx = a.cx - 1 AND n.cy = a.cy)) AND (cx = 31 OR EXISTS (SELECT 1 FROM {b} n WHERE {k} AND n.cx = a.cx + 1 AND n.cy = a.cy)) AND (cy = 0 OR EXISTS (SELECT 1 FROM {b} n WHERE {k} AND n.cx = a.cx AND n.cy = a.cy - 1)) AND (cy = 17 OR EXISTS (SELECT 1 FROM {b} n WHERE {k} AND n.cx = a.cx AND n.cy = a.cy + 1))"
+    key = "n.scene_id = a.scene_id AND n.rank = a.rank"
+    out = ["e0 AS MATERIALIZED (SELECT scene_id, rank, cx, cy FROM cel WHERE kept)"]
+    for k in range(1, LEVELS):
+        out.append(f"e{k} AS MATERIALIZED (SELECT * FROM e{k - 1} a WHERE {near.format(b=f'e{k - 1}', k=key)})")
+    # a cell is in an opened set if it or a neighbour is in the next eroded one
+    parts = [f"SELECT * FROM e{k} a WHERE NOT EXISTS (SELECT 1 FROM e{k + 1} n WHERE {key} AND abs(n.cx - a.cx) + abs(n.cy - a.cy) <= 1)" for k in range(LEVELS - 1)]
+    return ",\n".join(out) + ",\nsk AS (" + " UNION ".join(parts) + ")"
+
+
 ORACLE = {
     "plain_cues": f"WITH {DOCS} SELECT * FROM cues",
     "scene_labels": f"WITH RECURSIVE {DOCS},{_labelled(*PLAIN)} SELECT source_id, index, scene_no, reason FROM seg",
@@ -249,4 +264,42 @@ SELECT scene_id, char_pos, stroke_rank, contour_pos, row_number() OVER w::INT AS
   CASE direction WHEN 'top_to_bottom' THEN y + h - 1 WHEN 'bottom_to_top' THEN y + 1 ELSE y + h // 2 END::INT AS y2 FROM e""",
     "fitted_sizes": """WITH a AS (SELECT p_partkey, p_partkey % 3000 + 1 AS w, p_partkey * 7 % 2500 + 1 AS h FROM part), b AS (SELECT *, CASE WHEN greatest(w, h) > 640 THEN 640.0::DOUBLE / greatest(w, h) ELSE 1.0::DOUBLE END AS s FROM a),
 c AS (SELECT p_partkey, greatest(2, round_even(w * s, 0))::INT AS w, greatest(2, round_even(h * s, 0))::INT AS h FROM b) SELECT p_partkey, greatest(2, w - w % 2) AS width, greatest(2, h - h % 2) AS height FROM c""",
+    "pointers": f"""WITH {ELEMENTS}, {WIPE}, u AS (SELECT *, k / 5.0 AS t, 0.5 - 0.5 * cos(pi() * k / 5.0) AS ep, 0.5 + 0.35 * sin(k / 5.0 * 8 * pi()) AS wave FROM rd, range(6) r(k)),
+v AS (SELECT *, round_even(rw * ep, 0)::INT AS al, round_even(rh * ep, 0)::INT AS dn, sqrt(rw * rw / 4.0 + rh * rh / 4.0) * ep AS ra, t * 5 * pi() AS an, x0 + trunc(wave * rw)::INT AS swx, y0 + trunc(wave * rh)::INT AS swy FROM u)
+SELECT scene_id, rank, k::INT AS step,
+  greatest(0, least(31, CASE d WHEN 'right_to_left' THEN greatest(x0, least(x1 - 1, x1 - al)) WHEN 'top_to_bottom' THEN swx WHEN 'bottom_to_top' THEN swx WHEN 'radial' THEN trunc(x0 + rw / 2.0 + cos(an) * ra)::INT ELSE least(x1 - 1, x0 + al) END))::INT AS x,
+  greatest(0, least(17, CASE d WHEN 'top_to_bottom' THEN least(y1 - 1, y0 + dn) WHEN 'bottom_to_top' THEN greatest(y0, y1 - dn) WHEN 'radial' THEN trunc(y0 + rh / 2.0 + sin(an) * ra)::INT ELSE swy END))::INT AS y FROM v""",
+    "resampled_paths": f"""WITH {OUTLINES}, r AS (SELECT scene_id, contour_pos, list_transform(px, lambda v: round_even(v, 0)) AS xs, list_transform(py, lambda v: round_even(v, 0)) AS ys FROM ol),
+g AS (SELECT *, unnest(range(1, 4)) AS i FROM r),
+n AS (SELECT *, sqrt((xs[i + 1] - xs[i]) ** 2 + (ys[i + 1] - ys[i]) ** 2) AS n FROM g),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY scene_id, contour_pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM n WHERE n > 1e-6),
+q AS (SELECT *, floor((pos + n) / 3 + 1e-9) AS hi, floor(pos / 3 + 1e-9) AS lo FROM c),
+w AS (SELECT scene_id, contour_pos, sum(hi - lo) AS k, arg_max({{'x': round_even(xs[i] + (xs[i + 1] - xs[i]) * (hi * 3 - pos) / n, 0), 'y': round_even(ys[i] + (ys[i + 1] - ys[i]) * (hi * 3 - pos) / n, 0)}}, i) FILTER (hi > lo) AS p FROM q GROUP BY ALL)
+SELECT scene_id, contour_pos, (1 + k + CASE WHEN coalesce(p.x, xs[1]) = xs[4] AND coalesce(p.y, ys[1]) = ys[4] THEN 0 ELSE 1 END)::INT AS points, xs[1]::INT AS first_x, xs[4]::INT AS last_x, ys[4]::INT AS last_y FROM w JOIN r USING (scene_id, contour_pos)""",
+    "skeletons": f"WITH {CELLS}, {_eroded()} SELECT scene_id, rank, count(*) AS cells FROM sk GROUP BY ALL",
+    "schema_problems": """WITH w AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS source_id, l_partkey % 11 AS way FROM lineitem)
+SELECT source_id, list_extract(['canvas.width', 'canvas.height', 'sceneDurationMs', 'elements', 'elements.0.label', 'elements.0.maskPolicy', 'elements.0.region.width', 'elements.0.reveal.durationMs', 'root'], way) AS path,
+  list_extract(['integer', 'integer', 'integer', 'required', 'string', 'enum', 'integer', 'required', 'no-object'], way) AS problem FROM w WHERE way BETWEEN 1 AND 9""",
+    "mixed_cues": f"""WITH {CAPTIONS}, docs AS (SELECT doc_id AS source_id, text FROM documents), {_cut("docs").replace("cues AS", "pc AS")}
+SELECT 'u' || source_id AS source_id, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, source_block)::INT AS index, source_block, start_ms, end_ms, dur_ms, text, false AS estimated FROM good WHERE source_id % 2 = 0
+UNION ALL SELECT 'd' || source_id, index, source_block, start_ms, end_ms, dur_ms, text, estimated FROM pc""",
+    "exported_captions": f"""WITH {TURNS}, b AS (SELECT source_id, index, index || chr(10) || printf('%02d:%02d:%02d.%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) || ' --> ' || printf('%02d:%02d:%02d.%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) || chr(10) || text AS b FROM cues)
+SELECT source_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY index) || chr(10) AS text FROM b GROUP BY source_id""",
+    "preview_labels": f"""WITH {ELEMENTS} SELECT scene_id, position, seq || '. ' || coalesce(subtitle, id) || CASE WHEN position % 2 = 0 THEN '  [host,guest]' ELSE '' END || printf('  %.1f-%.1fs  ', round(start_ms / 1000.0, 1), round((start_ms + dur) / 1000.0, 1)) || direction AS label FROM e""",
+    "moved_regions": f"""WITH {ELEMENTS}, m AS (SELECT *, position * 7 % 23 - 11 AS dx, seq * 5 % 13 - 6 AS dy FROM e WHERE x + w <= 32 AND y + h <= 18)
+SELECT scene_id, position, greatest(0, least(32 - w, x + dx))::INT AS x, greatest(0, least(18 - h, y + dy))::INT AS y, greatest(1, least(32 - x, w + dx))::INT AS width, greatest(1, least(18 - y, h + dy))::INT AS height,
+  10 BETWEEN x AND x + w AND 8 BETWEEN y AND y + h AS hit FROM m""",
+    "resequenced_elements": f"WITH {ELEMENTS} SELECT scene_id, id AS element_id, (position + 1)::INT AS sequence FROM e",
+    "filled_defaults": f"""WITH {ELEMENTS} SELECT scene_id, position, CASE WHEN position % 2 = 0 THEN 'element-' || (position + 1) ELSE id END AS element_id, CASE WHEN position % 3 = 0 THEN position + 1 ELSE seq END AS sequence, CASE WHEN position % 2 = 0 THEN 0 ELSE start_ms END AS start_ms,
+  CASE WHEN position % 3 = 0 THEN 1200 ELSE dur END AS duration_ms, CASE WHEN position % 2 = 0 THEN 'auto' ELSE direction END AS direction, CASE WHEN position % 3 = 0 THEN 'subtract-later' ELSE policy END AS policy, 700 AS final_hold_ms FROM e""",
+    "subject_profiles": """WITH t AS (SELECT DISTINCT user_id, event_type FROM events), f AS (SELECT user_id, min(event_type) AS first, bool_or(event_type = 'view') AS had FROM t GROUP BY user_id),
+k AS (SELECT user_id, event_type AS id FROM t WHERE event_type NOT IN ('view', 'host') UNION SELECT user_id, 'host' FROM f)
+SELECT user_id AS project_id, CASE WHEN user_id % 10 = 0 THEN 'none' ELSE 'adaptive' END AS mode, CASE WHEN user_id % 10 = 0 OR first = 'click' THEN NULL WHEN first = 'view' THEN 'host' ELSE first END AS default_id,
+  CASE WHEN user_id % 10 = 0 THEN '' ELSE (SELECT string_agg(id, ',' ORDER BY id) FROM k WHERE k.user_id = f.user_id AND id <> 'click') END AS ids,
+  CASE WHEN user_id % 10 <> 0 THEN CASE WHEN had THEN 'person' ELSE 'object' END END AS kind, CASE WHEN user_id % 10 <> 0 THEN CASE WHEN had THEN 'coat:blue,hat:red' ELSE 'coat:blue' END END AS look FROM f""",
+    "text_fields": """SELECT c_custkey, printf('scene-%02d', c_custkey % 100) AS scene_id, c_mktsegment AS key, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::VARCHAR ELSE 'two = words' END AS raw, c_mktsegment || '|' || c_custkey AS items, c_custkey % 3 < 2 AS timed FROM customer""",
+    "laid_out": """WITH l AS (SELECT l_orderkey, l_quantity::DOUBLE AS a, sum(l_quantity::DOUBLE) OVER w AS upto, row_number() OVER w - 1 AS k, sum(l_quantity::DOUBLE) OVER (PARTITION BY l_orderkey) AS total, count(*) OVER (PARTITION BY l_orderkey) AS n
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING))
+SELECT l_orderkey AS scene_id, k::INT AS char_pos, round((320 - total - 2 * (n - 1)) / 2.0 + upto - a + 2 * k, 6)::DOUBLE AS x, 105.0::DOUBLE AS baseline FROM l""",
+    "final_alphas": f"""WITH {ELEMENTS} SELECT scene_id, position, CASE WHEN seq % 3 = 2 OR position % 2 = 0 THEN 1.0 WHEN seq % 3 = 1 THEN (start_ms % 4 + 1) / 4.0 ELSE 0.0 END::DOUBLE AS alpha FROM e WHERE start_ms >= 0""",
 } | {f"issues_{c.replace('-', '_')}": f"WITH {ISSUES} SELECT * FROM issues WHERE code = '{c}'" for c in CODES}

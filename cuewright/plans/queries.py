@@ -17,7 +17,7 @@ SHORT = segment.Rules(20, 6, 40, 12)
 TIMING = schedule.Timing(fps=15)
 #: Wipe steps of the reveal queries.
 STEPS = 6
-CODES = ("duplicate-id", "sequence-gap", "region-out-of-bounds", "invalid-start", "invalid-duration", "element-exceeds-scene", "missing-subtitle", "missing-narrative-role", "protected-region-out-of-bounds", "over-masked", "empty-mask", "timeline-overlap", "insufficient-final-hold")
+CODES = ("duplicate-id", "sequence-gap", "invalid-canvas", "region-out-of-bounds", "invalid-start", "invalid-duration", "element-exceeds-scene", "missing-subtitle", "missing-narrative-role", "protected-region-out-of-bounds", "over-masked", "empty-mask", "timeline-overlap", "insufficient-final-hold")
 
 
 def plain_cues(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def colours(spark, d):
 
 
 def annotation_issues(spark, d):
-    return validate.issues(adapters.elements(spark, d))
+    return validate.issues(adapters.checked_elements(spark, d))
 
 
 def issues_of(code: str, spark, d):
@@ -97,7 +97,7 @@ def issues_of(code: str, spark, d):
 
 
 def annotation_report(spark, d):
-    return validate.report(adapters.elements(spark, d))
+    return validate.report(adapters.checked_elements(spark, d))
 
 
 def timeline_overlaps(spark, d):
@@ -218,11 +218,87 @@ def skeletons(spark, d):
     return raster.skeleton_cells(allowed_cells(spark, d), *adapters.CANVAS).groupBy("scene_id", "rank").agg(F.count("*").alias("cells"))
 
 
+def schema_problems(spark, d):
+    return validate.schema_issues(adapters.annotation_documents(spark, d))
+
+
+def mixed_cues(spark, d):
+    """Captions of even users, and the documents as plain text, each format by what the text holds."""
+    captions = adapters.caption_sources(spark, d).where("source_id % 2 = 0").select(F.concat(F.lit("u"), "source_id").alias("source_id"), "text")
+    plain = adapters.document_sources(spark, d).select(F.concat(F.lit("d"), "source_id").alias("source_id"), "text")
+    return timed_text.cues(captions.unionByName(plain))
+
+
+def exported_captions(spark, d):
+    """The conversations' cues as WebVTT."""
+    return timed_text.to_srt(timed_text.cues(adapters.conversation_sources(spark, d)), webvtt=True)
+
+
+def preview_labels(spark, d):
+    ids = F.when(F.col("position") % 2 == 0, F.array(F.lit("host"), F.lit("guest"))).otherwise(F.array())
+    label = geometry.preview_label(F.col("sequence"), F.col("subtitle"), F.col("element_id"), ids, F.col("start_ms"), F.col("duration_ms"), F.col("direction"))
+    return adapters.elements(spark, d).select("scene_id", "position", label.alias("label"))
+
+
+def moved_regions(spark, d):
+    size = F.lit(adapters.CANVAS[0]), F.lit(adapters.CANVAS[1])
+    shift = (F.col("position") * 7 % 23 - 11).cast("double"), (F.col("sequence") * 5 % 13 - 6).cast("double")
+    a, b = geometry.moved(F.col("region"), *shift, *size), geometry.resized(F.col("region"), *shift, *size)
+    hit = geometry.hits(F.col("region"), F.lit(10), F.lit(8))
+    return adapters.elements(spark, d).where("region.x + region.width <= 32 and region.y + region.height <= 18").select("scene_id", "position", a["x"].alias("x"), a["y"].alias("y"), b["width"].alias("width"), b["height"].alias("height"), hit.alias("hit"))
+
+
+def resequenced_elements(spark, d):
+    e = adapters.elements(spark, d).groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("element_id").alias("id")))).alias("elements"))
+    return subjects.resequenced(e)
+
+
+def filled_defaults(spark, d):
+    odd = lambda c, k: F.when(F.col("position") % k != 0, F.col(c)).alias(c)
+    e = adapters.elements(spark, d).select("scene_id", "position", odd("element_id", 2), odd("sequence", 3), odd("start_ms", 2), odd("duration_ms", 3), odd("direction", 2), odd("policy", 3), odd("final_hold_ms", 2))
+    return subjects.with_defaults(e)
+
+
+def subject_profiles(spark, d):
+    """A profile for each user, with a subject for each type of event; `view` is replaced by `host`."""
+    kinds = "struct<kind:string,name:string,replaceable:boolean,appearance:map<string,string>,identity_lock:array<string>,negative_constraints:array<string>>"
+    entry = F.struct(F.lit("person"), F.col("event_type"), F.lit(True), F.create_map(F.lit("hat"), F.lit("red")), F.array(F.lit("face")), F.array().cast("array<string>")).cast(kinds)
+    rows = adapters.table(spark, d, "events").select("user_id", "event_type").distinct().select("user_id", F.struct(F.col("event_type").alias("k"), entry.alias("v")).alias("e"))
+    p = rows.groupBy(F.col("user_id").alias("project_id")).agg(F.map_from_entries(F.collect_list("e")).alias("subjects"), F.min("e.k").alias("default_id"))
+    p = subjects.upserted(p, "host", replace_id="view", name="Host", appearance={"coat": "blue"}).withColumn("mode", F.lit("adaptive"))
+    after = subjects.dropped(p, "click")
+    none = subjects.emptied(p.where("project_id % 10 = 0")).unionByName(after.where("project_id % 10 != 0"))
+    host = F.try_element_at("subjects", F.lit("host"))
+    look = F.array_join(F.transform(F.array_sort(F.map_entries(host["appearance"])), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return none.select("project_id", "mode", "default_id", F.array_join(F.array_sort(F.map_keys("subjects")), ",").alias("ids"), host["kind"].alias("kind"), look.alias("look"))
+
+
+def text_fields(spark, d):
+    rows = adapters.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("scene-"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit("-any-title")).alias("stem"), F.concat(F.lit(" "), "c_mktsegment", F.lit(" = "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise(F.lit("two = words"))).alias("pair"), F.concat("c_mktsegment", F.lit(", ,"), F.col("c_custkey").cast("string"), F.lit(",")).alias("field"), F.concat(F.lit("File."), F.element_at(F.array(F.lit("SRT"), F.lit("vtt"), F.lit("txt")), (F.col("c_custkey") % 3 + 1).cast("int"))).alias("file"))
+    pair = text.key_value(F.col("pair"))
+    return rows.select("c_custkey", text.id_from_stem(F.col("stem")).alias("scene_id"), pair["key"].alias("key"), pair["raw"].alias("raw"), F.array_join(text.listed(F.col("field")), "|").alias("items"), text.is_timed_file(F.col("file")).alias("timed"))
+
+
+def laid_out(spark, d):
+    """Pen positions of a line of characters: the items of an order, as wide as their quantities."""
+    line = adapters.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("a")))).alias("l"))
+    pens = geometry.layout(F.col("l.a"), 2.0, F.lit(320), F.lit(180), F.lit(40.0), F.lit(10.0))
+    rows = line.select(F.col("l_orderkey").alias("scene_id"), F.posexplode(pens).alias("char_pos", "p"))
+    return rows.select("scene_id", "char_pos", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("baseline"))
+
+
+def final_alphas(spark, d):
+    mode = F.element_at(F.array(F.lit("union-only"), F.lit("fade-full"), F.lit("full-source")), (F.col("sequence") % 3 + 1).cast("int"))
+    alpha = reveal.final_alpha(mode, F.col("position") % 2 == 0, F.col("start_ms") % 4, F.lit(4))
+    return adapters.elements(spark, d).where("start_ms >= 0").select("scene_id", "position", alpha.cast("double").alias("alpha"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         plain_cues, scene_labels, scene_rollup, event_scenes, conversation_scenes, break_reasons, source_summary, project_scenes, srt_cues, vtt_cues, parse_warnings, text_scalars, clean_pages, colours,
         annotation_issues, annotation_report, timeline_overlaps, element_frames, scene_frames, merged_offsets, frame_table, progress_steps, allowed_areas, scaled_areas, allowed_cells, wipe_cells, pointers, ease_curve,
         replaced_subjects, removed_subjects, contour_areas, stroke_order, bezier_points, resampled_paths, arrows, fitted_sizes, components, stroke_paths, skeletons,
+        schema_problems, mixed_cues, exported_captions, preview_labels, moved_regions, resequenced_elements, filled_defaults, subject_profiles, text_fields, laid_out, final_alphas,
     )
 } | {f"issues_{c.replace('-', '_')}": partial(issues_of, c) for c in CODES}

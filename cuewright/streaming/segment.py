@@ -1,8 +1,10 @@
 """Scenes of an unbounded stream of cues.
 
 An extension of the batch operator: a cue's label needs the start of the next one,
-so the last cue of each source is held back until its successor arrives. The merge
-of a short tail needs the end of the input and is left to the batch.
+so the last cue of each source is held back until its successor arrives, or until
+the source has been silent for a while: then it is closed, its last cue given out
+as the end of its input, and its state dropped. The merge of a short tail needs the
+end of the input and is left to the batch.
 """
 
 from __future__ import annotations
@@ -20,8 +22,28 @@ OUT = "source_id long, index long, scene_no int, reason string"
 STATE = "scene int, begin long, closed boolean, held string"
 
 
-def scene_labels(cues: DataFrame, rules: Rules = TIMED) -> DataFrame:
-    """source_id, index, scene_no, reason for a stream of cues that come in order within each source."""
+def _reason(span: int, wait: int, sentence: bool, clause: bool, ms: dict[str, int], punctuation: bool) -> str | None:
+    """Why a scene of this span ends with this cue, if it does."""
+    if span >= ms["most"]:
+        return "max-duration"
+    if span < ms["least"]:
+        return None
+    if wait >= ms["gap"]:
+        return "subtitle-gap"
+    if punctuation and sentence and span >= ms["sentence"]:
+        return "sentence-boundary"
+    return "target-duration" if span >= ms["target"] and (not punctuation or clause or span >= ms["late"]) else None
+
+
+#: Silence after which a source is closed, in ms of processing time.
+SILENCE_MS = 600_000
+
+
+def scene_labels(cues: DataFrame, rules: Rules = TIMED, silence_ms: int = SILENCE_MS) -> DataFrame:
+    """source_id, index, scene_no, reason for a stream of cues that come in order within each source.
+
+    A cue that comes after its source was closed begins the source anew.
+    """
     ms, punctuation = rules.ms(), rules.punctuation
     marked = cues.select(F.col("source_id").cast("long").alias("source_id"), F.col("index").cast("long").alias("index"), "start_ms", "end_ms", ends_sentence(F.col("text")).alias("sentence"), ends_clause(F.col("text")).alias("clause"))
 
@@ -33,6 +55,14 @@ def scene_labels(cues: DataFrame, rules: Rules = TIMED) -> DataFrame:
         scene, begin, closed, held = state.get if state.exists else (0, 0, True, "null")
         held = json.loads(held)
         out = []
+        if state.hasTimedOut:
+            state.remove()
+            if held:
+                index, start, end, sentence, clause = held
+                if closed or end - begin > ms["most"]:
+                    scene, begin = scene + 1, start
+                yield pd.DataFrame([(key[0], index, scene, _reason(end - begin, 0, sentence, clause, ms, punctuation))], columns=["source_id", "index", "scene_no", "reason"])
+            return
         rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.index)
         for r in rows:
             now = (int(r.index), int(r.start_ms), int(r.end_ms), bool(r.sentence), bool(r.clause))
@@ -40,20 +70,12 @@ def scene_labels(cues: DataFrame, rules: Rules = TIMED) -> DataFrame:
                 index, start, end, sentence, clause = held
                 if closed or end - begin > ms["most"]:
                     scene, begin = scene + 1, start
-                span, reason = end - begin, None
-                if span >= ms["most"]:
-                    reason = "max-duration"
-                elif span >= ms["least"]:
-                    if max(0, now[1] - end) >= ms["gap"]:
-                        reason = "subtitle-gap"
-                    elif punctuation and sentence and span >= ms["sentence"]:
-                        reason = "sentence-boundary"
-                    elif span >= ms["target"] and (not punctuation or clause or span >= ms["late"]):
-                        reason = "target-duration"
+                reason = _reason(end - begin, max(0, now[1] - end), sentence, clause, ms, punctuation)
                 closed = reason is not None
                 out.append((key[0], index, scene, reason))
             held = now
         state.update((scene, begin, closed, json.dumps(held)))
+        state.setTimeoutDuration(silence_ms)
         yield pd.DataFrame(out, columns=["source_id", "index", "scene_no", "reason"])
 
-    return marked.groupBy("source_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return marked.groupBy("source_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -50,6 +50,50 @@ def test_schema_issues(spark):
     assert got == [("bad", "canvas.width", "integer"), ("bad", "elements.0.maskPolicy", "enum"), ("bad", "elements.0.sequence", "integer"), ("bad", "sceneId", "required"), ("broken", "root", "no-object"), ("none", "root", "no-object")]
 
 
+def changed(document, **changes):
+    """The document as JSON with values set by paths; None takes one out."""
+    d = json.loads(json.dumps(document))
+    for path, value in changes.items():
+        *way, last = [int(k) if k.isdigit() else k for k in path.split("__")]
+        at = d
+        for k in way:
+            at = at[k]
+        if value is None:
+            del at[last]
+        else:
+            at[last] = value
+    return json.dumps(d)
+
+
+def problems(spark, check, cases):
+    docs = spark.createDataFrame([(k, v) for k, v in cases.items()], "source_id string, json string")
+    return sorted((r.source_id, r.path, r.problem) for r in check(docs).collect())
+
+
+def test_every_rule_of_the_annotation_format(spark):
+    part = {"id": "a", "label": "A", "sequence": 1, "region": {"x": 0, "y": 0, "width": 1, "height": 1}, "reveal": {"startMs": 0, "durationMs": 5, "protectedRegions": [{"x": 0, "y": 0, "width": 1, "height": 1}]}, "handPath": {"points": [[0, 1], [2.5, 3]]}, "extra": 1}
+    good = {"version": 1, "sceneId": "s", "canvas": {"width": 2, "height": 2}, "sceneDurationMs": 100, "elements": [part], "extra": {"a": 1}}
+    e = "elements__0__"
+    cases = {
+        "good": changed(good), "side": changed(good, canvas__width=1), "more": changed(good, canvas__depth=3), "empty": changed(good, elements=[]), "no list": changed(good, elements={"a": 1}),
+        "id": changed(good, **{e + "id": ""}), "label": changed(good, **{e + "label": 5}), "scene": changed(good, sceneId=7), "role": changed(good, **{e + "subtitle": 1}), "ids": changed(good, **{e + "subjectIds": ["a", 1]}),
+        "pad": changed(good, **{e + "reveal__maskPaddingPx": -1}), "shield": changed(good, **{e + "reveal__protectedRegions__0__width": 0}), "region": changed(good, **{e + "region__z": 0}), "path": changed(good, **{e + "handPath__points": [[0, 1]]}), "point": changed(good, **{e + "handPath__points": [[0, 1], [1]]}),
+        "true": changed(good, **{e + "sequence": True}), "colour": changed(good, background="#12345"), "start": changed(good, **{e + "reveal__startMs": None}), "version": changed(good, version=0),
+    }
+    a = "elements.0."
+    assert problems(spark, validate.schema_issues, cases) == sorted([
+        ("side", "canvas.width", "integer"), ("more", "canvas", "additional"), ("empty", "elements", "array"), ("no list", "elements", "array"), ("id", a + "id", "string"), ("label", a + "label", "string"), ("scene", "sceneId", "string"), ("role", a + "subtitle", "string"),
+        ("ids", a + "subjectIds", "array"), ("pad", a + "reveal.maskPaddingPx", "integer"), ("shield", a + "reveal.protectedRegions.0:r.width", "integer"), ("region", a + "region", "additional"), ("path", a + "handPath.points", "points"), ("point", a + "handPath.points", "points"),
+        ("true", a + "sequence", "integer"), ("colour", "background", "pattern"), ("start", a + "reveal.startMs", "required"), ("version", "version", "integer"),
+    ])
+
+
+def test_every_rule_of_the_project_format(spark):
+    good = {"version": 1, "project": {"name": "p", "language": "en"}, "workflow": {"mode": "auto"}, "paths": {}, "canvas": {"width": 2, "height": 2, "fps": 30, "background": "#FFFFFF"}, "subject_profile": {"mode": "single", "default_id": None, "subjects": {"a": {"kind": "person", "replaceable": True}}}, "render": {}, "scenes": [], "assumptions": ["x"]}
+    cases = {"good": changed(good), "fps": changed(good, canvas__fps=121), "mode": changed(good, workflow__mode="other"), "kind": changed(good, subject_profile__subjects__a__kind=None), "flag": changed(good, subject_profile__subjects__a__replaceable="yes"), "list": changed(good, assumptions=[1]), "render": changed(good, render=None), "name": changed(good, project__name="")}
+    assert problems(spark, validate.project_schema_issues, cases) == sorted([("fps", "canvas.fps", "integer"), ("mode", "workflow.mode", "enum"), ("kind", "subject_profile.subjects.a.kind", "required"), ("flag", "subject_profile.subjects.a.replaceable", "boolean"), ("list", "assumptions", "array"), ("render", "render", "required"), ("name", "project.name", "string")])
+
+
 def test_masks_match_a_cell_by_cell_loop(spark):
     r = random.Random(1)
     rows = []
