@@ -35,17 +35,20 @@ def _reason(span: int, wait: int, sentence: bool, clause: bool, ms: dict[str, in
     return "target-duration" if span >= ms["target"] and (not punctuation or clause or span >= ms["late"]) else None
 
 
-#: Silence after which a source is closed, in ms of processing time.
+#: Silence after which a source is closed, in ms of event time.
 SILENCE_MS = 600_000
 
 
-def scene_labels(cues: DataFrame, rules: Rules = TIMED, silence_ms: int = SILENCE_MS) -> DataFrame:
+def scene_labels(cues: DataFrame, rules: Rules = TIMED, event_time: str | None = None, silence_ms: int = SILENCE_MS) -> DataFrame:
     """source_id, index, scene_no, reason for a stream of cues that come in order within each source.
 
-    A cue that comes after its source was closed begins the source anew.
+    event_time names a column with a watermark. A source is closed when the
+    watermark is silence_ms past its last cue; a cue that comes later begins it
+    anew. Without event_time no source is ever closed.
     """
     ms, punctuation = rules.ms(), rules.punctuation
-    marked = cues.select(F.col("source_id").cast("long").alias("source_id"), F.col("index").cast("long").alias("index"), "start_ms", "end_ms", ends_sentence(F.col("text")).alias("sentence"), ends_clause(F.col("text")).alias("clause"))
+    at = [F.col(event_time).alias("event_time")] if event_time else []
+    marked = cues.select(*at, F.col("source_id").cast("long").alias("source_id"), F.col("index").cast("long").alias("index"), "start_ms", "end_ms", ends_sentence(F.col("text")).alias("sentence"), ends_clause(F.col("text")).alias("clause"))
 
     def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import json
@@ -75,7 +78,9 @@ def scene_labels(cues: DataFrame, rules: Rules = TIMED, silence_ms: int = SILENC
                 out.append((key[0], index, scene, reason))
             held = now
         state.update((scene, begin, closed, json.dumps(held)))
-        state.setTimeoutDuration(silence_ms)
+        if event_time:
+            last = max(int(r.event_time.timestamp() * 1000) for r in rows)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + silence_ms)
         yield pd.DataFrame(out, columns=["source_id", "index", "scene_no", "reason"])
 
-    return marked.groupBy("source_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return marked.groupBy("source_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout)
