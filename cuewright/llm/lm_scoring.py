@@ -8,7 +8,7 @@ bucket (bigram) and the class that prevails among the words before (skip). Their
 weights are trained by gradient steps worked out by tasks and summed up. The last
 factor has the word itself as its only feature; the maximum-entropy solution is
 then its smoothed share of the bucket. Word counts come from the whole training
-part and stay in a table; words are told apart by 64 bits of hash.
+part and stay in a table; words are told apart by 55 bits of hash and their bucket.
 """
 
 from __future__ import annotations
@@ -34,14 +34,14 @@ STEPS, RATE, MOMENTUM = 8, 0.6, 0.5
 DAMP = 20
 #: Words with at least 1/FREQUENT of all training tokens are known to each task: FREQUENT words at most, 16 bytes each.
 FREQUENT = 1 << 20
-#: The end of a text, as a word's hash.
-END = 0x5851F42D4C957F2D
+#: The end of a text, as a word's number: 0 in the bits of TAILS.
+END = 0x5851F42D4C957E00
 #: Keys in one task's table of counts before it hands them on.
 HELD = 1 << 21
 
 
 def _tokens(part, text: int, hasher: Hasher):
-    """row, hash, tail of each token of a slice; each text's last token is its end."""
+    """row, number, tail of each token of a slice; each text's last token is its end. A number is a hash above the tail."""
     buf, offsets = column_bytes(part.column(text))
     buf = lower_ascii(buf)
     starts, ends = word_bounds(buf, offsets)
@@ -54,7 +54,7 @@ def _tokens(part, text: int, hasher: Hasher):
     out_row = np.repeat(np.arange(part.num_rows), n + 1)
     out_h = np.full(len(h) + part.num_rows, END, np.uint64)
     out_tail = np.zeros(len(out_h), np.int64)
-    out_h[at], out_tail[at] = h, tail
+    out_h[at], out_tail[at] = (h & ~np.uint64(TAILS - 1)) | tail.astype(np.uint64), tail
     return out_row, out_h, out_tail
 
 
@@ -135,12 +135,11 @@ def learned_classes(near: np.ndarray, rounds: int = 30) -> np.ndarray:
 class Vocabulary:
     """Which bucket and class a token has, and its context."""
 
-    def __init__(self, classes: np.ndarray, own: list[tuple[int, int]], tails: np.ndarray):
-        order = np.argsort(np.array([h for h, _ in own], np.int64).view(np.uint64), kind="stable")
-        self.own = np.array([own[i][0] for i in order], np.int64).view(np.uint64)
+    def __init__(self, classes: np.ndarray, own: list[tuple[int, int]]):
+        self.own = np.sort(np.array([h for h, _ in own], np.int64).view(np.uint64))
         self.classes = np.zeros(BUCKETS, np.int64)
         self.classes[:TAILS] = classes
-        self.classes[TAILS : TAILS + len(order)] = classes[tails[order]] if len(order) else 0
+        self.classes[TAILS : TAILS + len(own)] = classes[(self.own & np.uint64(TAILS - 1)).astype(np.int64)]
 
     def buckets(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
         if not len(self.own):
@@ -160,31 +159,6 @@ class Vocabulary:
         return one * CLASSES + votes.argmax(1)
 
 
-def own_tails(docs: DataFrame, text_col: str, own: list[tuple[int, int]]) -> np.ndarray:
-    """The tails of the words that have buckets of their own; all occurrences of a word have the same."""
-    import pyarrow as pa
-
-    wanted = np.sort(np.array([h for h, _ in own], np.int64).view(np.uint64))
-
-    def run(batches):
-        hasher, out = Hasher(), np.full(len(wanted), -1)
-        for b in batches:
-            for part in slices(b, 0):
-                if (out >= 0).all():
-                    continue
-                _, h, tail = _tokens(part, 0, hasher)
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                hit = wanted[at] == h
-                out[at[hit]] = tail[hit]
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[out >= 0].view(np.int64)), pa.array(out[out >= 0])], ["h", "tail"])
-
-    if not own:
-        return np.zeros(0, np.int64)
-    got = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "h long, tail long").groupBy("h").agg(F.max("tail").alias("tail")).collect()
-    by = {r["h"]: r["tail"] for r in got}
-    return np.array([by[h] for h, _ in own], np.int64)
-
-
 #: Rows of weights of each kind of feature: bias, previous word, prevailing class.
 SIZES = (1, PREVIOUS, CLASSES)
 
@@ -313,7 +287,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fo
     training = docs.where(fold_of(id_col, folds) != held_out)
     words, near, own = word_counts(training, text_col)
     classes = learned_classes(near)
-    known = Vocabulary(classes, own, own_tails(training, text_col, own))
+    known = Vocabulary(classes, own)
     seen = _counted(training, text_col, lambda row, h, tail: known.contexts(row, b := known.buckets(h, tail)) * BUCKETS + b)
     seen = seen.select((F.col("k") / BUCKETS).cast("long").alias("context"), F.expr(f"cast(k % {BUCKETS} as int)").alias("bucket"), "n")
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -321,11 +295,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fo
     mass = np.ones(BUCKETS)
     for r in seen.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         mass[r["bucket"]] += r["n"]
-    # of a tail's words, each has its count and 1 more, and all unknown ones have 1; it isn't known how many words a tail has, so all of them get 1 for every token
-    in_bucket = np.log10(2 * mass[:TAILS])
+    # of a tail's words, each has its count and 1 more, and all unknown ones have 1; words with buckets of their own are left out
+    words_of = np.zeros(TAILS)
+    for r in words.groupBy((F.col("h").bitwiseAND(TAILS - 1)).cast("int").alias("tail")).agg(F.count("*").alias("n")).collect():  # TAILS rows at most
+        words_of[r["tail"]] = r["n"]
+    np.subtract.at(words_of, (known.own & np.uint64(TAILS - 1)).astype(np.int64), 1)
+    in_bucket = np.append(np.log10(mass[:TAILS] + words_of), np.zeros(OWN))
     in_bucket[0] = np.log10(mass[0])
-    in_bucket = np.append(in_bucket, np.zeros(OWN))
-    at_own = {h: c for h, c in own}
+    at_own = dict(own)
     in_bucket[TAILS : TAILS + len(own)] = [math.log10(at_own[h] + 1) for h in known.own.view(np.int64).tolist()]
     least = max(1, -(-n_all // FREQUENT))
     top = words.where(F.col("c") >= least).toArrow()

@@ -227,3 +227,26 @@ def test_covers_are_covers():
 @pytest.mark.parametrize("run", [exact_dedup.dedup, line_dedup.dedup, jaccard_join.join, substring_dedup.dedup, jaccard_join.representatives])
 def test_empty_tables_give_no_rows(spark, run):
     assert run(frame(spark, [])).collect() == []
+
+
+def test_texts_beyond_a_slice_of_memory(spark):
+    r = random.Random(11)
+    long = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    passage = long[777:827]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-1], "other"])), (3, " ".join(["p", *passage, "q"])), (4, None), (5, "x" * 2_000_000), (6, "x" * 1_999_999 + "y"), (7, "x" * 2_000_000)]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard_join.join(frame(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 1), 6: (6, 0), 7: (5, 1)}
+    cut = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.dedup(frame(spark, rows)).collect()}
+    assert cut == {1: (200_000, 199_999), 2: (200_000, 199_999), 3: (52, 50), 4: (0, 0), 5: (1, 0), 6: (1, 0), 7: (1, 0)}
+    left = {x.doc_id: x.text for x in line_dedup.dedup(frame(spark, rows)).collect()}
+    assert left == {i: t if i in (1, 3, 4, 5, 6) else "" for i, t in rows}
+
+
+def test_words_that_polynomials_take_for_equal_are_told_apart():
+    """Thue-Morse strings of 2048 bytes collide under every polynomial hash modulo 2**64."""
+    from cuewright.llm.common import Hasher, word_hashes
+
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    a, b = (np.array([97 + (x ^ y) for x in bits], np.uint8) for y in (0, 1))
+    h = word_hashes(np.concatenate([a, b]), np.array([0, 2048]), np.array([2048, 4096]), Hasher())
+    assert h[0] != h[1]

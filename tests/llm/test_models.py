@@ -61,6 +61,68 @@ def test_class_probabilities_add_up_to_one():
     assert np.allclose(np.exp(z).sum(1), 1)
 
 
+def test_scores_match_a_dictionary_model(spark, monkeypatch):
+    """The whole score, token by token in plain Python, from the same weights and classes."""
+    L = lm_scoring
+    rng = np.random.default_rng(3)
+    classes = np.append(0, rng.integers(1, L.CLASSES, L.TAILS - 1))
+    weights = [rng.normal(size=(n, L.CLASSES + L.BUCKETS)).astype(np.float32) for n in L.SIZES]
+    monkeypatch.setattr(L, "learned_classes", lambda near: classes)
+    monkeypatch.setattr(L, "train", lambda *a, **k: weights)
+    r = random.Random(8)
+    rows = [(i, " ".join(f"{r.choice('bcdfg')}{r.randrange(900)}{r.choice('xyz')}" for _ in range(r.randint(5, 40)))) for i in range(60)] + [(100, None), (101, "One tail"), (102, "a bb ccc a bb"), (103, " ".join(["bading"] * 30))]
+    got = {r.doc_id: r for r in L.score(frame(spark, rows)).collect()}
+
+    def tail(w):
+        b = w.encode()
+        x, y, z = (b[-k] if len(b) >= k else 0 for k in (1, 2, 3))
+        return ((x * 65599 + y * 257 + z) * 40503 >> 4) % (L.TAILS - 1) + 1
+
+    texts = {i: (t or "").lower().split() for i, t in rows}
+    seen = Counter(w for i, ws in texts.items() if fold(i, 7) != 2 for w in [*ws, None])
+    hashes = {w: int(h) for w in seen if w is not None for h in [L.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), L.Hasher()).view(np.int64)[0] & ~(L.TAILS - 1) | tail(w)]}
+    own = sorted((w for w in seen if w is not None), key=lambda w: (-seen[w], hashes[w]))[: L.OWN]
+    assert len(own) == L.OWN < len(hashes)
+    own.sort(key=lambda w: hashes[w] % 2**64)
+    place = {w: L.TAILS + k for k, w in enumerate(own)}
+    bucket = lambda w: 0 if w is None else place.get(w) or tail(w)
+    kind = {b: int(classes[b]) for b in range(L.TAILS)} | {b: int(classes[tail(w)]) for w, b in place.items()}
+    members = {c: [b for b in kind if kind[b] == c] for c in range(L.CLASSES)}
+    mass = Counter()
+    for w, c in seen.items():
+        mass[bucket(w)] += c + 1
+    for i, ws in texts.items():
+        total = 0.0
+        for k, w in enumerate([*ws, None]):
+            votes = Counter(kind[bucket(v)] for v in ws[max(0, k - L.BACK) : k])
+            votes.pop(0, None)
+            context = ((bucket(ws[k - 1]) % (L.PREVIOUS - 1) + 1) if k else 0, min(votes, key=lambda c: (-votes[c], c)) if votes else 0)
+            z = lambda j, context=context: float(weights[0][0, j]) + float(weights[1][context[0], j]) + float(weights[2][context[1], j])
+            b = bucket(w)
+            p = math.exp(z(kind[b])) / sum(math.exp(z(c)) for c in range(L.CLASSES))
+            p *= math.exp(z(L.CLASSES + b)) / sum(math.exp(z(L.CLASSES + x)) for x in members[kind[b]])
+            if b and b < L.TAILS:
+                p *= (seen[w] + 1) / (mass[b] + 1)
+            total += math.log10(p)
+        assert got[i].score == pytest.approx(total, abs=1e-3 * max(1, len(ws)))
+
+
+def test_word_probabilities_stay_below_one():
+    """Over all buckets of a context the model's probabilities add up to 1, for each class of its own too."""
+    rng = np.random.default_rng(0)
+    classes = rng.integers(0, lm_scoring.CLASSES, lm_scoring.BUCKETS)
+    classes[: lm_scoring.CLASSES] = np.arange(lm_scoring.CLASSES)
+    weights = [rng.normal(size=(n, lm_scoring.CLASSES + lm_scoring.BUCKETS)) for n in lm_scoring.SIZES]
+    p = np.exp(lm_scoring.log_probabilities(weights, np.arange(0, 16384, 977), classes))
+    assert np.allclose(p.sum(1), 1)
+
+
+def test_lm_gains_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = lm_scoring.score(docs).where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert held["sum(score)"] - held["sum(base_score)"] > 0.15 * held["sum(n_tokens)"]
+
+
 def test_lm_of_nothing(spark):
     assert lm_scoring.score(frame(spark, [])).collect() == []
 

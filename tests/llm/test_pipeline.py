@@ -58,3 +58,29 @@ def test_the_mix_takes_its_copies(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert ids(pipeline.run(spark, D)) == ids(stages[5])
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, folder, rows):
+    out = str(folder)
+    spark.createDataFrame([(i, t, None, s, None if t is None else len(t)) for i, t, s in rows], DOCS).write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    return out
+
+
+def test_nulls_empty_texts_and_repeated_rows_pass_through(spark, tmp_path):
+    plain = "some words of a text that nobody else has written here"
+    rows = [(1, plain, "a"), (2, None, "a"), (3, "", None), (4, " ", "b"), (5, "says one two three four five six seven eight again", "b"), (6, f"{plain} at all", "b"), (7, "x y\nx y", None), (7, "x y\nx y", None), (None, "a null id\twith a tab", "a"), (8, "word " * 300_000, "c")]
+    d = tables(spark, tmp_path, rows)
+    out = pipeline.run(spark, d).collect()
+    kept = {r.doc_id: r.text for r in out}
+    # without models all documents pass; the near copy loses its line, the leak goes, and what has no words isn't taken
+    assert {1, 7, None} <= set(kept) <= {1, 6, 7, 8, None} and 5 not in kept and kept[1] == plain and kept[7] == "x y"
+
+
+def test_an_empty_table_gives_no_rows(spark, tmp_path):
+    out = pipeline.run(spark, tables(spark, tmp_path, []))
+    assert out.collect() == [] and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
