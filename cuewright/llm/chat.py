@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words with their leading space, numbers, marks and white space; every string is covered.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -57,10 +59,11 @@ def encode_turns(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col
     def run(batches):
         enc, (turn, body, end) = _encoding(vocabulary)
         for b in batches:
-            ids = []
-            for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                ids.append([turn, *enc.encode_ordinary(escape(role)), body, *enc.encode_ordinary(escape(text)), end])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], ["conv_id", "turn", "role", "text", "ids"])
+            for part in slices(b, 3):  # token lists of a bounded piece of text at a time
+                ids = []
+                for role, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    ids.append([turn, *enc.encode_ordinary(escape(role)), body, *enc.encode_ordinary(escape(text)), end])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], ["conv_id", "turn", "role", "text", "ids"])
 
     src = turns.select(conv_col, turn_col, F.coalesce(role_col, F.lit("")), F.coalesce(text_col, F.lit("")))
     return src.mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, role string, text string, ids array<int>")

@@ -149,14 +149,16 @@ class Vocabulary:
 
     def contexts(self, row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """(the previous word's place in PREVIOUS) * CLASSES + the class that prevails among the BACK words before; 0s where a text begins."""
-        one, i = np.zeros(len(bucket), np.int64), np.arange(len(bucket))
+        one, kind = np.zeros(len(bucket), np.int64), self.classes[bucket].astype(np.int16)
         one[1:] = np.where(row[1:] == row[:-1], bucket[:-1] % (PREVIOUS - 1) + 1, 0)
-        seen = np.zeros((len(bucket) + 1, CLASSES), np.int32)
-        seen[i + 1, self.classes[bucket]] = 1
-        np.cumsum(seen, axis=0, out=seen)
-        votes = seen[i] - seen[np.maximum(np.searchsorted(row, row), i - BACK)]
-        votes[:, 0] = 0
-        return one * CLASSES + votes.argmax(1)
+        past = np.zeros((BACK, len(bucket)), np.int16)
+        for j in range(1, min(BACK, len(bucket) - 1) + 1):
+            past[j - 1, j:] = np.where(row[j:] == row[:-j], kind[:-j], 0)
+        best = np.zeros(len(bucket), np.int16)
+        for own in past:  # most votes first, then the lowest class
+            votes = (past == own).sum(0, dtype=np.int16)
+            best = np.maximum(best, np.where(own > 0, votes * CLASSES + (CLASSES - 1 - own), 0))
+        return one * CLASSES + np.where(best > 0, CLASSES - 1 - best % CLASSES, 0)
 
 
 #: Rows of weights of each kind of feature: bias, previous word, prevailing class.

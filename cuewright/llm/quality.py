@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import column_bytes
+from .common import column_bytes, slices
 from .linear import SAMPLE, calibrate, count_indicators, distinct, labelled, sample, scored, sigmoid
 
 #: Single bytes, pairs, and hash values of three bytes.
@@ -64,7 +64,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     """Scaled weights, squared ratios, bias, a and b of the model; a share of label 1 if a class is missing.
 
     Log-count ratios come from all labelled documents outside the held-out fold,
-    the model from at most `size` of each class, in one task.
+    the model from at most `size` of each class, in one task. That task gets the
+    numbers of a text's indicators, which are worked out where the text lies.
     """
     import pyarrow as pa
 
@@ -74,12 +75,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
         return None, float(total[1] / total.sum()) if total.sum() else 0.5
     sent = docs.sparkSession.sparkContext.broadcast(log_ratio(n, total))
 
+    def indicators(batches):
+        stamp = np.zeros(SIZE, np.int64)
+        for b in batches:
+            for part in slices(b, 2):
+                own = [np.sort(distinct(f, stamp)).astype(np.int32).tobytes() for f in byte_ngrams(part, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], ["id", "y", "own"])
+
     def learn(table):
-        ratio, stamp, x, y = sent.value, np.zeros(SIZE, np.int64), [], []
+        ratio = sent.value.astype(np.float32)
         table = table.sort_by([("id", "ascending"), ("y", "ascending")])
-        for b in table.select(["y", "text"]).to_batches():
-            x += [distinct(f, stamp) for f in byte_ngrams(b, 1)]
-            y += b.column(0).to_pylist()
+        x, y = [np.frombuffer(v, np.int32) for v in table["own"].to_pylist()], table["y"].to_pylist()
         y = np.array(y)
         check = np.arange(len(y)) % 4 == 3  # a quarter gives the scores their scale
         if min(np.bincount(y[check], minlength=2)) < 5:
@@ -93,7 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
         a, b = calibrate(margin, y[seen], weight)
         return pa.table({"w": pa.array([(w * ratio).astype(np.float32).tobytes()], pa.binary()), "bias": [bias], "a": [a], "b": [b]})
 
-    got = sample(rows, size).groupBy().applyInArrow(learn, "w binary, bias double, a double, b double").first()
+    kind = rows.schema["id"].dataType.simpleString()
+    vectors = sample(rows, size).mapInArrow(indicators, f"id {kind}, y int, own binary")
+    got = vectors.groupBy().applyInArrow(learn, "w binary, bias double, a double, b double").first()
     square = (sent.value**2).astype(np.float32)
     return (np.frombuffer(got["w"], np.float32), square, got["bias"], got["a"], got["b"]), float(total[1] / total.sum())
 
