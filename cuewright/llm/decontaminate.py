@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, column_bytes, lower_ascii, mix, rows_of, slices, text_or_empty, window_hashes, word_bounds, word_hashes
+from .common import Hasher, column_bytes, lower_ascii, mix, rows_of, slices, window_hashes, word_bounds, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprint bits, their blocks, and the Hamming radius. Sets of similarity 0.8 have a cosine of about 0.89 and

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, column_bytes, durable, lower_ascii, mix, rows_of, slices, text_or_empty, window_hashes, word_bounds, word_hashes
+from .common import Hasher, column_bytes, durable, lower_ascii, mix, slices, text_or_empty, window_hashes, word_bounds, word_hashes
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
