@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, filter_audit, hard_negatives, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
 g AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
@@ -147,6 +160,54 @@ g AS (
 SELECT conv_id, n_turns, sha256(a) AS turns_sha256, len(b)::BIGINT AS loss_chars, sha256(b) AS loss_sha256, formatted_chars FROM g
 """.replace("CONTROL", _sql_literal("|".join("".join(f"\\{c}" if not c.isalnum() and c not in "_<>/" else c for c in x) for x in (*chat.CONTROL, "\\")))).replace("MARKS", str(len(chat.TURN + chat.BODY + chat.END)))
 
+OP12_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT vec_id, label, generate_subscripts(v, 1) AS i, floor(256 * unnest(v)::DOUBLE)::BIGINT AS c FROM e),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, sum(a.c * b.c)::BIGINT AS score
+  FROM x a JOIN x b ON a.i = b.i WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+    map(['A', 'B', 'C', 'D', 'E'], [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * len(text),
+      regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)]) AS fails
+  FROM t LEFT JOIN l USING (doc_id)),
+c AS (
+  SELECT part, fails, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: fails[f]) AS failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+  FROM d GROUP BY ALL),
+f(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before FROM o, range(1, 6) r(step)),
+x AS (
+  SELECT part, filter_order, step, own, list_contains(failed, own) AS fails_own, len(list_intersect(failed, before)) > 0 AS gone, len(failed) = 1 AS alone, n, good, bad
+  FROM c, s),
+g AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT fails_own THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND fails_own THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN gone AND fails_own THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails_own AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails_own THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND fails_own THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM g
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -158,5 +219,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op11_token_counts": op11_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_filter_audit": OP13_SQL}
