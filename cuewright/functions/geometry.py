@@ -50,42 +50,54 @@ def scaled_points(points: Column, sx: Column, sy: Column) -> Column:
     return F.transform(kept, lambda p: _point(F.rint(p["x"] * sx).cast("int"), F.rint(p["y"] * sy).cast("int")))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _sums(values: Column) -> Column:
+    """Of each number the sum of those before it, as doubles."""
+    none = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(values, none, lambda s, v: F.struct((s["at"] + v).alias("at"), F.array_append(s["out"], s["at"]).alias("out")))["out"]
+
+
 def resampled(points: Column, spacing: float = 3.0) -> Column:
     """Points every `spacing` along a polyline, rounded; begins with the first point and ends with the last.
 
     Points that repeat the one before add no length. A path of one point stays.
     """
     moved = lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]) * F.lit(1.0))
-    segments = F.transform(F.arrays_zip(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))).alias("a"), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))).alias("b")), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), moved(s["a"], s["b"]).alias("n")))
-    real = F.filter(segments, lambda s: s["n"] > 1e-6)
-    none = F.array().cast("array<struct<a:struct<x:int,y:int>,b:struct<x:int,y:int>,n:double,at:double>>")
-    placed = F.aggregate(real, F.struct(F.lit(0.0).alias("at"), none.alias("out")), lambda s, v: F.struct((s["at"] + v["n"]).alias("at"), F.concat(s["out"], F.array(F.struct(v["a"].alias("a"), v["b"].alias("b"), v["n"].alias("n"), s["at"].alias("at")))).alias("out")))["out"]
+    none = F.array().cast("array<struct<x:int,y:int>>")
 
     def inside(s: Column) -> Column:
-        first, last = F.floor(s["at"] / spacing + 1e-9) + 1, F.floor((s["at"] + s["n"]) / spacing + 1e-9)
-        share = lambda k: (k * spacing - s["at"]) / s["n"]
-        some = F.transform(F.sequence(first, last), lambda k: _point(F.rint(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * share(k)).cast("int"), F.rint(s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * share(k)).cast("int")))
-        return F.when(last >= first, some).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+        a, b, n, at = s["s"]["a"], s["s"]["b"], s["s"]["n"], s["at"]
+        first, last = F.floor(at / spacing + 1e-9) + 1, F.floor((at + n) / spacing + 1e-9)
+        share = lambda k: (k * spacing - at) / n
+        some = F.transform(F.sequence(first, last), lambda k: _point(F.rint(a["x"] + (b["x"] - a["x"]) * share(k)).cast("int"), F.rint(a["y"] + (b["y"] - a["y"]) * share(k)).cast("int")))
+        return F.when(last >= first, some).otherwise(none)
+
+    def along(p: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(p, 1, F.size(p) - 1).alias("a"), F.slice(p, 2, F.size(p) - 1).alias("b"))
+        real = F.filter(F.transform(pairs, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), moved(s["a"], s["b"]).alias("n"))), lambda s: s["n"] > 1e-6)
+        path = _let(real, lambda r: F.concat(F.slice(p, 1, 1), F.flatten(F.transform(F.arrays_zip(r.alias("s"), _sums(F.transform(r, lambda s: s["n"])).alias("at")), inside))))
+        return _let(path, lambda r: F.when(F.element_at(r, -1) == F.element_at(p, -1), r).otherwise(F.concat(r, F.slice(p, -1, 1))))
 
-    path = F.concat(F.slice(points, 1, 1), F.flatten(F.transform(placed, inside)))
-    end = F.element_at(points, -1)
-    return F.when(F.size(points) < 2, points).otherwise(F.when(F.element_at(path, -1) == end, path).otherwise(F.concat(path, F.array(end))))
+    return _let(points, lambda p: F.when(F.size(p) < 2, p).otherwise(along(p)))
 
 
 def hand_path(points: Column, contour: Column, start: Column, end: Column, sx: Column, sy: Column, spacing: float = 3.0) -> Column:
-    """The drawing path on a scaled canvas: points, else the contour, else start to end, else null."""
-    some = lambda c: F.when(F.size(c) > 0, c)
-    raw = F.coalesce(some(points), some(contour), F.array().cast("array<struct<x:double,y:double>>"))
+    """The drawing path on a scaled canvas: points, else the contour, else start to end, else null; two points at least."""
+    filled = lambda c: F.when(F.size(c) > 0, c)
+    raw = F.coalesce(filled(points), filled(contour), F.array().cast("array<struct<x:double,y:double>>"))
     raw = F.when(F.size(raw) >= 2, raw).when(start.isNotNull() & end.isNotNull(), F.array(start, end))
-    path = scaled_points(raw, sx, sy)
-    return F.when(F.size(path) >= 2, resampled(path, spacing))
+    two = lambda p, r: F.when(F.size(r) >= 2, r).otherwise(F.concat(F.slice(p, 1, 1), F.slice(p, -1, 1)))
+    return _let(scaled_points(raw, sx, sy), lambda p: F.when(F.size(p) >= 2, _let(resampled(p, spacing), lambda r: two(p, r))))
 
 
 def flattened(paths: Column) -> Column:
     """One array of points, and the positions at which the pen was lifted."""
-    full = F.filter(paths, lambda p: F.size(p) > 0)
-    lifts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(full) - 1, F.lit(1))), lambda k: F.aggregate(F.slice(full, F.lit(1), k), F.lit(0), lambda s, p: s + F.size(p)))
-    return F.struct(F.flatten(full).alias("points"), F.when(F.size(full) > 1, lifts).otherwise(F.array().cast("array<int>")).alias("pen_lifts"))
+    lifts = lambda full: F.transform(F.slice(_sums(F.transform(full, lambda p: F.size(p))), 2, F.greatest(F.lit(0), F.size(full) - 1)), lambda n: n.cast("int"))
+    return _let(F.filter(paths, lambda p: F.size(p) > 0), lambda full: F.struct(F.flatten(full).alias("points"), lifts(full).alias("pen_lifts")))
 
 
 def clamped(box: Column, width: Column, height: Column, padding: int) -> Column:
@@ -141,8 +153,7 @@ def preview_label(sequence: Column, label: Column, element_id: Column, subject_i
 
 def layout(advances: Column, gap: float, width: Column, height: Column, ascent: Column, descent: Column) -> Column:
     """Pen positions (x, baseline) of a line's characters, centred, from an array of their advances."""
-    n = F.size(advances)
-    total = F.aggregate(advances, F.lit(0.0), lambda s, a: s + a) + gap * F.greatest(F.lit(0), n - 1)
+    total = F.aggregate(advances, F.lit(0.0), lambda s, a: s + a) + gap * F.greatest(F.lit(0), F.size(advances) - 1)
     base = (height - (ascent + descent)) / 2.0 + ascent
-    left = (width - total) / 2.0
-    return F.transform(advances, lambda _, i: _point(left + F.aggregate(F.slice(advances, F.lit(1), i), F.lit(0.0), lambda s, a: s + a + gap), base))
+    steps = _sums(F.transform(advances, lambda a: a + gap))
+    return _let((width - total) / 2.0, lambda left: F.transform(steps, lambda s: _point(left + s, base)))

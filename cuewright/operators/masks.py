@@ -2,11 +2,13 @@
 
 An element owns its padded region, or its filled contour grown by the padding,
 less later elements' regions or contours without padding (policy subtract-later)
-and its protected regions (unless the policy is none). Instead of comparing
-elements pairwise, a scene's elements are painted in their order on one grid, so
-that each cell has the latest element that covers it: an element keeps a cell of
-its own if none later does. A scene is one row with its elements in an array, and
-costs its grid and the cells of its regions.
+and its protected regions (unless the policy is none).
+
+A canvas is cut into tiles of TILE x TILE cells, and an element goes to the tiles
+that its own bounds touch. A tile's elements pass in a stream from the last to the
+first, with one mask of what later ones cover: an element keeps the cells of its own
+that none has covered yet, and then covers its region or contour itself. A task holds
+one tile and one element, whatever the size of the canvas or the number of elements.
 """
 
 from __future__ import annotations
@@ -39,19 +41,33 @@ def in_bounds(region: Column, width: Column, height: Column) -> Column:
     return F.coalesce((x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x + w <= width) & (y + h <= height), F.lit(False))
 
 
-def filled(points: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Cells whose middle a polygon of (x, y) rows covers, edges included; none for fewer than three points."""
-    out = np.zeros((height, width), bool)
+def filled(points: np.ndarray, width: int, height: int, left: int = 0, top: int = 0) -> np.ndarray:
+    """Cells whose middle a polygon of whole-number (x, y) rows covers, edges included; none for fewer than three points.
+
+    The cells are those of a window of width x height, whose first cell is (left,
+    top). Each edge flips the cells right of it in the rows that it crosses.
+    """
     if len(points) < 3:
-        return out
-    (x0, y0), (x1, y1) = np.maximum(np.floor(points.min(0)), 0).astype(int), np.ceil(points.max(0)).astype(int) + 1
-    y, x = np.mgrid[y0 : min(y1, height), x0 : min(x1, width)]
-    inside, edge = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
-    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0), strict=True):
-        turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)  # on which side of the edge a cell lies
-        inside ^= ((ay > y) != (by > y)) & ((turn > 0) == (by > ay))
-        edge |= (np.abs(turn) < 1e-9) & (x >= min(ax, bx)) & (x <= max(ax, bx)) & (y >= min(ay, by)) & (y <= max(ay, by))
-    out[y0 : min(y1, height), x0 : min(x1, width)] = inside | edge
+        return np.zeros((height, width), bool)
+    a = np.asarray(points, np.int64)
+    b = np.roll(a, -1, axis=0)
+    steps = np.gcd(*np.abs(b - a).T)
+    low, high = np.where((a[:, 1] <= b[:, 1])[:, None], a, b), np.where((a[:, 1] <= b[:, 1])[:, None], b, a)
+    first, end = np.maximum(low[:, 1], top), np.minimum(high[:, 1], top + height)
+    n = np.maximum(end - first, 0)
+    edge = np.repeat(np.arange(len(a)), n)
+    y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[edge]
+    run, rise = (high - low)[edge].T
+    x = low[edge, 0] - -(run * (y - low[edge, 1])) // np.maximum(rise, 1)  # the first cell that the edge doesn't have to its right
+    flips = np.zeros((height, width + 1), np.int32)
+    np.add.at(flips, (y - top, np.clip(x - left, 0, width)), 1)
+    out = (np.cumsum(flips, axis=1)[:, :width] & 1).astype(bool)
+    # cells that lie on an edge
+    edge = np.repeat(np.arange(len(a)), steps + 1)
+    k = np.arange(len(edge)) - np.repeat(np.cumsum(steps + 1) - steps - 1, steps + 1)
+    on = a[edge] + (b - a)[edge] * k[:, None] // np.maximum(steps, 1)[edge][:, None] - (left, top)
+    on = on[((on >= 0) & (on < (width, height))).all(1)]
+    out[on[:, 1], on[:, 0]] = True
     return out
 
 
@@ -99,69 +115,82 @@ def drawing_elements(elements: DataFrame, *, scale: float = 1.0, cap: int | None
     )
 
 
-#: What painting needs of an element.
-PARTS = ("rank", "policy", "own", "cover", "shields", "outline", "grow")
-
-
-def gathered(elements: DataFrame) -> DataFrame:
-    """One row for each scene of drawing_elements(): scene_id, grid_width, grid_height, parts (structs of PARTS by rank)."""
-    return elements.groupBy("scene_id").agg(F.first("grid_width").alias("grid_width"), F.first("grid_height").alias("grid_height"), F.array_sort(F.collect_list(F.struct(*PARTS))).alias("parts"))
-
-
-class _Scenes:
-    """The scenes of a batch of gathered() rows, with the parts' fields as flat arrays."""
-
-    def __init__(self, width, height, parts):
-        self.width, self.height = width.to_numpy(), height.to_numpy()
-        self.cut = parts.offsets.to_numpy()
-        flat = parts.flatten()
-        self.rank = flat.field("rank").to_numpy()
-        self.policy = flat.field("policy").to_pylist()
-        self.own, self.cover = (self._rects(flat.field(k)) for k in ("own", "cover"))
-        self.covers = flat.field("cover").is_valid().to_numpy(False)
-        self.shields, self.shield_cut = self._rects(flat.field("shields").flatten()), flat.field("shields").offsets.to_numpy() - flat.field("shields").offsets[0].as_py()
-        line = flat.field("outline")
-        points = line.flatten()
-        self.points = np.stack([points.field(k).to_numpy(False) for k in ("x", "y")], 1).astype(float)
-        self.point_cut = line.offsets.to_numpy() - line.offsets[0].as_py()
-        self.grow = flat.field("grow").fill_null(0).to_numpy(False)
-
-    @staticmethod
-    def _rects(column):
-        return [tuple(r) for r in np.stack([column.field(k).fill_null(0).to_numpy(False) for k in RECT], 1).tolist()]
-
-    def owned(self, i: int):
-        """For each element of scene i: (number in the batch, left edge, upper edge, own cells, cells kept), as masks of a part of the grid."""
-        a, b = self.cut[i] - self.cut[0], self.cut[i + 1] - self.cut[0]
-        width, height = int(self.width[i]), int(self.height[i])
-        top = np.full((height, width), -1, np.int32)
-        shape = {}
-        for k in range(a, b):
-            points = self.points[self.point_cut[k] : self.point_cut[k + 1]]
-            if len(points):
-                shape[k] = filled(points, width, height)
-                top[shape[k]] = k
-            elif self.covers[k]:
-                x0, y0, x1, y1 = self.cover[k]
-                top[y0:y1, x0:x1] = k
-        for k in range(a, b):
-            if k in shape:
-                x0, y0, x1, y1 = 0, 0, width, height
-                own = grown(shape[k], int(self.grow[k]))
-            else:
-                x0, y0, x1, y1 = self.own[k]
-                own = np.ones((max(0, y1 - y0), max(0, x1 - x0)), bool)
-            kept = own.copy()
-            if self.policy[k] == "subtract-later":
-                kept &= top[y0:y1, x0:x1] <= k
-            if self.policy[k] != "none":
-                for sx0, sy0, sx1, sy1 in self.shields[self.shield_cut[k] : self.shield_cut[k + 1]]:
-                    kept[max(0, sy0 - y0) : max(0, sy1 - y0), max(0, sx0 - x0) : max(0, sx1 - x0)] = False
-            yield k, x0, y0, own, kept
+#: Side of a tile in cells.
+TILE = 256
+#: Runs of cells that are passed on at once.
+RUNS = 1 << 16
+
+
+class _Tile:
+    """A window of a canvas on which elements are painted from the last to the first."""
+
+    def __init__(self, width: int, height: int, x0: int, y0: int, x1: int, y1: int):
+        self.size, self.box = (width, height), (x0, y0, min(x1, width), min(y1, height))
+        self.covered = np.zeros((max(0, self.box[3] - y0), max(0, self.box[2] - x0)), bool)
+
+    def _inside(self, x0: int, y0: int, x1: int, y1: int) -> tuple[int, int, int, int]:
+        a, b, c, d = self.box
+        x0, y0 = max(x0, a), max(y0, b)
+        return x0, y0, max(x0, min(x1, c)), max(y0, min(y1, d))
+
+    def _under(self, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
+        return self.covered[y0 - self.box[1] : y1 - self.box[1], x0 - self.box[0] : x1 - self.box[0]]
+
+    def _contour(self, points: np.ndarray, grow: int):
+        """Bounds of a grown contour in the tile, its cells there, and those that it had before."""
+        (lx, ly), (hx, hy) = points.min(0).tolist(), points.max(0).tolist()
+        x0, y0, x1, y1 = self._inside(lx - grow, ly - grow, hx + grow + 1, hy + grow + 1)
+        if x0 == x1 or y0 == y1:
+            return (x0, y0, x1, y1), *[np.zeros((y1 - y0, x1 - x0), bool)] * 2
+        wide = filled(points, x1 - x0 + 2 * grow, y1 - y0 + 2 * grow, x0 - grow, y0 - grow)
+        wide[: max(0, grow - y0)] = wide[:, : max(0, grow - x0)] = False  # what lies outside the canvas doesn't grow into it
+        wide[max(0, self.size[1] - y0 + grow) :] = wide[:, max(0, self.size[0] - x0 + grow) :] = False
+        whole = grown(wide, grow) if grow > 0 else wide
+        cut = slice(grow, grow + y1 - y0), slice(grow, grow + x1 - x0)
+        return (x0, y0, x1, y1), whole[cut], wide[cut]
+
+    def take(self, policy, own, cover, shields, points, grow):
+        """The left and upper edge of an element's own cells in the tile, these cells and those that it keeps, as masks; it covers its part then."""
+        if len(points):
+            box, cells, body = self._contour(points, grow)
+        else:
+            box = self._inside(*own)
+            cells = np.ones((box[3] - box[1], box[2] - box[0]), bool)
+        kept = cells & ~self._under(*box) if policy == "subtract-later" else cells.copy()
+        x0, y0 = box[:2]
+        if policy != "none":
+            for sx0, sy0, sx1, sy1 in shields:
+                kept[max(0, sy0 - y0) : max(0, sy1 - y0), max(0, sx0 - x0) : max(0, sx1 - x0)] = False
+        if len(points):
+            self._under(*box)[body] = True
+        elif cover is not None:
+            self._under(*self._inside(*cover))[:] = True
+        return x0, y0, cells, kept
+
+
+class _Parts:
+    """An Arrow struct of policy, own, cover, shields, outline and grow, as what _Tile.take() needs of each row."""
+
+    def __init__(self, field):
+        rects = lambda c: [tuple(r) for r in np.stack([c.field(k).fill_null(0).to_numpy(False) for k in RECT], 1).tolist()]
+        cut = lambda c: (c.offsets.to_numpy() - c.offsets[0].as_py()).tolist()
+        self.policy, self.grow = field("policy").to_pylist(), field("grow").fill_null(0).to_pylist()
+        valid = field("cover").is_valid().to_pylist()
+        self.own, self.cover = rects(field("own")), [r if ok else None for r, ok in zip(rects(field("cover")), valid, strict=True)]
+        self.shields, self.shield_cut = rects(field("shields").flatten()), cut(field("shields"))
+        points = field("outline").flatten()
+        self.points, self.point_cut = np.stack([points.field(k).to_numpy(False) for k in ("x", "y")], 1), cut(field("outline"))
+
+    def __getitem__(self, k: int):
+        return self.policy[k], self.own[k], self.cover[k], self.shields[self.shield_cut[k] : self.shield_cut[k + 1]], self.points[self.point_cut[k] : self.point_cut[k + 1]], self.grow[k]
 
 
 def counted(scenes: DataFrame) -> DataFrame:
-    """gathered() rows with `areas`, the own and the kept cells (area, left) of each element by rank, in place of the grid and the parts."""
+    """scenes (grid_width, grid_height, parts, others) with `areas`, the own and the kept cells (area, left) of each part, in place of the grid and the parts.
+
+    For grids that are small by their rules and regions alone: a scene is one row, its
+    parts an array in their order of structs as drawing_elements() has them.
+    """
     import pyarrow as pa
 
     rest = [c for c in scenes.columns if c not in ("grid_width", "grid_height", "parts")]
@@ -169,49 +198,87 @@ def counted(scenes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s = _Scenes(*(b.column(k) for k in range(3)))
-            got = [(int(own.sum()), int(kept.sum())) for i in range(b.num_rows) for _, _, _, own, kept in s.owned(i)]
-            areas = pa.StructArray.from_arrays([pa.array([v[k] for v in got], pa.int64()) for k in (0, 1)], ["area", "left"])
-            cut = pa.array((s.cut - s.cut[0]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.ListArray.from_arrays(cut, areas)], [*rest, "areas"])
+            parts = b.column(2)
+            cut = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            each, n = _Parts(parts.flatten().field), int(cut[-1])
+            got = np.zeros((n, 2), np.int64)
+            for i, (width, height) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                tile = _Tile(width, height, 0, 0, width, height)
+                for k in range(int(cut[i + 1]) - 1, int(cut[i]) - 1, -1):
+                    _, _, cells, kept = tile.take(*each[k])
+                    got[k] = cells.sum(), kept.sum()
+            areas = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(got[:, k])) for k in (0, 1)], ["area", "left"])
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), areas)], [*rest, "areas"])
 
     return scenes.select("grid_width", "grid_height", "parts", *rest).mapInArrow(run, f"{kinds}, areas array<struct<area:bigint,left:bigint>>")
 
 
-def areas(elements: DataFrame) -> DataFrame:
-    """scene_id, rank, area, left: the cells of each of drawing_elements(), and those that it keeps."""
-    rows = counted(gathered(elements).withColumn("ranks", F.col("parts.rank")))
-    return rows.select("scene_id", F.inline(F.arrays_zip(F.col("ranks").alias("rank"), F.col("areas").alias("a")))).select("scene_id", "rank", F.col("a.area").alias("area"), F.col("a.left").alias("left"))
-
-
-def pieces(elements: DataFrame) -> DataFrame:
-    """Each element's own cells in runs along a row, and whether it keeps them: scene_id, rank, x0, y0, x1, y1, kept."""
+def _tiled(elements: DataFrame, tile: int) -> DataFrame:
+    """drawing_elements() once for each tile that they touch, in partitions of whole tiles, a tile's elements from the last to the first."""
+    bound = lambda k, pick, at, side: F.when(F.size("outline") > 0, pick(F.col(f"outline.{k}"))).otherwise(at(F.col(f"own.{side}"), F.coalesce(F.col(f"cover.{side}"), F.col(f"own.{side}"))))
+    tiles = {}
+    for k, size, axis in (("x", "grid_width", "tile_x"), ("y", "grid_height", "tile_y")):
+        held = lambda v, size=size: F.greatest(F.lit(0), F.least(F.col(size) - 1, v))
+        reach = F.when(F.size("outline") > 0, F.greatest(F.lit(0), F.coalesce("grow", F.lit(0)))).otherwise(0)
+        low, high = bound(k, F.array_min, F.least, f"{k}0") - reach, F.when(F.size("outline") > 0, F.array_max(f"outline.{k}")).otherwise(F.greatest(F.col(f"own.{k}1"), F.coalesce(F.col(f"cover.{k}1"), F.lit(0))) - 1) + reach
+        tiles[axis] = F.sequence(F.floor(held(low) / tile).cast("int"), F.floor(F.greatest(held(low), held(high)) / tile).cast("int"))
+    rows = elements.fillna(0, ["grid_width", "grid_height"])
+    for axis, numbers in tiles.items():
+        rows = rows.withColumn(axis, F.explode(numbers))
+    key = ["scene_id", "tile_y", "tile_x"]
+    rows = rows.select(*key, "rank", "grid_width", "grid_height", "policy", "own", "cover", "shields", "outline", "grow")
+    return rows.repartition(*key).sortWithinPartitions(*key, F.desc("rank"))
+
+
+def _painted(rows: DataFrame, tile: int, out: list[str], emit):
+    """A mapInArrow function over _tiled(): emit(x0, y0, cells, kept) gives an array of rows, or none, for each element and tile."""
     import pyarrow as pa
 
-    rows = gathered(elements)
+    names = rows.columns
 
     def run(batches):
+        at, now = None, None
         for b in batches:
-            s = _Scenes(*(b.column(k) for k in range(1, 4)))
-            scene, rank, out = [], [], []
-            for i in range(b.num_rows):
-                for k, x0, y0, own, kept in s.owned(i):
-                    # 0 outside, 1 own, 2 kept; a run begins where the state changes
-                    state = np.pad(own.astype(np.int8) + kept, ((0, 0), (1, 1)))
-                    y, x = np.nonzero(state[:, 1:] != state[:, :-1])
-                    if not len(y):
-                        continue
-                    value = state[y, x + 1]
-                    end = np.append(x[1:], 0)
-                    use = value > 0
-                    out.append(np.stack([x[use] + x0, y[use] + y0, end[use] + x0, y[use] + y0 + 1, value[use] == 2], 1))
-                    scene += [i] * int(use.sum())
-                    rank += [s.rank[k]] * int(use.sum())
-            x = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(scene, pa.int64())), pa.array(rank, pa.int64()), *(pa.array(x[:, k], pa.int32()) for k in range(4)), pa.array(x[:, 4].astype(bool))], ["scene_id", "rank", *RECT, "kept"])
+            column = dict(zip(names, b.columns, strict=True))
+            keys = list(zip(*(column[k].to_pylist() for k in ("scene_id", "tile_y", "tile_x")), strict=True))
+            width, height = column["grid_width"].to_pylist(), column["grid_height"].to_pylist()
+            each, found, which, n = _Parts(column.__getitem__), [], [], 0
+            for k, key in enumerate(keys):
+                if key != at:
+                    at, (_, ty, tx) = key, key
+                    now = _Tile(width[k], height[k], tx * tile, ty * tile, (tx + 1) * tile, (ty + 1) * tile)
+                got = emit(*now.take(*each[k]))
+                found.append(got)
+                which.append(np.full(len(got), k))
+                n += len(got)
+                if n >= RUNS or k == len(keys) - 1:
+                    x, rank = np.concatenate(found), pa.array(np.concatenate(which))
+                    yield pa.RecordBatch.from_arrays([column["scene_id"].take(rank), column["rank"].take(rank), *(pa.array(np.ascontiguousarray(x[:, c])) for c in range(x.shape[1]))], ["scene_id", "rank", *out])
+                    found, which, n = [], [], 0
 
     kind = rows.schema["scene_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"scene_id {kind}, rank long, x0 int, y0 int, x1 int, y1 int, kept boolean")
+    return rows.mapInArrow(run, f"scene_id {kind}, rank long, " + ", ".join(f"{c} long" for c in out))
+
+
+def areas(elements: DataFrame, tile: int = TILE) -> DataFrame:
+    """scene_id, rank, area, left: the cells of each of drawing_elements(), and those that it keeps."""
+    each = _painted(_tiled(elements, tile), tile, ["area", "left"], lambda x0, y0, cells, kept: np.array([[cells.sum(), kept.sum()]], np.int64))
+    return each.groupBy("scene_id", "rank").agg(F.sum("area").alias("area"), F.sum("left").alias("left"))
+
+
+def _runs(x0: int, y0: int, cells: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """x0, y0, x1, y1, kept of the runs along rows of cells; 0 is outside, 1 own, 2 kept, and a run begins where that changes."""
+    state = np.pad(cells.astype(np.int8) + kept, ((0, 0), (1, 1)))
+    y, x = np.nonzero(state[:, 1:] != state[:, :-1])
+    value, end = state[y, x + 1], np.append(x[1:], 0)
+    use = value > 0
+    return np.stack([x[use] + x0, y[use] + y0, end[use] + x0, y[use] + y0 + 1, value[use] == 2], 1).astype(np.int64)
+
+
+def pieces(elements: DataFrame, tile: int = TILE) -> DataFrame:
+    """Each element's own cells in runs along a row of a tile, and whether it keeps them: scene_id, rank, x0, y0, x1, y1, kept."""
+    each = _painted(_tiled(elements, tile), tile, [*RECT, "kept"], _runs)
+    return each.select("scene_id", "rank", *(F.col(k).cast("int").alias(k) for k in RECT), (F.col("kept") == 1).alias("kept"))
 
 
 def cells(piece_rows: DataFrame) -> DataFrame:

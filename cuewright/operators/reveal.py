@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,13 @@ def _size(rect: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(1), rect["x1"] - rect["x0"]), F.greatest(F.lit(1), rect["y1"] - rect["y0"])
 
 
-def wiped(direction: Column, progress: Column, rect: Column, x: Column, y: Column, *, eased: bool = True) -> Column:
+def wiped(direction: Column, progress: Column, rect: Column, x: Column, y: Column) -> Column:
     """Whether a wipe over rect (x0, y0, x1, y1) has reached cell (x, y); other directions go left to right.
 
-    Going right or down includes the boundary's cells from the start on. Without
-    easing, progress is linear.
+    Going right or down includes the boundary's cells from the start on.
     """
     w, h = _size(rect)
-    p = F.round(ease(progress), 12) if eased else progress
+    p = F.round(ease(progress), 12)
     d = _direction(direction, w, h)
     along, down = F.rint(w * p).cast("int"), F.rint(h * p).cast("int")
     cx, cy = rect["x0"] + w / 2.0, rect["y0"] + h / 2.0
@@ -36,6 +37,22 @@ def wiped(direction: Column, progress: Column, rect: Column, x: Column, y: Colum
     return F.when(d == "right_to_left", x >= rect["x1"] - along).when(d == "top_to_bottom", y <= rect["y0"] + down).when(d == "bottom_to_top", y >= rect["y1"] - down).when(d == "radial", near).otherwise(x <= rect["x0"] + along)
 
 
+def previewed(direction: Column, progress: Column, region: Column, x: Column, y: Column) -> Column:
+    """Whether the preview page shows the middle of cell (x, y) at a progress that is not eased.
+
+    A wipe fills the region's share alone; the radial one is a disc that ends at 0.55
+    of the region's diagonal, whatever the region.
+    """
+    x0, y0, w, h = (region[k] for k in ("x", "y", "width", "height"))
+    mx, my = x + F.lit(0.5), y + F.lit(0.5)
+    d = _direction(direction, w, h)
+    inside = (mx >= x0) & (mx < x0 + w) & (my >= y0) & (my < y0 + h)
+    dx, dy, reach = mx - x0 - w / 2.0, my - y0 - h / 2.0, F.lit(0.55) * progress
+    near = dx * dx + dy * dy <= (w * w + h * h) * reach * reach
+    gone = F.when(d == "right_to_left", mx >= x0 + w * (1 - progress)).when(d == "top_to_bottom", my < y0 + h * progress).when(d == "bottom_to_top", my >= y0 + h * (1 - progress)).otherwise(mx < x0 + w * progress)
+    return F.when(d == "radial", near).otherwise(inside & gone)
+
+
 def pointer(direction: Column, progress: Column, rect: Column, width: Column, height: Column) -> Column:
     """Where the pointer is on a canvas of width x height, as x, y."""
     w, h = _size(rect)
@@ -64,19 +81,115 @@ def wipe_frames(cells: DataFrame, rects: DataFrame, frames: int) -> DataFrame:
     return rows.select("scene_id", "rank", "x", "y", step.alias("step"))
 
 
+def _first_step(i: Column, points: Column, frames: Column) -> Column:
+    """The first of `frames` steps, of which step k has reached point round(k * (points - 1) / (frames - 1)), to reach point i."""
+    reached = lambda k: F.rint(k * (points - 1).cast("double") / (frames - 1)) >= i
+    about = F.ceil((i - 0.5) * (frames - 1) / F.greatest(points - 1, F.lit(1))).cast("int")
+    exact = F.when((about > 0) & reached(about - 1), about - 1).when(reached(about), about).otherwise(about + 1)
+    return F.when((i == 0) | (frames <= 1), F.lit(0)).otherwise(exact)
+
+
+def _in_squares(strokes: DataFrame, side: int) -> DataFrame:
+    """strokes (ax, ay, bx, by, reach and others) once for each square of `side` cells that they may come within reach of, as `col` and `row`.
+
+    A long stroke is followed column by column, so its squares grow with its length.
+    """
+    x0, x1 = F.least("ax", "bx") - F.col("reach"), F.greatest("ax", "bx") + F.col("reach")
+    s = strokes.withColumn("col", F.explode(F.sequence(F.floor(x0 / side).cast("int"), F.floor(x1 / side).cast("int"))))
+    # the stretch of the stroke that is within reach of the column, as shares of the way from a to b
+    run = F.col("bx") - F.col("ax")
+    share = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.col("ax")) / run))
+    left, right = share(F.col("col") * side - F.col("reach")), share((F.col("col") + 1) * side + F.col("reach"))
+    y = lambda t: F.when(run == 0, F.col("ay")).otherwise(F.col("ay") + (F.col("by") - F.col("ay")) * t)
+    ends = (y(left), y(right), F.when(run == 0, F.col("by")).otherwise(y(left)))
+    rows = F.sequence(F.floor((F.least(*ends) - F.col("reach")) / side).cast("int"), F.floor((F.greatest(*ends) + F.col("reach")) / side).cast("int"))
+    return s.withColumn("row", F.explode(rows))
+
+
+def _stroke_frames(cells: DataFrame, strokes: DataFrame, paths: DataFrame, reach: float) -> DataFrame:
+    """scene_id, rank, x, y, step: the least step of strokes (scene_id, rank, step, ax, ay, bx, by, reach) within reach of each cell.
+
+    Strokes lie in squares as large as their reach, and a cell meets those of its own
+    square alone, so the work grows with the cells and the strokes around each. A cell
+    that no stroke reaches appears after the last step, as step `frames` of its path;
+    one whose element has no path has a null step.
+    """
+    side = max(1, math.ceil(reach))
+    inside = _in_squares(strokes, side).select("scene_id", "rank", "col", "row", "step", "ax", "ay", "bx", "by", "reach")
+    c = cells.join(paths.where(F.size("points") > 0).select("scene_id", "rank", "frames"), ["scene_id", "rank"], "left")
+    c = c.withColumns({k: F.floor(F.col(v) / side).cast("int") for k, v in (("col", "x"), ("row", "y"))})
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    along = ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), along))
+    off = lambda v, a, d: F.col(v) - F.col(a) - d * t
+    near = off("x", "ax", dx) * off("x", "ax", dx) + off("y", "ay", dy) * off("y", "ay", dy) <= F.col("reach") * F.col("reach") + 1e-9
+    met = c.join(inside, ["scene_id", "rank", "col", "row"], "left")
+    return met.groupBy("scene_id", "rank", "x", "y", "frames").agg(F.min(F.when(near, F.col("step"))).alias("step")).select("scene_id", "rank", "x", "y", F.coalesce("step", "frames").cast("int").alias("step"))
+
+
+def _walked(paths: DataFrame) -> DataFrame:
+    """A row for each point of paths (scene_id, rank, points, frames, others): i, the point `b` and the one before, `a`, and the step that reaches it."""
+    rows = paths.withColumn("n", F.size("points")).select("*", F.posexplode("points").alias("i", "b")).withColumn("a", F.coalesce(F.get("points", F.col("i") - 1), F.col("b")))
+    return rows.withColumn("step", _first_step(F.col("i"), F.col("n"), F.col("frames")))
+
+
+def _stroke(a: str, b: str, reach: Column) -> list[Column]:
+    return [*(F.col(f"{p}.{v}").cast("double").alias(f"{k}{v}") for k, p in (("a", a), ("b", b)) for v in ("x", "y")), reach.alias("reach")]
+
+
+def ink_frames(cells: DataFrame, paths: DataFrame, radius: int = 5) -> DataFrame:
+    """scene_id, rank, x, y, step: the step of the ink stage that first shows each of an element's ink cells.
+
+    paths: scene_id, rank, points (array of x, y), pen_lifts (positions in points),
+    frames. A step draws thick lines up to the point that it has reached, 2 * radius
+    + 1 cells wide with round ends, and a disc of `radius` where the path begins and
+    where the pen comes down again; a cell shows if its middle is covered. With a
+    single frame only a disc at the last point is drawn. See _stroke_frames for cells
+    that stay out of reach.
+    """
+    disc = (F.col("i") == 0) | F.array_contains(F.coalesce("pen_lifts", F.array().cast("array<int>")), F.col("i"))
+    w = _walked(paths).withColumn("only", (F.col("frames") <= 1)).where("not only or i = n - 1").withColumn("disc", disc | F.col("only"))
+    w = w.withColumn("a", F.when(F.col("disc"), F.col("b")).otherwise(F.col("a")))
+    strokes = w.select("scene_id", "rank", "step", *_stroke("a", "b", F.when(F.col("disc"), float(radius)).otherwise(radius + 0.5)))
+    return _stroke_frames(cells, strokes, paths, radius + 0.5)
+
+
+def brush_frames(cells: DataFrame, paths: DataFrame, radius: float = 42) -> DataFrame:
+    """scene_id, rank, x, y, step: the step of the color stage in which a brush along a path first shows each of an element's content cells.
+
+    paths: scene_id, rank, points, frames. The brush is a disc at each point that a
+    step has passed.
+    """
+    strokes = _walked(paths).select("scene_id", "rank", "step", *_stroke("b", "b", F.lit(float(radius))))
+    return _stroke_frames(cells, strokes, paths, radius)
+
+
 def path_frames(cells: DataFrame, paths: DataFrame, frames: Column, radius: float) -> DataFrame:
-    """scene_id, rank, x, y, step: the first step whose path prefix comes within radius of each owned cell.
+    """scene_id, rank, x, y, step: brush_frames() of paths without frames of their own, all with `frames`."""
+    return brush_frames(cells, paths.withColumn("frames", frames), radius)
+
+
+def finish_cells(content: DataFrame, shown: DataFrame, written: DataFrame, mode: str, frames: int = 0) -> DataFrame:
+    """scene_id, x, y, frame, alpha: how the finish changes the cells that no element has shown.
 
-    paths: scene_id, rank, points (array of x, y). Step k has reached point
-    round(k * (n - 1) / (frames - 1)). What no step reaches appears after the last.
+    content and shown: scene_id, x, y, of cells that differ from the background and of
+    those that elements have shown; written: scene_id, written, the frames there are
+    when the last element is done. union-only changes nothing; fade-full blends a cell
+    with its source over `frames` frames, up to alpha 1; full-source shows it at once.
     """
-    rows = cells.join(paths.withColumn("frames", frames), ["scene_id", "rank"])
-    near = lambda p: (p["x"] - F.col("x")) * (p["x"] - F.col("x")) + (p["y"] - F.col("y")) * (p["y"] - F.col("y")) <= radius * radius
-    hits = F.filter(F.transform("points", lambda p, i: F.when(near(p), i)), lambda i: i.isNotNull())
-    first, n = F.get(hits, F.lit(0)), F.size("points")
-    reached = F.filter(F.sequence(F.lit(0), F.col("frames") - 1), lambda k: F.rint(k * (n - 1).cast("double") / F.greatest(F.lit(1), F.col("frames") - 1)) >= first)
-    step = F.when(F.col("frames") == 1, F.lit(0)).otherwise(F.get(reached, F.lit(0)))
-    return rows.select("scene_id", "rank", "x", "y", F.coalesce(F.when(first.isNotNull(), step), F.col("frames")).cast("int").alias("step"))
+    left = content.select("scene_id", "x", "y").distinct().join(shown.select("scene_id", "x", "y").distinct(), ["scene_id", "x", "y"], "left_anti").join(written.select("scene_id", "written"), "scene_id")
+    if mode == "union-only":
+        left, steps = left.limit(0), F.array(F.lit(0))
+    else:
+        steps = F.sequence(F.lit(0), F.lit(max(1, frames) - 1)) if mode == "fade-full" else F.array(F.lit(0))
+    rows = left.withColumn("step", F.explode(steps))
+    alpha = (F.col("step") + 1) / F.lit(float(max(1, frames))) if mode == "fade-full" else F.lit(1.0)
+    return rows.select("scene_id", "x", "y", (F.col("written") + F.col("step")).alias("frame"), alpha.alias("alpha"))
+
+
+def blended(start: Column, source: Column, alpha: Column) -> Column:
+    """A byte between two bytes, cut to a whole number."""
+    return (start * (1.0 - alpha) + source * alpha).cast("int")
 
 
 def final_alpha(mode: Column, revealed: Column, step: Column, steps: Column) -> Column:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reveal import pointer
+
 
 @dataclass(frozen=True)
 class Timing:
@@ -20,6 +22,13 @@ class Timing:
     ink_weight: int = 2
     color_weight: int = 1
     final_hold_ms: int = 700
+    #: union-only, full-source, or fade-full, which puts frames of its own between the last element and the hold
+    finish: str = "union-only"
+    fade_ms: int = 450
+
+    @property
+    def fade_frames(self) -> int:
+        return max(1, round(self.fade_ms * self.fps / 1000)) if self.finish == "fade-full" else 0
 
 
 def frames_at(ms: Column, fps: int) -> Column:
@@ -33,36 +42,129 @@ def progress_indices(points: Column, frames: Column) -> Column:
     return F.when((points <= 0) | (frames <= 0), empty).when(frames == 1, F.array((points - 1).cast("int"))).otherwise(steps)
 
 
-def element_frames(elements: DataFrame, timing: Timing = Timing()) -> DataFrame:
-    """scene_id, rank, element_id, start_frame, ink_frames, color_frames, first_frame, end_frame, late.
+def _order() -> Window:
+    return Window.partitionBy("scene_id").orderBy("sequence", "start_ms", "position")
 
-    Elements go by (sequence, start_ms, position). Frame 0 is blank. first_frame is
-    the element's first and end_frame the count of frames when it is done; it is
-    late if more than one frame is already written when it should start.
-    """
-    order = Window.partitionBy("scene_id").orderBy("sequence", "start_ms", "position")
+
+def ranked(elements: DataFrame) -> DataFrame:
+    """Elements with `rank`, their place from 0 in the order in which they are drawn."""
+    return elements.withColumn("rank", (F.row_number().over(_order()) - 1).cast("long"))
+
+
+def _scheduled(elements: DataFrame, timing: Timing) -> DataFrame:
+    """Elements with rank, start_frame, ink_frames, color_frames, first_frame, end_frame, and `written`, the frames there are before the element's turn."""
+    order = _order()
     until, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     total = F.greatest(F.lit(2).cast("long"), frames_at(F.col("duration_ms"), timing.fps))
     share = F.rint(F.col("total") * F.lit(float(timing.ink_weight)) / F.lit(float(max(1, timing.ink_weight + timing.color_weight)))).cast("long")
-    e = elements.withColumns({"rank": (F.row_number().over(order) - 1).cast("long"), "start_frame": F.greatest(F.lit(1).cast("long"), frames_at(F.col("start_ms"), timing.fps)), "total": total})
+    e = ranked(elements).withColumns({"start_frame": F.greatest(F.lit(1).cast("long"), frames_at(F.col("start_ms"), timing.fps)), "total": total})
     e = e.withColumn("ink_frames", F.greatest(F.lit(1).cast("long"), share))
     e = e.withColumn("color_frames", F.greatest(F.lit(1).cast("long"), F.col("total") - F.col("ink_frames"))).withColumn("emitted", F.col("ink_frames") + F.col("color_frames"))
     e = e.withColumn("done", F.coalesce(F.sum("emitted").over(before), F.lit(0).cast("long")))
     e = e.withColumn("wait", F.greatest(F.lit(1).cast("long"), F.max(F.col("start_frame") - F.col("done")).over(until)))
     e = e.withColumns({"end_frame": F.col("done") + F.col("emitted") + F.col("wait"), "first_frame": F.col("done") + F.col("wait")})
-    written = F.coalesce(F.lag("end_frame").over(order), F.lit(1).cast("long"))
-    return e.withColumn("late", written > F.col("start_frame") + 1).select("scene_id", "rank", "element_id", "start_frame", "ink_frames", "color_frames", "first_frame", "end_frame", "late")
+    return e.withColumn("written", F.coalesce(F.lag("end_frame").over(order), F.lit(1).cast("long")))
+
+
+def element_frames(elements: DataFrame, timing: Timing = Timing()) -> DataFrame:
+    """scene_id, rank, element_id, start_frame, ink_frames, color_frames, first_frame, end_frame, late.
+
+    Elements go by (sequence, start_ms, position). Frame 0 is blank. first_frame is
+    the element's first and end_frame the count of frames when it is done; it is
+    late if more than one frame is already written when it should start.
+    """
+    late = (F.col("written") > F.col("start_frame") + 1).alias("late")
+    return _scheduled(elements, timing).select("scene_id", "rank", "element_id", "start_frame", "ink_frames", "color_frames", "first_frame", "end_frame", late)
+
+
+def _all_frames(written: Column, timing: Timing) -> Column:
+    """Frames of a scene with `written` ones when its last element is done: with the finish's own, and the hold or the scene's duration. No duration counts as 0."""
+    held = written + timing.fade_frames + F.greatest(F.lit(1).cast("long"), frames_at(F.coalesce("final_hold_ms", F.lit(timing.final_hold_ms)), timing.fps))
+    return F.greatest(frames_at(F.coalesce("scene_duration_ms", F.lit(0)), timing.fps), held)
 
 
 def scene_frames(elements: DataFrame, timing: Timing = Timing()) -> DataFrame:
-    """scene_id, written (frames with elements), total (with the tail's hold), duration_ms."""
-    own = elements.groupBy("scene_id").agg(F.first("scene_duration_ms").alias("scene_duration_ms"), F.first(F.coalesce("final_hold_ms", F.lit(timing.final_hold_ms))).alias("hold"))
-    s = element_frames(elements, timing).groupBy("scene_id").agg(F.max("end_frame").alias("written")).join(own, "scene_id")
-    tail = F.col("written") + F.greatest(F.lit(1).cast("long"), frames_at(F.col("hold"), timing.fps))
-    s = s.withColumn("total", F.greatest(frames_at(F.col("scene_duration_ms"), timing.fps), tail))
+    """scene_id, written (frames when the last element is done), total (with the finish and the tail's hold), duration_ms."""
+    s = _scheduled(elements, timing).groupBy("scene_id").agg(F.max("end_frame").alias("written"), F.max("scene_duration_ms").alias("scene_duration_ms"), F.max("final_hold_ms").alias("final_hold_ms"))
+    s = s.withColumn("total", _all_frames(F.col("written"), timing))
     return s.select("scene_id", "written", "total", F.rint(F.col("total") * 1000.0 / timing.fps).cast("long").alias("duration_ms"))
 
 
+def runs(elements: DataFrame, timing: Timing = Timing()) -> DataFrame:
+    """scene_id, stage, first, count, rank, element_id, done: all frames of a scene as runs that follow each other, none empty.
+
+    A `blank` frame comes first, then for each element the frames that `hold` until
+    its turn, its `ink` and its `color`, then the `fade` of the finish fade-full and
+    the `tail`. Only ink and color have a rank and an element. done is how many
+    elements are whole when the run begins, which is what its frames show besides
+    what the run itself draws; a hold carries on the state before it.
+    """
+    last = F.lead("rank").over(_order()).isNull()
+    e = _scheduled(elements, timing).withColumn("last", last)
+    begin, ink, end = F.col("first_frame"), F.col("ink_frames"), F.col("end_frame")
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+
+    def run(stage: str, first: Column, count: Column, when: Column | None = None, own: bool = False) -> Column:
+        return F.struct(
+            F.lit(stage).alias("stage"),
+            first.alias("first"),
+            (count if when is None else F.when(when, count).otherwise(zero)).alias("count"),
+            (F.col("rank") if own else none.cast("long")).alias("rank"),
+            (F.col("element_id") if own else none.cast("string")).alias("element_id"),
+            (F.col("rank") + 1 if stage in ("fade", "tail") else F.col("rank")).alias("done"),
+        )
+
+    fade = F.lit(timing.fade_frames).cast("long")
+    parts = F.array(
+        run("blank", zero, zero + 1, F.col("rank") == 0),
+        run("hold", F.col("written"), begin - F.col("written")),
+        run("ink", begin, ink, own=True),
+        run("color", begin + ink, F.col("color_frames"), own=True),
+        run("fade", end, fade, F.col("last")),
+        run("tail", end + fade, _all_frames(end, timing) - end - fade, F.col("last")),
+    )
+    return e.select("scene_id", F.inline(F.filter(parts, lambda r: r["count"] > 0)))
+
+
+def path_index(step: Column, frames: Column, points: Column) -> Column:
+    """The point that the path has reached in step `step` of `frames`; in a single frame the last one."""
+    return F.when(frames <= 1, points - 1).otherwise(F.rint(step * (points - 1).cast("double") / (frames - 1)).cast("int"))
+
+
+def frames(elements: DataFrame, timing: Timing = Timing(), paths: DataFrame | None = None, wipes: DataFrame | None = None, brushes: DataFrame | None = None) -> DataFrame:
+    """scene_id, frame, stage, rank, element_id, step, progress, done, target_x, target_y: every frame of a scene once.
+
+    As runs() has them. The target is where the pointer is, null where none is shown:
+    in ink frames the point of the element's path in `paths` (scene_id, rank, points)
+    that the step has reached; in color frames that of `brushes`, of the same columns,
+    or else the pointer of the wipe in `wipes` (scene_id, rank, direction, rect,
+    width, height), the canvas's sides.
+    """
+    r = runs(elements, timing)
+    for name, given in (("ink_path", paths), ("brush_path", brushes)):
+        if given is not None:
+            r = r.join(given.select("scene_id", "rank", F.col("points").alias(name)), ["scene_id", "rank"], "left")
+    if wipes is not None:
+        r = r.join(wipes.select("scene_id", "rank", F.struct("direction", "rect", "width", "height").alias("wipe")), ["scene_id", "rank"], "left")
+    n = F.col("count")
+
+    def at(k: Column) -> Column:
+        progress = F.when(n == 1, 1.0).otherwise(k / (n - 1))
+        place = lambda path: F.get(F.col(path), path_index(k, n, F.size(path)))
+        target = F.lit(None).cast("struct<x:int,y:int>")
+        if wipes is not None:
+            w = F.col("wipe")
+            target = F.when((F.col("stage") == "color") & w.isNotNull(), pointer(w["direction"], progress, w["rect"], w["width"], w["height"])).otherwise(target)
+        for stage, path, given in (("color", "brush_path", brushes), ("ink", "ink_path", paths)):
+            if given is not None:
+                target = F.when((F.col("stage") == stage) & (F.size(path) > 0), place(path)).otherwise(target)
+        drawn = F.col("stage").isin("ink", "color", "fade")
+        return F.struct((F.col("first") + k).alias("frame"), F.when(drawn, k).alias("step"), F.when(drawn, progress).alias("progress"), target["x"].cast("int").alias("target_x"), target["y"].cast("int").alias("target_y"))
+
+    each = r.select("scene_id", "stage", "rank", "element_id", "done", F.inline(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), at)))
+    return each.select("scene_id", "frame", "stage", "rank", "element_id", "step", "progress", "done", "target_x", "target_y")
+
+
 def merged(scenes: DataFrame) -> DataFrame:
     """scene_id, offset, end_offset: frames of scenes (project_id, scene_id, total) put one after another by id."""
     before = Window.partitionBy("project_id").orderBy("scene_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +173,7 @@ def merged(scenes: DataFrame) -> DataFrame:
 
 
 def frame_table(elements: DataFrame, timing: Timing = Timing()) -> DataFrame:
-    """A row for each frame in which an element draws: scene_id, frame, element_id, stage, step, progress."""
+    """A row for each frame in which an element draws: scene_id, frame, element_id, stage, step, progress; frames() has all of them."""
     e = element_frames(elements, timing)
     stage = lambda name, n, first: e.select("scene_id", "rank", "element_id", F.lit(name).alias("stage"), F.col(n).alias("n"), first.alias("first"))
     both = stage("ink", "ink_frames", F.col("first_frame")).unionByName(stage("color", "color_frames", F.col("first_frame") + F.col("ink_frames")))

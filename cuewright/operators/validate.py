@@ -7,13 +7,14 @@ code, element_id, detail); a check of a whole scene has a null element_id, and
 detail says what an issue's numbers or names are, where it has any.
 
 A scene's elements meet once, as an array in their order; all checks read that row.
+A scene without a duration has one of 0.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .masks import KEYS, counted, in_bounds, scaled
@@ -37,7 +38,7 @@ ISSUE = "array<struct<level:string,code:string,element_id:string,detail:string>>
 def _scenes(elements: DataFrame) -> DataFrame:
     """One row for each scene, with its elements `e` in the order of sequence, named as issues name them."""
     fields = ("element_id", "sequence", "region", "start_ms", "duration_ms", "policy", "subtitle", "narrative_role", "protected")
-    own = [F.first(c).alias(c) for c in ("canvas_width", "canvas_height", "scene_duration_ms")]
+    own = [*(F.first(c).alias(c) for c in ("canvas_width", "canvas_height")), F.coalesce(F.first("scene_duration_ms"), F.lit(0)).alias("scene_duration_ms")]
     order = F.struct(F.coalesce(F.col("sequence").cast("long"), F.lit(LAST).cast("long")).alias("at"), "position", *fields)
     s = elements.groupBy("scene_id").agg(*own, F.first(F.coalesce("final_hold_ms", F.lit(700))).alias("hold"), F.array_sort(F.collect_list(order)).alias("e"))
     given = lambda c: F.coalesce(c, F.lit(False))
@@ -147,7 +148,14 @@ def _checked(elements: DataFrame) -> DataFrame:
 
 def overlaps(elements: DataFrame) -> DataFrame:
     """scene_id, first_id, second_id, overlap_ms: neighbours by (start, end, name) of which the second begins too early."""
-    return _scenes(elements).select("scene_id", F.inline(_overlaps()))
+    at = F.coalesce(F.col("sequence").cast("long"), F.lit(LAST).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(at, "position")) - 1
+    name = F.when(F.coalesce("element_id", F.lit("")) != "", F.col("element_id")).otherwise(F.concat(F.lit("index-"), F.col("rank").cast("string")))
+    e = elements.select("scene_id", "sequence", "position", "element_id", "start_ms", (F.col("start_ms") + F.col("duration_ms")).cast("long").alias("end_ms"), F.coalesce((F.col("start_ms") >= 0) & (F.col("duration_ms") > 0), F.lit(False)).alias("sound"))
+    e = e.withColumn("rank", rank).where("sound").withColumn("first_id", name)
+    after = lambda c: F.lead(c).over(Window.partitionBy("scene_id").orderBy("start_ms", "end_ms", "first_id", "rank"))
+    e = e.withColumns({"second_id": after("first_id"), "overlap_ms": F.col("end_ms") - after("start_ms")})
+    return e.where("overlap_ms > 0").select("scene_id", "first_id", "second_id", "overlap_ms")
 
 
 def issues(elements: DataFrame) -> DataFrame:
@@ -190,8 +198,9 @@ def _at(v: Column, path: str) -> Column:
 class _Schema:
     """Problems of a VARIANT, found by explicit rules: (path, problem) structs.
 
-    Types are taken from the JSON itself, so 1.0 or true is no integer. What isn't
-    there has no problem but `required`.
+    Types are taken from the JSON itself: a number without a fraction is an integer,
+    however it is written, and true is none. What isn't there has no problem but
+    `required`.
     """
 
     def __init__(self, v: Column, where: Column | str = ""):
@@ -211,9 +220,10 @@ class _Schema:
         return self
 
     def integer(self, path: str, least: int | None = None, most: int | None = None) -> _Schema:
-        n = lambda v: F.try_variant_get(v, "$", "bigint")
+        n = lambda v: F.try_variant_get(v, "$", "double")
         within = lambda v: (n(v) >= least if least is not None else F.lit(True)) & (n(v) <= most if most is not None else F.lit(True))
-        self._rule(path, lambda v: (_kind(v) == "BIGINT") & within(v), "integer")
+        whole = lambda v: (_kind(v) == "BIGINT") | (_kind(v).rlike("^(DECIMAL|DOUBLE)") & (F.rint(n(v)) == n(v)))
+        self._rule(path, lambda v: whole(v) & within(v), "integer")
         return self
 
     def text(self, *paths: str, least: int = 0) -> _Schema:

@@ -86,15 +86,16 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checked_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """elements() with a canvas of no width for every 97th scene."""
-    return elements(spark, sf_dir).withColumn("canvas_width", F.when(F.col("scene_id") % 97 == 0, 0).otherwise(F.col("canvas_width")))
+    """elements() with a canvas of no width for every 97th scene, and no duration for every 89th."""
+    unless = lambda n, c, v: F.when(F.col("scene_id") % n == 0, F.lit(v).cast("int")).otherwise(F.col(c))
+    return elements(spark, sf_dir).withColumns({"canvas_width": unless(97, "canvas_width", 0), "scene_duration_ms": unless(89, "scene_duration_ms", None)})
 
 
 def annotation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, json: an annotation for each line item, broken in one way or none by l_partkey modulo 11."""
+    """source_id, json: an annotation for each line item, broken in one way or none by l_partkey modulo 11; where that is 10 whole numbers have a point."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     way = F.col("l_partkey") % 11
-    number = lambda k, bad, good: F.when(way == k, F.lit(bad)).otherwise(good.cast("string"))
+    number = lambda k, bad, good: F.when(way == k, F.lit(bad)).when((way == 10) & (good.cast("string").rlike("^[0-9]+$")), F.concat(good.cast("string"), F.lit(".0"))).otherwise(good.cast("string"))
     json = F.concat(
         F.lit('{"sceneId":"s","canvas":{"width":'), number(1, "1", F.lit(32)), F.lit(',"height":'), number(2, "18.5", F.lit(18)), F.lit('},"sceneDurationMs":'), number(3, "true", F.lit(3000)),
         F.when(way == 4, F.lit('}')).otherwise(F.concat(F.lit(',"elements":[{"id":"e","label":'), number(5, '""', F.lit('"x"')), F.lit(',"sequence":'), F.col("l_linenumber").cast("string"), F.lit(',"maskPolicy":'), number(6, '"other"', F.lit('"none"')), F.lit(',"region":{"x":'), (F.col("l_suppkey") % 9).cast("string"), F.lit(',"y":0,"width":'), number(7, "0", F.lit(3)), F.lit(',"height":2},"reveal":{"startMs":0'), F.when(way == 8, F.lit("")).otherwise(F.lit(',"durationMs":5')), F.lit("}}]}"))),
@@ -116,3 +117,18 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x + w / 3, y + h))
     turned = F.when(F.col("start_ms") % 4 == 0, F.reverse(around)).otherwise(around)
     return e.select("scene_id", (F.col("position") % 2).alias("char_pos"), F.col("position").alias("contour_pos"), turned.alias("pts"))
+
+
+def hand_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """elements() with a drawing of their own: hand_points, hand_contour or hand_start and hand_end by position modulo 4, none for 3."""
+    x, y, w, h = (F.col(f"region.{k}").cast("double") for k in ("x", "y", "width", "height"))
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    way = F.col("position") % 4
+    return elements(spark, sf_dir).withColumns(
+        {
+            "hand_points": F.when(way == 0, F.array(point(x, y), point(x + w, y), point(x + w, y + h))),
+            "hand_contour": F.when(way == 1, F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h))),
+            "hand_start": F.when(way == 2, point(x + w, y)),
+            "hand_end": F.when(way == 2, point(x, y + h)),
+        }
+    )

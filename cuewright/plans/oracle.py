@@ -97,7 +97,7 @@ el AS (
     list_extract(['left_to_right', 'right_to_left', 'top_to_bottom', 'bottom_to_top', 'radial', 'auto'], p % 6 + 1) AS direction,
     list_extract(['subtract-later', 'explicit', 'none'], s % 3 + 1) AS policy, CASE WHEN l_discount > 0.005 THEN l_returnflag END AS subtitle,
     CASE WHEN l_tax > 0.005 THEN l_linestatus END AS role, p % 3 AS pad,
-    CASE WHEN p % 5 = 0 THEN [{'x': p % 30 + 1, 'y': s % 16, 'w': 2, 'h': 2}, {'x': p % 30 + 4, 'y': s % 14 + 1, 'w': q % 4 + 1, 'h': 3}] ELSE [] END AS protected, CASE WHEN l_orderkey % 97 = 0 THEN 0 ELSE 32 END AS cw FROM li),
+    CASE WHEN p % 5 = 0 THEN [{'x': p % 30 + 1, 'y': s % 16, 'w': 2, 'h': 2}, {'x': p % 30 + 4, 'y': s % 14 + 1, 'w': q % 4 + 1, 'h': 3}] ELSE [] END AS protected, CASE WHEN l_orderkey % 97 = 0 THEN 0 ELSE 32 END AS cw, CASE WHEN l_orderkey % 89 = 0 THEN 0 ELSE 3000 END AS sd FROM li),
 e AS (
   SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY seq, position) - 1 AS vr, row_number() OVER (PARTITION BY scene_id ORDER BY seq, start_ms, position) - 1 AS rank,
     start_ms >= 0 AND dur > 0 AS sound, start_ms + dur AS end_ms, cw > 0 AND x + w <= 32 AND y + h <= 18 AS fits, cw > 0 AS canvas_ok FROM el)"""
@@ -115,18 +115,18 @@ judged AS (
 ISSUES = f"""
 {ELEMENTS}, {JUDGED},
 sc AS (
-  SELECT scene_id, count(*) AS n, list_sort(list(seq)) AS seqs, coalesce(max(end_ms) FILTER (sound), 0) AS last_end, max(cw) AS cw FROM e GROUP BY scene_id),
+  SELECT scene_id, count(*) AS n, list_sort(list(seq)) AS seqs, coalesce(max(end_ms) FILTER (sound), 0) AS last_end, max(cw) AS cw, max(sd) AS sd FROM e GROUP BY scene_id),
 nx AS (SELECT *, lead(start_ms) OVER (PARTITION BY scene_id ORDER BY start_ms, end_ms, id, vr) AS ns, lead(id) OVER (PARTITION BY scene_id ORDER BY start_ms, end_ms, id, vr) AS nid FROM e WHERE sound),
 dup AS (SELECT scene_id, string_agg(id, ', ' ORDER BY id) AS ids FROM (SELECT scene_id, id FROM e GROUP BY ALL HAVING count(*) > 1) GROUP BY scene_id),
 issues AS (
   SELECT scene_id, 'error' AS level, 'duplicate-id' AS code, NULL AS element_id, ids AS detail FROM dup
   UNION ALL SELECT scene_id, 'error', 'sequence-gap', NULL, NULL FROM sc WHERE seqs <> range(1, n + 1)
-  UNION ALL SELECT scene_id, 'error', 'insufficient-final-hold', NULL, (3000 - last_end)::VARCHAR FROM sc WHERE 3000 - last_end < 700
+  UNION ALL SELECT scene_id, 'error', 'insufficient-final-hold', NULL, (sd - last_end)::VARCHAR FROM sc WHERE sd - last_end < 700
   UNION ALL SELECT scene_id, 'error', 'invalid-canvas', NULL, NULL FROM sc WHERE cw <= 0
   UNION ALL SELECT scene_id, 'error', 'region-out-of-bounds', id, NULL FROM e WHERE canvas_ok AND NOT fits
   UNION ALL SELECT scene_id, 'error', 'invalid-start', id, NULL FROM e WHERE start_ms < 0
   UNION ALL SELECT scene_id, 'error', 'invalid-duration', id, NULL FROM e WHERE start_ms >= 0 AND dur <= 0
-  UNION ALL SELECT scene_id, 'error', 'element-exceeds-scene', id, end_ms::VARCHAR FROM e WHERE sound AND end_ms > 3000
+  UNION ALL SELECT scene_id, 'error', 'element-exceeds-scene', id, end_ms::VARCHAR FROM e WHERE sound AND end_ms > sd
   UNION ALL SELECT scene_id, 'warning', 'missing-subtitle', id, NULL FROM e WHERE sound AND subtitle IS NULL
   UNION ALL SELECT scene_id, 'warning', 'missing-narrative-role', id, NULL FROM e WHERE sound AND role IS NULL
   UNION ALL SELECT scene_id, 'error', 'protected-region-out-of-bounds', id, NULL FROM (SELECT scene_id, id, canvas_ok, unnest(protected) AS r FROM e WHERE sound) WHERE canvas_ok AND (r.x + r.w > 32 OR r.y + r.h > 18)
@@ -147,6 +147,71 @@ fr AS (
   FROM fr JOIN v ON v.scene_id = fr.scene_id AND v.rank = fr.rank + 1),
 sf AS (SELECT scene_id, max(done) AS written, greatest(45, max(done) + 10)::BIGINT AS total FROM fr GROUP BY scene_id)"""
 
+#: Frames, hold and finish of scenes, with `fade` frames between them.
+def _ended(fade: int) -> str:
+    return f"sn AS (SELECT scene_id, max(done) AS written, greatest(45, max(done) + {fade} + 10)::BIGINT AS total, count(*) AS n FROM fr GROUP BY scene_id)"
+
+
+#: Paths by hand, each with a line across the region behind it.
+HANDS = """
+hl AS (
+  SELECT scene_id, rank, dur, position % 4 AS way, x, y, w, h, CASE position % 4 WHEN 0 THEN [x, x + w, x + w] WHEN 1 THEN [x, x + w, x + w, x] ELSE [x + w, x] END AS xs,
+    CASE position % 4 WHEN 0 THEN [y, y, y + h] WHEN 1 THEN [y, y, y + h, y + h] ELSE [y, y + h] END AS ys FROM e WHERE position % 4 < 3),
+pl AS (SELECT scene_id, rank, 0 AS part, xs, ys FROM hl UNION ALL SELECT scene_id, rank, 1, [x, x + w], [y + h, y] FROM hl),
+sg AS (SELECT *, unnest(range(1, len(xs))) AS i FROM pl),
+sl AS (SELECT *, sqrt((xs[i + 1] - xs[i]) ** 2 + (ys[i + 1] - ys[i]) ** 2) AS n FROM sg),
+so AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY scene_id, rank, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM sl),
+sk3 AS (SELECT *, unnest(range(floor(pos / 3 + 1e-9)::BIGINT + 1, floor((pos + n) / 3 + 1e-9)::BIGINT + 1)) AS k FROM so),
+pp AS (
+  SELECT scene_id, rank, part, 0 AS k, xs[1]::INT AS px, ys[1]::INT AS py FROM pl
+  UNION ALL SELECT scene_id, rank, part, k, round_even(xs[i] + (xs[i + 1] - xs[i]) * (k * 3 - pos) / n, 0)::INT, round_even(ys[i] + (ys[i + 1] - ys[i]) * (k * 3 - pos) / n, 0)::INT FROM sk3),
+pe AS (
+  SELECT * FROM pp
+  UNION ALL SELECT scene_id, rank, part, 1000000, xs[-1]::INT, ys[-1]::INT FROM pl
+    JOIN (SELECT scene_id, rank, part, arg_max(px, k) AS lx, arg_max(py, k) AS ly FROM pp GROUP BY ALL) USING (scene_id, rank, part) WHERE lx <> xs[-1] OR ly <> ys[-1]),
+hp AS (
+  SELECT scene_id, rank, part, px, py, (row_number() OVER (PARTITION BY scene_id, rank ORDER BY part, k) - 1)::INT AS i, count(*) OVER (PARTITION BY scene_id, rank) AS np,
+    (count(*) FILTER (part = 0) OVER (PARTITION BY scene_id, rank))::INT AS lift FROM pe)"""
+
+#: The step in which each point of a path is reached.
+REACHED = """
+tm AS (SELECT DISTINCT hp.scene_id, hp.rank, np, greatest(1, round_even(dur * 15.0 / 1000, 0))::INT AS nf FROM hp JOIN hl USING (scene_id, rank)),
+ks AS (SELECT *, unnest(range(nf)) AS k FROM tm),
+tg AS (SELECT *, CASE WHEN nf = 1 THEN np - 1 ELSE round_even(k * (np - 1)::DOUBLE / (nf - 1), 0) END AS target FROM ks),
+fs AS (SELECT hp.*, nf, (SELECT min(k) FROM tg WHERE tg.scene_id = hp.scene_id AND tg.rank = hp.rank AND target >= i)::INT AS step FROM hp JOIN tm USING (scene_id, rank))"""
+
+
+def _shown(strokes: str) -> str:
+    """Cells by the first step of a stroke (scene_id, rank, step, ax, ay, bx, b_y, reach) near them, each compared with all strokes of its element."""
+    return f"""st AS ({strokes}),
+nr AS (
+  SELECT c.scene_id, c.rank, cx, cy, step, reach, ax - cx AS ux, ay - cy AS uy, bx - ax AS vx, b_y - ay AS vy FROM cel c JOIN st ON c.scene_id = st.scene_id AND c.rank = st.rank WHERE kept),
+nd AS (SELECT *, CASE WHEN vx = 0 AND vy = 0 THEN 0 ELSE least(1.0, greatest(0.0, -(ux * vx + uy * vy) / (vx * vx + vy * vy)::DOUBLE)) END AS t FROM nr),
+hit AS (SELECT scene_id, rank, cx, cy, min(step) AS step FROM nd WHERE (ux + vx * t) ** 2 + (uy + vy * t) ** 2 <= reach * reach + 1e-9 GROUP BY ALL)
+SELECT c.scene_id, c.rank, c.cx::INT AS x, c.cy::INT AS y, coalesce(hit.step, tm.nf)::INT AS step
+FROM cel c LEFT JOIN hit ON c.scene_id = hit.scene_id AND c.rank = hit.rank AND c.cx = hit.cx AND c.cy = hit.cy LEFT JOIN tm ON c.scene_id = tm.scene_id AND c.rank = tm.rank WHERE kept"""
+
+
+def _whole(fade: int) -> str:
+    """Every frame of a scene."""
+    return f"""WITH RECURSIVE {FRAMES}, {_ended(fade)}, {HANDS}, {WIPE.replace("steps AS (SELECT k, round(0.5 - 0.5 * cos(pi() * k / 5.0), 12) AS p FROM range(6) r(k)),", "")},
+ru AS (
+  SELECT scene_id, 'blank' AS stage, 0 AS f, 1 AS c, NULL AS rank, NULL AS id, 0 AS dn FROM sn
+  UNION ALL SELECT scene_id, 'hold', coalesce(lag(done) OVER o, 1), first - coalesce(lag(done) OVER o, 1), NULL, NULL, rank FROM fr WINDOW o AS (PARTITION BY scene_id ORDER BY rank)
+  UNION ALL SELECT scene_id, 'ink', first, ink, rank, id, rank FROM fr
+  UNION ALL SELECT scene_id, 'color', first + ink, color, rank, id, rank FROM fr
+  UNION ALL SELECT scene_id, 'fade', written, {fade}, NULL, NULL, n FROM sn
+  UNION ALL SELECT scene_id, 'tail', written + {fade}, total - written - {fade}, NULL, NULL, n FROM sn),
+fx AS (SELECT *, unnest(range(c)) AS k FROM ru),
+fp AS (SELECT *, CASE WHEN stage IN ('ink', 'color', 'fade') THEN k END AS step, CASE WHEN stage NOT IN ('ink', 'color', 'fade') THEN NULL WHEN c = 1 THEN 1.0::DOUBLE ELSE k / (c - 1) END::DOUBLE AS progress FROM fx),
+pt AS (SELECT fp.*, px, py FROM fp LEFT JOIN hp ON fp.stage = 'ink' AND hp.scene_id = fp.scene_id AND hp.rank = fp.rank AND hp.i = CASE WHEN c = 1 THEN np - 1 ELSE round_even(k * (np - 1)::DOUBLE / (c - 1), 0) END),
+wu AS (SELECT pt.*, d, x0, y0, x1, y1, rw, rh, 0.5 - 0.5 * cos(pi() * progress) AS ep, 0.5 + 0.35 * sin(progress * 8 * pi()) AS wave FROM pt LEFT JOIN rd ON stage = 'color' AND rd.scene_id = pt.scene_id AND rd.rank = pt.rank),
+wv AS (SELECT *, round_even(rw * ep, 0)::INT AS al, round_even(rh * ep, 0)::INT AS dw, sqrt(rw * rw / 4.0 + rh * rh / 4.0) * ep AS ra, progress * 5 * pi() AS an, x0 + trunc(wave * rw)::INT AS swx, y0 + trunc(wave * rh)::INT AS swy FROM wu)
+SELECT scene_id, (f + k)::BIGINT AS frame, stage, rank, id AS element_id, step, progress, dn::BIGINT AS done,
+  CASE WHEN stage = 'color' THEN greatest(0, least(31, CASE d WHEN 'right_to_left' THEN greatest(x0, least(x1 - 1, x1 - al)) WHEN 'top_to_bottom' THEN swx WHEN 'bottom_to_top' THEN swx WHEN 'radial' THEN trunc(x0 + rw / 2.0 + cos(an) * ra)::INT ELSE least(x1 - 1, x0 + al) END)) ELSE px END::INT AS target_x,
+  CASE WHEN stage = 'color' THEN greatest(0, least(17, CASE d WHEN 'top_to_bottom' THEN least(y1 - 1, y0 + dw) WHEN 'bottom_to_top' THEN greatest(y0, y1 - dw) WHEN 'radial' THEN trunc(y0 + rh / 2.0 + sin(an) * ra)::INT ELSE swy END)) ELSE py END::INT AS target_y FROM wv"""
+
+
 #: The renderer's masks cell by cell.
 CELLS = f"""
 {ELEMENTS},
@@ -230,7 +295,7 @@ SELECT conv_id, turn, (((conv_id % 100) * 60 + turn * 7 % 60) * 60 + conv_id % 6
     "colours": "SELECT doc_id, (doc_id * 7919 % 256)::INT AS blue, (doc_id * 7919 // 256 % 256)::INT AS green, (doc_id * 7919 // 65536 % 256)::INT AS red FROM documents",
     "annotation_issues": f"WITH {ISSUES} SELECT * FROM issues",
     "annotation_report": f"""WITH {ISSUES}, c AS (SELECT scene_id, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings FROM issues GROUP BY scene_id)
-SELECT scene_id, n AS elements, 3000 AS scene_duration_ms, last_end AS last_end_ms, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(errors, 0) = 0 AS valid FROM sc LEFT JOIN c USING (scene_id)""",
+SELECT scene_id, n AS elements, sd AS scene_duration_ms, last_end AS last_end_ms, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(errors, 0) = 0 AS valid FROM sc LEFT JOIN c USING (scene_id)""",
     "timeline_overlaps": f"WITH {ISSUES} SELECT scene_id, id AS first_id, nid AS second_id, end_ms - ns AS overlap_ms FROM nx WHERE ns < end_ms",
     "element_frames": f"WITH RECURSIVE {FRAMES} SELECT scene_id, rank, id AS element_id, sf AS start_frame, ink AS ink_frames, color AS color_frames, first AS first_frame, done AS end_frame, late FROM fr",
     "scene_frames": f"WITH RECURSIVE {FRAMES} SELECT scene_id, written, total, round_even(total * 1000.0 / 15, 0)::BIGINT AS duration_ms FROM sf",
@@ -302,4 +367,21 @@ SELECT user_id AS project_id, CASE WHEN user_id % 10 = 0 THEN 'none' ELSE 'adapt
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING))
 SELECT l_orderkey AS scene_id, k::INT AS char_pos, round((320 - total - 2 * (n - 1)) / 2.0 + upto - a + 2 * k, 6)::DOUBLE AS x, 105.0::DOUBLE AS baseline FROM l""",
     "final_alphas": f"""WITH {ELEMENTS} SELECT scene_id, position, CASE WHEN seq % 3 = 2 OR position % 2 = 0 THEN 1.0 WHEN seq % 3 = 1 THEN (start_ms % 4 + 1) / 4.0 ELSE 0.0 END::DOUBLE AS alpha FROM e WHERE start_ms >= 0""",
-} | {f"issues_{c.replace('-', '_')}": f"WITH {ISSUES} SELECT * FROM issues WHERE code = '{c}'" for c in CODES}
+} | {f"issues_{c.replace('-', '_')}": f"WITH {ISSUES} SELECT * FROM issues WHERE code = '{c}'" for c in CODES} | {
+    "hand_paths": f"WITH {ELEMENTS}, {HANDS} SELECT scene_id, rank, lift, i, px AS x, py AS y FROM hp",
+    "whole_frames": _whole(0),
+    "whole_frames_fade": _whole(3),
+    "brush_targets": f"""WITH RECURSIVE {FRAMES}, {HANDS}, c AS (SELECT *, unnest(range(color)) AS k FROM fr)
+SELECT c.scene_id, (first + ink + k)::BIGINT AS frame, c.rank, px AS target_x, py AS target_y FROM c LEFT JOIN hp ON hp.scene_id = c.scene_id AND hp.rank = c.rank AND hp.i = CASE WHEN color = 1 THEN np - 1 ELSE round_even(k * (np - 1)::DOUBLE / (color - 1), 0) END""",
+    "ink_cells": f"""WITH {CELLS}, {HANDS}, {REACHED}, pv AS (SELECT *, lag(px) OVER o AS ax, lag(py) OVER o AS ay FROM fs WINDOW o AS (PARTITION BY scene_id, rank ORDER BY i)),
+{_shown("SELECT scene_id, rank, step, CASE WHEN i IN (0, lift) OR nf = 1 THEN px ELSE ax END AS ax, CASE WHEN i IN (0, lift) OR nf = 1 THEN py ELSE ay END AS ay, px AS bx, py AS b_y, CASE WHEN i IN (0, lift) OR nf = 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS reach FROM pv WHERE nf > 1 OR i = np - 1")}""",
+    "brush_cells": f"WITH {CELLS}, {HANDS}, {REACHED}, {_shown('SELECT scene_id, rank, step, px AS ax, py AS ay, px AS bx, py AS b_y, 3.0::DOUBLE AS reach FROM fs')}",
+    "finish_cells": f"""WITH RECURSIVE {FRAMES}, {_ended(3)}, {CELLS.replace(ELEMENTS, "").strip().removeprefix(",")}, lf AS (SELECT scene_id, cx, cy FROM cel GROUP BY ALL HAVING NOT bool_or(kept)), al AS (SELECT *, (k + 1) / 3.0::DOUBLE AS alpha FROM lf JOIN sn USING (scene_id), range(3) r(k))
+SELECT scene_id, cx::INT AS x, cy::INT AS y, (written + k)::BIGINT AS frame, round(alpha, 9) AS alpha, trunc(245 * (1.0::DOUBLE - alpha) + (cx * 7 + cy * 5) % 256 * alpha)::INT AS value FROM al""",
+    "preview_cells": f"""WITH {ELEMENTS}, c AS (SELECT *, cx + 0.5::DOUBLE AS mx, cy + 0.5::DOUBLE AS my, position % 6 / 5.0::DOUBLE AS p, CASE WHEN direction = 'auto' THEN CASE WHEN w >= h THEN 'left_to_right' ELSE 'top_to_bottom' END ELSE direction END AS d FROM e, range(-2, 42) a(cx), range(-2, 26) b(cy) WHERE cx >= x - 2 AND cx < x + w + 2 AND cy >= y - 2 AND cy < y + h + 2)
+SELECT scene_id, position, count(*) FILTER (CASE WHEN d = 'radial' THEN (mx - x - w / 2.0) ** 2 + (my - y - h / 2.0) ** 2 <= (w * w + h * h) * (0.55::DOUBLE * p) * (0.55::DOUBLE * p) ELSE mx >= x AND mx < x + w AND my >= y AND my < y + h
+  AND CASE d WHEN 'right_to_left' THEN mx >= x + w * (1 - p) WHEN 'top_to_bottom' THEN my < y + h * p WHEN 'bottom_to_top' THEN my >= y + h * (1 - p) ELSE mx < x + w * p END END) AS cells FROM c GROUP BY ALL""",
+} | {f"scene_frames_{k}": f"WITH RECURSIVE {FRAMES}, {_ended(fade)} SELECT scene_id, written, total, round_even(total * 1000.0 / 15, 0)::BIGINT AS duration_ms FROM sn" for k, fade in (("fade", 3), ("full", 0))} | {
+    f"merged_offsets_{k}": f"WITH RECURSIVE {FRAMES}, {_ended(fade)} SELECT scene_id % 100 AS project_id, scene_id, (sum(total) OVER o - total)::BIGINT AS offset, (sum(total) OVER o)::BIGINT AS end_offset FROM sn WINDOW o AS (PARTITION BY scene_id % 100 ORDER BY scene_id)"
+    for k, fade in (("fade", 3), ("full", 0))
+}

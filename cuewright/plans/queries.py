@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +121,77 @@ def frame_table(spark, d):
     return schedule.frame_table(adapters.elements(spark, d), TIMING)
 
 
+FADED, FULL = (replace(TIMING, finish=mode, fade_ms=200) for mode in ("fade-full", "full-source"))
+
+
+def scene_frames_of(timing, spark, d):
+    return schedule.scene_frames(adapters.elements(spark, d), timing)
+
+
+def merged_offsets_of(timing, spark, d):
+    return schedule.merged(scene_frames_of(timing, spark, d).withColumn("project_id", F.col("scene_id") % 100))
+
+
+def _hand_paths(spark, d):
+    """A path with one pen lift for each element that has a drawing: its own, and a line across its region."""
+    x, y, w, h = (F.col(f"region.{k}").cast("double") for k in ("x", "y", "width", "height"))
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    none, one = F.lit(None).cast("array<struct<x:double,y:double>>"), F.lit(1.0)
+    own = geometry.hand_path(F.col("hand_points"), F.col("hand_contour"), F.col("hand_start"), F.col("hand_end"), one, one)
+    across = geometry.hand_path(none, none, point(x, y + h), point(x + w, y), one, one)
+    e = schedule.ranked(adapters.hand_drawn(spark, d)).withColumn("own", own).where("own is not null")
+    return e.select("scene_id", "rank", "duration_ms", geometry.flattened(F.array("own", across)).alias("f")).select("scene_id", "rank", "duration_ms", "f.points", "f.pen_lifts")
+
+
+def hand_paths(spark, d):
+    rows = _hand_paths(spark, d).select("scene_id", "rank", F.element_at("pen_lifts", 1).alias("lift"), F.posexplode("points").alias("i", "p"))
+    return rows.select("scene_id", "rank", "lift", "i", "p.x", "p.y")
+
+
+def _wipes(spark, d):
+    return _rects(spark, d).withColumns({"width": F.lit(adapters.CANVAS[0]), "height": F.lit(adapters.CANVAS[1])})
+
+
+def whole_frames(spark, d, timing=TIMING):
+    return schedule.frames(adapters.elements(spark, d), timing, _hand_paths(spark, d), _wipes(spark, d))
+
+
+def brush_targets(spark, d):
+    """Targets of color frames where a brush fills them."""
+    f = schedule.frames(adapters.elements(spark, d), TIMING, brushes=_hand_paths(spark, d))
+    return f.where("stage = 'color'").select("scene_id", "frame", "rank", "target_x", "target_y")
+
+
+def _timed_paths(spark, d):
+    n = schedule.frames_at(F.col("duration_ms"), TIMING.fps).cast("int")
+    return _hand_paths(spark, d).withColumn("frames", F.greatest(F.lit(1), n))
+
+
+def ink_cells(spark, d):
+    return reveal.ink_frames(allowed_cells(spark, d), _timed_paths(spark, d), radius=1)
+
+
+def brush_cells(spark, d):
+    return reveal.brush_frames(allowed_cells(spark, d), _timed_paths(spark, d), radius=3)
+
+
+def finish_cells(spark, d):
+    """The fade of cells in some element's padded region that no element shows, on pages of two kinds."""
+    p = _pieces(spark, d)
+    content = p.select("scene_id", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), F.col("y0").alias("y"))
+    f = reveal.finish_cells(content, masks.cells(p), scene_frames_of(FADED, spark, d), FADED.finish, FADED.fade_frames)
+    ink = F.pmod(F.col("x") * 7 + F.col("y") * 5, F.lit(256))
+    return f.select("scene_id", "x", "y", "frame", F.round("alpha", 9).alias("alpha"), reveal.blended(F.lit(245), ink, F.col("alpha")).alias("value"))
+
+
+def preview_cells(spark, d):
+    """How many cells of its region's surroundings the preview shows of each element at a share of the way."""
+    e = adapters.elements(spark, d).withColumn("progress", F.col("position") % 6 / F.lit(5.0))
+    e = e.withColumn("x", F.explode(F.sequence(F.col("region.x") - 2, F.col("region.x") + F.col("region.width") + 1))).withColumn("y", F.explode(F.sequence(F.col("region.y") - 2, F.col("region.y") + F.col("region.height") + 1)))
+    shown = reveal.previewed(F.col("direction"), F.col("progress"), F.col("region"), F.col("x"), F.col("y"))
+    return e.groupBy("scene_id", "position").agg(F.count_if(shown).alias("cells"))
+
+
 def progress_steps(spark, d):
     e = adapters.elements(spark, d)
     steps = schedule.progress_indices((F.col("region.width") * 5).cast("int"), (F.col("duration_ms") / 67).cast("int"))
@@ -300,5 +372,6 @@ QUERIES = {
         annotation_issues, annotation_report, timeline_overlaps, element_frames, scene_frames, merged_offsets, frame_table, progress_steps, allowed_areas, scaled_areas, allowed_cells, wipe_cells, pointers, ease_curve,
         replaced_subjects, removed_subjects, contour_areas, stroke_order, bezier_points, resampled_paths, arrows, fitted_sizes, components, stroke_paths, skeletons,
         schema_problems, mixed_cues, exported_captions, preview_labels, moved_regions, resequenced_elements, filled_defaults, subject_profiles, text_fields, laid_out, final_alphas,
+        hand_paths, whole_frames, brush_targets, ink_cells, brush_cells, finish_cells, preview_cells,
     )
-} | {f"issues_{c.replace('-', '_')}": partial(issues_of, c) for c in CODES}
+} | {f"scene_frames_{k}": partial(scene_frames_of, t) for k, t in (("fade", FADED), ("full", FULL))} | {f"merged_offsets_{k}": partial(merged_offsets_of, t) for k, t in (("fade", FADED), ("full", FULL))} | {"whole_frames_fade": partial(whole_frames, timing=FADED)} | {f"issues_{c.replace('-', '_')}": partial(issues_of, c) for c in CODES}

@@ -47,20 +47,23 @@ class RenderConfig:
     final_fade_ms: int = 450
     keep_raw: bool = False
 
-    def merged(self, settings: dict, low_res: bool = False) -> RenderConfig:
+    def merged(self, settings: dict, low_res: bool = False, file: str | Path | None = None) -> RenderConfig:
         """With a project's own settings; a low resolution is 15 fps and 640 pixels.
 
         `canvas` has fps and background, `render` the rest, where ink_color_ratio
-        stands for both weights and mask_policy for mask_policy_override. Fields at
-        the top level count too. What isn't known or is null is left out.
+        stands for both weights and mask_policy for mask_policy_override; fields
+        elsewhere are none. What isn't known or is null is left out. A pointer image
+        is looked for beside the project's file, if that is given.
         """
         canvas, render = settings.get("canvas") or {}, dict(settings.get("render") or {})
         ratio = [*(render.pop("ink_color_ratio", None) or ()), None, None]
-        found = {**settings, **render, **{k: canvas.get(k) for k in ("fps", "background") if k in canvas}}
+        found = {**{k: v for k, v in render.items() if k not in ("fps", "background")}, **{k: canvas.get(k) for k in ("fps", "background") if k in canvas}}
         found |= {k: v for k, v in (("ink_weight", ratio[0]), ("color_weight", ratio[1]), ("mask_policy_override", render.get("mask_policy"))) if v is not None}
         fields = self.__dataclass_fields__
         typed = {"int": int, "float": float, "bool": bool}
         known = {k: typed.get(fields[k].type, str)(v) for k, v in found.items() if k in fields and v is not None}
+        if file is not None and known.get("pointer_image"):
+            known["pointer_image"] = str(resolved(file, known["pointer_image"]))
         return replace(self, **known | ({"fps": 15, "cap_long_edge": 640} if low_res else {}))
 
 

@@ -78,11 +78,12 @@ def test_every_rule_of_the_annotation_format(spark):
         "good": changed(good), "side": changed(good, canvas__width=1), "more": changed(good, canvas__depth=3), "empty": changed(good, elements=[]), "no list": changed(good, elements={"a": 1}),
         "id": changed(good, **{e + "id": ""}), "label": changed(good, **{e + "label": 5}), "scene": changed(good, sceneId=7), "role": changed(good, **{e + "subtitle": 1}), "ids": changed(good, **{e + "subjectIds": ["a", 1]}),
         "pad": changed(good, **{e + "reveal__maskPaddingPx": -1}), "shield": changed(good, **{e + "reveal__protectedRegions__0__width": 0}), "region": changed(good, **{e + "region__z": 0}), "path": changed(good, **{e + "handPath__points": [[0, 1]]}), "point": changed(good, **{e + "handPath__points": [[0, 1], [1]]}),
+        "point zero": changed(good, canvas__width=2.0, sceneDurationMs=1e2, **{e + "region__width": 1.0}), "half": changed(good, canvas__width=2.5), "low": changed(good, canvas__width=1.0),
         "true": changed(good, **{e + "sequence": True}), "colour": changed(good, background="#12345"), "start": changed(good, **{e + "reveal__startMs": None}), "version": changed(good, version=0),
     }
     a = "elements.0."
     assert problems(spark, validate.schema_issues, cases) == sorted([
-        ("side", "canvas.width", "integer"), ("more", "canvas", "additional"), ("empty", "elements", "array"), ("no list", "elements", "array"), ("id", a + "id", "string"), ("label", a + "label", "string"), ("scene", "sceneId", "string"), ("role", a + "subtitle", "string"),
+        ("half", "canvas.width", "integer"), ("low", "canvas.width", "integer"), ("side", "canvas.width", "integer"), ("more", "canvas", "additional"), ("empty", "elements", "array"), ("no list", "elements", "array"), ("id", a + "id", "string"), ("label", a + "label", "string"), ("scene", "sceneId", "string"), ("role", a + "subtitle", "string"),
         ("ids", a + "subjectIds", "array"), ("pad", a + "reveal.maskPaddingPx", "integer"), ("shield", a + "reveal.protectedRegions.0:r.width", "integer"), ("region", a + "region", "additional"), ("path", a + "handPath.points", "points"), ("point", a + "handPath.points", "points"),
         ("true", a + "sequence", "integer"), ("colour", "background", "pattern"), ("start", a + "reveal.startMs", "required"), ("version", "version", "integer"),
     ])
@@ -299,10 +300,11 @@ def test_projects(spark, tmp_path):
     names = ["scene-02-b.annotation.json", "scene-02-b.jpg", "scene-02-b.png", "scene-01-a.annotation.json", "scene-01-a.webp", "lost.annotation.json"]
     found = project.discovered(spark.createDataFrame([("f", n) for n in names], "folder string, name string")).collect()
     assert [(r.scene_id, r.image) for r in found] == [("scene-01", "scene-01-a.webp"), ("scene-02", "scene-02-b.png")]
-    project.save_settings({"fps": 24, "other": 1}, tmp_path / "p.yaml")
+    project.save_settings({"fps": 12, "canvas": {"fps": 24}, "render": {"pointer_image": "pen.png", "fps": 99, "other": 1}}, tmp_path / "p.yaml")
     settings = project.load_settings(tmp_path / "p.yaml")
-    config = project.RenderConfig().merged(settings, low_res=False)
-    assert config.fps == 24 and project.RenderConfig().merged(settings, low_res=True).fps == 15
+    config = project.RenderConfig().merged(settings, low_res=False, file=tmp_path / "p.yaml")
+    assert config.fps == 24 and config.pointer_image == str((tmp_path / "pen.png").resolve())
+    assert project.RenderConfig().merged(settings, low_res=True).fps == 15
     assert project.resolved(tmp_path / "p.yaml", "a/b") == (tmp_path / "a/b").resolve() and project.resolved(tmp_path, "") is None
     (tmp_path / "x.json").write_text('[1]')
     with pytest.raises(ValueError):
