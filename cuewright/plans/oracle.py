@@ -181,6 +181,28 @@ tg AS (SELECT *, CASE WHEN nf = 1 THEN np - 1 ELSE round_even(k * (np - 1)::DOUB
 fs AS (SELECT hp.*, nf, (SELECT min(k) FROM tg WHERE tg.scene_id = hp.scene_id AND tg.rank = hp.rank AND target >= i)::INT AS step FROM hp JOIN tm USING (scene_id, rank))"""
 
 
+#: Squares of EDGE cells by the least square that they are connected to.
+LABELLED = """
+sq AS MATERIALIZED (SELECT DISTINCT scene_id, rank, cx // EDGE AS col, cy // EDGE AS row, (cy // EDGE) * 100 + cx // EDGE AS s FROM cel WHERE kept),
+nb AS MATERIALIZED (SELECT a.scene_id, a.rank, a.s, b.s AS t FROM sq a JOIN sq b ON a.scene_id = b.scene_id AND a.rank = b.rank AND abs(a.col - b.col) <= 1 AND abs(a.row - b.row) <= 1 AND a.s <> b.s),
+rch AS (
+  SELECT scene_id, rank, s, s AS other FROM sq
+  UNION SELECT nb.scene_id, nb.rank, nb.t, r.other FROM rch r JOIN nb ON nb.scene_id = r.scene_id AND nb.rank = r.rank AND nb.s = r.s WHERE r.other < nb.t),
+lb AS (SELECT sq.*, label FROM sq JOIN (SELECT scene_id, rank, s, min(other) AS label FROM rch GROUP BY ALL) USING (scene_id, rank, s))"""
+
+#: Runs of cells along a row, those of neighbouring rows that touch, and 2 x 2 blocks by what they hold.
+RUNS = """
+kc AS MATERIALIZED (SELECT scene_id, rank, cx, cy FROM cel WHERE kept),
+rk AS (SELECT *, cx - row_number() OVER (PARTITION BY scene_id, rank, cy ORDER BY cx) AS g FROM kc),
+rn AS MATERIALIZED (SELECT scene_id, rank, cy, min(cx) AS a, max(cx) AS b, cy * 100 + min(cx) AS node FROM rk GROUP BY scene_id, rank, cy, g),
+nn AS MATERIALIZED (SELECT p.scene_id, p.rank, p.node, q.node AS t FROM rn p JOIN rn q ON p.scene_id = q.scene_id AND p.rank = q.rank AND abs(p.cy - q.cy) = 1 AND p.a <= q.b + 1 AND q.a <= p.b + 1),
+rc1 AS (
+  SELECT scene_id, rank, node, node AS other FROM rn
+  UNION SELECT nn.scene_id, nn.rank, nn.t, r.other FROM rc1 r JOIN nn ON nn.scene_id = r.scene_id AND nn.rank = r.rank AND nn.node = r.node),
+qx AS (
+  SELECT scene_id, rank, cx + i AS qx, cy + j AS qy, count(*) AS n, count(*) FILTER (i = j) IN (0, 2) AS diagonal FROM kc, range(2) a(i), range(2) b(j) GROUP BY ALL)"""
+
+
 def _shown(strokes: str) -> str:
     """Cells by the first step of a stroke (scene_id, rank, step, ax, ay, bx, b_y, reach) near them, each compared with all strokes of its element."""
     return f"""st AS ({strokes}),
@@ -371,6 +393,42 @@ SELECT l_orderkey AS scene_id, k::INT AS char_pos, round((320 - total - 2 * (n -
     "hand_paths": f"WITH {ELEMENTS}, {HANDS} SELECT scene_id, rank, lift, i, px AS x, py AS y FROM hp",
     "whole_frames": _whole(0),
     "whole_frames_fade": _whole(3),
+    "components": f"WITH RECURSIVE {CELLS}, {LABELLED.replace('EDGE', '2')} SELECT scene_id, rank, count(DISTINCT label) AS components, count(*) AS squares FROM lb GROUP BY ALL",
+    "component_squares": f"WITH RECURSIVE {CELLS}, {LABELLED.replace('EDGE', '1')} SELECT scene_id, rank, (dense_rank() OVER (PARTITION BY scene_id, rank ORDER BY label))::INT AS component, col::INT AS col, row::INT AS row FROM lb",
+    "stroke_paths": f"WITH RECURSIVE {CELLS}, {LABELLED.replace('EDGE', '2')} SELECT scene_id, rank, count(*)::INT AS points, (count(DISTINCT label) - 1)::INT AS pen_lifts FROM lb GROUP BY ALL",
+    "drawn_paths": f"""WITH RECURSIVE {CELLS}, {LABELLED.replace('EDGE', '2')},
+ln AS (SELECT *, dense_rank() OVER (PARTITION BY scene_id, rank, label ORDER BY row) % 2 AS odd FROM lb),
+sp AS (
+  SELECT scene_id, rank, label, least(31, col * 2 + 1)::INT AS x, least(17, row * 2 + 1)::INT AS y, row_number() OVER (PARTITION BY scene_id, rank, label ORDER BY row, CASE WHEN odd = 1 THEN col ELSE -col END) AS k,
+    count(*) OVER (PARTITION BY scene_id, rank, label) AS n FROM ln),
+en AS MATERIALIZED (SELECT scene_id, rank, label, max(n) AS n, arg_min(x, k) AS ax, arg_min(y, k) AS ay, arg_max(x, k) AS bx, arg_max(y, k) AS b_y FROM sp GROUP BY scene_id, rank, label),
+dr AS (
+  (SELECT scene_id, rank, 0 AS nth, label, false AS back, bx AS px, b_y AS py, [label] AS seen FROM en QUALIFY row_number() OVER (PARTITION BY scene_id, rank ORDER BY ay, ax, label) = 1)
+  UNION ALL
+  (SELECT e.scene_id, e.rank, d.nth + 1, e.label, (px - bx) ** 2 + (py - b_y) ** 2 < (px - ax) ** 2 + (py - ay) ** 2,
+    CASE WHEN (px - bx) ** 2 + (py - b_y) ** 2 < (px - ax) ** 2 + (py - ay) ** 2 THEN ax ELSE bx END, CASE WHEN (px - bx) ** 2 + (py - b_y) ** 2 < (px - ax) ** 2 + (py - ay) ** 2 THEN ay ELSE b_y END, list_append(seen, e.label)
+   FROM dr d JOIN en e ON d.scene_id = e.scene_id AND d.rank = e.rank WHERE NOT list_contains(seen, e.label)
+   QUALIFY row_number() OVER (PARTITION BY e.scene_id, e.rank ORDER BY least((px - bx) ** 2 + (py - b_y) ** 2, (px - ax) ** 2 + (py - ay) ** 2), e.label) = 1)),
+ot AS (SELECT scene_id, rank, nth, x, y, CASE WHEN back THEN n - k ELSE k - 1 END AS j FROM dr JOIN sp USING (scene_id, rank, label))
+SELECT scene_id, rank, (row_number() OVER (PARTITION BY scene_id, rank ORDER BY nth, j) - 1)::INT AS i, x, y, nth > 0 AND j = 0 AS lift FROM ot""",
+    "traced_borders": f"""WITH RECURSIVE {CELLS}, {RUNS},
+eu AS (SELECT scene_id, rank, (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) - 2 * count(*) FILTER (n = 2 AND diagonal)) / 4 AS euler FROM qx GROUP BY ALL),
+cm AS (SELECT scene_id, rank, count(*) AS c FROM (SELECT scene_id, rank, node FROM rc1 GROUP BY scene_id, rank, node HAVING min(other) = node) GROUP BY ALL),
+ed AS (SELECT scene_id, rank, count(*) AS cells FROM kc a WHERE (SELECT count(*) FROM kc b WHERE b.scene_id = a.scene_id AND b.rank = a.rank AND abs(b.cx - a.cx) + abs(b.cy - a.cy) = 1) < 4 GROUP BY ALL)
+SELECT scene_id, rank, (2 * c - euler)::BIGINT AS borders, cells FROM cm JOIN eu USING (scene_id, rank) JOIN ed USING (scene_id, rank)""",
+    "contour_masks": f"""WITH {ELEMENTS},
+tz AS (SELECT scene_id, rank, policy, protected, x, y, w, h, pad, round_even(x + w / 3.0::DOUBLE, 0)::INT - x AS lean FROM e),
+ro AS (SELECT scene_id, rank, cy, x + ceil(lean * (cy - y) / h::DOUBLE - 1e-9)::INT AS lo, least(31, x + w) AS hi FROM tz, range(18) r(cy) WHERE cy >= y AND cy <= y + h),
+rr AS (SELECT * FROM ro WHERE lo <= hi),
+bd AS (SELECT scene_id, rank, unnest(range(lo, hi + 1)) AS cx, cy FROM rr),
+ow AS (SELECT scene_id, rank, o.cy, greatest(0, min(lo) - any_value(pad)) AS lo, least(31, max(hi) + any_value(pad)) AS hi FROM rr JOIN tz USING (scene_id, rank), range(18) o(cy) WHERE abs(o.cy - rr.cy) <= pad GROUP BY scene_id, rank, o.cy),
+oc AS (SELECT scene_id, rank, unnest(range(lo, hi + 1)) AS cx, cy FROM ow),
+tp AS (SELECT scene_id, cx, cy, max(rank) AS m FROM bd GROUP BY ALL),
+jd AS (
+  SELECT oc.scene_id, oc.rank, NOT (policy = 'subtract-later' AND coalesce(m > oc.rank, false))
+    AND NOT (policy <> 'none' AND len(list_filter(protected, lambda r: oc.cx >= r.x AND oc.cx < r.x + r.w AND oc.cy >= r.y AND oc.cy < r.y + r.h)) > 0) AS kept
+  FROM oc JOIN tz USING (scene_id, rank) LEFT JOIN tp ON tp.scene_id = oc.scene_id AND tp.cx = oc.cx AND tp.cy = oc.cy)
+SELECT e.scene_id, e.rank, count(kept) AS area, count(*) FILTER (kept) AS allowed FROM e LEFT JOIN jd ON e.scene_id = jd.scene_id AND e.rank = jd.rank GROUP BY ALL""",
     "brush_targets": f"""WITH RECURSIVE {FRAMES}, {HANDS}, c AS (SELECT *, unnest(range(color)) AS k FROM fr)
 SELECT c.scene_id, (first + ink + k)::BIGINT AS frame, c.rank, px AS target_x, py AS target_y FROM c LEFT JOIN hp ON hp.scene_id = c.scene_id AND hp.rank = c.rank AND hp.i = CASE WHEN color = 1 THEN np - 1 ELSE round_even(k * (np - 1)::DOUBLE / (color - 1), 0) END""",
     "ink_cells": f"""WITH {CELLS}, {HANDS}, {REACHED}, pv AS (SELECT *, lag(px) OVER o AS ax, lag(py) OVER o AS ay FROM fs WINDOW o AS (PARTITION BY scene_id, rank ORDER BY i)),

@@ -286,6 +286,32 @@ def stroke_paths(spark, d):
     return p.select("scene_id", "rank", F.size("points").alias("points"), F.size("pen_lifts").alias("pen_lifts"))
 
 
+def drawn_paths(spark, d):
+    """Every point of stroke_paths() in drawing order, and whether the pen came down there anew."""
+    c = raster.serpentine(raster.grid_components(allowed_cells(spark, d), 2), 2, *adapters.CANVAS)
+    p = raster.stroke_paths(c).select("scene_id", "rank", "pen_lifts", F.posexplode("points").alias("i", "p"))
+    return p.select("scene_id", "rank", "i", "p.x", "p.y", F.array_contains("pen_lifts", F.col("i")).alias("lift"))
+
+
+def component_squares(spark, d):
+    """Components on tiles of four squares, so that most elements are put together from several tiles."""
+    return raster.grid_components(allowed_cells(spark, d), 1, tile=4)
+
+
+def traced_borders(spark, d):
+    """How many borders an element's cells have, those around holes included, and how many cells lie on one."""
+    b = raster.component_borders(raster.grid_components(allowed_cells(spark, d)))
+    rows = b.select("scene_id", "rank", "component", "border", F.explode("p").alias("p"))
+    return rows.groupBy("scene_id", "rank").agg(F.countDistinct("component", "border").alias("borders"), F.countDistinct("p").alias("cells"))
+
+
+def contour_masks(spark, d):
+    """Areas of elements whose contours mask them, on small tiles."""
+    e = adapters.elements(spark, d)
+    own = adapters.outlines(spark, d).select("scene_id", F.col("contour_pos").alias("position"), F.transform("pts", lambda p: F.struct((p["x"] / 10).alias("x"), (p["y"] / 10).alias("y"))).alias("contour"))
+    return masks.areas(masks.drawing_elements(e.join(own, ["scene_id", "position"])), tile=16).withColumnRenamed("left", "allowed")
+
+
 def skeletons(spark, d):
     return raster.skeleton_cells(allowed_cells(spark, d), *adapters.CANVAS).groupBy("scene_id", "rank").agg(F.count("*").alias("cells"))
 
@@ -372,6 +398,6 @@ QUERIES = {
         annotation_issues, annotation_report, timeline_overlaps, element_frames, scene_frames, merged_offsets, frame_table, progress_steps, allowed_areas, scaled_areas, allowed_cells, wipe_cells, pointers, ease_curve,
         replaced_subjects, removed_subjects, contour_areas, stroke_order, bezier_points, resampled_paths, arrows, fitted_sizes, components, stroke_paths, skeletons,
         schema_problems, mixed_cues, exported_captions, preview_labels, moved_regions, resequenced_elements, filled_defaults, subject_profiles, text_fields, laid_out, final_alphas,
-        hand_paths, whole_frames, brush_targets, ink_cells, brush_cells, finish_cells, preview_cells,
+        hand_paths, whole_frames, brush_targets, drawn_paths, component_squares, traced_borders, contour_masks, ink_cells, brush_cells, finish_cells, preview_cells,
     )
 } | {f"scene_frames_{k}": partial(scene_frames_of, t) for k, t in (("fade", FADED), ("full", FULL))} | {f"merged_offsets_{k}": partial(merged_offsets_of, t) for k, t in (("fade", FADED), ("full", FULL))} | {"whole_frames_fade": partial(whole_frames, timing=FADED)} | {f"issues_{c.replace('-', '_')}": partial(issues_of, c) for c in CODES}
