@@ -28,6 +28,8 @@ REQUIRED = ("sceneId", "canvas", "sceneDurationMs", "elements")
 ELEMENT_REQUIRED = ("id", "label", "sequence", "region", "reveal")
 POLICIES = ("subtract-later", "explicit", "none")
 DIRECTIONS = ("left_to_right", "right_to_left", "top_to_bottom", "bottom_to_top", "radial", "auto")
+#: A subject profile may not name the first without the second, which forbids it.
+FORBIDDEN_SUBJECT, FORBIDDING = "猴子", "不可自動替換成猴子"
 PROJECT_REQUIRED = ("version", "project", "workflow", "paths", "canvas", "subject_profile", "render")
 WORKFLOW_MODES = ("auto", "checkpoint", "plan-only", "validate-only")
 SUBJECT_MODES = ("none", "single", "ensemble", "object", "concept", "adaptive")
@@ -339,6 +341,19 @@ def acceptance(checks: DataFrame) -> DataFrame:
     return checks.groupBy("source_id").agg(F.bool_and(ok).alias("passed"), F.array_sort(F.collect_list(F.when(~ok, F.col("name")))).alias("failed"))
 
 
-def profile_ready(subjects: DataFrame, least: int = 3) -> DataFrame:
-    """source_id, ok: whether all subjects (source_id, subject_id, replaceable) are replaceable, `least` or more of them."""
+def open_profile(text: Column) -> Column:
+    """Whether a profile's text leaves its subjects open: the subject that is never to be put in by itself isn't there, or is forbidden."""
+    text = F.coalesce(text, F.lit(""))
+    return ~F.contains(text, F.lit(FORBIDDEN_SUBJECT)) | F.contains(text, F.lit(FORBIDDING))
+
+
+def profile_ready(subjects: DataFrame, least: int = 3, texts: DataFrame | None = None) -> DataFrame:
+    """source_id, ok: whether all subjects (source_id, subject_id, replaceable) are replaceable, `least` or more of them.
+
+    texts (source_id, profile): the profiles as JSON text, which have to be open too;
+    with them a profile without subjects has a row, and is not ready.
+    """
+    if texts is not None:
+        ready = profile_ready(subjects, least)
+        return texts.join(ready, "source_id", "left").select("source_id", (F.coalesce("ok", F.lit(False)) & open_profile(F.col("profile"))).alias("ok"))
     return subjects.groupBy("source_id").agg((F.bool_and(F.coalesce("replaceable", F.lit(False))) & (F.count("*") >= least)).alias("ok"))

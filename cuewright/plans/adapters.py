@@ -119,6 +119,34 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("scene_id", (F.col("position") % 2).alias("char_pos"), F.col("position").alias("contour_pos"), turned.alias("pts"))
 
 
+def subject_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, json: an annotation for each user, an element for each remainder of event_id by 4, with its event types as subjects."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 4).alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
+    part = F.struct("k", F.concat(F.lit("e"), F.col("k").cast("string")).alias("id"), F.col("s.event_type").alias("subjectIds"))
+    d = e.groupBy("user_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    elements = F.transform("p", lambda v: F.struct(v["id"].alias("id"), v["subjectIds"].alias("subjectIds"), F.lit(1.0).alias("extra")))
+    return d.select(F.col("user_id").alias("source_id"), F.to_json(F.struct(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("sceneId"), elements.alias("elements"))).alias("json"))
+
+
+def project_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, json: a project for each customer, broken in one way or none by c_custkey modulo 8."""
+    way = F.col("c_custkey") % 8
+    part = lambda k, bad, good: F.when(way == k, F.lit(bad)).otherwise(F.lit(good))
+    json = F.concat(
+        F.lit('{"version":'), part(1, "0", "1"), F.lit(',"project":{"name":'), part(2, '""', '"p"'), F.lit(',"language":"en"},"workflow":{"mode":'), part(3, '"other"', '"auto"'), F.lit('},"paths":{},"canvas":{"width":2,"height":2,"fps":'), part(4, "121", "30.0"),
+        F.lit(',"background":'), part(5, '"red"', '"#FFFFFF"'), F.lit('},"subject_profile":{"mode":"single","subjects":{"a":{"kind":"x","replaceable":'), part(6, '"yes"', "true"), F.lit("}}}"), part(7, "", ',"render":{}'), F.lit("}"),
+    )
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), json.alias("json"))
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """folder, name: two or three files for each customer in one of 100 folders: an annotation for most, and images."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    stem = F.concat(F.lit("scene-"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("-"), k.cast("string"))
+    names = F.array(F.when(k % 4 != 0, F.concat(stem, F.lit(".annotation.json"))), F.when(k % 3 != 0, F.concat(stem, F.lit(".jpg"))), F.when(k % 5 != 0, F.concat(stem, F.lit(".png"))))
+    return c.select((k % 100).alias("folder"), F.explode(F.array_compact(names)).alias("name"))
+
+
 def hand_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """elements() with a drawing of their own: hand_points, hand_contour or hand_start and hand_end by position modulo 4, none for 3."""
     x, y, w, h = (F.col(f"region.{k}").cast("double") for k in ("x", "y", "width", "height"))

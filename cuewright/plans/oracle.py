@@ -429,6 +429,40 @@ jd AS (
     AND NOT (policy <> 'none' AND len(list_filter(protected, lambda r: oc.cx >= r.x AND oc.cx < r.x + r.w AND oc.cy >= r.y AND oc.cy < r.y + r.h)) > 0) AS kept
   FROM oc JOIN tz USING (scene_id, rank) LEFT JOIN tp ON tp.scene_id = oc.scene_id AND tp.cx = oc.cx AND tp.cy = oc.cy)
 SELECT e.scene_id, e.rank, count(kept) AS area, count(*) FILTER (kept) AS allowed FROM e LEFT JOIN jd ON e.scene_id = jd.scene_id AND e.rank = jd.rank GROUP BY ALL""",
+    "changed_subjects": """WITH b AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY event_id % 4) - 1 AS n, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) - 1 AS p, event_type, event_id FROM events),
+f AS (SELECT user_id, n, t, row_number() OVER (PARTITION BY user_id, n ORDER BY min(event_id)) - 1 AS p FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'view' ELSE event_type END AS t FROM b) GROUP BY user_id, n, t)
+SELECT coalesce(b.user_id, f.user_id) AS source_id, 'elements[' || coalesce(b.n, f.n) || '].subjectIds[' || coalesce(b.p, f.p) || ']' AS path, CASE WHEN f.p IS NULL THEN 'removed' WHEN b.p IS NULL THEN 'added' ELSE 'changed' END AS change,
+  '"' || event_type || '"' AS before, '"' || t || '"' AS after FROM b FULL JOIN f ON b.user_id = f.user_id AND b.n = f.n AND b.p = f.p WHERE event_type IS DISTINCT FROM t""",
+    "rewritten_documents": "SELECT user_id AS source_id, bool_or(event_type = 'click') AS changed, bool_or(event_type = 'click') AS would_change, true AS dry_is_same, bool_or(event_type = 'click') AS has_backup, false AS \"left\" FROM events GROUP BY user_id",
+    "missing_files": "SELECT p_partkey AS source_id, 'annotation' AS key, 'scenes/' || p_partkey % 500 || '.json' AS path FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 500 NOT IN (SELECT s_suppkey * 3 FROM supplier)",
+    "image_problems": """WITH s AS (SELECT o_orderkey AS scene_id, o_custkey + o_orderkey % 2 * 10 AS k FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT scene_id, 'error' AS level, CASE WHEN c_custkey IS NULL OR c_custkey % 9 = 0 THEN 'image-read-failed' ELSE 'canvas-image-mismatch' END AS code, NULL AS element_id
+FROM s LEFT JOIN customer ON c_custkey = k WHERE c_custkey IS NULL OR c_custkey % 9 = 0 OR c_custkey % 4 = 0 OR c_custkey % 6 = 0""",
+    "annotation_lookup": "SELECT o_orderkey AS scene_id, 'a' || o_custkey * 2 AS annotation, c_name AS doc FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2 WHERE o_orderkey % 6 <> 0 AND o_orderkey % 10 <> 1",
+    "scene_counts": f"""WITH RECURSIVE {EVENTS},{_rolled(*SHORT)}, n AS (SELECT source_id, count(*) AS scenes FROM scenes GROUP BY source_id)
+SELECT c_custkey AS source_id, 'subtitle-segmentation' AS name, coalesce(scenes, 0) = c_custkey % 3 + 25 AND scenes IS NOT NULL AS ok, c_custkey % 3 + 25 AS expected, coalesce(scenes, 0) AS scenes FROM customer LEFT JOIN n ON source_id = c_custkey""",
+    "strokes_of_characters": f"""WITH {OUTLINES}, n AS (SELECT scene_id, char_pos, CASE WHEN scene_id % 3 = 0 OR char_pos = 0 THEN 'x' ELSE 'y' END AS ch FROM (SELECT DISTINCT scene_id, char_pos FROM ol)),
+k AS (SELECT scene_id, char_pos, count(*) AS c FROM ik WHERE is_ink GROUP BY ALL)
+SELECT scene_id, ch, coalesce(arg_max(c, char_pos), 0) AS strokes FROM n LEFT JOIN k USING (scene_id, char_pos) GROUP BY ALL""",
+    "centred_outlines": f"""WITH {OUTLINES}, m AS (SELECT scene_id, (180 - min(list_min(py)) - max(list_max(py))) / 2 AS dy FROM ol GROUP BY scene_id), u AS (SELECT scene_id, contour_pos, unnest(range(4))::INT AS i, px, py FROM ol)
+SELECT scene_id, contour_pos, i, round(px[i + 1], 6) AS x, round(py[i + 1] + dy, 6) AS y FROM u JOIN m USING (scene_id)""",
+    "scaled_paths": f"""WITH {OUTLINES}, u AS (SELECT scene_id, contour_pos, unnest(range(4)) AS k, px, py FROM ol)
+SELECT scene_id, contour_pos, (row_number() OVER (PARTITION BY scene_id, contour_pos ORDER BY k) - 1)::INT AS i, round_even(px[k + 1] * 0.75, 0)::INT AS x, round_even(py[k + 1] * 1.3::DOUBLE, 0)::INT AS y FROM u WHERE (contour_pos + k) % 4 <> 0""",
+    "only_scenes": f"WITH RECURSIVE {EVENTS},{_rolled(*SHORT)} SELECT source_id, scene_id, start_ms, end_ms FROM scenes WHERE scene_index IN (1, 3)",
+    "project_problems": """SELECT c_custkey AS source_id, list_extract(['version', 'project.name', 'workflow.mode', 'canvas.fps', 'canvas.background', 'subject_profile.subjects.a.replaceable', 'render'], c_custkey % 8) AS path,
+  list_extract(['integer', 'string', 'enum', 'integer', 'pattern', 'boolean', 'required'], c_custkey % 8) AS problem FROM customer WHERE c_custkey % 8 > 0""",
+    "ready_profiles": """WITH t AS (SELECT user_id, event_type, max(event_id) % 13 <> 0 AS r FROM events GROUP BY ALL) SELECT user_id AS source_id, bool_and(r) AND count(*) >= 3 AND user_id % 5 <> 0 AS ok FROM t GROUP BY user_id""",
+    "found_scenes": """SELECT c_custkey % 100 AS folder, 'scene-' || lpad((c_custkey % 90)::VARCHAR, 2, '0') AS scene_id, s AS stem, s || '.annotation.json' AS annotation, s || CASE WHEN c_custkey % 5 <> 0 THEN '.png' ELSE '.jpg' END AS image
+FROM (SELECT *, 'scene-' || lpad((c_custkey % 90)::VARCHAR, 2, '0') || '-' || c_custkey AS s FROM customer) WHERE c_custkey % 4 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 5 <> 0)""",
+    "project_sources": """WITH o AS (SELECT o_orderkey % 130 AS folder, 'o' || o_orderkey AS scene_id, CASE WHEN o_orderkey % 130 % 3 = 0 AND o_orderkey % 2 = 0 THEN o_orderkey || '.json' END AS annotation FROM orders),
+a AS (SELECT folder, bool_or(annotation IS NOT NULL) AS given FROM o GROUP BY folder),
+f AS (SELECT c_custkey % 100 AS folder, 'scene-' || lpad((c_custkey % 90)::VARCHAR, 2, '0') AS scene_id, 'scene-' || lpad((c_custkey % 90)::VARCHAR, 2, '0') || '-' || c_custkey AS s, c_custkey FROM customer WHERE c_custkey % 4 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 5 <> 0))
+SELECT folder, scene_id, annotation, NULL AS image FROM o JOIN a USING (folder) WHERE given OR folder NOT IN (SELECT folder FROM f)
+UNION ALL SELECT folder, scene_id, s || '.annotation.json', s || CASE WHEN c_custkey % 5 <> 0 THEN '.png' ELSE '.jpg' END FROM f WHERE folder NOT IN (SELECT folder FROM a WHERE given)""",
+    "finished_steps": """WITH s AS (SELECT l_orderkey AS source_id, l_linenumber AS step, max(l_partkey) AS p FROM lineitem GROUP BY ALL), t AS (SELECT *, p % 5 <> 0 AND p % 3 <> 0 AS ok, CASE WHEN p % 7 = 0 THEN '' ELSE 'f' || p END AS a FROM s)
+SELECT source_id, arg_max(a, step) FILTER (ok) AS artifact, coalesce(arg_max(a, step) FILTER (ok) <> '', false) AS valid, coalesce(string_agg(step::VARCHAR, ',' ORDER BY step) FILTER (NOT ok), '') AS warnings FROM t GROUP BY source_id""",
+    "accepted": """WITH c AS (SELECT l_orderkey AS source_id, 'c' || l_linenumber AS name, l_partkey % 11 <> 0 AND l_suppkey % 8 <> 0 AS ok FROM lineitem)
+SELECT source_id, bool_and(ok) AS passed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT ok), '') AS failed FROM c GROUP BY source_id""",
     "brush_targets": f"""WITH RECURSIVE {FRAMES}, {HANDS}, c AS (SELECT *, unnest(range(color)) AS k FROM fr)
 SELECT c.scene_id, (first + ink + k)::BIGINT AS frame, c.rank, px AS target_x, py AS target_y FROM c LEFT JOIN hp ON hp.scene_id = c.scene_id AND hp.rank = c.rank AND hp.i = CASE WHEN color = 1 THEN np - 1 ELSE round_even(k * (np - 1)::DOUBLE / (color - 1), 0) END""",
     "ink_cells": f"""WITH {CELLS}, {HANDS}, {REACHED}, pv AS (SELECT *, lag(px) OVER o AS ax, lag(py) OVER o AS ay FROM fs WINDOW o AS (PARTITION BY scene_id, rank ORDER BY i)),

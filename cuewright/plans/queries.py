@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import masks, raster, reveal, schedule, segment, strokes, subjects, validate
-from ..sources import timed_text
+from ..operators import changes, masks, raster, reveal, schedule, segment, strokes, subjects, validate
+from ..sources import project, timed_text
 from . import adapters
 
 #: Limits for event_cues(), which are short.
@@ -391,6 +391,111 @@ def final_alphas(spark, d):
     return adapters.elements(spark, d).where("start_ms >= 0").select("scene_id", "position", alpha.cast("double").alias("alpha"))
 
 
+def changed_subjects(spark, d):
+    """What replacing a subject in the users' annotations changes, path by path."""
+    before = adapters.subject_documents(spark, d)
+    return changes.changes(before, changes.rewrite(before, "click", "view").select("source_id", "json"), depth=4)
+
+
+def rewritten_documents(spark, d):
+    """A dry run of removing a subject, beside the run itself."""
+    docs = adapters.subject_documents(spark, d)
+    dry = changes.rewrite(docs, "click", None, dry_run=True).select("source_id", F.col("changed").alias("would_change"), F.col("json").alias("dry"))
+    done = changes.rewrite(docs, "click", None).join(dry, "source_id").join(docs.withColumnRenamed("json", "was"), "source_id")
+    return done.select("source_id", "changed", "would_change", (F.col("dry") == F.col("was")).alias("dry_is_same"), F.coalesce(F.col("backup") == F.col("was"), F.lit(False)).alias("has_backup"), F.contains("json", F.lit('"click"')).alias("left"))
+
+
+def missing_files(spark, d):
+    k = F.col("p_partkey")
+    path = F.when(k % 7 == 0, None).when(k % 11 == 0, "").otherwise(F.concat(F.lit("scenes/"), (k % 500).cast("string"), F.lit(".json")))
+    references = adapters.table(spark, d, "part").select(k.alias("source_id"), F.lit("annotation").alias("key"), path.alias("path"))
+    return validate.missing_paths(references, adapters.table(spark, d, "supplier").select(F.concat(F.lit("scenes/"), (F.col("s_suppkey") * 3).cast("string"), F.lit(".json")).alias("path")))
+
+
+def image_problems(spark, d):
+    o, c = adapters.table(spark, d, "orders"), adapters.table(spark, d, "customer")
+    name = lambda k: F.concat(F.lit("img-"), k.cast("string"), F.lit(".png"))
+    scenes = o.select(F.col("o_orderkey").alias("scene_id"), F.lit(32).alias("canvas_width"), F.lit(18).alias("canvas_height"), F.when(F.col("o_orderkey") % 5 != 0, name(F.col("o_custkey") + F.col("o_orderkey") % 2 * 10)).alias("image"))
+    k = F.col("c_custkey")
+    images = c.select(name(k).alias("image"), F.when(k % 9 != 0, F.when(k % 4 == 0, 33).otherwise(32)).alias("width"), F.when(k % 9 != 0, F.when(k % 6 == 0, 17).otherwise(18)).alias("height"))
+    return validate.image_issues(scenes, images)
+
+
+def annotation_lookup(spark, d):
+    """Scenes with the annotation that they name, and warnings for those whose annotation isn't there."""
+    o, c = adapters.table(spark, d, "orders"), adapters.table(spark, d, "customer")
+    k = F.col("o_orderkey")
+    scenes = o.select(k.alias("scene_id"), F.when(k % 6 == 0, None).when(k % 10 == 1, "").otherwise(F.concat(F.lit("a"), (F.col("o_custkey") * 2).cast("string"))).alias("annotation"))
+    found, lost = project.annotations_of(scenes, c.select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_name").alias("doc")))
+    return found.select("scene_id", "annotation", "doc").unionByName(lost.withColumn("doc", F.lit(None).cast("string")))
+
+
+def scene_counts(spark, d):
+    cues = adapters.event_cues(spark, d)
+    actual = segment.summary(cues, segment.scenes(cues, SHORT))
+    expected = adapters.table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") % 3 + 25).alias("scenes"))
+    return project.scene_count_checks(expected, actual)
+
+
+def strokes_of_characters(spark, d):
+    o = adapters.outlines(spark, d)
+    chars = o.select("scene_id", "char_pos").distinct().withColumn("ch", F.when((F.col("scene_id") % 3 == 0) | (F.col("char_pos") == 0), "x").otherwise("y"))
+    return strokes.strokes_per_char(strokes.strokes(o, width=320, height=180, size=60), chars)
+
+
+def centred_outlines(spark, d):
+    rows = strokes.centred(adapters.outlines(spark, d), 180).select("scene_id", "contour_pos", F.posexplode("pts").alias("i", "p"))
+    return rows.select("scene_id", "contour_pos", "i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+def scaled_paths(spark, d):
+    """Outlines on a canvas of other scales, less the points that lack a coordinate."""
+    holed = F.transform("pts", lambda p, i: F.struct(F.when((F.col("contour_pos") + i) % 4 != 0, p["x"]).alias("x"), p["y"].alias("y")))
+    rows = adapters.outlines(spark, d).select("scene_id", "contour_pos", F.posexplode(geometry.scaled_points(holed, F.lit(0.75), F.lit(1.3))).alias("i", "p"))
+    return rows.select("scene_id", "contour_pos", "i", "p.x", "p.y")
+
+
+def only_scenes(spark, d):
+    return project.only(segment.scenes(adapters.event_cues(spark, d), SHORT), ["scene-01", "scene-03"]).select("source_id", "scene_id", "start_ms", "end_ms")
+
+
+def project_problems(spark, d):
+    return validate.project_schema_issues(adapters.project_documents(spark, d))
+
+
+def ready_profiles(spark, d):
+    """Users with the event types as subjects; profiles that name the forbidden subject, some of them to forbid it."""
+    e = adapters.table(spark, d, "events")
+    s = e.groupBy(F.col("user_id").alias("source_id"), F.col("event_type").alias("subject_id")).agg((F.max("event_id") % 13 != 0).alias("replaceable"))
+    text = F.concat(F.lit('{"note":"'), F.when(F.col("user_id") % 5 == 0, validate.FORBIDDEN_SUBJECT).when(F.col("user_id") % 5 == 1, validate.FORBIDDING).otherwise(""), F.lit('"}'))
+    return validate.profile_ready(s, 3, e.select(F.col("user_id").alias("source_id"), text.alias("profile")).distinct())
+
+
+def found_scenes(spark, d):
+    return project.discovered(adapters.project_files(spark, d)).select("folder", "scene_id", "stem", "annotation", "image")
+
+
+def project_sources(spark, d):
+    """Scenes that projects declare, or else those found in their folders."""
+    o, k = adapters.table(spark, d, "orders"), F.col("o_orderkey")
+    own = o.select((k % 130).alias("folder"), F.concat(F.lit("o"), k.cast("string")).alias("scene_id"), F.when((k % 130 % 3 == 0) & (k % 2 == 0), F.concat(k.cast("string"), F.lit(".json"))).alias("annotation"), F.lit(None).cast("string").alias("image"))
+    return project.scene_sources(own, adapters.project_files(spark, d))
+
+
+def finished_steps(spark, d):
+    li = adapters.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("step")).agg(F.max("l_partkey").alias("p"))
+    ok = F.when(F.col("p") % 5 != 0, F.col("p") % 3 != 0)
+    f = project.finished(li.select("source_id", "step", F.when(F.col("p") % 7 == 0, "").otherwise(F.concat(F.lit("f"), F.col("p").cast("string"))).alias("artifact"), ok.alias("ok")))
+    return f.select("source_id", "artifact", "valid", F.array_join(F.col("warnings").cast("array<string>"), ",").alias("warnings"))
+
+
+def accepted(spark, d):
+    li = adapters.table(spark, d, "lineitem")
+    checks = li.select(F.col("l_orderkey").alias("source_id"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("name"), F.when(F.col("l_partkey") % 11 != 0, F.col("l_suppkey") % 8 != 0).alias("ok"))
+    a = validate.acceptance(checks)
+    return a.select("source_id", "passed", F.array_join("failed", ",").alias("failed"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -399,5 +504,6 @@ QUERIES = {
         replaced_subjects, removed_subjects, contour_areas, stroke_order, bezier_points, resampled_paths, arrows, fitted_sizes, components, stroke_paths, skeletons,
         schema_problems, mixed_cues, exported_captions, preview_labels, moved_regions, resequenced_elements, filled_defaults, subject_profiles, text_fields, laid_out, final_alphas,
         hand_paths, whole_frames, brush_targets, drawn_paths, component_squares, traced_borders, contour_masks, ink_cells, brush_cells, finish_cells, preview_cells,
+        changed_subjects, rewritten_documents, missing_files, image_problems, annotation_lookup, scene_counts, strokes_of_characters, centred_outlines, scaled_paths, only_scenes, project_problems, ready_profiles, found_scenes, project_sources, finished_steps, accepted,
     )
 } | {f"scene_frames_{k}": partial(scene_frames_of, t) for k, t in (("fade", FADED), ("full", FULL))} | {f"merged_offsets_{k}": partial(merged_offsets_of, t) for k, t in (("fade", FADED), ("full", FULL))} | {"whole_frames_fade": partial(whole_frames, timing=FADED)} | {f"issues_{c.replace('-', '_')}": partial(issues_of, c) for c in CODES}
