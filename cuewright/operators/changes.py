@@ -6,7 +6,6 @@ Documents are rows (source_id, json) whose roots are objects, open to any fields
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,13 +13,12 @@ from pyspark.sql import functions as F
 
 
 def _depth(documents: DataFrame) -> int:
-    """How deep arrays and objects of all documents are nested in each other, by the schema that covers them."""
-    schema = documents.agg(F.schema_of_variant_agg(F.try_parse_json("json")).alias("s")).first()["s"] or ""
-    deepest = now = 0
-    for name, end in re.findall(r"`(?:[^`]|``)*`|(ARRAY<|OBJECT<)|(>)", schema):
-        now += bool(name) - bool(end)
-        deepest = max(deepest, now)
-    return deepest
+    """How deep arrays and objects are nested in each other at most, by the brackets outside of strings."""
+    brackets = F.regexp_replace(F.regexp_replace("json", r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda s, b: F.struct((s["now"] + F.when(b.isin("[", "{"), 1).when(b.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(b.isin("[", "{"), 1).otherwise(0)).alias("most"))
+    deepest = F.aggregate(F.split(brackets, ""), zero, step)["most"]
+    return documents.where(F.try_parse_json("json").isNotNull()).agg(F.max(deepest)).first()[0] or 0
 
 
 def leaves(documents: DataFrame, depth: int | None = None) -> DataFrame:

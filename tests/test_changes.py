@@ -20,7 +20,7 @@ def flat(v, path=""):
 def tree(r, depth=0):
     kind = r.random()
     if depth > 4 or kind < 0.35:
-        return r.choice([1, 2.5, -3, "a", "b c", "", True, None, [], {}])
+        return r.choice([1, 2.5, -3, "a", "b c", "", '\\" [{ \\\\', True, None, [], {}])
     return {f"k{i}": tree(r, depth + 1) for i in range(r.randint(0, 4))} if kind < 0.7 else [tree(r, depth + 1) for _ in range(r.randint(0, 4))]
 
 
