@@ -463,6 +463,11 @@ UNION ALL SELECT folder, scene_id, s || '.annotation.json', s || CASE WHEN c_cus
 SELECT source_id, arg_max(a, step) FILTER (ok) AS artifact, coalesce(arg_max(a, step) FILTER (ok) <> '', false) AS valid, coalesce(string_agg(step::VARCHAR, ',' ORDER BY step) FILTER (NOT ok), '') AS warnings FROM t GROUP BY source_id""",
     "accepted": """WITH c AS (SELECT l_orderkey AS source_id, 'c' || l_linenumber AS name, l_partkey % 11 <> 0 AND l_suppkey % 8 <> 0 AS ok FROM lineitem)
 SELECT source_id, bool_and(ok) AS passed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT ok), '') AS failed FROM c GROUP BY source_id""",
+    "shrunk_images": """WITH p AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings),
+q AS (SELECT vec_id, i % 8 AS sx, i // 8 AS sy, greatest(0, least(255, floor(v * 200.0::DOUBLE + 128)))::DOUBLE AS v FROM p),
+w AS (SELECT t, s, greatest(0, least((t + 1) * 8, (s + 1) * 6) - greatest(t * 8, s * 6)) AS k FROM range(6) a(t), range(8) b(s)),
+m AS (SELECT vec_id, a.t AS x, b.t AS y, sum(v * a.k * b.k) / 64.0::DOUBLE AS v FROM q JOIN w a ON a.s = sx AND a.k > 0 JOIN w b ON b.s = sy AND b.k > 0 GROUP BY ALL)
+SELECT vec_id AS scene_id, x::INT AS x, y::INT AS y, round_even(round(v, 9), 0)::INT AS value FROM m""",
     "brush_targets": f"""WITH RECURSIVE {FRAMES}, {HANDS}, c AS (SELECT *, unnest(range(color)) AS k FROM fr)
 SELECT c.scene_id, (first + ink + k)::BIGINT AS frame, c.rank, px AS target_x, py AS target_y FROM c LEFT JOIN hp ON hp.scene_id = c.scene_id AND hp.rank = c.rank AND hp.i = CASE WHEN color = 1 THEN np - 1 ELSE round_even(k * (np - 1)::DOUBLE / (color - 1), 0) END""",
     "ink_cells": f"""WITH {CELLS}, {HANDS}, {REACHED}, pv AS (SELECT *, lag(px) OVER o AS ax, lag(py) OVER o AS ay FROM fs WINDOW o AS (PARTITION BY scene_id, rank ORDER BY i)),
