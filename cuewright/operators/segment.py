@@ -39,8 +39,8 @@ PLAIN = Rules(8, 1.2, 20)
 TIMED = Rules()
 
 
-def labels(cues: DataFrame, rules: Rules = TIMED) -> DataFrame:
-    """cues with scene_no from 1, and the reason that the cue ended its scene, or null.
+def labels(cues: DataFrame, rules: Rules = TIMED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """source_id, index, the columns `keep` of cues, scene_no from 1, and the reason that the cue ended its scene, or null.
 
     The first cue of a scene that the one before would have overrun has
     `overrun`: its predecessor's scene ended because of max-before-next-cue.
@@ -49,8 +49,9 @@ def labels(cues: DataFrame, rules: Rules = TIMED) -> DataFrame:
 
     ms, punctuation = rules.ms(), rules.punctuation
     order = Window.partitionBy("source_id").orderBy("index")
-    rows = cues.select("source_id", "index", "start_ms", "end_ms", F.lead("start_ms").over(order).alias("next_ms"), ends_sentence(F.col("text")).alias("sentence"), ends_clause(F.col("text")).alias("clause"))
+    rows = cues.select("source_id", "index", "start_ms", "end_ms", F.lead("start_ms").over(order).alias("next_ms"), ends_sentence(F.col("text")).alias("sentence"), ends_clause(F.col("text")).alias("clause"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("source_id", "index")]
+    also = "".join(f"{c} {cues.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches):
         source, begun, scene, begin, closed = None, False, 0, 0, True
@@ -76,9 +77,9 @@ def labels(cues: DataFrame, rules: Rules = TIMED) -> DataFrame:
                 closed = reason is not None
                 for k, v in (("scene_no", scene), ("overrun", over), ("reason", reason)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out["scene_no"], pa.int32()), pa.array(out["overrun"], pa.bool_()), pa.array(out["reason"], pa.string())], ["source_id", "index", "scene_no", "overrun", "reason"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *b.columns[7:], pa.array(out["scene_no"], pa.int32()), pa.array(out["overrun"], pa.bool_()), pa.array(out["reason"], pa.string())], ["source_id", "index", *keep, "scene_no", "overrun", "reason"])
 
-    return rows.sortWithinPartitions("source_id", "index").mapInArrow(run, f"source_id {kinds[0]}, index {kinds[1]}, scene_no int, overrun boolean, reason string")
+    return rows.sortWithinPartitions("source_id", "index").mapInArrow(run, f"source_id {kinds[0]}, index {kinds[1]}, {also}scene_no int, overrun boolean, reason string")
 
 
 def _rolled(rows: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def scenes(cues: DataFrame, rules: Rules = TIMED) -> DataFrame:
     1.15 times `most`.
     """
     ms = rules.ms()
-    rows = _rolled(cues.select("source_id", "index", "start_ms", "end_ms", "text").join(labels(cues, rules), ["source_id", "index"]))
+    rows = _rolled(labels(cues, rules, keep=("start_ms", "end_ms", "text")))
     order = Window.partitionBy("source_id").orderBy("scene_no")
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.lead("overrun").over(order), "max-before-next-cue").otherwise("end-of-input")))
     rows = rows.withColumns({"next_end": F.lead("end_ms").over(order), "next_start": F.lead("start_ms").over(order), "after_next": F.lead("scene_no", 2).over(order), "next_parts": F.lead("parts").over(order), "next_last": F.lead("last_cue").over(order), "before": F.lag("start_ms").over(order), "is_last": F.lead("scene_no").over(order).isNull()})

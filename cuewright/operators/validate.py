@@ -141,9 +141,14 @@ def _overlaps() -> Column:
     return F.transform(early, lambda p: F.struct(p["a"]["name"].alias("first_id"), p["b"]["name"].alias("second_id"), (p["a"]["end_ms"] - p["b"]["start_ms"]).alias("overlap_ms")))
 
 
-def _checked(elements: DataFrame) -> DataFrame:
-    """_scenes() with `issues`."""
-    s = _judged(_scenes(elements))
+#: Codes for which masks have to be painted.
+MASKED = ("over-masked", "empty-mask")
+
+
+def _checked(elements: DataFrame, masks: bool = True) -> DataFrame:
+    """_scenes() with `issues`, those of MASKED only if masks are painted."""
+    s = _scenes(elements)
+    s = _judged(s) if masks else s.withColumn("areas", F.transform("e", lambda _: F.lit(None).cast("struct<area:bigint,left:bigint>")))
     each = F.transform(F.arrays_zip(F.col("e").alias("v"), F.col("areas").alias("a")), lambda x: reduce(F.concat, _element_issues(x["v"], x["a"])))
     return s.withColumn("issues", F.concat(F.flatten(each), *_scene_issues()))
 
@@ -160,9 +165,12 @@ def overlaps(elements: DataFrame) -> DataFrame:
     return e.where("overlap_ms > 0").select("scene_id", "first_id", "second_id", "overlap_ms")
 
 
-def issues(elements: DataFrame) -> DataFrame:
-    """scene_id, level, code, element_id, detail: every issue of every scene."""
-    return _checked(elements).select("scene_id", F.inline("issues"))
+def issues(elements: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """scene_id, level, code, element_id, detail: every issue of every scene, or those of the given codes."""
+    if codes is None:
+        return _checked(elements).select("scene_id", F.inline("issues"))
+    found = _checked(elements, any(c in MASKED for c in codes))
+    return found.select("scene_id", F.inline(F.filter("issues", lambda i: i["code"].isin(*codes))))
 
 
 def report(elements: DataFrame, found: DataFrame | None = None, strict: bool = False) -> DataFrame:

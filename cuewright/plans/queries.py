@@ -94,7 +94,7 @@ def annotation_issues(spark, d):
 
 
 def issues_of(code: str, spark, d):
-    return annotation_issues(spark, d).where(F.col("code") == code)
+    return validate.issues(adapters.checked_elements(spark, d), (code,))
 
 
 def annotation_report(spark, d):

@@ -21,45 +21,76 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
-def blocks(sources: DataFrame) -> DataFrame:
-    """Blocks of timed text with what is wrong with each: format, source_block, start_ms, end_ms, text, problem.
+def _parts(sources: DataFrame) -> DataFrame:
+    """source_id, format (srt, webvtt or plain), n (from 0), part: the blocks of timed texts and the sentences of plain ones, from one pass over the sources.
 
-    problem is null for a cue, else no-timeline, bad-timestamp, empty-body or
-    end-not-after-start, whichever comes first. WebVTT's NOTE, STYLE and REGION
-    blocks are left out. A timeline with nothing at one side is a bad timestamp.
+    The texts are dealt out before they are cut, so that a file of many isn't cut by
+    one task; what follows needs the same key.
     """
-    text = unified(F.col("text"))
-    vtt = F.upper(F.regexp_replace(text, r"(?U)^\s+", "")).startswith("WEBVTT")
-    rows = sources.where("text is not null").select("source_id", F.when(vtt, "webvtt").otherwise("srt").alias("format"), trimmed(F.when(vtt, F.regexp_replace(text, r"(?Ui)^\s*WEBVTT[^\n]*\n", "")).otherwise(text)).alias("t"))
-    rows = rows.where("t != ''").select("source_id", "format", F.posexplode(F.split("t", r"(?U)\n\s*\n")).alias("n", "block"))
-    lines = F.filter(F.split("block", "\n"), lambda x: trimmed(x) != "")
-    rows = rows.select("source_id", "format", (F.col("n") + 1).alias("source_block"), lines.alias("lines")).where(F.size("lines") > 0)
+    rows = sources.select("source_id", "text").repartition("source_id")
+    clean = unified(F.col("text"))
+    vtt = F.upper(F.regexp_replace(clean, r"(?U)^\s+", "")).startswith("WEBVTT")
+    form = F.when(~F.coalesce(is_timed(F.col("text")), F.lit(False)), "plain").when(vtt, "webvtt").otherwise("srt")
+    rows = rows.select("source_id", "text", form.alias("format"))
+    whole = trimmed(F.when(F.col("format") == "webvtt", F.regexp_replace(clean, r"(?Ui)^\s*WEBVTT[^\n]*\n", "")).otherwise(clean))
+    timed = F.when(whole != "", F.split(whole, r"(?U)\n\s*\n")).otherwise(F.array().cast("array<string>"))
+    return rows.select("source_id", "format", F.posexplode(F.when(F.col("format") == "plain", sentences(F.col("text"))).otherwise(timed)).alias("n", "part"))
+
+
+def _judged(parts: DataFrame) -> DataFrame:
+    """Parts of timed text as blocks(); those of plain text pass with nulls."""
+    plain = F.col("format") == "plain"
+    lines = F.when(~plain, F.filter(F.split("part", "\n"), lambda x: trimmed(x) != ""))
+    rows = parts.select("source_id", "format", (F.col("n") + 1).alias("source_block"), "part", lines.alias("lines")).where(plain | (F.size("lines") > 0))
     at = F.coalesce(F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit("-->"))), F.lit(True)), F.lit(0)).cast("int")
-    rows = rows.withColumn("at", at).where(~((F.col("at") == 0) & (F.col("format") == "webvtt") & F.get("lines", F.lit(0)).rlike("^(NOTE|STYLE|REGION)")))
+    rows = rows.withColumn("at", at).where(plain | ~((F.col("at") == 0) & (F.col("format") == "webvtt") & F.get("lines", F.lit(0)).rlike("^(NOTE|STYLE|REGION)")))
     timeline = F.get("lines", F.col("at") - 1)
     word = lambda s: F.regexp_extract(trimmed(s), r"(?U)^\S+", 0)
     rows = rows.withColumns(
         {
             "start_ms": timestamp_ms(word(F.regexp_extract(timeline, "^(.*?)-->", 1))),
             "end_ms": timestamp_ms(word(F.regexp_extract(timeline, "-->(.*)$", 1))),
-            "text": joined(F.filter("lines", lambda x, i: i >= F.col("at"))),
+            "text": F.when(plain, F.col("part")).otherwise(joined(F.filter("lines", lambda x, i: i >= F.col("at")))),
         }
     )
     problem = F.when(F.col("at") == 0, "no-timeline").when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "bad-timestamp").when(F.col("text") == "", "empty-body").when(F.col("end_ms") <= F.col("start_ms"), "end-not-after-start")
-    return rows.select("source_id", "format", "source_block", "start_ms", "end_ms", "text", problem.alias("problem"))
+    return rows.select("source_id", "format", "source_block", "start_ms", "end_ms", "text", F.when(~plain, problem).alias("problem"))
 
 
-def timed_cues(sources: DataFrame) -> DataFrame:
-    rows = blocks(sources).where("problem is null")
+def blocks(sources: DataFrame) -> DataFrame:
+    """Blocks of timed text with what is wrong with each: format, source_block, start_ms, end_ms, text, problem.
+
+    problem is null for a cue, else no-timeline, bad-timestamp, empty-body or
+    end-not-after-start, whichever comes first. WebVTT's NOTE, STYLE and REGION
+    blocks are left out. A timeline with nothing at one side is a bad timestamp.
+    Texts without any timeline are plain, and have no blocks.
+    """
+    return _judged(_parts(sources)).where("format <> 'plain'")
+
+
+def _ordered(rows: DataFrame, chars_per_second: float) -> DataFrame:
+    """Cues of sound blocks and of sentences: those by their times, these one after another with PAUSE_MS between two."""
+    plain = F.col("format") == "plain"
+    rows = rows.withColumn("dur_ms", F.when(plain, estimated_ms(F.col("text"), chars_per_second)).otherwise(F.col("end_ms") - F.col("start_ms")))
     order = Window.partitionBy("source_id").orderBy("start_ms", "end_ms", "source_block")
-    return rows.withColumns({"index": F.row_number().over(order), "dur_ms": F.col("end_ms") - F.col("start_ms"), "estimated": F.lit(False)}).select(*CUE)
+    cursor = F.coalesce(F.sum(F.col("dur_ms") + PAUSE_MS).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    rows = rows.withColumns({"index": F.row_number().over(order), "cursor": cursor})
+    rows = rows.withColumns({"start_ms": F.when(plain, F.col("cursor")).otherwise(F.col("start_ms")), "end_ms": F.when(plain, F.col("cursor") + F.col("dur_ms")).otherwise(F.col("end_ms")), "estimated": plain})
+    return rows.select(*CUE)
+
+
+def timed_cues(sources: DataFrame) -> DataFrame:
+    return _ordered(blocks(sources).where("problem is null"), 6.0)
 
 
 def warnings(sources: DataFrame) -> DataFrame:
     """source_id, source_block, problem: blocks of timed text that are left out, and estimated-timing for plain text."""
-    timed = blocks(sources.where(is_timed(F.col("text")))).where("problem is not null").select("source_id", "source_block", "problem")
-    plain = sources.where(~F.coalesce(is_timed(F.col("text")), F.lit(False))).select("source_id", F.lit(None).cast("int").alias("source_block"), F.lit("estimated-timing").alias("problem"))
-    return timed.unionByName(plain)
+    form = F.when(F.coalesce(is_timed(F.col("text")), F.lit(False)), F.col("text"))
+    # a plain text's warning is a row of its own: it goes along as a part, however many sentences there are
+    plain = F.struct(F.lit("plain").alias("format"), F.lit(None).cast("int").alias("source_block"), F.lit("estimated-timing").alias("problem"))
+    rows = _judged(_parts(sources.select("source_id", F.coalesce(form, F.lit("-")).alias("text"))))
+    found = F.when(F.col("format") == "plain", plain).otherwise(F.struct("format", "source_block", "problem"))
+    return rows.select("source_id", found.alias("w")).where("w.problem is not null").select("source_id", "w.source_block", "w.problem")
 
 
 def plain_cues(sources: DataFrame, chars_per_second: float = 6.0) -> DataFrame:
@@ -76,8 +107,7 @@ def plain_cues(sources: DataFrame, chars_per_second: float = 6.0) -> DataFrame:
 
 def cues(sources: DataFrame, chars_per_second: float = 6.0) -> DataFrame:
     """Cues of each source, timed if it has a timeline, else estimated."""
-    timed = F.coalesce(is_timed(F.col("text")), F.lit(False))
-    return timed_cues(sources.where(timed)).unionByName(plain_cues(sources.where(~timed), chars_per_second))
+    return _ordered(_judged(_parts(sources)).where("problem is null"), chars_per_second)
 
 
 def to_srt(cue_rows: DataFrame, webvtt: bool = False) -> DataFrame:
