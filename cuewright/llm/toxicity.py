@@ -2,15 +2,18 @@
 
 A logistic model over indicators of words and their first bytes. For each
 labelled text that mentions terms of an identity group, texts with the terms
-swapped for others of their group are made, and differences between the scores of
-a text and its counterfactuals are penalised, so that a mention as such says
-nothing. Groups are listed, and found in the labelled texts: frequent words that
-stand in the same places as each other and in both classes.
+swapped for others of their group are made. A mention is put into every sampled text
+besides, the text with it is set against the text without, and against the same text
+with other terms of the group. Differences between the scores of a text and its
+counterfactuals are penalised, so that a mention as such says nothing, not even by
+beginnings that a term shares with other words. The terms' own indicators are always
+in the model.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -253,7 +256,7 @@ def fitted(x: Rows, y: np.ndarray, weight: np.ndarray, apart: Rows, penalty: flo
 @dataclass
 class Model:
     """Kept indicators, their weights and the bias, None if a class is missing; the share of label 1; the groups,
-    how many sampled texts mention a term of them, and how many counterfactuals differ in a kept indicator."""
+    how many sampled texts mention a term of them, and how many counterfactuals differ in a kept indicator, inserted mentions included."""
 
     kept: np.ndarray | None
     weights: np.ndarray | None
@@ -264,15 +267,39 @@ class Model:
     differing: int = 0
 
 
+def _term_indicators(groups) -> list[list[np.ndarray]]:
+    """The indicators of each term of each group."""
+    import pyarrow as pa
+
+    terms = [t for g in groups for t in g]
+    found = iter(list(word_features(pa.record_batch([pa.array(terms, pa.string())], ["t"]), 0)))
+    return [[np.unique(next(found)) for _ in g] for g in groups]
+
+
+def _inserted(text: str, own: np.ndarray, terms: list[list[np.ndarray]], swaps: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a text without and with a mention, and with that and another term of its group, as their indicators.
+
+    The text picks the group and the term by its checksum. A word more adds its own
+    indicators to a text's, whatever else is in it.
+    """
+    at = crc32(text.encode())
+    group = terms[at % len(terms)]
+    first = at // len(terms) % len(group)
+    mention = np.union1d(own, group[first])
+    others = [np.union1d(own, group[(first + k) % len(group)]) for k in range(1, min(swaps, len(group) - 1) + 1)]
+    return [(own, mention), *((mention, o) for o in others)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, size: int = SAMPLE, identity=None, penalty: float = PENALTY, swaps: int = SWAPS) -> Model:
     """The model of classify().
 
     Indicators are chosen from the counts of all labelled documents outside the
-    held-out fold. Groups and weights come from at most `size` of each class: each
-    text's kept indicators, and those in which its counterfactuals differ, are
-    worked out where the text lies, and only these go to the task that fits the
-    weights. identity=None takes IDENTITY and found_groups(); other groups are taken
-    alone. A term that several groups have counts in the last of them.
+    held-out fold; those of identity terms come to them. Weights come from at most
+    `size` of each class: each text's kept indicators, and those in which its
+    counterfactuals differ, are worked out where the text lies, and only these go to
+    the task that fits the weights. identity=None takes IDENTITY; other groups, such
+    as those of found_groups(), are taken in its place. A term that several groups
+    have counts in the last of them.
     """
     import pyarrow as pa
 
@@ -280,9 +307,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     n, total = count_indicators(rows, word_features, SIZE)
     if not total.all():
         return Model(None, None, 0.0, float(total[1] / total.sum()) if total.sum() else 0.5)
-    kept = select(n, total)
+    groups = IDENTITY if identity is None else tuple(g for g in identity if g)
+    terms = _term_indicators(groups)
+    kept = np.union1d(select(n, total), np.concatenate([t for g in terms for t in g] or [np.zeros(0, np.int64)])).astype(np.int64)
     some = durable(sample(rows, size))
-    groups = (*found_groups(some), *IDENTITY) if identity is None else tuple(identity)
 
     def indicators(batches):
         place, stamp, swapped = np.full(SIZE, -1), np.zeros(SIZE, np.int64), _swapper(groups, swaps)
@@ -293,14 +321,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             at = (place[distinct(f, stamp)] for piece in slices(part, 0) for f in word_features(piece, 0))
             return [np.sort(a[a >= 0]).astype(np.int16) for a in at]
 
+        put = [[np.unique(place[t]).astype(np.int16) for t in g] for g in terms]
+        # of each counterfactual: what it lacks, and as ~number what it has besides
+        apart = lambda a, b: np.concatenate([np.setdiff1d(a, b), ~np.setdiff1d(b, a)]).tobytes()
+
         for b in batches:
             for part in slices(b, 2):
                 texts = part.column(2).to_pylist()
                 other = [swapped(t) for t in texts]
                 mine, theirs = own(texts), iter(own([t for ts in other for t in ts]))
-                # of each counterfactual: what it lacks, and as ~number what it has besides
-                diffs = [[np.concatenate([np.setdiff1d(m, t), ~np.setdiff1d(t, m)]).tobytes() for t in (next(theirs) for _ in ts)] for m, ts in zip(mine, other, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in mine], pa.binary()), pa.array(diffs, pa.list_(pa.binary()))], ["id", "y", "own", "apart"])
+                diffs = [[apart(m, t) for t in (next(theirs) for _ in ts)] + ([apart(a, b) for a, b in _inserted(text, m, put, swaps)] if put else []) for text, m, ts in zip(texts, mine, other, strict=True)]
+                mentions = pa.array([bool(ts) for ts in other])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in mine], pa.binary()), pa.array(diffs, pa.list_(pa.binary())), mentions], ["id", "y", "own", "apart", "mentions"])
 
     def joined(parts, value):
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -316,11 +348,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         apart = joined(pairs, lambda f: np.where(f < 0, -1.0, 1.0))
         weight = (total / total.sum() / np.maximum(np.bincount(y.astype(int), minlength=2), 1))[y.astype(int)]
         w, bias = fitted(x, y, weight, apart, penalty)
-        mentioning = sum(bool(vs) for vs in table["apart"].to_pylist())
+        mentioning = sum(table["mentions"].to_pylist())
         return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "bias": [bias], "mentioning": [mentioning], "differing": [sum(bool(len(p)) for p in pairs)]})
 
     kind = rows.schema["id"].dataType.simpleString()
-    vectors = some.mapInArrow(indicators, f"id {kind}, y int, own binary, apart array<binary>")
+    vectors = some.mapInArrow(indicators, f"id {kind}, y int, own binary, apart array<binary>, mentions boolean")
     got = vectors.groupBy().applyInArrow(learn, "w binary, bias double, mentioning long, differing long").first()
     return Model(kept, np.frombuffer(got["w"], np.float64), got["bias"], float(total[1] / total.sum()), groups, got["mentioning"], got["differing"])
 

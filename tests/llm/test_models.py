@@ -242,6 +242,26 @@ def test_groups_are_found_where_none_is_listed(spark):
     assert toxicity.found_groups(spark.createDataFrame([], "id long, y int, text string")) == []
 
 
+def test_mentions_are_put_into_texts_that_have_none(spark):
+    """Toxic texts hold words that begin like a term; without the penalty a mention of it raises a neutral text's score."""
+    r = random.Random(7)
+    calm = ["apple", "pear", "plum", "fig", "the", "of", "and", "tree"]
+    rows, marks = labelled(spark, lambda i, bad: " ".join([r.choice(calm) for _ in range(25)] + ([r.choice(["muscat", "mustard"])] * 2 if bad else [])))
+    docs = frame(spark, rows)
+    plain, fair = (toxicity.fit(docs, marks, penalty=p) for p in (0.0, 5.0))
+    assert plain.mentioning == fair.mentioning == 0 and fair.differing > 100 and set(fair.groups) == set(toxicity.IDENTITY)
+
+    def rise(model, term):
+        table = dict(zip(model.kept.tolist(), model.weights.tolist(), strict=True))
+        own = toxicity._term_indicators([(term,)])[0][0]
+        assert set(own.tolist()) <= set(table)
+        return sum(table[k] for k in own.tolist())
+
+    assert rise(plain, "muslim") > 0.5 and abs(rise(fair, "muslim")) < 0.3 * rise(plain, "muslim")
+    got = toxicity.classify(docs, marks, penalty=5.0).collect()
+    assert accuracy(rows, got, lambda i: int(i % 3 == 0)) > 0.95
+
+
 def test_gradient_steps_reach_the_minimum():
     """Against Newton's method on the same loss."""
     r = np.random.default_rng(5)
