@@ -181,6 +181,12 @@ tg AS (SELECT *, CASE WHEN nf = 1 THEN np - 1 ELSE round_even(k * (np - 1)::DOUB
 fs AS (SELECT hp.*, nf, (SELECT min(k) FROM tg WHERE tg.scene_id = hp.scene_id AND tg.rank = hp.rank AND target >= i)::INT AS step FROM hp JOIN tm USING (scene_id, rank))"""
 
 
+#: Pixels of the embeddings as images of 8 x 8, and their backgrounds by the corners' medians.
+PIXELS = """
+p AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings),
+q AS (SELECT vec_id, i % 8 AS sx, i // 8 AS sy, greatest(0, least(255, floor(v * 200.0::DOUBLE + 128)))::DOUBLE AS v FROM p)"""
+GROUND = "g AS (SELECT vec_id, floor(median(v)) AS bg FROM q WHERE sx NOT BETWEEN 3 AND 4 AND sy NOT BETWEEN 3 AND 4 GROUP BY vec_id)"
+
 #: Squares of EDGE cells by the least square that they are connected to.
 LABELLED = """
 sq AS MATERIALIZED (SELECT DISTINCT scene_id, rank, cx // EDGE AS col, cy // EDGE AS row, (cy // EDGE) * 100 + cx // EDGE AS s FROM cel WHERE kept),
@@ -463,8 +469,16 @@ UNION ALL SELECT folder, scene_id, s || '.annotation.json', s || CASE WHEN c_cus
 SELECT source_id, arg_max(a, step) FILTER (ok) AS artifact, coalesce(arg_max(a, step) FILTER (ok) <> '', false) AS valid, coalesce(string_agg(step::VARCHAR, ',' ORDER BY step) FILTER (NOT ok), '') AS warnings FROM t GROUP BY source_id""",
     "accepted": """WITH c AS (SELECT l_orderkey AS source_id, 'c' || l_linenumber AS name, l_partkey % 11 <> 0 AND l_suppkey % 8 <> 0 AS ok FROM lineitem)
 SELECT source_id, bool_and(ok) AS passed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT ok), '') AS failed FROM c GROUP BY source_id""",
-    "shrunk_images": """WITH p AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings),
-q AS (SELECT vec_id, i % 8 AS sx, i // 8 AS sy, greatest(0, least(255, floor(v * 200.0::DOUBLE + 128)))::DOUBLE AS v FROM p),
+    "image_figures": f"""WITH {PIXELS}, {GROUND},
+k AS (SELECT q.*, 3 * abs(v - bg) >= 30 AS content, 3 * abs(v - bg) >= 30 AND (bg - v >= 55 OR v < 85) AS ink FROM q JOIN g USING (vec_id)),
+w AS (SELECT DISTINCT vec_id, sx + i AS wx, sy + j AS wy FROM k, range(2) a(i), range(2) b(j) WHERE ink AND sx + i < 8 AND sy + j < 8),
+c AS (SELECT k.vec_id, sx, sy FROM k CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) LEFT JOIN w ON w.vec_id = k.vec_id AND wx = sx + i AND wy = sy + j WHERE sx + i < 8 AND sy + j < 8 GROUP BY ALL HAVING count(*) = count(wx)),
+n AS (SELECT vec_id, count(*) AS ink FROM c GROUP BY vec_id)
+SELECT k.vec_id AS scene_id, any_value(bg)::INT AS blue, any_value(bg)::INT AS green, any_value(bg)::INT AS red, count(*) FILTER (content) AS content, coalesce(any_value(n.ink), 0) AS ink
+FROM (SELECT vec_id, content, bg FROM k JOIN g USING (vec_id)) k LEFT JOIN n ON n.vec_id = k.vec_id GROUP BY k.vec_id""",
+    "frame_changes": f"""WITH {PIXELS}, {GROUND}, m AS (SELECT q.vec_id, avg(abs(q.v - bg)) AS e, avg(abs(r.v - q.v)) AS c FROM q JOIN g ON g.vec_id = q.vec_id JOIN q r ON r.vec_id = q.vec_id + 1 AND r.sx = q.sx AND r.sy = q.sy GROUP BY q.vec_id)
+SELECT vec_id AS scene_id, round(e, 6) AS background_error, round(c, 6) AS change, e < 18 AND c > 2 AS passed FROM m""",
+    "shrunk_images": f"""WITH {PIXELS},
 w AS (SELECT t, s, greatest(0, least((t + 1) * 8, (s + 1) * 6) - greatest(t * 8, s * 6)) AS k FROM range(6) a(t), range(8) b(s)),
 m AS (SELECT vec_id, a.t AS x, b.t AS y, sum(v * a.k * b.k) / 64.0::DOUBLE AS v FROM q JOIN w a ON a.s = sx AND a.k > 0 JOIN w b ON b.s = sy AND b.k > 0 GROUP BY ALL)
 SELECT vec_id AS scene_id, x::INT AS x, y::INT AS y, round_even(round(v, 9), 0)::INT AS value FROM m""",

@@ -293,12 +293,29 @@ def drawn_paths(spark, d):
     return p.select("scene_id", "rank", "i", "p.x", "p.y", F.array_contains("pen_lifts", F.col("i")).alias("lift"))
 
 
-def shrunk_images(spark, d):
-    """Pixels of the embeddings as images of 8 x 8, with a long side of 6."""
+def _images(spark, d, channels: int):
+    """The embeddings as images of 8 x 8 pixels, all channels of a pixel alike."""
     e = adapters.table(spark, d, "embeddings").where("embedding is not null")
-    byte = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * F.lit(200.0) + 128)))), 2, "0"))
-    images = e.select(F.col("vec_id").alias("scene_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(byte, "")).alias("data"))
-    small = raster.resized(images, 6).select("scene_id", "width", F.posexplode(F.split(F.regexp_replace(F.hex("data"), "(..)(?=.)", "$1,"), ",")).alias("i", "v"))
+    byte = F.transform("embedding", lambda x: F.repeat(F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * F.lit(200.0) + 128)))), 2, "0"), F.lit(channels)))
+    return e.select(F.col("vec_id").alias("scene_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(byte, "")).alias("data"))
+
+
+def image_figures(spark, d):
+    """Backgrounds, and pixels that are content and ink."""
+    return raster.image_facts(_images(spark, d, 3))
+
+
+def frame_changes(spark, d):
+    """How far images are from their background, and the next image from them."""
+    images = _images(spark, d, 3)
+    after = images.withColumn("scene_id", F.col("scene_id") - 1)
+    f = raster.image_change(images, after)
+    return f.select("scene_id", F.round("background_error", 6).alias("background_error"), F.round("change", 6).alias("change"), "passed")
+
+
+def shrunk_images(spark, d):
+    """The images with a long side of 6."""
+    small = raster.resized(_images(spark, d, 1), 6).select("scene_id", "width", F.posexplode(F.split(F.regexp_replace(F.hex("data"), "(..)(?=.)", "$1,"), ",")).alias("i", "v"))
     return small.select("scene_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.conv("v", 16, 10).cast("int").alias("value"))
 
 
@@ -512,7 +529,7 @@ QUERIES = {
         annotation_issues, annotation_report, timeline_overlaps, element_frames, scene_frames, merged_offsets, frame_table, progress_steps, allowed_areas, scaled_areas, allowed_cells, wipe_cells, pointers, ease_curve,
         replaced_subjects, removed_subjects, contour_areas, stroke_order, bezier_points, resampled_paths, arrows, fitted_sizes, components, stroke_paths, skeletons,
         schema_problems, mixed_cues, exported_captions, preview_labels, moved_regions, resequenced_elements, filled_defaults, subject_profiles, text_fields, laid_out, final_alphas,
-        hand_paths, whole_frames, brush_targets, shrunk_images, drawn_paths, component_squares, traced_borders, contour_masks, ink_cells, brush_cells, finish_cells, preview_cells,
+        hand_paths, whole_frames, brush_targets, image_figures, frame_changes, shrunk_images, drawn_paths, component_squares, traced_borders, contour_masks, ink_cells, brush_cells, finish_cells, preview_cells,
         changed_subjects, rewritten_documents, missing_files, image_problems, annotation_lookup, scene_counts, strokes_of_characters, centred_outlines, scaled_paths, only_scenes, project_problems, ready_profiles, found_scenes, project_sources, finished_steps, accepted,
     )
 } | {f"scene_frames_{k}": partial(scene_frames_of, t) for k, t in (("fade", FADED), ("full", FULL))} | {f"merged_offsets_{k}": partial(merged_offsets_of, t) for k, t in (("fade", FADED), ("full", FULL))} | {"whole_frames_fade": partial(whole_frames, timing=FADED)} | {f"issues_{c.replace('-', '_')}": partial(issues_of, c) for c in CODES}

@@ -232,6 +232,9 @@ def test_paths_follow_the_skeleton_or_the_grid(spark):
     ink = spark.createDataFrame([(1, x, 4) for x in range(4, 30)], "scene_id long, x int, y int")
     drawn = {r.rank: r for r in raster.element_paths(cells, ink, 60, 20, edge=10).collect()}
     assert {p.y for p in drawn[0].points} == {4}
+    hand = spark.createDataFrame([(1, 0, [(1, 1), (5, 5)]), (1, 1, [(2, 2)]), (1, 7, [(3, 3), (4, 4)])], "scene_id long, rank int, points array<struct<x:int,y:int>>")
+    own = {r.rank: [tuple(p) for p in r.points] for r in raster.element_paths(cells, ink, 60, 20, edge=10, hand=hand).collect()}
+    assert own == {0: [(1, 1), (5, 5)], 1: [(45, 5)], 7: [(3, 3), (4, 4)]}
     brush = {r.rank: r for r in raster.brush_paths(spark.createDataFrame([], "scene_id long, rank int, points array<struct<x:int,y:int>>, pen_lifts array<int>"), cells, 60, 20, edge=10).collect()}
     assert [tuple(p) for p in brush[1].points] == [(50, 10)]
 
