@@ -124,6 +124,17 @@ def summary(cues: DataFrame, scene_rows: DataFrame) -> DataFrame:
     return a.join(scene_rows.groupBy("source_id").agg(F.count("*").alias("scene_count")), "source_id")
 
 
+def figures(cues: DataFrame, rules: Rules = TIMED) -> DataFrame:
+    """summary() of cues and their scenes() from one pass over the cues, without their texts."""
+    ms = rules.ms()
+    s = labels(cues, rules, keep=("start_ms", "end_ms")).groupBy("source_id", "scene_no").agg(F.count("*").alias("cues"), F.min_by("start_ms", "index").alias("start_ms"), F.max_by("end_ms", "index").alias("end_ms"))
+    s = s.withColumn("before", F.lag("start_ms").over(Window.partitionBy("source_id").orderBy("scene_no")))
+    # the last scene joins the one before as in scenes()
+    goes = F.col("before").isNotNull() & (F.col("end_ms") - F.col("start_ms") < ms["least"]) & (F.col("end_ms") - F.col("before") <= ms["tail"])
+    merged = F.when(F.coalesce(F.max_by(goes, "scene_no"), F.lit(False)), 1).otherwise(0)
+    return s.groupBy("source_id").agg(F.sum("cues").alias("cue_count"), (F.max_by("end_ms", "scene_no") - F.min_by("start_ms", "scene_no")).alias("total_ms"), (F.count("*") - merged).alias("scene_count"))
+
+
 def as_json(cues: DataFrame, scene_rows: DataFrame, rules: Rules = TIMED) -> DataFrame:
     """source_id, json: one document per source with its figures, cues and scenes."""
     c = cues.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("index", "source_block", "start_ms", "end_ms", "dur_ms", "text", "estimated"))).alias("cues"))
