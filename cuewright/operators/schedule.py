@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .reveal import pointer
+from .reveal import aimed, pointed
 
 
 @dataclass(frozen=True)
@@ -90,15 +90,17 @@ def scene_frames(elements: DataFrame, timing: Timing = Timing()) -> DataFrame:
     return s.select("scene_id", "written", "total", F.rint(F.col("total") * 1000.0 / timing.fps).cast("long").alias("duration_ms"))
 
 
-def runs(elements: DataFrame, timing: Timing = Timing()) -> DataFrame:
+def runs(elements: DataFrame, timing: Timing = Timing(), keep: dict[str, Column] | None = None) -> DataFrame:
     """scene_id, stage, first, count, rank, element_id, done: all frames of a scene as runs that follow each other, none empty.
 
     A `blank` frame comes first, then for each element the frames that `hold` until
     its turn, its `ink` and its `color`, then the `fade` of the finish fade-full and
     the `tail`. Only ink and color have a rank and an element. done is how many
     elements are whole when the run begins, which is what its frames show besides
-    what the run itself draws; a hold carries on the state before it.
+    what the run itself draws; a hold carries on the state before it. Columns of the
+    element to `keep` follow in the runs of its own, others have nulls there.
     """
+    keep = keep or {}
     last = F.lead("rank").over(_order()).isNull()
     e = _scheduled(elements, timing).withColumn("last", last)
     begin, ink, end = F.col("first_frame"), F.col("ink_frames"), F.col("end_frame")
@@ -123,7 +125,8 @@ def runs(elements: DataFrame, timing: Timing = Timing()) -> DataFrame:
         run("fade", end, fade, F.col("last")),
         run("tail", end + fade, _all_frames(end, timing) - end - fade, F.col("last")),
     )
-    return e.select("scene_id", F.inline(F.filter(parts, lambda r: r["count"] > 0)))
+    rows = e.withColumns(keep).select("scene_id", F.inline(parts), *(F.col(k).alias(f"kept_{k}") for k in keep)).where("count > 0")
+    return rows.select(*(c for c in rows.columns if not c.startswith("kept_")), *(F.when(F.col("rank").isNotNull(), F.col(f"kept_{k}")).alias(k) for k in keep))
 
 
 def path_index(step: Column, frames: Column, points: Column) -> Column:
@@ -131,38 +134,36 @@ def path_index(step: Column, frames: Column, points: Column) -> Column:
     return F.when(frames <= 1, points - 1).otherwise(F.rint(step * (points - 1).cast("double") / (frames - 1)).cast("int"))
 
 
-def frames(elements: DataFrame, timing: Timing = Timing(), paths: DataFrame | None = None, wipes: DataFrame | None = None, brushes: DataFrame | None = None) -> DataFrame:
+def frames(elements: DataFrame, timing: Timing = Timing(), paths: DataFrame | Column | None = None, wipes: DataFrame | Column | None = None, brushes: DataFrame | Column | None = None) -> DataFrame:
     """scene_id, frame, stage, rank, element_id, step, progress, done, target_x, target_y: every frame of a scene once.
 
     As runs() has them. The target is where the pointer is, null where none is shown:
     in ink frames the point of the element's path in `paths` (scene_id, rank, points)
     that the step has reached; in color frames that of `brushes`, of the same columns,
     or else the pointer of the wipe in `wipes` (scene_id, rank, direction, rect,
-    width, height), the canvas's sides.
+    width, height), the canvas's sides. Each of them can also be a column of the
+    elements, an array of points or reveal.aimed(), which needs no join.
     """
-    r = runs(elements, timing)
-    for name, given in (("ink_path", paths), ("brush_path", brushes)):
-        if given is not None:
-            r = r.join(given.select("scene_id", "rank", F.col("points").alias(name)), ["scene_id", "rank"], "left")
-    if wipes is not None:
-        r = r.join(wipes.select("scene_id", "rank", F.struct("direction", "rect", "width", "height").alias("wipe")), ["scene_id", "rank"], "left")
-    n = F.col("count")
-
-    def at(k: Column) -> Column:
-        progress = F.when(n == 1, 1.0).otherwise(k / (n - 1))
-        place = lambda path: F.get(F.col(path), path_index(k, n, F.size(path)))
-        target = F.lit(None).cast("struct<x:int,y:int>")
-        if wipes is not None:
-            w = F.col("wipe")
-            target = F.when((F.col("stage") == "color") & w.isNotNull(), pointer(w["direction"], progress, w["rect"], w["width"], w["height"])).otherwise(target)
-        for stage, path, given in (("color", "brush_path", brushes), ("ink", "ink_path", paths)):
-            if given is not None:
-                target = F.when((F.col("stage") == stage) & (F.size(path) > 0), place(path)).otherwise(target)
-        drawn = F.col("stage").isin("ink", "color", "fade")
-        return F.struct((F.col("first") + k).alias("frame"), F.when(drawn, k).alias("step"), F.when(drawn, progress).alias("progress"), target["x"].cast("int").alias("target_x"), target["y"].cast("int").alias("target_y"))
-
-    each = r.select("scene_id", "stage", "rank", "element_id", "done", F.inline(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), at)))
-    return each.select("scene_id", "frame", "stage", "rank", "element_id", "step", "progress", "done", "target_x", "target_y")
+    given = {k: v for k, v in (("ink_path", paths), ("brush_path", brushes), ("wipe", wipes)) if v is not None}
+    r = runs(elements, timing, {k: v for k, v in given.items() if isinstance(v, Column)})
+    for name, v in given.items():
+        if not isinstance(v, Column):
+            own = aimed(*(F.col(c) for c in ("direction", "rect", "width", "height"))) if name == "wipe" else F.col("points")
+            r = r.join(v.select("scene_id", "rank", own.alias(name)), ["scene_id", "rank"], "left")
+    n, k = F.col("count"), F.col("k")
+    # a row for each frame first: what is worked out for it is compiled then
+    r = r.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    drawn = F.col("stage").isin("ink", "color", "fade")
+    progress = F.when(n == 1, 1.0).otherwise(k / (n - 1))
+    target = F.lit(None).cast("struct<x:int,y:int>")
+    if "wipe" in given:
+        target = F.when((F.col("stage") == "color") & F.col("wipe").isNotNull(), pointed(F.col("wipe"), progress)).otherwise(target)
+    for stage, path in (("color", "brush_path"), ("ink", "ink_path")):
+        if path in given:
+            place = F.get(F.col(path), path_index(k, n, F.size(path)))
+            target = F.when((F.col("stage") == stage) & (F.size(path) > 0), place).otherwise(target)
+    each = r.select("scene_id", (F.col("first") + k).alias("frame"), "stage", "rank", "element_id", F.when(drawn, k).alias("step"), F.when(drawn, progress).alias("progress"), "done", target.alias("target"))
+    return each.select("scene_id", "frame", "stage", "rank", "element_id", "step", "progress", "done", F.col("target.x").cast("int").alias("target_x"), F.col("target.y").cast("int").alias("target_y"))
 
 
 def merged(scenes: DataFrame) -> DataFrame:
