@@ -86,8 +86,8 @@ def _judged(s: DataFrame) -> DataFrame:
     return counted(s.withColumn("parts", F.transform("e", part)).drop("sx", "sy"))
 
 
-def _element_issues(v: Column, area: Column) -> list[Column]:
-    """Issues of one element; one whose times are unsound gets no later check."""
+def _element_issues(v: Column, area: Column) -> list[tuple[str, Column]]:
+    """Issues of one element by their codes; one whose times are unsound gets no later check."""
     size = F.col("canvas_width"), F.col("canvas_height")
     bad = F.size(F.filter(v["protected"], lambda r: ~in_bounds(r, *size)))
     fits = F.col("canvas_ok") & in_bounds(v["region"], *size)
@@ -95,7 +95,7 @@ def _element_issues(v: Column, area: Column) -> list[Column]:
 
     def issue(when, level, code, detail=None, n=1):
         one = F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), v["name"].alias("element_id"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
-        return F.when(F.coalesce(when, F.lit(False)), F.array_repeat(one, n)).otherwise(F.array().cast(ISSUE))
+        return code, F.when(F.coalesce(when, F.lit(False)), F.array_repeat(one, n)).otherwise(F.array().cast(ISSUE))
 
     return [
         issue(F.col("canvas_ok") & ~in_bounds(v["region"], *size), "error", "region-out-of-bounds"),
@@ -110,8 +110,8 @@ def _element_issues(v: Column, area: Column) -> list[Column]:
     ]
 
 
-def _scene_issues() -> list[Column]:
-    """Issues of a whole scene: canvas, ids, sequences, final hold, neighbours in time."""
+def _scene_issues() -> list[tuple[str, Column]]:
+    """Issues of a whole scene by their codes: canvas, ids, sequences, final hold, neighbours in time."""
     ids = F.filter("e.element_id", lambda i: F.coalesce(i, F.lit("")) != "")
     # of sorted ids, those that stand beside an equal one
     ids = F.array_sort(ids)
@@ -121,7 +121,7 @@ def _scene_issues() -> list[Column]:
 
     def row(when, level, code, detail=None):
         one = F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("element_id"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
-        return F.when(F.coalesce(when, F.lit(False)), F.array(one)).otherwise(F.array().cast(ISSUE))
+        return code, F.when(F.coalesce(when, F.lit(False)), F.array(one)).otherwise(F.array().cast(ISSUE))
 
     near = F.transform(_overlaps(), lambda o: F.struct(F.lit("warning").alias("level"), F.lit("timeline-overlap").alias("code"), F.lit(None).cast("string").alias("element_id"), F.concat(o["first_id"], F.lit("/"), o["second_id"], F.lit(" "), o["overlap_ms"].cast("string")).alias("detail")))
     return [
@@ -129,7 +129,7 @@ def _scene_issues() -> list[Column]:
         row(~F.col("canvas_ok"), "error", "invalid-canvas"),
         row((F.size("e") > 0) & (seq != F.sequence(F.lit(1).cast("long"), F.size("e").cast("long"))), "error", "sequence-gap"),
         row(F.col("scene_duration_ms") - last < F.col("hold"), "error", "insufficient-final-hold", F.col("scene_duration_ms") - last),
-        near,
+        ("timeline-overlap", near),
     ]
 
 
@@ -145,12 +145,17 @@ def _overlaps() -> Column:
 MASKED = ("over-masked", "empty-mask")
 
 
-def _checked(elements: DataFrame, masks: bool = True) -> DataFrame:
-    """_scenes() with `issues`, those of MASKED only if masks are painted."""
+def _checked(elements: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """_scenes() with `issues`, all or those of the given codes; no others are worked out, and masks are painted for MASKED alone."""
     s = _scenes(elements)
+    wanted = lambda issues: [c for code, c in issues if codes is None or code in codes]
+    masks = codes is None or any(c in MASKED for c in codes)
     s = _judged(s) if masks else s.withColumn("areas", F.transform("e", lambda _: F.lit(None).cast("struct<area:bigint,left:bigint>")))
-    each = F.transform(F.arrays_zip(F.col("e").alias("v"), F.col("areas").alias("a")), lambda x: reduce(F.concat, _element_issues(x["v"], x["a"])))
-    return s.withColumn("issues", F.concat(F.flatten(each), *_scene_issues()))
+    parts = wanted(_scene_issues())
+    if wanted(_element_issues(F.col("e")[0], F.col("areas")[0])):
+        each = F.transform(F.arrays_zip(F.col("e").alias("v"), F.col("areas").alias("a")), lambda x: reduce(F.concat, wanted(_element_issues(x["v"], x["a"]))))
+        parts = [F.flatten(each), *parts]
+    return s.withColumn("issues", F.concat(F.array().cast(ISSUE), *parts))
 
 
 def overlaps(elements: DataFrame) -> DataFrame:
@@ -167,10 +172,7 @@ def overlaps(elements: DataFrame) -> DataFrame:
 
 def issues(elements: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
     """scene_id, level, code, element_id, detail: every issue of every scene, or those of the given codes."""
-    if codes is None:
-        return _checked(elements).select("scene_id", F.inline("issues"))
-    found = _checked(elements, any(c in MASKED for c in codes))
-    return found.select("scene_id", F.inline(F.filter("issues", lambda i: i["code"].isin(*codes))))
+    return _checked(elements, codes).select("scene_id", F.inline("issues"))
 
 
 def report(elements: DataFrame, found: DataFrame | None = None, strict: bool = False) -> DataFrame:
