@@ -203,8 +203,17 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _at(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, f"$.{path}", "variant")
+def _cast(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
+
+
+def _is_object(v: Column) -> Column:
+    return _cast(v, "map<string,variant>").isNotNull()
+
+
+def _items(v: Column) -> Column:
+    """The items of an array, null for any other value."""
+    return _cast(v, "array<variant>")
 
 
 class _Schema:
@@ -213,34 +222,55 @@ class _Schema:
     Types are taken from the JSON itself: a number without a fraction is an integer,
     however it is written, and true is none. What isn't there has no problem but
     `required`.
+
+    A path has one name or two. read() takes an object's named fields out at once, as
+    columns that begin with `name`, and the rules look at those. all() belongs into a
+    select of its own, with a rule that has a lambda: that keeps it out of the stage's
+    one method, which the JVM would not compile at that size. Inside a generator or a
+    lambda it would be interpreted.
     """
 
-    def __init__(self, v: Column, where: Column | str = ""):
-        self.v, self.where, self.found = v, F.lit(where) if isinstance(where, str) else where, []
+    def __init__(self, name: str, where: Column | str = ""):
+        self.name, self.where, self.found, self.fields = name, F.lit(where) if isinstance(where, str) else where, [], {}
+
+    def read(self, rows: DataFrame, whole: Column | None = None) -> DataFrame:
+        """rows with the fields that the rules look at, of v or the given struct; `name` is null if v is no object."""
+        struct = lambda names: f"struct<{','.join(f'`{n}`:variant' for n in names)}>"
+        rows = rows.withColumn(self.name, _cast(F.col("v"), struct(self.fields)) if whole is None else whole)
+        return rows.withColumns({f"{self.name}_{k}": _cast(F.col(self.name)[k], struct(names)) for k, names in self.fields.items() if names})
+
+    def at(self, path: str) -> Column:
+        first, *rest = path.split(".")
+        names = self.fields.setdefault(first, [])
+        if not rest:
+            return F.col(self.name)[first]
+        if rest[0] not in names:
+            names.append(rest[0])
+        return F.col(f"{self.name}_{first}")[rest[0]]
 
     def _add(self, path: str, ok: Column, what: str) -> None:
         one = F.struct(F.concat(self.where, F.lit(path)).alias("path"), F.lit(what).alias("problem"))
-        self.found.append(F.when(~F.coalesce(ok, F.lit(False)), F.array(one)).otherwise(F.array()))
+        self.found.append(F.when(~F.coalesce(ok, F.lit(False)), one))
 
     def _rule(self, path: str, test, what: str) -> None:
-        v = _at(self.v, path)
+        v = self.at(path)
         self._add(path, v.isNull() | test(v), what)
 
     def required(self, *paths: str) -> _Schema:
         for p in paths:
-            self._add(p, _at(self.v, p).isNotNull(), "required")
+            self._add(p, self.at(p).isNotNull(), "required")
         return self
 
     def integer(self, path: str, least: int | None = None, most: int | None = None) -> _Schema:
-        n = lambda v: F.try_variant_get(v, "$", "double")
+        n = lambda v: _cast(v, "double")
         within = lambda v: (n(v) >= least if least is not None else F.lit(True)) & (n(v) <= most if most is not None else F.lit(True))
-        whole = lambda v: (_kind(v) == "BIGINT") | (_kind(v).rlike("^(DECIMAL|DOUBLE)") & (F.rint(n(v)) == n(v)))
+        whole = lambda v: (_kind(v) == "BIGINT") | ((_kind(v).startswith("DECIMAL") | _kind(v).startswith("DOUBLE")) & (F.rint(n(v)) == n(v)))
         self._rule(path, lambda v: whole(v) & within(v), "integer")
         return self
 
     def text(self, *paths: str, least: int = 0) -> _Schema:
         for p in paths:
-            self._rule(p, lambda v: (_kind(v) == "STRING") & (F.length(F.try_variant_get(v, "$", "string")) >= least), "string")
+            self._rule(p, lambda v: (_kind(v) == "STRING") & (F.length(_cast(v, "string")) >= least), "string")
         return self
 
     def truth(self, *paths: str) -> _Schema:
@@ -250,27 +280,26 @@ class _Schema:
 
     def objects(self, *paths: str) -> _Schema:
         for p in paths:
-            self._rule(p, lambda v: _kind(v).startswith("OBJECT"), "object")
+            self._rule(p, _is_object, "object")
         return self
 
     def lists(self, path: str, least: int = 0, texts: bool = False) -> _Schema:
-        items = lambda v: F.try_variant_get(v, "$", "array<variant>")
-        good = lambda v: F.forall(items(v), lambda x: F.coalesce(_kind(x) == "STRING", F.lit(False))) if texts else F.lit(True)
-        self._rule(path, lambda v: _kind(v).startswith("ARRAY") & (F.size(items(v)) >= least) & good(v), "array")
+        good = lambda v: F.forall(_items(v), lambda x: F.coalesce(_kind(x) == "STRING", F.lit(False))) if texts else F.lit(True)
+        self._rule(path, lambda v: _items(v).isNotNull() & (F.size(_items(v)) >= least) & good(v), "array")
         return self
 
     def one_of(self, path: str, values: tuple[str, ...]) -> _Schema:
-        self._rule(path, lambda v: F.try_variant_get(v, "$", "string").isin(*values), "enum")
+        self._rule(path, lambda v: _cast(v, "string").isin(*values), "enum")
         return self
 
     def colour(self, path: str) -> _Schema:
-        self._rule(path, lambda v: (_kind(v) == "STRING") & F.try_variant_get(v, "$", "string").rlike("^#[0-9A-Fa-f]{6}$"), "pattern")
+        self._rule(path, lambda v: (_kind(v) == "STRING") & _cast(v, "string").rlike("^#[0-9A-Fa-f]{6}$"), "pattern")
         return self
 
     def closed(self, path: str, keys: tuple[str, ...]) -> _Schema:
         """Nothing but `keys` in an object."""
-        names = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-        self._rule(path, lambda v: ~_kind(v).startswith("OBJECT") | (F.size(F.array_except(names(v), F.array(*map(F.lit, keys)))) == 0), "additional")
+        names = lambda v: F.map_keys(_cast(v, "map<string,variant>"))
+        self._rule(path, lambda v: ~_is_object(v) | F.forall(names(v), lambda k: k.isin(*keys)), "additional")
         return self
 
     def region(self, path: str) -> _Schema:
@@ -281,63 +310,74 @@ class _Schema:
         return self
 
     def points(self, path: str, least: int) -> _Schema:
-        point = lambda x: F.coalesce(_kind(x).startswith("ARRAY") & (F.size(F.try_variant_get(x, "$", "array<variant>")) == 2) & F.forall(F.try_variant_get(x, "$", "array<variant>"), lambda n: F.coalesce(_kind(n).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.lit(False))), F.lit(False))
-        items = lambda v: F.try_variant_get(v, "$", "array<variant>")
-        self._rule(path, lambda v: _kind(v).startswith("ARRAY") & (F.size(items(v)) >= least) & F.forall(items(v), point), "points")
+        point = lambda x: F.coalesce((F.size(_items(x)) == 2) & F.forall(_items(x), lambda n: F.coalesce(_kind(n).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.lit(False))), F.lit(False))
+        self._rule(path, lambda v: _items(v).isNotNull() & (F.size(_items(v)) >= least) & F.forall(_items(v), point), "points")
         return self
 
     def all(self) -> Column:
-        return F.concat(*self.found)
+        """A problem or null for each rule."""
+        return F.array(*self.found)
 
 
-def _parsed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents whose JSON is an object, as (source_id, v), and the problem of the others."""
-    d = documents.select("source_id", F.try_parse_json("json").alias("v"))
-    whole = F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))
-    return d.where(whole), d.where(~whole).select("source_id", F.lit("root").alias("path"), F.lit("no-object").alias("problem"))
+def _told(rows: DataFrame) -> DataFrame:
+    """source_id, path, problem of the arrays `found`, less their nulls."""
+    # a plain inline() has Spark filter by the array's size, for which all rules would be worked out twice
+    return rows.select("source_id", F.inline_outer("found")).where("path is not null")
 
 
-def _items(d: DataFrame, path: str) -> tuple[DataFrame, Column]:
-    """Each item of an array as (source_id, n, v), and the path that its problems begin with."""
-    rows = d.select("source_id", F.posexplode(F.try_variant_get("v", f"$.{path}", "array<variant>")).alias("n", "v"))
-    return rows, F.concat(F.lit(f"{path}."), F.col("n").cast("string"), F.lit("."))
+def _no_object() -> Column:
+    return F.array(F.struct(F.lit("root").alias("path"), F.lit("no-object").alias("problem")))
 
 
-def _problems(rows: DataFrame, schema: _Schema) -> DataFrame:
-    return rows.select("source_id", F.inline(schema.all()))
+def _none() -> Column:
+    return F.array().cast("array<struct<path:string,problem:string>>")
 
 
 def schema_issues(documents: DataFrame) -> DataFrame:
     """source_id, path, problem: where JSON documents (source_id, json) break the annotation format.
 
-    A text that is no JSON object has the problem `no-object` at `root`.
+    A text that is no JSON object has the problem `no-object` at `root`. A text is
+    parsed once: its problems go along with its first element, or alone if it has
+    none, and an element's with its first protected region.
     """
-    d, broken = _parsed(documents)
-    top = _Schema(F.col("v")).required(*REQUIRED).integer("version", 1).text("sceneId", least=1).text("storyBasis", "coreMessage").colour("background").integer("finalHoldMs", 0)
+    top = _Schema("top").required(*REQUIRED).integer("version", 1).text("sceneId", least=1).text("storyBasis", "coreMessage").colour("background").integer("finalHoldMs", 0)
     top.objects("canvas").closed("canvas", ("width", "height")).required("canvas.width", "canvas.height").integer("canvas.width", 2).integer("canvas.height", 2)
     top.integer("sceneDurationMs", 1).lists("elements", 1)
-    rows, where = _items(d, "elements")
-    each = _Schema(F.col("v"), where).required(*ELEMENT_REQUIRED).text("id", "label", least=1).integer("sequence", 1).text("type", "narrativeRole", "subtitle").lists("subjectIds", texts=True).integer("zIndex")
+    where = F.concat(F.lit("elements."), F.col("n").cast("string"), F.lit("."))
+    each = _Schema("each", where).required(*ELEMENT_REQUIRED).text("id", "label", least=1).integer("sequence", 1).text("type", "narrativeRole", "subtitle").lists("subjectIds", texts=True).integer("zIndex")
     each.one_of("maskPolicy", POLICIES).region("region").objects("reveal").required("reveal.startMs", "reveal.durationMs").one_of("reveal.direction", DIRECTIONS)
     each.integer("reveal.startMs", 0).integer("reveal.durationMs", 1).integer("reveal.maskPaddingPx", 0).lists("reveal.protectedRegions")
     each.objects("handPath").text("handPath.kind", "handPath.easing").points("handPath.points", 2).points("handPath.contour", 3)
-    shields = rows.select("source_id", "n", F.posexplode(F.try_variant_get("v", "$.reveal.protectedRegions", "array<variant>")).alias("k", "r"))
-    shields = shields.select("source_id", F.concat(F.lit("elements."), F.col("n").cast("string"), F.lit(".reveal.protectedRegions."), F.col("k").cast("string"), F.lit(":")).alias("at"), F.parse_json(F.concat(F.lit('{"r":'), F.to_json("r"), F.lit("}"))).alias("v"))
-    return broken.unionByName(_problems(d, top)).unionByName(_problems(rows, each)).unionByName(_problems(shields, _Schema(F.col("v"), F.col("at")).region("r")))
+    shield = _Schema("shield", F.concat(where, F.lit("reveal.protectedRegions."), F.col("k").cast("string"), F.lit(":"))).region("r")
+
+    rows = top.read(documents.select("source_id", F.try_parse_json("json").alias("v")))
+    rows = rows.select("source_id", F.when(F.col("top").isNull(), _no_object()).otherwise(top.all()).alias("found"), _items(top.at("elements")).alias("items"))
+    rows = each.read(rows.select("source_id", "found", F.posexplode_outer("items").alias("n", "v")))
+    own = F.when(F.col("n").isNull(), _none()).otherwise(each.all())
+    rows = rows.select("source_id", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("found")).otherwise(_none()).alias("found"), own.alias("own"), "n", _items(each.at("reveal.protectedRegions")).alias("items"))
+    rows = rows.select("source_id", F.concat("found", "own").alias("found"), "n", F.posexplode_outer("items").alias("k", "r"))
+    rows = shield.read(rows, F.struct("r"))
+    own = F.when(F.col("k").isNull(), _none()).otherwise(shield.all())
+    rows = rows.select("source_id", F.concat(F.when(F.coalesce("k", F.lit(0)) == 0, F.col("found")).otherwise(_none()), own).alias("found"))
+    return _told(rows)
 
 
 def project_schema_issues(documents: DataFrame) -> DataFrame:
     """source_id, path, problem: where JSON documents (source_id, json) break the project format."""
-    d, broken = _parsed(documents)
-    top = _Schema(F.col("v")).required(*PROJECT_REQUIRED).integer("version", 1)
+    top = _Schema("top").required(*PROJECT_REQUIRED).integer("version", 1)
     top.objects("project", "workflow", "subject_profile", "canvas", "paths", "render").lists("scenes").lists("assumptions", texts=True)
     top.required("project.name", "project.language", "workflow.mode", "subject_profile.mode", "subject_profile.subjects", "canvas.width", "canvas.height", "canvas.fps", "canvas.background")
     top.text("project.name", least=1).text("project.language", "project.root").one_of("workflow.mode", WORKFLOW_MODES).truth("workflow.overwrite").one_of("subject_profile.mode", SUBJECT_MODES)
     top.integer("canvas.width", 2).integer("canvas.height", 2).integer("canvas.fps", 1, 120).colour("canvas.background").objects("subject_profile.subjects")
-    rows = d.select("source_id", F.explode(F.try_variant_get("v", "$.subject_profile.subjects", "map<string,variant>")).alias("key", "v"))
     where = F.concat(F.lit("subject_profile.subjects."), F.col("key"), F.lit("."))
-    each = _Schema(F.col("v"), where).required("kind", "replaceable").text("kind", "name").truth("replaceable").objects("appearance").lists("identity_lock", texts=True).lists("negative_constraints", texts=True)
-    return broken.unionByName(_problems(d, top)).unionByName(_problems(rows, each))
+    each = _Schema("each", where).required("kind", "replaceable").text("kind", "name").truth("replaceable").objects("appearance").lists("identity_lock", texts=True).lists("negative_constraints", texts=True)
+
+    rows = top.read(documents.select("source_id", F.try_parse_json("json").alias("v")))
+    rows = rows.select("source_id", F.when(F.col("top").isNull(), _no_object()).otherwise(top.all()).alias("found"), _cast(top.at("subject_profile.subjects"), "map<string,variant>").alias("items"))
+    rows = each.read(rows.select("source_id", "found", F.posexplode_outer("items").alias("n", "key", "v")))
+    own = F.when(F.col("n").isNull(), _none()).otherwise(each.all())
+    rows = rows.select("source_id", F.concat(F.when(F.coalesce("n", F.lit(0)) == 0, F.col("found")).otherwise(_none()), own).alias("found"))
+    return _told(rows)
 
 
 def missing_paths(references: DataFrame, files: DataFrame) -> DataFrame:

@@ -322,3 +322,21 @@ def test_acceptance(spark):
     assert {r.source_id: (r.passed, r.failed) for r in validate.acceptance(checks).collect()} == {1: (False, ["b"]), 2: (True, [])}
     s = spark.createDataFrame([(1, "a", True), (1, "b", True), (1, "c", True), (2, "a", True)], "source_id long, subject_id string, replaceable boolean")
     assert {r.source_id: r.ok for r in validate.profile_ready(s).collect()} == {1: True, 2: False}
+
+
+def test_a_document_is_parsed_once_and_rules_are_compiled(spark):
+    docs = spark.createDataFrame([("a", '{"elements":[{"reveal":{"protectedRegions":[{"x":0},null,[]]}},7,null]}'), ("b", '{"elements":[]}'), ("c", None), ("d", '{"a":1,"a":2}')], "source_id string, json string")
+    for check in (validate.schema_issues, validate.project_schema_issues):
+        plan = check(docs)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parsejson") + plan.count("parseJson") + plan.count("parse_json") == 1, plan
+        # a plain inline would have its array worked out in a filter, too
+        assert plan.count("inline(") == 1 and "size(" not in plan.split("Generate inline")[-1].split("Project")[0]
+    got = [(r.source_id, r.path, r.problem) for r in validate.schema_issues(docs).collect()]
+    top = [(p, "required") for p in ("sceneId", "canvas", "sceneDurationMs", "canvas.width", "canvas.height")]
+    assert sorted(g[1:] for g in got if g[0] == "b") == sorted([*top, ("elements", "array")])
+    assert [g for g in got if g[0] in "cd"] == [(k, "root", "no-object") for k in "cd"]
+    of_a = [g[1:] for g in got if g[0] == "a"]
+    assert len(of_a) == len(set(of_a)) and set(top) < set(of_a)
+    at = "elements.0.reveal.protectedRegions."
+    assert {p for p in of_a if p[0].startswith(at)} == {(f"{at}0:r.{k}", "required") for k in ("y", "width", "height")} | {(f"{at}{i}:r{p}", "required") for i in (1, 2) for p in (".x", ".y", ".width", ".height")} | {(f"{at}{i}:r", "object") for i in (1, 2)}
+    assert {(f"elements.{i}.id", "required") for i in (0, 1, 2)} < set(of_a)
