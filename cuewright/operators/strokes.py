@@ -40,7 +40,23 @@ def strokes(outlines: DataFrame, *, width: int, height: int, size: float, paddin
     return rows.select("scene_id", "char_pos", "stroke_rank", "contour_pos", "sequence", region.alias("region"), direction.alias("direction"), "start_ms", "duration_ms", "pts")
 
 
+def stroke_counts(outlines: DataFrame, least: float = LEAST_AREA) -> DataFrame:
+    """scene_id, char_pos, n: how many strokes strokes() has for a character, null for one that has none.
+
+    A character's outlines meet in one aggregation, so that they are read and sorted
+    by character once, and only as their areas.
+    """
+    area = outlines.select("scene_id", "char_pos", "contour_pos", signed_area(F.col("pts")).alias("area")).withColumn("area", F.when(F.abs("area") >= least, F.col("area")))
+    sign = F.max_by(F.signum("area"), F.when(F.col("area").isNotNull(), F.struct(F.abs("area"), -F.col("contour_pos"))))
+    n = area.groupBy("scene_id", "char_pos").agg(sign.alias("sign"), F.count_if(F.col("area") > 0).alias("up"), F.count_if(F.col("area") < 0).alias("down"))
+    return n.select("scene_id", "char_pos", F.when(F.col("sign") > 0, F.col("up")).when(F.col("sign") < 0, F.col("down")).alias("n"))
+
+
+def last_counts(counts: DataFrame) -> DataFrame:
+    """scene_id, ch, strokes: counts (scene_id, char_pos, ch, n) by character; of a repeated one the last counts."""
+    return counts.groupBy("scene_id", "ch").agg(F.coalesce(F.max_by("n", "char_pos"), F.lit(0)).alias("strokes"))
+
+
 def strokes_per_char(stroke_rows: DataFrame, chars: DataFrame) -> DataFrame:
     """scene_id, ch, strokes: counts by character (scene_id, char_pos, ch); of a repeated one the last counts."""
-    n = chars.join(stroke_rows.groupBy("scene_id", "char_pos").agg(F.count("*").alias("n")), ["scene_id", "char_pos"], "left")
-    return n.groupBy("scene_id", "ch").agg(F.coalesce(F.max_by("n", "char_pos"), F.lit(0)).alias("strokes"))
+    return last_counts(chars.join(stroke_rows.groupBy("scene_id", "char_pos").agg(F.count("*").alias("n")), ["scene_id", "char_pos"], "left"))
