@@ -5,7 +5,7 @@ sets of Jaccard similarity t or more, of n and m <= n words, share one of the fi
 n - ceil(t * n) + 1 words of the larger and the first m - ceil(2t / (1 + t) * m) + 1
 of the smaller (prefix filter); their sizes differ by the factor t at most (length
 filter), and the words that are left behind a shared one must suffice (positional
-filter). A 64-bit parity of each set, or 128 bits of long sets, bounds the symmetric
+filter). A 64-bit parity of each set, or one for each half of a long set, bounds the symmetric
 difference from below and drops most of the remaining pairs. Words cut to 16 bits
 bound the overlap from above and drop nearly all of the rest; what is left is
 verified on the words themselves.
@@ -18,6 +18,7 @@ further, so a large group of near copies makes as many pairs as it has members.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ SENT_BYTES = 32 << 20
 
 #: Words from which a set has parities of 128 bits, and the parities' columns.
 LONG = 64
-PARITIES = ("parity", "parity_odd")
+PARITIES = ("parity", "parity_high")
 
 
 def _long(v: int) -> Column:
@@ -41,12 +42,14 @@ def _long(v: int) -> Column:
 
 def _words(line: str) -> Column:
     """Pieces of a line between single white space; some may be empty."""
-    return F.when(F.rlike(F.col(line), F.lit(r"[\x09\x0B\x0C\x0D]")), F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))  # spaces alone have the faster split
+    # spaces alone have the faster split, and each byte is looked for in the bytes, where a pattern would need the text decoded
+    other = reduce(Column.__or__, (F.contains(F.col(line), F.lit(c)) for c in "\t\v\f\r"))
+    return F.when(other, F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))
 
 
 def _hashes(words: Column) -> Column:
-    """Hashes of the words, each once."""
-    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """Sorted hashes of the words, each once."""
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
@@ -68,7 +71,8 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
 
 def _ids(hashes: Column, rarity: Column) -> Column:
     """Sorted numbers of the words: the rarity above 57 bits of hash."""
-    number = lambda h: F.shiftleft(rarity[h.bitwiseAND(_long(COUNTERS - 1))], 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    # arrays without nulls are sorted as plain numbers
+    number = lambda h: F.coalesce(F.shiftleft(rarity[h.bitwiseAND(_long(COUNTERS - 1))], 57).bitwiseOR(F.shiftrightunsigned(h, 7)), _long(0))
     return F.sort_array(F.transform(hashes, number))
 
 
@@ -78,20 +82,20 @@ def _sent(df: DataFrame, row_bytes: int, *arrays: str) -> DataFrame:
     return F.broadcast(df) if df.agg(size).first()[0] <= SENT_BYTES else df
 
 
-def _parities(ids: str) -> list[Column]:
-    """For a set its parity over 64 places, and that of the words with bit 6; the latter is 0 for sets of fewer than LONG words."""
-
-    def parity(seed) -> Column:
-        place = lambda x: F.call_function("shiftleft", seed(x), x.bitwiseAND(_long(63)).cast("int"))
-        return F.aggregate(ids, _long(0), lambda a, x: a.bitwiseXOR(place(x)))
-
-    return [parity(lambda x: _long(1)), F.when(F.size(ids) >= LONG, parity(lambda x: F.shiftright(x, 6).bitwiseAND(_long(1)))).otherwise(_long(0))]
+def _parities(hashes: str) -> list[Column]:
+    """For a set's sorted hashes the parity over 64 places, and 0; from LONG words that of the negative hashes, and that of the others."""
+    n = F.size(hashes)
+    bits = F.array(*(_long((1 << i) - (1 << 64 if i == 63 else 0)) for i in range(64)))
+    # where 0 would stand among them
+    at = F.array_position(F.sort_array(F.array_append(hashes, _long(0))), _long(0)).cast("int")
+    parity = lambda part: F.aggregate(part, _long(0), lambda a, x: a.bitwiseXOR(bits[x.bitwiseAND(_long(63))]))
+    return [parity(F.when(n >= LONG, F.slice(hashes, 1, at - 1)).otherwise(F.col(hashes))), F.when(n >= LONG, parity(F.slice(hashes, at, n))).otherwise(_long(0))]
 
 
 def _apart(a: str, b: str, n: Column, m: Column) -> Column:
     """The least number of words that lie in one set only, by the parities."""
-    every, odd = (F.col(f"{a}_{p}").bitwiseXOR(F.col(f"{b}_{p}")) for p in PARITIES)
-    return F.when(F.least(n, m) >= LONG, F.bit_count(odd) + F.bit_count(every.bitwiseXOR(odd))).otherwise(F.bit_count(every))
+    low, high = (F.col(f"{a}_{p}").bitwiseXOR(F.col(f"{b}_{p}")) for p in PARITIES)
+    return F.when(F.least(n, m) >= LONG, F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
 
 
 def _similar(a: str, b: str, t: float) -> Column:
@@ -160,7 +164,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prefix = F.transform(F.slice("ids", 1, long_prefix), lambda x: x.bitwiseAND(_long(0x7FFFFFFF)).cast("int"))
     smallest = math.floor(1 / (1 - t) + 1e-9) - 1  # of fewer words, similar sets are equal
     open_set = n >= smallest
-    lines = lines.select("id", "th", "line", n.alias("n"), F.xxhash64("ids").alias("sid"), F.hash("ids").alias("sid2"), *(F.when(open_set, c).alias(k) for k, c in (*zip(PARITIES, _parities("ids"), strict=True), ("least", F.array_min("hashes")), ("most", F.array_max("hashes")), ("prefix", prefix))))
+    lines = lines.select("id", "th", "line", n.alias("n"), F.xxhash64("ids").alias("sid"), F.hash("ids").alias("sid2"), *(F.when(open_set, c).alias(k) for k, c in (*zip(PARITIES, _parities("hashes"), strict=True), ("least", F.get("hashes", F.lit(0))), ("most", F.get("hashes", F.size("hashes") - 1)), ("prefix", prefix))))
     lines = durable(lines).where("n > 0")
 
     key = ["sid", "sid2", "n"]

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuewright.llm import exact_dedup, jaccard_join, line_dedup, substring_dedup
 
@@ -250,3 +251,20 @@ def test_words_that_polynomials_take_for_equal_are_told_apart():
     a, b = (np.array([97 + (x ^ y) for x in bits], np.uint8) for y in (0, 1))
     h = word_hashes(np.concatenate([a, b]), np.array([0, 2048]), np.array([2048, 4096]), Hasher())
     assert h[0] != h[1]
+
+
+def test_parities_bound_the_difference_of_short_and_long_sets(spark):
+    pick, rows = random.Random(3), []
+    for _ in range(200):
+        x = set(pick.sample(range(3000), pick.choice((5, 20, 63, 64, 65, 90, 200))))
+        y = set(pick.sample(sorted(x), int(len(x) * pick.choice((0.5, 0.8, 0.95, 1))))) | set(pick.sample(range(3000), pick.choice((0, 1, 9))))
+        rows.append((" ".join(map(str, x)), "\t".join(map(str, y)), len(x ^ y), len(x), len(y)))
+    t = spark.createDataFrame(rows, "a string, b string, d int, na int, nb int")
+    t = t.withColumns({f"{c}_h": line_dedup._hashes(line_dedup._words(c)) for c in "ab"})
+    t = t.withColumns({f"{c}_{k}": e for c in "ab" for k, e in zip(line_dedup.PARITIES, line_dedup._parities(f"{c}_h"), strict=True)})
+    low = line_dedup._apart("a", "b", F.col("na"), F.col("nb"))
+    got = t.select("d", "na", "nb", low.alias("low"), F.size("a_h").alias("n"), F.size("b_h").alias("m")).collect()
+    assert all(r.low <= r.d and (r.low - r.d) % 2 == 0 and (r.n, r.m) == (r.na, r.nb) for r in got)
+    assert sum(r.low for r in got if min(r.na, r.nb) >= 64) > 0.5 * sum(r.d for r in got if min(r.na, r.nb) >= 64)
+    rarity = F.from_json(F.lit(str([0] * line_dedup.COUNTERS)), "array<long>")
+    assert not t.select(line_dedup._ids(F.col("a_h"), rarity).alias("ids")).schema["ids"].dataType.containsNull
