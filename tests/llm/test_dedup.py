@@ -268,3 +268,23 @@ def test_parities_bound_the_difference_of_short_and_long_sets(spark):
     assert sum(r.low for r in got if min(r.na, r.nb) >= 64) > 0.5 * sum(r.d for r in got if min(r.na, r.nb) >= 64)
     rarity = F.from_json(F.lit(str([0] * line_dedup.COUNTERS)), "array<long>")
     assert not t.select(line_dedup._ids(F.col("a_h"), rarity).alias("ids")).schema["ids"].dataType.containsNull
+
+
+def test_few_sets_that_share_a_mark_are_left_to_the_prefix_join(spark, monkeypatch):
+    base = [f"w{i}" for i in range(20)]
+    clusters = [[f"{k}{w}" for w in base] for k in "ab"]
+    rows = [(10 * k + i, " ".join([*c, f"x{k}{i}"])) for k, (c, size) in enumerate(zip(clusters, (3, 2 * line_dedup.CLUSTER), strict=True)) for i in range(size)]
+    docs = spark.createDataFrame([(i + 1, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    asked, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda texts, pairs, *rest: asked.append(pairs.count()) or verified(texts, pairs, *rest))
+    kept = {r.doc_id for r in line_dedup.dedup(docs).where("text != ''").collect()}
+    assert kept == {1, 4}
+    # the large cluster's sets meet its earliest one, those of the small cluster wait
+    assert len(asked) == 2 and asked[0] <= 2 * 2 * line_dedup.CLUSTER and 0 < asked[1] < line_dedup.CLUSTER * line_dedup.CLUSTER
+    long = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),) for n in (10, 80)], "s string").select(line_dedup._hashes(line_dedup._words("s")).alias("h"))
+    for r in long.select("h", *(c.alias(p) for p, c in zip(line_dedup.PARITIES, line_dedup._parities("h"), strict=True))).collect():
+        whole = half = 0
+        for x in r.h:
+            whole ^= 1 << (x & 63)
+            half ^= (x >> 6 & 1) << (x & 63)
+        assert (r.parity % (1 << 64), r.parity_high % (1 << 64)) == (whole, half if len(r.h) >= line_dedup.LONG else 0)
