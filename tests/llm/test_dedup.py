@@ -288,3 +288,13 @@ def test_few_sets_that_share_a_mark_are_left_to_the_prefix_join(spark, monkeypat
             whole ^= 1 << (x & 63)
             half ^= (x >> 6 & 1) << (x & 63)
         assert (r.parity % (1 << 64), r.parity_high % (1 << 64)) == (whole, half if len(r.h) >= line_dedup.LONG else 0)
+
+
+def test_the_driver_keeps_short_descriptions_of_the_plans_it_writes(spark):
+    from functools import reduce
+
+    from cuewright.llm.common import _settings
+
+    many = reduce(lambda a, b: a.union(b), [spark.range(1)] * 100)
+    with _settings(spark):
+        assert len(many._jdf.queryExecution().toString()) < 6000
