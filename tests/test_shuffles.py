@@ -19,7 +19,7 @@ def exchanges(df):
     return [line.split("Exchange ")[1].split("(")[0] for line in plan.splitlines() if "Exchange " in line]
 
 
-@pytest.mark.parametrize("name", ["ink_cells"])
+@pytest.mark.parametrize("name", ["ink_cells", "brush_cells"])
 def test_elements_are_shuffled_once(spark, name):
     assert exchanges(queries.QUERIES[name](spark, D)) == ["hashpartitioning"]
 
