@@ -19,9 +19,10 @@ def exchanges(df):
     return [line.split("Exchange ")[1].split("(")[0] for line in plan.splitlines() if "Exchange " in line]
 
 
-@pytest.mark.parametrize("name", ["ink_cells", "brush_cells"])
-def test_elements_are_shuffled_once(spark, name):
-    assert exchanges(queries.QUERIES[name](spark, D)) == ["hashpartitioning"]
+@pytest.mark.parametrize("name, sums", [("ink_cells", 0), ("brush_cells", 0), ("contour_masks", 1)])
+def test_elements_are_shuffled_once(spark, name, sums):
+    """And each element's sums over its tiles, if there are any."""
+    assert exchanges(queries.QUERIES[name](spark, D)) == ["hashpartitioning"] * (1 + sums)
 
 
 @pytest.fixture(scope="module")
